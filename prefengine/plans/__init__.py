@@ -1,6 +1,6 @@
 """Named queries over the driver tables (each module registers its queries on import)."""
 
-from prefengine.plans import flagship, q_order, q_pairs, q_text  # noqa: F401
+from prefengine.plans import flagship, q_order, q_pairs, q_text, q_tokens  # noqa: F401
 from prefengine.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
