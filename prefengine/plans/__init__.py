@@ -1,6 +1,6 @@
 """Named queries over the driver tables (each module registers its queries on import)."""
 
-from prefengine.plans import flagship, q_eval, q_logprob, q_order, q_pairs, q_text, q_tokens, q_train  # noqa: F401
+from prefengine.plans import flagship, q_eval, q_fit_udf, q_logprob, q_order, q_pairs, q_text, q_tokens, q_train  # noqa: F401
 from prefengine.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
