@@ -8,26 +8,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prefengine.functions.arrays import let
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
 from prefengine.operators.tokens import token_list
+from prefengine.session import spread
 
 # Fixed value: the start-of-sequence context filler.
 START = "<s>"
 
 
-def _contexts(tokens: Column, n: int) -> Column:
-    """array<struct<ctx, tok>>: each token with its previous n-1 tokens (START-padded)."""
+def _grams(df: DataFrame, col: str, n: int, keep: list[str] | None = None) -> DataFrame:
+    """One row per token position: (keep..., ctx, tok); ctx = previous n-1 tokens (START-padded).
+
+    Built with arrays_zip over shifted slices (no per-element lambda)."""
     if n < 1:
         raise ValueError("n must be >= 1")
+    keep = keep or []
+    t = spread(df.select(*keep, col)).select(*keep, token_list(col).alias("_t"))
     if n == 1:
-        return F.transform(tokens, lambda t: F.struct(F.lit("").alias("ctx"), t.alias("tok")))
-    padded = F.concat(F.array_repeat(F.lit(START), n - 1), tokens)
-    return let(padded, lambda p: F.transform(tokens, lambda t, i: F.struct(
-        F.array_join(F.slice(p, i + F.lit(1), n - 1), " ").alias("ctx"), t.alias("tok"))))
+        return t.select(*keep, F.explode("_t").alias("tok")).withColumn("ctx", F.lit(""))
+    padded = F.concat(F.array_repeat(F.lit(START), n - 1), F.col("_t"))
+    shifted = [F.slice(padded, j + 1, F.size("_t")).alias(f"c{j}") for j in range(n - 1)]
+    z = t.select(*keep, F.explode(F.arrays_zip(*shifted, F.col("_t").alias("tok"))).alias("_g"))
+    ctx = F.col("_g.c0") if n == 2 else F.concat_ws(" ", *[F.col(f"_g.c{j}") for j in range(n - 1)])
+    return z.select(*keep, ctx.alias("ctx"), F.col("_g.tok").alias("tok"))
 
 
 @dataclass(frozen=True)
@@ -40,39 +46,53 @@ class NgramModel:
 
 
 def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModel:
-    """Add-k smoothed n-gram counts (L7): groupBy(context, token) and groupBy(context).
-
-    Both are partial aggregations; the vocabulary size is one distinct count."""
-    ex = df.select(F.explode(_contexts(token_list(col), n)).alias("_g")).select("_g.ctx", "_g.tok")
-    ngrams = ex.groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c_ngram")).cache()
+    """Add-k smoothed n-gram counts (L7): one tokenising pass and one groupBy(context, token)
+    (partial aggregation map-side); context totals and the vocabulary size derive from that
+    cached count table, not from a second pass over the corpus."""
+    ngrams = _grams(df, col, n).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c_ngram")).cache()
     contexts = ngrams.groupBy("ctx").agg(F.sum("c_ngram").alias("c_ctx")).cache()
     v = ngrams.select("tok").distinct().count()
     return NgramModel(ngrams, contexts, int(v), n, float(k))
 
 
-def ngram_logp(df: DataFrame, key: list[str], col: str, model: NgramModel, out: str = "logp",
-               with_length: str | None = None) -> DataFrame:
-    """Sum over tokens of ln((c(ctx, tok) + k) / (c(ctx) + k V)) for every row of ``df``.
-
-    Returns ``key`` + ``out`` (+ token count); rows without tokens score 0."""
-    k, v = model.k, model.vocab_size
-    ex = df.select(*key, F.explode(_contexts(token_list(col), model.n)).alias("_g")).select(*key, "_g.ctx", "_g.tok")
-    grams = ex.groupBy(*key, "ctx", "tok").agg(F.count(F.lit(1)).alias("_m"))
-    scored = (grams.join(model.ngrams, ["ctx", "tok"], "left")
-              .join(model.contexts, "ctx", "left")
-              .withColumn("_lp", F.col("_m") * F.log(
-                  (F.coalesce(F.col("c_ngram"), F.lit(0)) + F.lit(k))
-                  / (F.coalesce(F.col("c_ctx"), F.lit(0)) + F.lit(k * v)))))
-    agg = [F.sum("_lp").alias(out)]
+def ngram_logps(df: DataFrame, key: list[str], col: str, models: dict[str, NgramModel],
+                with_length: str | None = None) -> DataFrame:
+    """Log-probs of every row of ``df`` under several n-gram models of the same order (L7):
+    sum over tokens of ln((c(ctx, tok) + k) / (c(ctx) + k V)), one column per model.
+
+    The scored rows are tokenised once and pre-aggregated to (key, ctx, tok, m) before they
+    meet the models, so repeated n-grams shrink map-side; each model's counts join on
+    (ctx, tok) and ctx, where AQE picks the strategy from measured sizes and splits skewed
+    keys.  Rows without tokens score 0."""
+    orders = {m.n for m in models.values()}
+    if len(orders) != 1:
+        raise ValueError("models must share one order n")
+    grams = _grams(df, col, orders.pop(), keep=key).groupBy(*key, "ctx", "tok").agg(F.count(F.lit(1)).alias("_m"))
+    scored = grams
+    for name, m in models.items():
+        c2 = m.ngrams.select("ctx", "tok", F.col("c_ngram").alias(f"_c2_{name}"))
+        c1 = m.contexts.select("ctx", F.col("c_ctx").alias(f"_c1_{name}"))
+        scored = (scored.join(c2, ["ctx", "tok"], "left").join(c1, "ctx", "left")
+                  .withColumn(f"_lp_{name}", F.col("_m") * F.log(
+                      (F.coalesce(F.col(f"_c2_{name}"), F.lit(0)) + F.lit(m.k))
+                      / (F.coalesce(F.col(f"_c1_{name}"), F.lit(0)) + F.lit(m.k * m.vocab_size)))))
+    agg = [F.sum(f"_lp_{name}").alias(name) for name in models]
     if with_length:
         agg.append(F.sum("_m").alias(with_length))
     per = scored.groupBy(*key).agg(*agg)
-    base = df.select(*key).join(per, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
+    base = df.select(*key).join(per, key, "left")
+    base = base.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in models})
     if with_length:
         base = base.withColumn(with_length, F.coalesce(F.col(with_length), F.lit(0)).cast("bigint"))
     return base
 
 
+def ngram_logp(df: DataFrame, key: list[str], col: str, model: NgramModel, out: str = "logp",
+               with_length: str | None = None) -> DataFrame:
+    """Single-model form of ``ngram_logps``: returns ``key`` + ``out`` (+ token count)."""
+    return ngram_logps(df, key, col, {out: model}, with_length)
+
+
 def packed_logp(tokens: DataFrame, by: list[str], doc: str, value: str, out: str = "logp") -> DataFrame:
     """Per-document sums of per-token log-probs of a packed sequence (L4): ``tokens`` holds
     one row per packed position with its document index."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prefengine.functions import arrays as A
 from prefengine.functions.text import truncation_mode
 from prefengine.operators.order import BROADCAST_ROWS, global_index
-from prefengine.session import require_columns
+from prefengine.session import require_columns, spread
 
 # Special token ids and names (the vocabulary's first four entries).
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
@@ -47,7 +47,7 @@ def fit_vocab(df: DataFrame, col: str, max_size: int | None = None, id_offset: i
     Counting is a partial aggregation; the top ``max_size`` is a bounded top-k (no full
     sort); without a cap the ranking uses the skew-safe global index."""
     spark = df.sparkSession
-    counts = (df.select(F.explode(token_list(col)).alias("token"))
+    counts = (spread(df.select(col)).select(F.explode(token_list(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
     if max_size is not None:
         top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_size)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.operators.logprob import fit_ngram, ngram_logp
+from prefengine.operators.logprob import fit_ngram, ngram_logps
 from prefengine.operators.metrics import pair_metrics
 from prefengine.operators.objectives import objective
 from prefengine.operators.pairs import candidate_pairs, label_pairs
@@ -25,12 +25,11 @@ def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     docs = table(spark, sf_dir, "documents")
     asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    policy = fit_ngram(asst, "text", n=2, k=1.0)
-    reference = fit_ngram(docs, "text", n=2, k=1.0)
+    models = {"pi": fit_ngram(asst, "text", n=2, k=1.0), "rho": fit_ngram(docs, "text", n=2, k=1.0)}
     key = ["conv_id", "turn"]
-    pi = ngram_logp(asst, key, "text", policy, out="pi")
-    rho = ngram_logp(asst, key, "text", reference, out="rho")
-    return asst.select(*key, text_score("text").alias("score")).join(pi, key).join(rho, key)
+    lp = ngram_logps(asst, key, "text", models)
+    # one row per candidate, read by both sides of every pair: computed once
+    return asst.select(*key, text_score("text").alias("score")).join(lp, key).cache()
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str, k: int = K_PAIRS) -> DataFrame:

@@ -102,18 +102,19 @@ def candidate_logps(spark, sf) -> DataFrame:
     asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
     user = conv.filter(F.col("role") == "user").select("text")
     key = ["conv_id", "turn"]
-    pi = L.ngram_logp(asst, key, "text", L.fit_ngram(asst, "text"), out="pi", with_length="n_tokens")
-    rho = L.ngram_logp(asst, key, "text", L.fit_ngram(docs, "text"), out="rho")
-    dat = L.ngram_logp(asst, key, "text", L.fit_ngram(user, "text"), out="dat")
-    return asst.select(*key, D.text_score("text").alias("score")).join(pi, key).join(rho, key).join(dat, key)
+    models = {"pi": L.fit_ngram(asst, "text"), "rho": L.fit_ngram(docs, "text"), "dat": L.fit_ngram(user, "text")}
+    lp = L.ngram_logps(asst, key, "text", models, with_length="n_tokens")
+    # one row per candidate, read by both sides of every pair: computed once
+    return asst.select(*key, D.text_score("text").alias("score")).join(lp, key).cache()
 
 
-def train_pairs(spark, sf, k: int = K_PAIRS) -> DataFrame:
-    """Labelled candidate pairs with every column the objectives read."""
+def train_pairs(spark, sf, k: int = K_PAIRS, cand: DataFrame | None = None) -> DataFrame:
+    """Labelled candidate pairs with every column the objectives read (``cand``: the
+    per-candidate log-prob table when the caller already built it)."""
     conv = table(spark, sf, "conversations")
     sets = D.candidate_sets(conv, max_candidates=k + 1).select("conv_id", "n_candidates", "turns")
     pairs = candidate_pairs(sets, k, col="turns", first="first_turn", second="second_turn")
-    c = candidate_logps(spark, sf)
+    c = cand if cand is not None else candidate_logps(spark, sf)
     cols = ["score", "pi", "rho", "dat", "n_tokens"]
     a = c.select("conv_id", F.col("turn").alias("first_turn"), *[F.col(x).alias(f"{x}_a") for x in cols])
     b = c.select("conv_id", F.col("turn").alias("second_turn"), *[F.col(x).alias(f"{x}_b") for x in cols])
@@ -225,11 +226,11 @@ LEFT JOIN (SELECT conv_id, turn, dat FROM cand WHERE conv_id % 3 = 0) dc ON dc.c
 LEFT JOIN (SELECT conv_id, turn, dat FROM cand WHERE conv_id % 3 = 0) dr ON dr.conv_id = p.conv_id AND dr.turn = p.rejected_turn
 """)
 def attach_logps(spark, sf):
-    tp = train_pairs(spark, sf)
+    c = candidate_logps(spark, sf)
+    tp = train_pairs(spark, sf, cand=c)
     pre = tp.select("conv_id", "pair_idx", "chosen_turn", "rejected_turn",
                     F.when(F.col("conv_id") % 2 == 0, F.round("ref_chosen_logps", 2)).alias("ref_chosen_logps"),
                     F.when(F.col("conv_id") % 2 == 0, F.round("ref_rejected_logps", 2)).alias("ref_rejected_logps"))
-    c = candidate_logps(spark, sf)
     key = ["conv_id", "chosen_turn", "rejected_turn"]
 
     def side_table(col, where=None):
