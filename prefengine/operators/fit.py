@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prefengine.functions.arrays import let
+
 
 def _dot(a, theta: list[float]):
     lit = F.array(*[F.lit(float(t)) for t in theta])
@@ -39,9 +41,11 @@ def preference_gradient(df: DataFrame, theta: list[float], kind: str = "dpo", be
             coef = coef * F.exp(F.least(pc - dc + pr - dr, F.lit(2.0 * eps)))
     else:
         raise ValueError("kind must be dpo, ipo or is")
-    contrib = df.select(F.posexplode(F.transform(d, lambda x: x * coef)).alias("dim", "g"))
-    n = df.count()
-    return contrib.groupBy("dim").agg((F.sum("g") / F.lit(float(max(n, 1)))).alias("grad"))
+    # the coefficient is bound once per pair, not re-evaluated per dimension
+    per_dim = let(coef, lambda c: F.transform(d, lambda x: x * c))
+    contrib = df.select(F.posexplode(per_dim).alias("dim", "g"))
+    # every pair contributes one row per dimension, so the per-dimension mean is over all pairs
+    return contrib.groupBy("dim").agg(F.avg("g").alias("grad"))
 
 
 def fit_preference(df: DataFrame, dim: int, steps: int = 10, lr: float = 0.1, kind: str = "dpo",

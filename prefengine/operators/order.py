@@ -15,6 +15,9 @@ from prefengine.session import checkpoint_root
 
 # A side is broadcast only when its row count was measured under this bound.
 BROADCAST_ROWS = 2_000_000
+# A top-n (TakeOrderedAndProject) keeps n rows per task and merges them in one task: used only
+# for n up to this bound; larger n go through the distributed global index.
+TOPN_ROWS = 100_000
 _LOCAL_BITS = 33  # monotonically_increasing_id = (partition << 33) + position in partition
 
 
@@ -35,7 +38,9 @@ def global_index(df: DataFrame, order_by, partition_by=None, name: str = "idx",
                  num_partitions: int | None = None) -> DataFrame:
     """0-based position of every row in ``order_by`` order, within ``partition_by`` groups.
 
-    ``order_by`` must be a total order (end it with a unique key).  Plan: range-partition on
+    ``order_by`` must be a total order (end it with a unique key).  Index a narrow frame
+    (keys only) and join wide payloads back: the checkpoint then writes only the keys.
+    Plan: range-partition on
     (groups, keys) and sort inside partitions; tag rows with monotonically_increasing_id and
     checkpoint that into the shared checkpoint folder, so the count pass and the numbering pass
     read the same, fault-tolerant partitions; count rows per (partition, group); a prefix sum
@@ -91,10 +96,13 @@ def shuffled_index(df: DataFrame, seed: int, key, name: str = "pos", partition_b
 
 
 def sample_n(df: DataFrame, n: int, seed: int, key) -> DataFrame:
-    """Shuffle, then take ``n`` (F3): a bounded top-n (TakeOrderedAndProject), no full sort."""
+    """Shuffle, then take ``n`` (F3): a bounded top-n (TakeOrderedAndProject, no full sort)
+    for n up to TOPN_ROWS, else the first n positions of the seeded order (global index)."""
     k = _cols(key)
-    return (df.withColumn("_shuffle", shuffle_key(seed, *k))
-            .orderBy("_shuffle", *k).limit(n).drop("_shuffle"))
+    keyed = df.withColumn("_shuffle", shuffle_key(seed, *k))
+    if n <= TOPN_ROWS:
+        return keyed.orderBy("_shuffle", *k).limit(n).drop("_shuffle")
+    return global_index(keyed, ["_shuffle", *k], name="_pos").filter(F.col("_pos") < n).drop("_shuffle", "_pos")
 
 
 def assign_batches(df: DataFrame, size: int, order_by, name: str = "batch_id",
@@ -143,13 +151,13 @@ def head_fraction(df: DataFrame, pct: float, order_by, index_name: str = "idx")
 def drop_tail(df: DataFrame, n: int, order_by, unique_key, index_name: str | None = None) -> DataFrame:
     """Hold out the last ``n`` rows in order (F2).
 
-    For a bounded ``n`` the tail is a top-n in reverse order (no full sort) removed with a
-    broadcast anti-join; a large ``n`` falls back to the global index."""
+    For n up to TOPN_ROWS the tail is a top-n in reverse order (no full sort) removed with a
+    broadcast anti-join on the unique key; a larger n falls back to the global index."""
     keys = _cols(order_by)
     uk = _cols(unique_key)
     if n <= 0:
         return df
-    if n <= BROADCAST_ROWS and index_name is None:
+    if n <= TOPN_ROWS and index_name is None:
         rev = [F.col(c).desc_nulls_last() if isinstance(c, str) else c for c in keys]
         tail = df.orderBy(*rev).limit(n).select(*uk)
         return df.join(F.broadcast(tail), uk, "left_anti")

@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from prefengine.functions import arrays as A
 from prefengine.functions.text import truncation_mode
-from prefengine.operators.order import BROADCAST_ROWS, global_index
+from prefengine.operators.order import TOPN_ROWS, global_index
 from prefengine.session import require_columns, spread
 
+# A vocabulary is broadcast to the encode join only when its measured size is under this.
+VOCAB_BROADCAST_ROWS = 1_000_000
+
 # Special token ids and names (the vocabulary's first four entries).
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>"]
@@ -38,24 +41,26 @@ class Vocab:
 
     def for_join(self) -> DataFrame:
         t = self.table.select("token", "id")
-        return F.broadcast(t) if self.size <= BROADCAST_ROWS else t
+        return F.broadcast(t) if self.size <= VOCAB_BROADCAST_ROWS else t
 
 
 def fit_vocab(df: DataFrame, col: str, max_size: int | None = None, id_offset: int = len(SPECIALS)) -> Vocab:
     """Frequency-ranked vocabulary (T0): ids after the specials by (count desc, token asc).
 
-    Counting is a partial aggregation; the top ``max_size`` is a bounded top-k (no full
-    sort); without a cap the ranking uses the skew-safe global index."""
+    Counting is a partial aggregation; a top ``max_size`` up to TOPN_ROWS is a bounded top-k
+    (no full sort); larger or no caps rank with the distributed global index."""
     spark = df.sparkSession
     counts = (spread(df.select(col)).select(F.explode(token_list(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
-    if max_size is not None:
+    if max_size is not None and max_size <= TOPN_ROWS:
         top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_size)
         ranked = top.withColumn("id", (F.row_number().over(
             Window.orderBy(F.desc("cnt"), F.asc("token"))) - 1 + id_offset).cast("int"))
     else:
         ranked = (global_index(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], name="_r")
                   .select("token", "cnt", (F.col("_r") + id_offset).cast("int").alias("id")))
+        if max_size is not None:
+            ranked = ranked.filter(F.col("id") < max_size + id_offset)
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, cnt bigint")
     table = specials.unionByName(ranked.select("token", "id", "cnt"))
     checkpoint = table.cache()
@@ -66,9 +71,10 @@ def fit_vocab(df: DataFrame, col: str, max_size: int | None = None, id_offset: i
 def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab, out: str | None = None) -> DataFrame:
     """Text -> token ids (T1); unknown tokens map to UNK.
 
-    Plan: hash-partition the rows on ``key`` once; explode tokens with their positions,
-    broadcast-join the vocabulary, and gather ids per key — the gather and the join back to
-    the rows reuse that partitioning, so no second shuffle."""
+    Plan: hash-partition the rows on ``key``; explode tokens with their positions, join the
+    vocabulary (broadcast under its size bound) and gather ids per key.  The gather is already
+    partitioned by ``key``, so the join back to the rows adds no exchange; columns the caller
+    does not read are pruned before the row shuffle."""
     require_columns(df, *key, col)
     out = out or f"{col}_ids"
     parted = df.repartition(*key)
@@ -88,7 +94,7 @@ def decode(df: DataFrame, key: list[str], ids: str, vocab: Vocab, out: str | Non
     out = out or f"{ids}_text"
     parted = df.repartition(*key)
     inv = vocab.table.select(F.col("id").alias("_id"), "token")
-    inv = F.broadcast(inv) if vocab.size <= BROADCAST_ROWS else inv
+    inv = F.broadcast(inv) if vocab.size <= VOCAB_BROADCAST_ROWS else inv
     ex = parted.select(*key, F.posexplode(ids).alias("_pos", "_id"))
     if skip_special:
         ex = ex.filter(F.col("_id") >= len(SPECIALS))

@@ -40,8 +40,9 @@ def candidates_long(conv: DataFrame) -> DataFrame:
     """One row per assistant turn: (conv_id, turn, cand_idx, completion); cand_idx is the
     0-based rank by turn inside the conversation, from the skew-safe grouped index (a long
     conversation is spread over range partitions, not sorted in one task)."""
-    a = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("completion"))
-    return global_index(a, ["turn"], partition_by=["conv_id"], name="cand_idx")
+    a = conv.filter(F.col("role") == "assistant")
+    idx = global_index(a.select("conv_id", "turn"), ["turn"], partition_by=["conv_id"], name="cand_idx")
+    return idx.join(a.select("conv_id", "turn", F.col("text").alias("completion")), ["conv_id", "turn"])
 
 
 def candidate_sets(conv: DataFrame, max_candidates: int | None = None) -> DataFrame:
