@@ -56,3 +56,13 @@ def seq_logp(logits, labels, average: bool = False, temperature: float = 1.0) ->
     lb = _c(labels)
     n = F.size(F.filter(lb, lambda x, i: (i > F.lit(0)) & (x != F.lit(IGNORE_INDEX))))
     return F.try_divide(total, n.cast("double"))
+
+
+def fixed_point_mean(c, scale: int = 2) -> Column:
+    """Mean of fixed-point values (e.g. two-decimal metrics) summed exactly as decimals.
+
+    A double sum depends on the order partial sums meet, so the same rows can average to
+    different last bits; a decimal sum does not, and the one division gives the same double
+    everywhere."""
+    x = F.col(c) if isinstance(c, str) else c
+    return F.sum(x.cast(f"decimal(38,{scale})")).cast("double") / F.count(x).cast("double")

@@ -9,6 +9,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefengine.functions.math import fixed_point_mean
 from prefengine.operators.order import assign_batches, running_sum
 
 
@@ -35,15 +36,16 @@ def kl_estimate(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def interval_means(df: DataFrame, metrics: list[str], batch_size: int, accumulation: int, order_by,
-                   by: list[str] | None = None) -> DataFrame:
+                   by: list[str] | None = None, scale: int | None = None) -> DataFrame:
     """Mean of every metric per logging interval of batch_size * accumulation examples (M4).
 
     The interval comes from the skew-safe index (per ``by`` group); the last interval may
-    be partial."""
+    be partial.  With ``scale`` the metrics are fixed-point and summed exactly."""
     per = batch_size * accumulation
     idx = assign_batches(df, per, order_by, name="interval", partition_by=by)
+    mean = (lambda m: fixed_point_mean(m, scale)) if scale is not None else F.avg
     return (idx.groupBy(*(by or []), "interval")
-            .agg(*[F.avg(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("examples"),
+            .agg(*[mean(m).alias(m) for m in metrics], F.count(F.lit(1)).alias("examples"),
                  F.max("idx").alias("last_idx")))
 
 

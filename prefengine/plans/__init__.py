@@ -1,7 +1,7 @@
 """Named queries over the driver tables (each module registers its queries on import)."""
 
 from prefengine.plans import (flagship, q_eval, q_fit_udf, q_logprob, q_order, q_pairs, q_stream,  # noqa: F401
-                              q_text, q_tokens, q_train)
+                              q_recipes, q_text, q_tokens, q_train)
 from prefengine.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

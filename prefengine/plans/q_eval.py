@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from prefengine.operators import evaluate as V
 from prefengine.operators import logprob as L
-from prefengine.plans.registry import register, sql_ngram_model, sql_ngram_score, sql_r, table
+from prefengine.functions.math import fixed_point_mean
+from prefengine.plans.registry import register, sql_fixed_mean, sql_ngram_model, sql_ngram_score, sql_r, table
 
 BETAS = ["0.01", "0.05", "0.1"]
 SEEDS = ["0", "1", "2"]
@@ -59,7 +60,7 @@ def sweep_coverage(spark, sf):
 
 _WIN_SQL = f"""
 {_SWEEP_SQL},
-base AS (SELECT user_id AS prompt_id, round(avg(value) / 5.0) AS base FROM events WHERE event_type = 'view' GROUP BY user_id),
+base AS (SELECT user_id AS prompt_id, round({sql_fixed_mean('value')} / 5.0) AS base FROM events WHERE event_type = 'view' GROUP BY user_id),
 cand AS (SELECT run_key, step, prompt_id, score FROM sk WHERE event_type <> 'view'),
 wr AS (SELECT run_key, step, sum(CASE WHEN score > base THEN 1 ELSE 0 END)::BIGINT AS wins,
               sum(CASE WHEN score = base THEN 1 ELSE 0 END)::BIGINT AS ties,
@@ -70,7 +71,7 @@ wr AS (SELECT run_key, step, sum(CASE WHEN score > base THEN 1 ELSE 0 END)::BIGI
 def _win_rates(spark, sf, rollup=True):
     rows = _sweep_rows(spark, sf)
     base = (table(spark, sf, "events").filter(F.col("event_type") == "view").groupBy("user_id")
-            .agg(F.round(F.avg("value") / 5.0).alias("score")).withColumnRenamed("user_id", "prompt_id"))
+            .agg(F.round(fixed_point_mean("value") / 5.0).alias("score")).withColumnRenamed("user_id", "prompt_id"))
     cand = rows.filter(F.col("event_type") != "view").select("run_key", "step", "prompt_id", "score")
     return V.win_rate(cand, base, ["prompt_id"], ["run_key", "step"], rollup=rollup)
 

@@ -8,7 +8,8 @@ from prefengine.session import shared_dir
 from prefengine.sources import driver_tables as D
 from prefengine.sources.sinks import write_jsonl
 from prefengine.streaming import jobs as S
-from prefengine.plans.registry import register, sql_r, table
+from prefengine.functions.math import fixed_point_mean
+from prefengine.plans.registry import register, sql_fixed_mean, table
 
 CANDIDATE_SCHEMA = "conv_id bigint, prompt string, turns array<bigint>, completion array<string>"
 WINDOW, DELAY = "1 day", "1 hour"
@@ -59,8 +60,7 @@ def stream_metrics(spark, sf):
     events = S.file_stream(spark, sf, "parquet", schema, glob="events.parquet")
     out, ck = shared_dir(spark, "metrics"), shared_dir(spark, "metrics-ckpt")
     S.run_append(S.metric_stream(events, WINDOW, DELAY), out, ck)
-    return spark.read.parquet(out).select("window_start", "window_end", "event_type",
-                                          F.round("mean_value", 6).alias("mean_value"), "n")
+    return spark.read.parquet(out).select("window_start", "window_end", "event_type", "mean_value", "n")
 
 
 # -- ST3 batch twin: the same windows in batch, closed ones only (end <= max ts - delay)
@@ -69,7 +69,7 @@ WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, v
 lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
 SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start,
        strftime(window_start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
-       event_type, {sql_r('avg(value)')} AS mean_value, count(*) AS n
+       event_type, {sql_fixed_mean('value')} AS mean_value, count(*) AS n
 FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT wm FROM lim)
 GROUP BY window_start, event_type
 """)
@@ -77,7 +77,7 @@ def metric_windows(spark, sf):
     ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     wm = ev.agg(F.max("ts") - F.expr(f"INTERVAL {DELAY}")).scalar()
     g = (ev.groupBy(F.window("ts", WINDOW).alias("w"), "event_type")
-         .agg(F.round(F.avg("value"), 6).alias("mean_value"), F.count(F.lit(1)).alias("n"))
+         .agg(fixed_point_mean("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
          .filter(F.col("w.end") <= wm))
     fmt = "yyyy-MM-dd HH:mm:ss"
     return g.select(F.date_format("w.start", fmt).alias("window_start"), F.date_format("w.end", fmt).alias("window_end"),

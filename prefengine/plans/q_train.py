@@ -8,7 +8,7 @@ from prefengine.operators import metrics as MT
 from prefengine.operators import order as O
 from prefengine.operators.objectives import objective
 from prefengine.plans.q_logprob import TRAIN_PAIRS_SQL, train_pairs
-from prefengine.plans.registry import register, sql_r, sql_softplus, table
+from prefengine.plans.registry import register, sql_fixed_mean, sql_r, sql_softplus, table
 from prefengine.sources import driver_tables as D
 
 BETA, EPS, ETA, ALPHA = 0.1, 0.25, 0.005, 0.01
@@ -111,17 +111,17 @@ def _log_intervals(spark, sf):
 # -- M4: mean of every metric per logging interval (batch x accumulation examples), per run
 @register("interval_means", f"""
 WITH {_LOG_SQL}
-SELECT run, interval::BIGINT AS interval, count(*) AS examples, {sql_r('avg(value)')} AS value,
-       {sql_r("avg(CASE WHEN metric = 'click' THEN value END)")} AS click,
-       {sql_r("avg(CASE WHEN metric = 'purchase' THEN value END)")} AS purchase
+SELECT run, interval::BIGINT AS interval, count(*) AS examples, {sql_fixed_mean('value')} AS value,
+       {sql_fixed_mean("CASE WHEN metric = 'click' THEN value END")} AS click,
+       {sql_fixed_mean("CASE WHEN metric = 'purchase' THEN value END")} AS purchase
 FROM iv GROUP BY run, interval
 """)
 def interval_means(spark, sf):
     log = D.metric_log(table(spark, sf, "events")).withColumns({
         "click": F.when(F.col("metric") == "click", F.col("value")),
         "purchase": F.when(F.col("metric") == "purchase", F.col("value"))})
-    out = MT.interval_means(log, ["value", "click", "purchase"], BATCH, ACCUM, ["idx"], by=["run"])
-    return out.select("run", "interval", "examples", *[F.round(c, 6).alias(c) for c in ("value", "click", "purchase")])
+    out = MT.interval_means(log, ["value", "click", "purchase"], BATCH, ACCUM, ["idx"], by=["run"], scale=2)
+    return out.select("run", "interval", "examples", "value", "click", "purchase")
 
 
 # -- M5: throughput per logging interval: examples / wall-clock span

@@ -43,6 +43,11 @@ def sql_text_score(text: str) -> str:
     return (f"((length({text}) % 13)::DOUBLE / 4.0 + ({sql_md5_bits(text)} % 4)::DOUBLE / 2.0)")
 
 
+def sql_fixed_mean(expr: str, scale: int = 2) -> str:
+    """Exact decimal sum, one division: the same double as functions.math.fixed_point_mean."""
+    return f"(sum(({expr})::DECIMAL(38, {scale}))::DOUBLE / count({expr})::DOUBLE)"
+
+
 def sql_softplus(z: str) -> str:
     return f"(ln(1.0 + exp(-abs({z}))) + greatest({z}, 0.0))"
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from prefengine.functions.math import fixed_point_mean
 from prefengine.operators.pairs import candidate_pairs, label_pairs, score_pairs
 
 
@@ -31,14 +32,15 @@ def accuracy_stream(pairs: DataFrame, run: str = "run") -> DataFrame:
 
 
 def metric_stream(events: DataFrame, window: str = "1 day", delay: str = "1 hour", ts: str = "ts",
-                  key: str = "event_id", by: str = "event_type") -> DataFrame:
+                  key: str = "event_id", by: str = "event_type", scale: int | None = 2) -> DataFrame:
     """Metric means per tumbling window with a late-data bound and id dedup (ST3).
 
     timestamp_ntz is cast to timestamp (the session zone is UTC) before the watermark."""
     e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
     e = e.dropDuplicatesWithinWatermark([key])
     return (e.groupBy(F.window(ts, window).alias("w"), by)
-            .agg(F.avg("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
+            .agg((fixed_point_mean("value", scale) if scale is not None else F.avg("value")).alias("mean_value"),
+                 F.count(F.lit(1)).alias("n"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by,
                     "mean_value", "n"))
 
