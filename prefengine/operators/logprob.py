@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
 from prefengine.operators.tokens import token_list
-from prefengine.session import spread
+from prefengine.session import materialize, spread
 
 # Fixed value: the start-of-sequence context filler.
 START = "<s>"
@@ -48,9 +48,9 @@ class NgramModel:
 def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModel:
     """Add-k smoothed n-gram counts (L7): one tokenising pass and one groupBy(context, token)
     (partial aggregation map-side); context totals and the vocabulary size derive from that
-    cached count table, not from a second pass over the corpus."""
-    ngrams = _grams(df, col, n).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c_ngram")).cache()
-    contexts = ngrams.groupBy("ctx").agg(F.sum("c_ngram").alias("c_ctx")).cache()
+    count table (kept in the shared checkpoint folder), not from a second pass over the corpus."""
+    ngrams = materialize(_grams(df, col, n).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c_ngram")))
+    contexts = materialize(ngrams.groupBy("ctx").agg(F.sum("c_ngram").alias("c_ctx")))
     v = ngrams.select("tok").distinct().count()
     return NgramModel(ngrams, contexts, int(v), n, float(k))
 

@@ -28,6 +28,23 @@ def shuffle_key(seed: int, *key_cols) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
+# Target bytes per range partition when the partition count is derived from plan statistics.
+RANGE_PARTITION_BYTES = 64 * 1024 * 1024
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range exchange: the plan's estimated size / RANGE_PARTITION_BYTES, at
+    least the default parallelism and at most spark.sql.shuffle.partitions (no job runs)."""
+    spark = df.sparkSession
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor_ = min(cap, spark.sparkContext.defaultParallelism)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - statistics unavailable
+        return cap
+    return max(floor_, min(cap, -(-size // RANGE_PARTITION_BYTES)))
+
+
 def _cols(x) -> list:
     if x is None:
         return []
@@ -50,7 +67,7 @@ def global_index(df: DataFrame, order_by, partition_by=None, name: str = "idx",
     spark = df.sparkSession
     groups = _cols(partition_by)
     keys = groups + _cols(order_by)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     checkpoint_root(spark)
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_mid", F.monotonically_increasing_id())
@@ -186,7 +203,7 @@ def running_sum(df: DataFrame, values: list[str], order_by, partition_by=None,
     spark = df.sparkSession
     groups = _cols(partition_by)
     keys = groups + _cols(order_by)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     checkpoint_root(spark)
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS))

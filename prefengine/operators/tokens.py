@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from prefengine.functions import arrays as A
 from prefengine.functions.text import truncation_mode
 from prefengine.operators.order import TOPN_ROWS, global_index
-from prefengine.session import require_columns, spread
+from prefengine.session import materialize, require_columns, spread
 
 # A vocabulary is broadcast to the encode join only when its measured size is under this.
 VOCAB_BROADCAST_ROWS = 1_000_000
@@ -63,9 +63,8 @@ def fit_vocab(df: DataFrame, col: str, max_size: int | None = None, id_offset: i
             ranked = ranked.filter(F.col("id") < max_size + id_offset)
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, cnt bigint")
     table = specials.unionByName(ranked.select("token", "id", "cnt"))
-    checkpoint = table.cache()
-    size = checkpoint.count()
-    return Vocab(checkpoint, size)
+    kept = materialize(table)
+    return Vocab(kept, kept.count())
 
 
 def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab, out: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from prefengine.operators.objectives import objective
 from prefengine.operators.pairs import candidate_pairs, label_pairs
 from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_softplus,
                                        sql_text_score, table)
+from prefengine.session import materialize
 from prefengine.sources.driver_tables import candidate_sets, text_score
 
 K_PAIRS = 4
@@ -29,7 +30,7 @@ def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = ["conv_id", "turn"]
     lp = ngram_logps(asst, key, "text", models)
     # one row per candidate, read by both sides of every pair: computed once
-    return asst.select(*key, text_score("text").alias("score")).join(lp, key).cache()
+    return materialize(asst.select(*key, text_score("text").alias("score")).join(lp, key))
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str, k: int = K_PAIRS) -> DataFrame:

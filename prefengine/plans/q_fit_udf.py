@@ -14,6 +14,7 @@ from prefengine.operators import order as O
 from prefengine.operators import udf as U
 from prefengine.operators.pairs import flatten_candidates
 from prefengine.plans.registry import register, sql_text_score, table
+from prefengine.session import materialize
 from prefengine.sources import driver_tables as D
 
 DIM = 64
@@ -61,7 +62,7 @@ SELECT d.dim::INT AS dim,
 FROM cf, range(0, {DIM}) d(dim) GROUP BY d.dim
 """)
 def gradient_pass(spark, sf):
-    pairs = embedding_pairs(spark, sf).cache()
+    pairs = materialize(embedding_pairs(spark, sf))
     dpo = G.preference_gradient(pairs, THETA, "dpo", BETA).withColumnRenamed("grad", "grad_dpo")
     ipo = G.preference_gradient(pairs, THETA, "ipo", BETA).withColumnRenamed("grad", "grad_ipo")
     return dpo.join(ipo, "dim").select("dim", F.round("grad_dpo", 8).alias("grad_dpo"),

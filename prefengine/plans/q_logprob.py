@@ -12,6 +12,7 @@ from prefengine.operators import order as O
 from prefengine.operators.pairs import candidate_pairs, label_pairs
 from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
                                        table)
+from prefengine.session import materialize
 from prefengine.sources import driver_tables as D
 
 POS, VOC = 8, 8
@@ -105,7 +106,7 @@ def candidate_logps(spark, sf) -> DataFrame:
     models = {"pi": L.fit_ngram(asst, "text"), "rho": L.fit_ngram(docs, "text"), "dat": L.fit_ngram(user, "text")}
     lp = L.ngram_logps(asst, key, "text", models, with_length="n_tokens")
     # one row per candidate, read by both sides of every pair: computed once
-    return asst.select(*key, D.text_score("text").alias("score")).join(lp, key).cache()
+    return materialize(asst.select(*key, D.text_score("text").alias("score")).join(lp, key))
 
 
 def train_pairs(spark, sf, k: int = K_PAIRS, cand: DataFrame | None = None) -> DataFrame:

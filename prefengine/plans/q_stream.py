@@ -11,6 +11,11 @@ from prefengine.streaming import jobs as S
 from prefengine.functions.math import fixed_point_mean
 from prefengine.plans.registry import register, sql_fixed_mean, table
 
+def _state_partitions(spark) -> int:
+    """State-store partitions: the cluster's parallelism, not a fixed 200."""
+    return spark.sparkContext.defaultParallelism
+
+
 CANDIDATE_SCHEMA = "conv_id bigint, prompt string, turns array<bigint>, completion array<string>"
 WINDOW, DELAY = "1 day", "1 hour"
 
@@ -48,7 +53,7 @@ def stream_accuracy(spark, sf):
     labelled = _labelled_stream_output(spark, sf)
     pairs = S.file_stream(spark, labelled, "json", LABEL_SCHEMA).withColumn("run", F.col("conv_id") % 5)
     out, ck = shared_dir(spark, "accuracy"), shared_dir(spark, "accuracy-ckpt")
-    S.run_complete(S.accuracy_stream(pairs), out, ck)
+    S.run_complete(S.accuracy_stream(pairs), out, ck, state_partitions=_state_partitions(spark))
     return spark.read.parquet(out)
 
 
@@ -59,7 +64,7 @@ def stream_metrics(spark, sf):
     schema = spark.read.parquet(path).schema
     events = S.file_stream(spark, sf, "parquet", schema, glob="events.parquet")
     out, ck = shared_dir(spark, "metrics"), shared_dir(spark, "metrics-ckpt")
-    S.run_append(S.metric_stream(events, WINDOW, DELAY), out, ck)
+    S.run_append(S.metric_stream(events, WINDOW, DELAY), out, ck, state_partitions=_state_partitions(spark))
     return spark.read.parquet(out).select("window_start", "window_end", "event_type", "mean_value", "n")
 
 

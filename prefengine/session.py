@@ -87,3 +87,13 @@ def spread(df: DataFrame) -> DataFrame:
     if size >= SPREAD_BELOW_BYTES:
         return df
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and keep it as a reliable copy in the shared checkpoint folder.
+
+    Used for tables read several times (fitted models, vocabularies, per-candidate scores):
+    the copy cuts lineage, survives executor loss, and is computed by the adaptive planner
+    (a cached plan would keep the static shuffle partition count)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

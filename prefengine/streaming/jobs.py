@@ -45,20 +45,37 @@ def metric_stream(events: DataFrame, window: str = "1 day", delay: str = "1 hour
                     "mean_value", "n"))
 
 
-def run_append(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> StreamingQuery:
+def _start(writer, spark: SparkSession, state_partitions: int | None) -> StreamingQuery:
+    """Start a query; ``state_partitions`` fixes the number of state-store partitions (taken
+    from spark.sql.shuffle.partitions at the first start and kept in the checkpoint)."""
+    if state_partitions is None:
+        return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(state_partitions))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, old)
+
+
+def run_append(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
+               state_partitions: int | None = None) -> StreamingQuery:
     """Append sink (file formats are exactly-once with the checkpoint); runs what is available."""
-    q = (df.writeStream.format(fmt).outputMode("append").option("path", path)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    w = (df.writeStream.format(fmt).outputMode("append").option("path", path)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    q = _start(w, df.sparkSession, state_partitions)
     q.awaitTermination()
     return q
 
 
-def run_complete(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_complete(df: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> StreamingQuery:
     """Complete-mode aggregation; every micro-batch overwrites the result table."""
     def write(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(path)
-    q = (df.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    w = (df.writeStream.outputMode("complete").foreachBatch(write)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    q = _start(w, df.sparkSession, state_partitions)
     q.awaitTermination()
     return q
 
