@@ -159,7 +159,7 @@ SELECT conv_id, messages[1].content AS first_content, messages[2].content AS sec
 FROM m
 """)
 def message_extract(spark, sf):
-    m = D.chat_messages(_conv(spark, sf))
+    m = D.chat_messages(_conv(spark, sf), max_messages=41)   # indexes 0, 1 and 40 are read
     return m.select("conv_id", T.message_content("messages", 0).alias("first_content"),
                     T.message_content("messages", 1).alias("second_content"),
                     F.get("messages", 1).getField("role").alias("second_role"),

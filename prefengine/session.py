@@ -32,7 +32,6 @@ def get_session(master: str | None = None, app: str = "prefengine",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.autoBroadcastJoinThreshold", str(64 * 1024 * 1024))
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)

@@ -64,9 +64,17 @@ def candidate_sets(conv: DataFrame, max_candidates: int | None = None) -> DataFr
     return candidate_prompts(conv).join(sets, "conv_id")
 
 
-def chat_messages(conv: DataFrame) -> DataFrame:
-    """Ordered messages per conversation: (conv_id, messages array<struct<content, role>>)."""
-    return (conv.groupBy("conv_id")
+def chat_messages(conv: DataFrame, max_messages: int | None = None) -> DataFrame:
+    """Ordered messages per conversation: (conv_id, messages array<struct<content, role>>).
+
+    Readers of ``messages[i]`` for i < k pass ``max_messages=k``: the ``row_number() <= k``
+    filter is planned as a group limit before the shuffle, so a long conversation ships at most
+    k rows per task instead of all of its turns."""
+    rows = conv.select("conv_id", "turn", "role", "text")
+    if max_messages is not None:
+        w = Window.partitionBy("conv_id").orderBy("turn")
+        rows = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_messages).drop("_r")
+    return (rows.groupBy("conv_id")
             .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"))
             .select("conv_id", F.transform("_m", lambda m: F.struct(
                 m["text"].alias("content"), m["role"].alias("role"))).alias("messages")))
