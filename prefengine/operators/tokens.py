@@ -67,24 +67,36 @@ def fit_vocab(df: DataFrame, col: str, max_size: int | None = None, id_offset: i
     return Vocab(kept, kept.count())
 
 
-def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab, out: str | None = None) -> DataFrame:
-    """Text -> token ids (T1); unknown tokens map to UNK.
-
-    Plan: hash-partition the rows on ``key``; explode tokens with their positions, join the
-    vocabulary (broadcast under its size bound) and gather ids per key.  The gather is already
-    partitioned by ``key``, so the join back to the rows adds no exchange; columns the caller
-    does not read are pruned before the row shuffle."""
-    require_columns(df, *key, col)
-    out = out or f"{col}_ids"
+def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: Vocab) -> DataFrame:
+    """Text columns -> token-id columns (T1), ``cols`` mapping input -> output name; unknown
+    tokens map to UNK.
+
+    Plan: hash-partition the rows on ``key``; explode the tokens of every column at once as
+    (column, position, token), join the vocabulary (broadcast under its size bound) and gather
+    each column's ids per key in one aggregation.  The gather is partitioned by ``key``, so
+    the join back to the rows adds no exchange on that side, and several columns cost one
+    shuffle of the text instead of one each."""
+    require_columns(df, *key, *cols)
     parted = df.repartition(*key)
-    toks = (parted.select(*key, F.posexplode(token_list(col)).alias("_pos", "token"))
-            .join(vocab.for_join(), "token", "left")
-            .groupBy(*key)
-            .agg(F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.coalesce("id", F.lit(vocab.unk)).alias("id"))))
-                 .alias("_ids")))
-    return (parted.join(toks, key, "left")
-            .withColumn(out, F.coalesce(F.transform("_ids", lambda x: x["id"]), F.array().cast("array<int>")))
-            .drop("_ids"))
+    names = list(cols)
+    def tag(ci: int):
+        return lambda t, i: F.struct(F.lit(ci).alias("c"), i.alias("pos"), t.alias("token"))
+    tagged = F.flatten(F.array(*[F.transform(token_list(c), tag(ci)) for ci, c in enumerate(names)]))
+    ex = parted.select(*key, F.explode(tagged).alias("_t")).select(*key, "_t.c", "_t.pos", "_t.token")
+    ids = ex.join(vocab.for_join(), "token", "left").withColumn("id", F.coalesce("id", F.lit(vocab.unk)))
+    gathered = ids.groupBy(*key).agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("c") == ci, F.struct("pos", "id")))).alias(f"_ids{ci}")
+        for ci in range(len(names))])
+    out = parted.join(gathered, key, "left")
+    for ci, c in enumerate(names):
+        out = out.withColumn(cols[c], F.coalesce(F.transform(f"_ids{ci}", lambda x: x["id"]),
+                                                 F.array().cast("array<int>")))
+    return out.drop(*[f"_ids{ci}" for ci in range(len(names))])
+
+
+def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab, out: str | None = None) -> DataFrame:
+    """Text -> token ids for one column (T1); see ``encode_columns``."""
+    return encode_columns(df, key, {col: out or f"{col}_ids"}, vocab)
 
 
 def decode(df: DataFrame, key: list[str], ids: str, vocab: Vocab, out: str | None = None,

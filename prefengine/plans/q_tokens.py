@@ -45,7 +45,7 @@ def _examples(spark, sf) -> DataFrame:
     rows = sft.unionByName(dlg)
     vocab = _vocab(spark, sf)
     key = ["source", "conv_id", "turn"]
-    enc = K.encode(K.encode(rows, key, "prompt", vocab, out="p_ids"), key, "completion", vocab, out="c_ids")
+    enc = K.encode_columns(rows, key, {"prompt": "p_ids", "completion": "c_ids"}, vocab)
     eos, bos = K.EOS, K.BOS
     enc = enc.withColumn("p_raw", F.when(F.col("conv_id") % 2 == 0, F.array_append("p_ids", F.lit(eos)))
                          .otherwise(F.col("p_ids")))
@@ -238,8 +238,7 @@ def _pair_examples(spark, sf) -> DataFrame:
     d = _dialogue(spark, sf)
     v = _vocab(spark, sf)
     key = ["conv_id"]
-    e = K.encode(K.encode(K.encode(d, key, "prompt", v, "p_ids"), key, "chosen", v, "c_ids"), key, "rejected", v,
-                 "r_ids")
+    e = K.encode_columns(d, key, {"prompt": "p_ids", "chosen": "c_ids", "rejected": "r_ids"}, v)
     mode = truncation_mode("prompt")
     e = K.build_example(e, "p_ids", "c_ids", "chosen", MAX_LEN, MAX_PROMPT, mode) \
         .withColumnRenamed("prompt_input_ids", "chosen_prompt_ids")
@@ -348,7 +347,7 @@ def dual_encode(spark, sf):
     key = ["conv_id", "turn"]
     e = sft
     for name, v in (("a", va), ("b", vb)):
-        e = K.encode(K.encode(e, key, "prompt", v, f"p_{name}"), key, "completion", v, f"c_{name}")
+        e = K.encode_columns(e, key, {"prompt": f"p_{name}", "completion": f"c_{name}"}, v)
     out = e
     for name, prefix in (("a", "target"), ("b", "weak_target")):
         out = K.build_example(out, f"p_{name}", f"c_{name}", prefix, MAX_LEN, MAX_PROMPT, "keep_start") \
