@@ -118,3 +118,34 @@ def test_encode_with_plugin(spark):
         return s.map(lambda t: [len(w) for w in t.split()])
     df = spark.createDataFrame([("ab c",)], "t string")
     assert encode_with(df, tok, "t", "ids").first()["ids"] == [2, 1]
+
+
+def test_truncation_budget_property(spark):
+    """Random lengths and budgets: the pair never exceeds max_length once the prompt fits its
+    cap; the prompt is cut only when the pair is over budget and the prompt over its cap."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=60, deadline=None, derandomize=True)
+    @given(st.integers(0, 40), st.integers(0, 40), st.integers(1, 30), st.integers(1, 30),
+           st.sampled_from(["keep_start", "keep_end"]))
+    def collect(lp, lc, max_len, max_prompt, mode):
+        cases.append((list(range(lp)), list(range(100, 100 + lc)), max_len, max_prompt, mode))
+    collect()
+    rows = []
+    for p, c, L, P, mode in cases:
+        rows.append((p, c, L, P, mode))
+    df = spark.createDataFrame(rows, "p array<int>, c array<int>, lim int, cap int, m string")
+    # the budgets are per-row literals here, so evaluate each distinct budget pair separately
+    for (L, P) in sorted({(r[2], r[3]) for r in rows}):
+        sub = df.filter((F.col("lim") == L) & (F.col("cap") == P))
+        out = sub.select("p", "c", "m", A.truncate_prompt("p", "c", L, P, F.col("m")).alias("p2")) \
+                 .select("p", "c", "m", "p2", A.truncate_completion("p2", "c", L).alias("c2")).collect()
+        for r in out:
+            over = len(r["p"]) + len(r["c"]) > L and len(r["p"]) > P
+            assert r["p2"] == ((r["p"][:P] if r["m"] == "keep_start" else r["p"][-P:]) if over else r["p"])
+            if len(r["p2"]) <= L:
+                assert len(r["p2"]) + len(r["c2"]) <= L or len(r["p2"]) + len(r["c"]) <= L
+            assert r["c2"] == r["c"][:len(r["c2"])]
