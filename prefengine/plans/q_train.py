@@ -67,7 +67,7 @@ WITH {TRAIN_PAIRS_SQL}
 SELECT conv_id, pair_idx, {sql_r(f'{BETA} * (chosen_logps - ref_chosen_logps)')} AS chosen_rewards,
        {sql_r(f'{BETA} * (rejected_logps - ref_rejected_logps)')} AS rejected_rewards,
        {sql_r(f'{BETA} * (chosen_logps - ref_chosen_logps) - {BETA} * (rejected_logps - ref_rejected_logps)')} AS margins,
-       CASE WHEN {BETA} * (chosen_logps - ref_chosen_logps) > {BETA} * (rejected_logps - ref_rejected_logps) THEN 1.0 ELSE 0.0 END AS accuracy,
+       CASE WHEN {BETA} * (chosen_logps - ref_chosen_logps) > {BETA} * (rejected_logps - ref_rejected_logps) THEN 1.0 ELSE 0.0 END::DOUBLE AS accuracy,
        {sql_r('chosen_score - rejected_score')} AS score_margin
 FROM tp
 """)
