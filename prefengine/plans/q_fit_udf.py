@@ -22,7 +22,6 @@ THETA = [0.01 * ((i % 7) - 3) for i in range(DIM)]
 BETA = 0.1
 GOOD_LABEL = 5
 SAMPLES = 4
-SAMPLE_WORDS = 8
 
 
 def embedding_pairs(spark, sf) -> DataFrame:
@@ -100,18 +99,18 @@ def udf_score(spark, sf):
     return U.score_with(asst, make_text_scorer, "text").select("conv_id", "turn", "score")
 
 
-# -- U2: batch sampler plug-in: n completions per prompt (rotations of the first words)
+# -- U2: batch sampler plug-in: n completions per prompt (word rotations of the whole prompt)
 def make_rotation_sampler():
     def sample(prompts: pd.Series, n: int) -> pd.Series:
         def one(p: str) -> list[str]:
-            w = p.split()[:SAMPLE_WORDS]
+            w = p.split()
             return [" ".join(w[k:] + w[:k]) + "\n" for k in range(n)]
         return prompts.map(one)
     return sample
 
 
 @register("udf_generate", f"""
-WITH sft AS (SELECT u.conv_id, u.turn, list_slice(list_filter(string_split_regex(u.text, '\\s+'), lambda x: x <> ''), 1, {SAMPLE_WORDS}) AS w
+WITH sft AS (SELECT u.conv_id, u.turn, list_filter(string_split_regex(u.text, '\\s+'), lambda x: x <> '') AS w
              FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
              WHERE u.role = 'user' AND a.role = 'assistant')
 SELECT conv_id, turn, k AS cand_idx, array_to_string(list_concat(list_slice(w, k + 1, len(w)), list_slice(w, 1, k)), ' ') AS completion
