@@ -74,3 +74,20 @@ def test_score_pairs(spark):
     r = P.score_pairs(pairs, scores, ["conv_id", "turn"], ["conv_id", "a"], ["conv_id", "b"]).first()
     assert (r["chosen_score"], r["rejected_score"]) == (0.5, 0.25)
     assert math.isclose(pairs.select(P.implicit_reward(F.lit(2.0), F.lit(1.0), 0.1)).first()[0], 0.1)
+
+
+def test_candidate_sets_limit_before_shuffle(spark):
+    """First K+1 candidates per conversation: the group limit runs map-side, before the
+    exchange, so a conversation with very many turns ships at most K+1 rows per task."""
+    from prefengine.sources import driver_tables as D
+    rows = [(0, t, "user" if t % 2 == 0 else "assistant", f"t{t}") for t in range(400)] + \
+           [(1, 0, "user", "q"), (1, 1, "assistant", "a")]
+    conv = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    sets = D.candidate_sets(conv, max_candidates=5)
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    got = {r["conv_id"]: (r["n_candidates"], r["completion"]) for r in sets.collect()}
+    assert got[0] == (200, ["t1", "t3", "t5", "t7", "t9"]) and got[1] == (1, ["a"])
+    pairs = P.candidate_pairs(sets.select("conv_id", "completion"), 4)
+    assert [(r["chosen"], r["rejected"]) for r in pairs.filter("conv_id = 0").orderBy("pair_idx").collect()] == \
+        [("t1", "t3"), ("t1", "t5"), ("t1", "t7"), ("t1", "t9")]
