@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,17 +107,18 @@ _ASST = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
 
 def _checkpoint_scores(spark, sf) -> DataFrame:
     """Checkpoint s: bigram policy fitted on assistant turns with conv_id % 3 < s; every
-    assistant turn scored under it and under the reference (documents) model."""
+    assistant turn scored under all checkpoints and the reference (documents) model in one
+    tokenising pass, then unpivoted to one row per (turn, checkpoint)."""
     conv = table(spark, sf, "conversations")
     asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
     key = ["conv_id", "turn"]
-    rho = L.ngram_logp(asst, key, "text", L.fit_ngram(table(spark, sf, "documents"), "text"), out="rho")
-    per = []
+    models = {"rho": L.fit_ngram(table(spark, sf, "documents"), "text")}
     for s in CHECKPOINTS:
-        pol = L.fit_ngram(asst.filter(F.col("conv_id") % 3 < s), "text")
-        pi = L.ngram_logp(asst, key, "text", pol, out="pi", with_length="n_tokens")
-        per.append(pi.withColumn("step", F.lit(s).cast("bigint")))
-    return reduce(DataFrame.unionByName, per).join(rho, key)
+        models[f"pi{s}"] = L.fit_ngram(asst.filter(F.col("conv_id") % 3 < s), "text")
+    lp = L.ngram_logps(asst, key, "text", models, with_length="n_tokens")
+    steps = F.explode(F.array(*[F.struct(F.lit(s).cast("bigint").alias("step"), F.col(f"pi{s}").alias("pi"))
+                                for s in CHECKPOINTS])).alias("_s")
+    return lp.select(*key, "n_tokens", "rho", steps).select(*key, "n_tokens", "rho", "_s.step", "_s.pi")
 
 
 def _checkpoint_sql() -> str:
