@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from prefengine.functions.arrays import has_token, truncate_after
 from prefengine.operators import pairs as P
 from prefengine.operators.tokens import EOS, PAD, encode, fit_vocab
-from prefengine.plans.flagship import _pairs_sql, scored_candidates
+from prefengine.plans.flagship import scored_candidates
 from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
                                        sql_tokens, table)
 from prefengine.sources import driver_tables as D
@@ -183,5 +183,3 @@ def implicit_reward(spark, sf):
     c = scored_candidates(spark, sf)
     return c.select("conv_id", "turn", F.round(P.implicit_reward("pi", "rho", BETA), 6).alias("reward"))
 
-
-_ = _pairs_sql  # shared with the objective queries

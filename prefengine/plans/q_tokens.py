@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from prefengine.functions import arrays as A
 from prefengine.functions.text import truncation_mode
 from prefengine.operators import order as O
-from prefengine.operators import text as X
 from prefengine.operators import tokens as K
 from prefengine.plans.q_text import _DIALOGUE_SQL, _dialogue
 from prefengine.plans.registry import register, sql_tokens, table
@@ -380,5 +379,3 @@ def eos_cut(spark, sf):
                     _s(A.completion_mask("gen", K.EOS)).alias("mask"),
                     A.last_real_index("gen", K.PAD).cast("bigint").alias("last_idx"))
 
-
-_ = X  # text operators are used through _dialogue

@@ -1,9 +1,7 @@
 """G1, G2, U1, U2."""
 
 import numpy as np
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from prefengine.operators import fit as G
 from prefengine.operators import udf as U
