@@ -9,6 +9,7 @@ from prefengine.functions import text as T
 from prefengine.operators import order as O
 from prefengine.operators import text as X
 from prefengine.operators.pairs import flatten_candidates
+from prefengine.plans.q_pairs import _SCORED_SQL, label_offline
 from prefengine.plans.q_text import _DIALOGUE_SQL, _dialogue
 from prefengine.plans.q_train import _LOG_SQL, interval_means
 from prefengine.plans.registry import register, sql_fixed_mean, sql_md5_bits, table
@@ -104,3 +105,82 @@ def metrics_table(spark, sf):
     path = shared_dir(spark, "metrics-table")
     write_metrics(m, path, partition_by="run")
     return spark.read.parquet(path).select(F.col("run").cast("bigint").alias("run"), "interval", "examples", "value")
+
+
+# -- instruction SFT (P5 P8): instruction = lang, input = source (empty for doc_id % 3 = 0),
+#    output = text -> (prompt, completion)
+@register("instruction_sft", """
+SELECT doc_id,
+       CASE WHEN doc_id % 3 <> 0 AND source <> '' THEN lang || chr(10) || source ELSE lang END AS prompt,
+       text AS completion
+FROM documents
+""")
+def instruction_sft(spark, sf):
+    d = table(spark, sf, "documents").select(
+        "doc_id", F.col("lang").alias("instruction"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.col("source")).alias("input"),
+        F.col("text").alias("output"))
+    d = d.withColumn("prompt", T.instruction_prompt("instruction", "input"))
+    return X.canonical_sft(d, "prompt", "output", keep=["doc_id"])
+
+
+# -- chat preferences (P7 P7 B1): prompt = first message, chosen = second, rejected = fourth
+#    (NULL when the conversation is shorter), shuffled
+@register("chat_preferences", f"""
+WITH m AS (SELECT conv_id, list(struct_pack(content := text, role := role) ORDER BY turn) AS messages
+           FROM conversations GROUP BY conv_id)
+SELECT conv_id, messages[1].content AS prompt, messages[2].content AS chosen, messages[4].content AS rejected,
+       row_number() OVER (ORDER BY md5('{SEED}:' || conv_id::VARCHAR), conv_id) - 1 AS pos
+FROM m
+""")
+def chat_preferences(spark, sf):
+    m = D.chat_messages(table(spark, sf, "conversations"), max_messages=4)
+    p = m.select("conv_id", T.message_content("messages", 0).alias("prompt"),
+                 T.message_content("messages", 1).alias("chosen"), T.message_content("messages", 3).alias("rejected"))
+    return O.shuffled_index(p, SEED, "conv_id", name="pos")
+
+
+# -- mixed preferences (O1 P2 P3 B1): document pairs and dialogue pairs (identical texts
+#    dropped), one frame with its source, duplicates kept, seeded shuffle
+@register("mixed_preferences", f"""
+WITH {_DIALOGUE_SQL},
+ranked AS (SELECT d.doc_id, d.lang, l.quality,
+                  row_number() OVER (PARTITION BY d.lang, l.quality ORDER BY md5(d.doc_id::VARCHAR), d.doc_id) - 1 AS rk
+           FROM documents d JOIN labels l USING (doc_id)),
+u AS (SELECT 'docs' AS source, g.doc_id::VARCHAR || ':' || b.doc_id::VARCHAR AS key
+      FROM ranked g JOIN ranked b ON g.lang = b.lang AND g.rk = b.rk AND g.quality = 1 AND b.quality = 0
+      UNION ALL
+      SELECT 'dialogue' AS source, conv_id::VARCHAR AS key FROM dlg WHERE chosen <> rejected)
+SELECT source, key, row_number() OVER (ORDER BY md5('{SEED}:' || source || ':' || key), source, key) - 1 AS pos FROM u
+""")
+def mixed_preferences(spark, sf):
+    docs = D.doc_pairs(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    docs = X.canonical_pref(docs, "prompt", "chosen", "rejected", keep=["chosen_id", "rejected_id"]).withColumn(
+        "key", F.concat_ws(":", F.col("chosen_id").cast("string"), F.col("rejected_id").cast("string")))
+    dlg = X.drop_identical(_dialogue(spark, sf)).withColumn("key", F.col("conv_id").cast("string"))
+    mixed = O.mix({"docs": docs.drop("chosen_id", "rejected_id"), "dialogue": dlg.drop("conv_id")}, SEED, "key")
+    return mixed.select("source", "key", "pos")
+
+
+# -- labelled pairs reloaded (K1 S1 B1): offline labels written as JSON Lines, read back with a
+#    declared schema and shuffled
+LABEL_SCHEMA = ("conv_id bigint, pair_idx bigint, chosen_turn bigint, rejected_turn bigint, "
+                "chosen_score double, rejected_score double")
+
+
+@register("labelled_pairs_reload", f"""
+{_SCORED_SQL},
+lab AS (SELECT conv_id, pair_idx,
+               CASE WHEN chosen_score > rejected_score THEN first_turn ELSE second_turn END AS chosen_turn,
+               CASE WHEN chosen_score > rejected_score THEN second_turn ELSE first_turn END AS rejected_turn,
+               greatest(chosen_score, rejected_score) AS chosen_score, least(chosen_score, rejected_score) AS rejected_score
+        FROM scored)
+SELECT *, row_number() OVER (ORDER BY md5('{SEED}:' || conv_id::VARCHAR || ':' || pair_idx::VARCHAR), conv_id, pair_idx) - 1 AS pos
+FROM lab
+""")
+def labelled_pairs_reload(spark, sf):
+    lab = label_offline(spark, sf)
+    path = shared_dir(spark, "labelled-pairs")
+    write_jsonl(lab, path)
+    back = R.read_jsonl(spark, path, LABEL_SCHEMA)
+    return O.shuffled_index(back, SEED, ["conv_id", "pair_idx"], name="pos")
