@@ -137,7 +137,7 @@ FROM two
 """)
 def label_online(spark, sf):
     conv = _conv(spark, sf)
-    cands = D.candidates_long(conv).withColumn("score", D.text_score("completion"))
+    cands = D.first_candidates(conv, 2).withColumn("score", D.text_score("completion"))
     two = P.pair_samples(cands, ["conv_id"], "cand_idx", ["turn", "score"])
     lab = P.label_pairs(two, tie="first", first="turn_0", second="turn_1",
                         first_score="score_0", second_score="score_1")

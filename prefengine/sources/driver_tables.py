@@ -45,6 +45,17 @@ def candidates_long(conv: DataFrame) -> DataFrame:
     return idx.join(a.select("conv_id", "turn", F.col("text").alias("completion")), ["conv_id", "turn"])
 
 
+def first_candidates(conv: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` assistant turns of every conversation: (conv_id, turn, cand_idx, completion).
+
+    ``row_number() <= k`` is planned as a group limit on both sides of the shuffle, so each
+    task ships at most k rows of a conversation, however long it is."""
+    a = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", F.col("text").alias("completion"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return (a.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
+            .withColumn("cand_idx", (F.col("_r") - 1).cast("bigint")).drop("_r"))
+
+
 def candidate_sets(conv: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """Candidate-set rows (conv_id, prompt, n_candidates, completion array<string>, turns array<bigint>).
 
