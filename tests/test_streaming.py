@@ -68,3 +68,16 @@ def test_accuracy_stream(spark):
     S.run_complete(S.accuracy_stream(S.file_stream(spark, d + "/p", "parquet", schema)), out, ck)
     got = {r["run"]: (r["accuracy"], r["n_pairs"]) for r in spark.read.parquet(out).collect()}
     assert got == {0: (0.5, 2), 1: (1.0, 1)}
+
+
+def test_metric_stream_equals_batch_twin_on_events(spark):
+    """Closed 1-day windows of the events stream equal the batch twin restricted to windows
+    that end before the watermark."""
+    import __spark_entry__ as E
+    qs = E.queries()
+    stream = sorted(tuple(r) for r in qs["stream_metrics"](spark, SF_SMOKE).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"), F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"),
+        "event_type", "mean_value", "n").collect())
+    batch = sorted(tuple(r) for r in qs["metric_windows"](spark, SF_SMOKE).select(
+        "window_start", "window_end", "event_type", "mean_value", "n").collect())
+    assert stream == batch and len(batch) > 0
