@@ -68,14 +68,18 @@ def ngram_logps(df: DataFrame, key: list[str], col: str, models: dict[str, Ngram
     if len(orders) != 1:
         raise ValueError("models must share one order n")
     grams = _grams(df, col, orders.pop(), keep=key).groupBy(*key, "ctx", "tok").agg(F.count(F.lit(1)).alias("_m"))
+    # all (ctx, tok) joins first, then all ctx joins: the scored rows are shuffled once per key
+    # set and every model's join reuses that partitioning
     scored = grams
     for name, m in models.items():
-        c2 = m.ngrams.select("ctx", "tok", F.col("c_ngram").alias(f"_c2_{name}"))
-        c1 = m.contexts.select("ctx", F.col("c_ctx").alias(f"_c1_{name}"))
-        scored = (scored.join(c2, ["ctx", "tok"], "left").join(c1, "ctx", "left")
-                  .withColumn(f"_lp_{name}", F.col("_m") * F.log(
-                      (F.coalesce(F.col(f"_c2_{name}"), F.lit(0)) + F.lit(m.k))
-                      / (F.coalesce(F.col(f"_c1_{name}"), F.lit(0)) + F.lit(m.k * m.vocab_size)))))
+        scored = scored.join(m.ngrams.select("ctx", "tok", F.col("c_ngram").alias(f"_c2_{name}")),
+                             ["ctx", "tok"], "left")
+    for name, m in models.items():
+        scored = scored.join(m.contexts.select("ctx", F.col("c_ctx").alias(f"_c1_{name}")), "ctx", "left")
+    for name, m in models.items():
+        scored = scored.withColumn(f"_lp_{name}", F.col("_m") * F.log(
+            (F.coalesce(F.col(f"_c2_{name}"), F.lit(0)) + F.lit(m.k))
+            / (F.coalesce(F.col(f"_c1_{name}"), F.lit(0)) + F.lit(m.k * m.vocab_size))))
     agg = [F.sum(f"_lp_{name}").alias(name) for name in models]
     if with_length:
         agg.append(F.sum("_m").alias(with_length))
