@@ -71,22 +71,24 @@ def require_columns(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"missing column(s) {missing}; have {sorted(have)}")
 
 
-# Inputs estimated below this size get spread over the session's parallelism before heavy
-# per-row work: a small file with one row group is otherwise read and processed by one task.
-# Large inputs are already split by the file source and are left as they are.
+# Inputs estimated below this size get spread before heavy per-row work: a small file with one
+# row group is otherwise read and processed by one task.  Large inputs are already split by the
+# file source and are left as they are.
 SPREAD_BELOW_BYTES = 1 << 30
+SPREAD_PARTITION_BYTES = 4 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin ``df`` over ``defaultParallelism`` partitions when its estimated size (from
-    the optimized plan's statistics: no job runs) is small."""
+    """Round-robin a small ``df`` (estimated from the optimized plan's statistics: no job runs)
+    over about one partition per 4 MiB, at least 8 and at most the default parallelism."""
     try:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:  # noqa: BLE001 - statistics unavailable: leave the plan alone
         return df
     if size >= SPREAD_BELOW_BYTES:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, max(8, -(-size // SPREAD_PARTITION_BYTES))))
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
