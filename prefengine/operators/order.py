@@ -217,13 +217,15 @@ def running_sum(df: DataFrame, values: list[str], order_by, partition_by=None,
         right = F.broadcast(offs) if offs.count() <= BROADCAST_ROWS else offs
     else:
         rows = sorted(totals.collect(), key=lambda r: r["_pid"])
-        acc = {v: 0 for v in values}
+        types = dict(tagged.dtypes)
+        integral = {v: types[v] in ("tinyint", "smallint", "int", "bigint") for v in values}
+        acc = {v: 0 if integral[v] else 0.0 for v in values}
         data = []
         for r in rows:
             data.append((r["_pid"], *[acc[v] for v in values]))
             for v in values:
                 acc[v] = acc[v] + (r[f"_t_{v}"] or 0)
-        schema = ", ".join(["_pid bigint"] + [f"_o_{v} {dict(tagged.dtypes)[v] if dict(tagged.dtypes)[v] in ('bigint', 'double') else 'double'}" for v in values])
+        schema = ", ".join(["_pid bigint"] + [f"_o_{v} {'bigint' if integral[v] else 'double'}" for v in values])
         right = F.broadcast(spark.createDataFrame(data, schema))
     inner = Window.partitionBy("_pid", *groups).orderBy(*_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
     out = tagged.join(right, ["_pid", *groups])

@@ -95,3 +95,18 @@ def test_mix_keeps_duplicates(spark):
     a = spark.createDataFrame([("x",), ("x",)], "key string")
     b = spark.createDataFrame([("x",)], "key string")
     assert O.mix({"a": a, "b": b}, 1, "key").count() == 3
+
+
+def test_running_sum_ungrouped_many_partitions(spark):
+    df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 3).cast("double").alias("v"))
+    out = {r["k"]: r["v_cum"] for r in O.running_sum(df, ["v"], ["k"], num_partitions=7).collect()}
+    acc = 0.0
+    for k in range(500):
+        acc += k % 3
+        assert out[k] == acc
+
+
+def test_range_partitions_bounds(spark):
+    df = spark.range(10)
+    n = O.range_partitions(df)
+    assert 1 <= n <= int(spark.conf.get("spark.sql.shuffle.partitions"))
