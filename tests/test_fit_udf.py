@@ -52,3 +52,14 @@ def test_score_and_generate_plugins(spark):
     def make_sampler():
         return lambda s, n: s.map(lambda p: [p + str(i) for i in range(n)])
     assert U.generate_with(df, make_sampler, "t", 2).first()["completion"] == ["ab0", "ab1"]
+
+
+def test_is_gradient_weight_constant(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], -0.5, -0.5)],
+                               "chosen_phi array<double>, rejected_phi array<double>, dc double, dr double")
+    theta = [0.2, 0.1]
+    g = {r["dim"]: r["grad"] for r in G.preference_gradient(df, theta, "is", 0.5, eps=0.25,
+                                                            data_chosen="dc", data_rejected="dr").collect()}
+    h = 0.2 - 0.1
+    w = np.exp(min(0.2 + 0.5 + 0.1 + 0.5, 0.5))
+    assert g[0] == pytest.approx(w * 2 * (h - 1.0)) and g[1] == pytest.approx(-w * 2 * (h - 1.0))

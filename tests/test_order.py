@@ -110,3 +110,13 @@ def test_range_partitions_bounds(spark):
     df = spark.range(10)
     n = O.range_partitions(df)
     assert 1 <= n <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_large_n_paths_use_the_index(spark, monkeypatch):
+    """Above TOPN_ROWS, sampling and hold-out go through the distributed index; same rows."""
+    df = spark.range(40).select(F.col("id").alias("k"))
+    small_sample = sorted(r["k"] for r in O.sample_n(df, 10, 3, "k").collect())
+    small_tail = sorted(r["k"] for r in O.drop_tail(df, 5, ["k"], ["k"]).collect())
+    monkeypatch.setattr(O, "TOPN_ROWS", 2)
+    assert sorted(r["k"] for r in O.sample_n(df, 10, 3, "k").collect()) == small_sample
+    assert sorted(r["k"] for r in O.drop_tail(df, 5, ["k"], ["k"]).collect()) == small_tail == list(range(35))

@@ -149,3 +149,12 @@ def test_truncation_budget_property(spark):
             if len(r["p2"]) <= L:
                 assert len(r["p2"]) + len(r["c2"]) <= L or len(r["p2"]) + len(r["c"]) <= L
             assert r["c2"] == r["c"][:len(r["c2"])]
+
+
+def test_vocab_uncapped_and_large_cap_paths(spark, monkeypatch):
+    df = spark.createDataFrame([("a b a c",), ("b a d",)], "text string")
+    full = {r["token"]: r["id"] for r in K.fit_vocab(df, "text").table.collect()}
+    assert full["a"] == 4 and full["b"] == 5 and {full["c"], full["d"]} == {6, 7}
+    monkeypatch.setattr(K, "TOPN_ROWS", 1)
+    capped = {r["token"]: r["id"] for r in K.fit_vocab(df, "text", max_size=2).table.collect()}
+    assert capped == {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3, "a": 4, "b": 5}
