@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefengine.functions.math import fixed_point_mean
+from prefengine.functions.time import utc_instant
 from prefengine.operators.order import assign_batches, running_sum
 
 
@@ -51,8 +52,8 @@ def interval_means(df: DataFrame, metrics: list[str], batch_size: int, accumulat
 
 def throughput(df: DataFrame, ts: str, group: list[str]) -> DataFrame:
     """Examples per second per group (M5): count / (max ts - min ts); NULL on zero span."""
-    span = (F.unix_micros(F.max(F.col(ts).cast("timestamp")))
-            - F.unix_micros(F.min(F.col(ts).cast("timestamp")))).cast("double") / F.lit(1e6)
+    t = utc_instant(ts) if dict(df.dtypes)[ts] == "timestamp_ntz" else F.col(ts)
+    span = (F.unix_micros(F.max(t)) - F.unix_micros(F.min(t))).cast("double") / F.lit(1e6)
     return df.groupBy(*group).agg(F.count(F.lit(1)).alias("examples"), span.alias("seconds")) \
              .withColumn("examples_per_second", F.try_divide(F.col("examples").cast("double"), F.col("seconds")))
 

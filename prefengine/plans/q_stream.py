@@ -9,6 +9,7 @@ from prefengine.sources import driver_tables as D
 from prefengine.sources.sinks import write_jsonl
 from prefengine.streaming import jobs as S
 from prefengine.functions.math import fixed_point_mean
+from prefengine.functions.time import utc_instant, utc_wall
 from prefengine.plans.registry import register, sql_fixed_mean, table
 
 def _state_partitions(spark) -> int:
@@ -79,11 +80,12 @@ FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT wm FROM lim)
 GROUP BY window_start, event_type
 """)
 def metric_windows(spark, sf):
-    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = table(spark, sf, "events").withColumn("ts", utc_instant("ts"))
     wm = ev.agg(F.max("ts") - F.expr(f"INTERVAL {DELAY}")).scalar()
     g = (ev.groupBy(F.window("ts", WINDOW).alias("w"), "event_type")
          .agg(fixed_point_mean("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
          .filter(F.col("w.end") <= wm))
     fmt = "yyyy-MM-dd HH:mm:ss"
-    return g.select(F.date_format("w.start", fmt).alias("window_start"), F.date_format("w.end", fmt).alias("window_end"),
+    return g.select(F.date_format(utc_wall("w.start"), fmt).alias("window_start"),
+                    F.date_format(utc_wall("w.end"), fmt).alias("window_end"),
                     "event_type", "mean_value", "n")

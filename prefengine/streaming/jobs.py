@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prefengine.functions.math import fixed_point_mean
+from prefengine.functions.time import utc_instant, utc_wall
 from prefengine.operators.pairs import candidate_pairs, label_pairs, score_pairs
 
 
@@ -35,13 +36,17 @@ def metric_stream(events: DataFrame, window: str = "1 day", delay: str = "1 hour
                   key: str = "event_id", by: str = "event_type", scale: int | None = 2) -> DataFrame:
     """Metric means per tumbling window with a late-data bound and id dedup (ST3).
 
-    timestamp_ntz is cast to timestamp (the session zone is UTC) before the watermark."""
-    e = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    A timestamp_ntz column is read as UTC wall time (``functions.time.utc_instant``) before
+    the watermark, so windows do not depend on the session time zone; window bounds are
+    returned as UTC wall times."""
+    if dict(events.dtypes)[ts] == "timestamp_ntz":
+        events = events.withColumn(ts, utc_instant(ts))
+    e = events.withWatermark(ts, delay)
     e = e.dropDuplicatesWithinWatermark([key])
     return (e.groupBy(F.window(ts, window).alias("w"), by)
             .agg((fixed_point_mean("value", scale) if scale is not None else F.avg("value")).alias("mean_value"),
                  F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), by,
+            .select(utc_wall("w.start").alias("window_start"), utc_wall("w.end").alias("window_end"), by,
                     "mean_value", "n"))
 
 

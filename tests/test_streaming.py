@@ -81,3 +81,23 @@ def test_metric_stream_equals_batch_twin_on_events(spark):
     batch = sorted(tuple(r) for r in qs["metric_windows"](spark, SF_SMOKE).select(
         "window_start", "window_end", "event_type", "mean_value", "n").collect())
     assert stream == batch and len(batch) > 0
+
+
+def test_results_do_not_depend_on_session_zone(spark):
+    """timestamp_ntz event times are read as UTC wall time: windows and throughput are the same
+    in a session whose zone is not UTC."""
+    import __spark_entry__ as E
+    qs = E.queries()
+
+    def run():
+        w = sorted(tuple(r) for r in qs["metric_windows"](spark, SF_SMOKE).collect())
+        t = sorted(tuple(r) for r in qs["throughput"](spark, SF_SMOKE).collect())
+        return w, t
+    utc = run()
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        other = run()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert utc == other
