@@ -53,9 +53,9 @@ def fit_preference(df: DataFrame, dim: int, steps: int = 10, lr: float = 0.1, ki
                    beta: float = 0.1, **kw) -> list[float]:
     """A fixed number of full-batch gradient steps; theta travels as a literal array."""
     theta = [0.0] * dim
-    cached = materialize(df)
+    pairs = materialize(df)
     for _ in range(steps):
-        g = {r["dim"]: r["grad"] for r in preference_gradient(cached, theta, kind, beta, **kw).collect()}
+        g = {r["dim"]: r["grad"] for r in preference_gradient(pairs, theta, kind, beta, **kw).collect()}
         theta = [t - lr * g.get(i, 0.0) for i, t in enumerate(theta)]
 
     return theta

@@ -48,7 +48,7 @@ class NgramModel:
 def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModel:
     """Add-k smoothed n-gram counts (L7): one tokenising pass and one groupBy(context, token)
     (partial aggregation map-side); context totals and the vocabulary size derive from that
-    count table (kept in the shared checkpoint folder), not from a second pass over the corpus."""
+    count table (persisted, see session.materialize), not from a second pass over the corpus."""
     ngrams = materialize(_grams(df, col, n).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c_ngram")))
     contexts = materialize(ngrams.groupBy("ctx").agg(F.sum("c_ngram").alias("c_ctx")))
     v = ngrams.select("tok").distinct().count()
