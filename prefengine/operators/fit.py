@@ -57,7 +57,7 @@ def fit_preference(df: DataFrame, dim: int, steps: int = 10, lr: float = 0.1, ki
     for _ in range(steps):
         g = {r["dim"]: r["grad"] for r in preference_gradient(pairs, theta, kind, beta, **kw).collect()}
         theta = [t - lr * g.get(i, 0.0) for i, t in enumerate(theta)]
-
+    pairs.unpersist()
     return theta
 
 
