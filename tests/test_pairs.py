@@ -91,3 +91,17 @@ def test_candidate_sets_limit_before_shuffle(spark):
     pairs = P.candidate_pairs(sets.select("conv_id", "completion"), 4)
     assert [(r["chosen"], r["rejected"]) for r in pairs.filter("conv_id = 0").orderBy("pair_idx").collect()] == \
         [("t1", "t3"), ("t1", "t5"), ("t1", "t7"), ("t1", "t9")]
+
+
+def test_candidate_pairs_all_small_k_and_n(spark):
+    """Every K in 1..8 against every list length 0..12: the bounded in-row generation (i < K,
+    j <= i + K) returns exactly the first K lexicographic combinations."""
+    rows = [(n, [f"c{i}" for i in range(n)]) for n in range(13)]
+    df = spark.createDataFrame(rows, "id int, completion array<string>").cache()
+    for k in range(1, 9):
+        got = {}
+        for r in P.candidate_pairs(df, k).collect():
+            got.setdefault(r["id"], []).append((r["pair_idx"], r["i"], r["j"]))
+        for n, _ in rows:
+            want = list(itertools.combinations(range(n), 2))[:k]
+            assert [(i, j) for _, i, j in sorted(got.get(n, []))] == want, (n, k)
