@@ -67,3 +67,55 @@ FROM placed p LEFT JOIN spend s ON p.source IS NOT DISTINCT FROM s.source
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3, repeating, each source at most three times over."""
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 7: quality
+from prefengine.llm import quality  # noqa: E402
+
+
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole document, learned outside the held-out fold."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+# ------------------------------------------------------------------ 2: HTML
+from prefengine.llm import html  # noqa: E402
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+# ------------------------------------------------------------------ 4: WARC
+from prefengine.llm import warc  # noqa: E402
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to web-archive packages and read back by range."""
+    read = warc.archive_and_read(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ------------------------------------------------------------------ 9: nearest neighbours
+from prefengine.llm import ann  # noqa: E402
+
+
+@query("op9_nearest")
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------ 5: SimHash
+from prefengine.llm import simhash  # noqa: E402
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: 4-word shingles, at most 4 differing bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
