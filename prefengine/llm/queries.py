@@ -119,3 +119,24 @@ from prefengine.llm import simhash  # noqa: E402
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document: 4-word shingles, at most 4 differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+# ------------------------------------------------------------------ 6: toxicity
+from prefengine.llm import toxicity  # noqa: E402
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every whole document, learned outside the held-out fold."""
+    scored = toxicity.severity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "severity", "grade", "is_toxic")
+
+
+# ------------------------------------------------------------------ 10: repeated substrings
+from prefengine.llm import substrings  # noqa: E402
+
+
+@query("op10_substrings")
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document if strings of 200 bytes that repeat are removed."""
+    return substrings.repeats_digest(table(spark, sf_dir, "documents"))
