@@ -140,3 +140,43 @@ from prefengine.llm import substrings  # noqa: E402
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What goes of every document if strings of 200 bytes that repeat are removed."""
     return substrings.repeats_digest(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 3: chat formatting
+from prefengine.llm import chat  # noqa: E402
+
+CHAT_SQL = r"""
+WITH ordered AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS pos FROM conversations),
+hashed AS (
+  SELECT conv_id, pos, md5(string_agg(md5(coalesce('r' || role, '') || chr(1) || coalesce('t' || text, '')), ',') OVER
+    (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) AS h FROM ordered),
+ends AS (SELECT conv_id, max(pos) AS last FROM hashed GROUP BY conv_id),
+whole AS (
+  SELECT min(h.conv_id) AS conv_id, h.pos, h.h FROM hashed h JOIN ends e ON h.conv_id = e.conv_id AND h.pos = e.last GROUP BY h.pos, h.h),
+continued AS (
+  SELECT DISTINCT h.pos, h.h FROM hashed h JOIN ends e ON h.conv_id = e.conv_id AND h.pos < e.last),
+kept AS (
+  SELECT w.conv_id, w.pos + 1 AS n_turns FROM whole w WHERE NOT EXISTS (SELECT 1 FROM continued c WHERE c.pos = w.pos AND c.h = w.h))
+SELECT o.conv_id, (o.pos // 256)::INTEGER AS part, k.n_turns::BIGINT AS n_turns,
+       string_agg('<|im_start|>' || coalesce(o.role, 'unknown') || chr(10) || replace(coalesce(o.text, ''), '<|', '< |') || '<|im_end|>' || chr(10), '' ORDER BY o.pos) AS text
+FROM ordered o JOIN kept k ON o.conv_id = k.conv_id
+GROUP BY o.conv_id, o.pos // 256, k.n_turns
+"""
+
+
+@query("op3_chat_format", CHAT_SQL)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+# ------------------------------------------------------------------ 8: decontamination
+from prefengine.llm import decontam  # noqa: E402
+
+
+@query("op8_decontaminate")
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they leak."""
+    leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "matched", "windows", "coverage", "exchanged")
