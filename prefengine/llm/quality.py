@@ -195,3 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return (scored.drop("score", "predicted", "held_out")
             .withColumn("held_out", fold(id_col) == HELD_OUT_FOLD).withColumnRenamed(name, "score")
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``; columns stay as they are."""
+    model = train(training_sample(docs, labels, options.get("label_col", "quality"), options.get("train_rows", 4000), options.get("id_col", "doc_id"), text_col))
+    name = fresh(docs, "__score")
+    return score(docs, model, text_col, name).filter(F.col(name) >= threshold).drop(name)
