@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are its words, its pairs of neighbouring words and the character 3- to 5-grams
-of each word (with word boundaries), hashed into one table.  Every hash bucket has a learned vector,
+Features of a text are its words, its pairs of neighbouring words and the 3- to 5-grams of the
+UTF-8 characters' bytes of each word (with word boundaries), hashed into one table.  Every hash bucket has a learned vector,
 a document is the average of its features' vectors, and a softmax layer gives the class
 probabilities.  Vectors and layer are trained together by stochastic gradient descent in numpy over
 a bounded sample of labelled rows; scoring covers every whole text.
@@ -9,7 +9,6 @@ a bounded sample of labelled rows; scoring covers every whole text.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,89 +19,93 @@ from pyspark.sql import functions as F
 
 from prefengine.llm.common import fresh
 
-DIM, BUCKETS = 8, 1 << 18
-#: Words that a task remembers before it starts over.
-REMEMBERED = 1 << 18
+DIM, BITS = 8, 18
+BUCKETS = 1 << BITS
 HELD_OUT_FOLD = 2
-
-
-class Words:
-    """Hashed features of words, remembered per task.  Each word seen gets a small number; its
-    features (bucket numbers) are kept once."""
-
-    def __init__(self) -> None:
-        self.number: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.features: list[list[int]] = []
-
-    def add(self, word: str) -> int:
-        padded = f"<{word}>"
-        grams = {padded[i:i + n] for n in (3, 4, 5) for i in range(len(padded) - n + 1)}
-        own = zlib.crc32(word.encode("utf-8", "replace"))
-        self.hashes.append(own)
-        self.features.append([own % BUCKETS, *(zlib.crc32(g.encode("utf-8", "replace"), 1) % BUCKETS for g in sorted(grams))])
-        self.number[word] = n = len(self.hashes) - 1
-        return n
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        get, add = self.number.get, self.add
-        return np.fromiter((n if (n := get(w)) is not None else add(w) for w in words), np.int64, len(words))
-
-    def full(self) -> bool:
-        return len(self.hashes) >= REMEMBERED
-
-
-def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of the pairs of neighbouring words."""
-    h = hashes.astype(np.uint64)
-    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(40)).astype(np.int64) % BUCKETS
+#: Bucket of a word that stands after itself.
+REPEAT = 0
+#: Characters of a text that are hashed at once, and the powers (and their inverses modulo 2^64) for their bytes.
+PIECE = 1 << 18
+BASE = 0x100000001B3
+POWERS, INVERSES = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(4 * PIECE + 64, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
+def spread_bits(h: np.ndarray) -> np.ndarray:
+    return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def buckets(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of all features of a text, repeats included, in pieces of a bounded size.
+
+    All hashes are rolled over the bytes of the text at once: the n-grams of a word are the byte
+    n-grams that hold a space at most at their ends; a word's hash is the sum of its bytes times
+    powers that start anew with the word.  Pairs of words do not cross pieces (of about a megabyte)."""
+    words = text.split() if text else []
+    lo = 0
+    while lo < len(words):
+        size, hi = 0, lo
+        while hi < len(words) and size < PIECE:
+            size, hi = size + len(words[hi]) + 1, hi + 1
+        data = np.frombuffer(f" {' '.join(words[lo:hi])} ".encode("utf-8", "replace"), np.uint8)
+        lo = hi
+        space, b = data == 32, data.astype(np.uint64)
+        if len(b) > 5:
+            grams = b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)
+            inner = ~space[1:-1]
+            yield spread_bits(grams[inner])
+            for n in (4, 5):
+                grams = grams[:-1] | b[n - 1:] << np.uint64(8 * (n - 1))
+                inner = inner[:-1] & ~space[n - 2:-1]
+                yield spread_bits(grams[inner])
+        edges = np.flatnonzero(space)
+        if len(b) > len(POWERS):  # one word longer than a piece
+            step = np.arange(len(b), dtype=np.uint64)
+            hashes = np.add.reduceat(b * (step * step + np.uint64(1)), edges[:-1] + 1)
+        else:
+            hashes = np.add.reduceat(b * POWERS[:len(b)], edges[:-1] + 1) * INVERSES[edges[:-1] + 1]
+        yield spread_bits(hashes ^ hashes >> np.uint64(29))
+        pairs = (hashes[:-1] ^ hashes[:-1] >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[1:]
+        yield spread_bits(pairs ^ pairs >> np.uint64(29))
+        # a word after itself is one feature whatever the word, with the weight of the word's n-grams
+        again = np.flatnonzero(hashes[:-1] == hashes[1:]) + 1
+        yield np.full(3 * int((edges[again + 1] - edges[again]).sum()), REPEAT)
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, text, ord) -> (label, ord, buckets, counts): the bag of hashed features of a text."""
-    known = Words()
     for batch in batches:
-        rows = {"label": [], "ord": [], "buckets": [], "counts": []}
-        for label, order, text in zip(*(batch.column(c).to_pylist() for c in ("label", "ord", "text"))):
-            n = known.numbers((text or "").split())
-            seen, times = np.unique(n, return_counts=True)
-            bag = [np.repeat(known.features[w], t) for w, t in zip(seen, times)]
-            bag.append(pair_buckets(np.array(known.hashes, np.uint64)[n]) if len(n) > 1 else np.zeros(0, np.int64))
-            buckets, counts = np.unique(np.concatenate(bag), return_counts=True)
-            for k, v in zip(rows, (label, order, buckets.astype(np.int32), counts.astype(np.float32))):
-                rows[k].append(v)
-            if known.full():
-                known = Words()
-        yield pa.RecordBatch.from_pydict(rows, pa.schema([("label", pa.int32()), ("ord", pa.int64()), ("buckets", pa.list_(pa.int32())), ("counts", pa.list_(pa.float32()))]))
+        bags = [np.unique(np.concatenate([np.zeros(0, np.int64), *buckets(t)]), return_counts=True) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("ord"), pa.array([x for x, _ in bags], pa.list_(pa.int32())),
+                                          pa.array([n for _, n in bags], pa.list_(pa.float32()))], ["label", "ord", "buckets", "counts"])
 
 
 def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vectors, layer and bias by SGD, one document at a time, the rate falling to zero."""
+    """Vectors, layer and bias by SGD, one document at a time.  The step of each bucket's vector and
+    of the layer falls with the squared gradients it has had, so rare features learn as well."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
-    layer, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    steps, done = max(1, epochs * len(bags)), 0
+    layer, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    past, layer_past = np.full(BUCKETS, 1e-8, np.float32), 1.0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            label, buckets, counts = bags[i]
-            step = rate * (1 - done / steps)
-            done += 1
+            label, found, counts = bags[i]
             share = counts / counts.sum() if len(counts) else counts
-            hidden = share @ vectors[buckets]
+            hidden = share @ vectors[found]
             logits = hidden @ layer + bias
             odds = np.exp(logits - logits.max())
             wrong = odds / odds.sum()
             wrong[label] -= 1
             back = layer @ wrong
+            layer_past += float(wrong @ wrong)
+            step = rate / layer_past ** 0.5
             layer -= step * np.outer(hidden, wrong)
             bias -= step * wrong
-            # the average divides the gradient among all features; the rate is for the whole bag
-            vectors[buckets] -= step * np.outer(share, back) * len(buckets) ** 0.5
+            past[found] += share * share * float(back @ back)
+            vectors[found] -= (rate * share / np.sqrt(past[found]))[:, None] * back
     return vectors, layer, bias
 
 
-def train(sample: DataFrame, epochs: int = 8, rate: float = 0.5, seed: int = 0) -> dict:
+def train(sample: DataFrame, epochs: int = 5, rate: float = 0.3, seed: int = 0) -> dict:
     """A model from ``sample`` (text, label 0/1, ord), which the caller has bounded.
 
     Features are counted where the rows are; the bags then meet in one task, which trains and
@@ -135,24 +138,15 @@ def score(docs: DataFrame, model: dict, text_col: str, out: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known, sums, sizes, hashes = Words(), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         w = shared.value
         for texts in parts:
             out = np.empty(len(texts))
             for i, text in enumerate(texts):
-                n = known.numbers(text.split()) if text else np.zeros(0, np.int64)
-                if len(known.hashes) > len(sums):
-                    new = known.features[len(sums):]
-                    sums = np.concatenate([sums, [w[f].sum() for f in new]])
-                    sizes = np.concatenate([sizes, [len(f) for f in new]])
-                    hashes = np.array(known.hashes, np.uint64) if len(hashes) == 0 else np.concatenate([hashes, np.array(known.hashes[len(hashes):], np.uint64)])
-                total, size = (sums[n].sum(), sizes[n].sum()) if len(n) else (0.0, 0)
-                if len(n) > 1:
-                    total, size = total + w[pair_buckets(hashes[n])].sum(), size + len(n) - 1
+                total, size = 0.0, 0
+                for found in buckets(text):
+                    total, size = total + w[found].sum(), size + len(found)
                 logit = total / max(1, size) + bias
                 out[i] = 1 / (1 + np.exp(-logit)) if logit >= 0 else np.exp(logit) / (1 + np.exp(logit))
-                if known.full():
-                    known, sums, sizes, hashes = Words(), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
             yield pd.Series(out)
 
     return docs.withColumn(out, probability(F.col(text_col)))
@@ -181,7 +175,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-             train_rows: int = 6000, epochs: int = 8, threshold: float = 0.7) -> DataFrame:
+             train_rows: int = 4000, epochs: int = 5, threshold: float = 0.7) -> DataFrame:
     """``docs`` with score (probability of label 1), predicted (1 if score >= threshold) and held_out.
 
     Learns from at most ``train_rows`` labelled rows whose crc32(id) mod 4 is not 2; ids, labels and
