@@ -8,13 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefengine.session import checkpoint_root
+from prefengine.session import checkpoint_root, plan_bytes
 
-# A side is broadcast only when its row count was measured under this bound.
-BROADCAST_ROWS = 2_000_000
 # A top-n (TakeOrderedAndProject) keeps n rows per task and merges them in one task: used only
 # for n up to this bound; larger n go through the distributed global index.
 TOPN_ROWS = 100_000
@@ -33,16 +32,13 @@ RANGE_PARTITION_BYTES = 64 * 1024 * 1024
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a range exchange: the plan's estimated size / RANGE_PARTITION_BYTES, at
-    least the default parallelism and at most spark.sql.shuffle.partitions (no job runs)."""
+    """Partitions for a range exchange: the plan's estimated size / RANGE_PARTITION_BYTES, and at
+    least one per core or shuffle partition, whichever is fewer (no job runs).  There is no upper
+    bound: each partition is sorted in one task, so their size must not grow with the data."""
     spark = df.sparkSession
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    floor_ = min(cap, spark.sparkContext.defaultParallelism)
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - statistics unavailable
-        return cap
-    return max(floor_, min(cap, -(-size // RANGE_PARTITION_BYTES)))
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    size = plan_bytes(df)
+    return max(least, -(-(size or 0) // RANGE_PARTITION_BYTES))
 
 
 def _cols(x) -> list:
@@ -52,11 +48,12 @@ def _cols(x) -> list:
 
 
 def global_index(df: DataFrame, order_by, partition_by=None, name: str = "idx",
-                 num_partitions: int | None = None) -> DataFrame:
+                 num_partitions: int | None = None, key=None) -> DataFrame:
     """0-based position of every row in ``order_by`` order, within ``partition_by`` groups.
 
-    ``order_by`` must be a total order (end it with a unique key).  Index a narrow frame
-    (keys only) and join wide payloads back: the checkpoint then writes only the keys.
+    ``order_by`` must be a total order (end it with a unique key).  Frames with more than keys
+    name their unique ``key``: then only key, order and group columns are sorted and
+    checkpointed, and the positions are joined back to the rows.
     Plan: range-partition on
     (groups, keys) and sort inside partitions; tag rows with monotonically_increasing_id and
     checkpoint that into the shared checkpoint folder, so the count pass and the numbering pass
@@ -67,6 +64,11 @@ def global_index(df: DataFrame, order_by, partition_by=None, name: str = "idx",
     spark = df.sparkSession
     groups = _cols(partition_by)
     keys = groups + _cols(order_by)
+    if key is not None:
+        uk = _cols(key)
+        narrow = df.select(*dict.fromkeys([*uk, *groups, *[c for c in _cols(order_by) if isinstance(c, str)]]))
+        index = global_index(narrow, order_by, partition_by, name, num_partitions)
+        return df.join(index.select(*uk, name), uk)
     n = num_partitions or range_partitions(df)
     checkpoint_root(spark)
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -80,8 +82,7 @@ def global_index(df: DataFrame, order_by, partition_by=None, name: str = "idx",
         w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         offsets = (counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
                    .select("_pid", *groups, "_off", "_first"))
-        # one row per (partition, group) present: bounded by partitions + groups
-        right = F.broadcast(offsets) if offsets.count() <= BROADCAST_ROWS else offsets
+        right = offsets  # one row per (partition, group) present; adaptive execution knows its size
     else:
         # one row per partition: the prefix sum runs on the driver over n counts
         rows = sorted((r["_pid"], r["_cnt"], r["_first"]) for r in counts.collect())
@@ -105,10 +106,12 @@ def shuffle(df: DataFrame, seed: int, key, name: str | None = None) -> DataFrame
 
 
 def shuffled_index(df: DataFrame, seed: int, key, name: str = "pos", partition_by=None) -> DataFrame:
-    """Position of each row in the seeded shuffle order (B1 + B0)."""
+    """Position of each row in the seeded shuffle order (B1 + B0); ``key`` is unique, and only it is
+    shuffled and checkpointed."""
     k = _cols(key)
+    uk = [*_cols(partition_by), *k]
     out = global_index(df.withColumn("_shuffle", shuffle_key(seed, *k)), ["_shuffle", *k],
-                       partition_by=partition_by, name=name)
+                       partition_by=partition_by, name=name, key=None if set(df.columns) <= set(uk) else uk)
     return out.drop("_shuffle")
 
 
@@ -123,11 +126,12 @@ def sample_n(df: DataFrame, n: int, seed: int, key) -> DataFrame:
 
 
 def assign_batches(df: DataFrame, size: int, order_by, name: str = "batch_id",
-                   partition_by=None, index_name: str = "idx") -> DataFrame:
-    """Fixed-size batches in ``order_by`` order (B2): floor(idx / size)."""
+                   partition_by=None, index_name: str = "idx", key=None) -> DataFrame:
+    """Fixed-size batches in ``order_by`` order (B2): floor(idx / size).  ``key`` as in
+    ``global_index``: name it when the rows carry more than keys."""
     if size <= 0:
         raise ValueError("batch size must be positive")
-    out = global_index(df, order_by, partition_by=partition_by, name=index_name)
+    out = global_index(df, order_by, partition_by=partition_by, name=index_name, key=key)
     return out.withColumn(name, F.floor(F.col(index_name) / F.lit(size)).cast("bigint"))
 
 
@@ -138,9 +142,10 @@ def shard_of(n: int, *key_cols) -> Column:
 
 
 def assign_shards(df: DataFrame, n: int, key, name: str = "shard", repartition: bool = True) -> DataFrame:
-    """Split rows over ``n`` workers (B3); optionally co-locate each shard in one partition."""
+    """Split rows over ``n`` workers (B3); optionally each shard is exactly one partition (the shard
+    number is the partition number; hashing it would put two shards together and leave one empty)."""
     out = df.withColumn(name, shard_of(n, *_cols(key)))
-    return out.repartition(n, name) if repartition else out
+    return out.repartitionById(n, F.col(name).cast("int")) if repartition else out
 
 
 def repeat_rows(df: DataFrame, n: int, name: str = "rep") -> DataFrame:
@@ -158,11 +163,15 @@ def expand_epochs(df: DataFrame, epochs: int, seed: int, key, name: str = "epoch
     return global_index(ex, ["_shuffle", *k], partition_by=[name], name=pos_name).drop("_shuffle")
 
 
-def head_fraction(df: DataFrame, pct: float, order_by, index_name: str = "idx") -> DataFrame:
-    """First ``pct`` percent of rows in order (S5): idx < floor(n * pct / 100)."""
-    total = df.count()
-    keep = int((total * pct) // 100)
-    return global_index(df, order_by, name=index_name).filter(F.col(index_name) < F.lit(keep))
+def head_fraction(df: DataFrame, pct: float, order_by, index_name: str = "idx", key=None) -> DataFrame:
+    """First ``pct`` percent of rows in order (S5): idx < floor(n * pct / 100), with n taken from the
+    index itself.  ``key`` as in ``global_index``."""
+    uk = _cols(key)
+    narrow = df.select(*dict.fromkeys([*uk, *[c for c in _cols(order_by) if isinstance(c, str)]])) if uk else df
+    index = global_index(narrow, order_by, name=index_name)
+    keep = int((index.agg(F.max(index_name) + 1).first()[0] or 0) * pct // 100)
+    index = index.filter(F.col(index_name) < F.lit(keep))
+    return df.join(index.select(*uk, index_name), uk) if uk else index
 
 
 def drop_tail(df: DataFrame, n: int, order_by, unique_key, index_name: str | None = None) -> DataFrame:
@@ -187,19 +196,26 @@ def drop_tail(df: DataFrame, n: int, order_by, unique_key, index_name: str | Non
 def mix(sources: dict[str, DataFrame], seed: int, key, name: str = "pos") -> DataFrame:
     """Concatenate sources, keeping duplicates, then a seeded shuffle (O1).
 
-    Each row carries its ``source``; its shuffled position is ``name``."""
+    Each row carries its ``source``; its shuffled position is ``name``.  Only (source, key) is shuffled
+    and checkpointed; rows get the positions of their key back by a join.  Keys may repeat: equal
+    keys are numbered on both sides."""
     frames = [df.withColumn("source", F.lit(src)) for src, df in sources.items()]
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return shuffled_index(union, seed, ["source", *_cols(key)], name=name)
+    keys = ["source", *_cols(key)]
+    index = shuffled_index(union.select(*keys), seed, keys, name=name)
+    index = index.withColumn("_dup", F.row_number().over(Window.partitionBy(*keys).orderBy(name)))
+    rows = union.withColumn("_dup", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    return rows.join(index, [*keys, "_dup"]).drop("_dup")
 
 
 def running_sum(df: DataFrame, values: list[str], order_by, partition_by=None,
                 suffix: str = "_cum", num_partitions: int | None = None) -> DataFrame:
     """Inclusive running sums of ``values`` in ``order_by`` order within ``partition_by`` groups.
 
-    Same plan as the global index: range partitions, one checkpoint, per-(partition, group)
-    totals with a prefix sum across partitions, plus a running sum inside each range
-    partition.  A group as large as a third of the data still spreads over many tasks."""
+    One full shuffle: range partitions, sorted and checkpointed as for the global index; every
+    (partition, group) is run up where it lies (a window would shuffle the sorted rows again) and
+    a prefix sum over their totals gives the offsets.  A group as large as a third of the data
+    still spreads over many tasks.  NULL values add nothing and show the sum so far."""
     spark = df.sparkSession
     groups = _cols(partition_by)
     keys = groups + _cols(order_by)
@@ -208,27 +224,46 @@ def running_sum(df: DataFrame, values: list[str], order_by, partition_by=None,
     tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), _LOCAL_BITS))
               .checkpoint(eager=True))
-    totals = tagged.groupBy("_pid", *groups).agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1) if groups \
-        else Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    types = dict(tagged.dtypes)
+    kind = {v: "bigint" if types[v] in ("tinyint", "smallint", "int", "bigint") else "double" for v in values}
+    totals = tagged.groupBy("_pid", *groups).agg(*[F.sum(F.col(v).cast(kind[v])).alias(f"_t_{v}") for v in values])
     if groups:
+        w = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         offs = totals.select("_pid", *groups, *[F.coalesce(F.sum(f"_t_{v}").over(w), F.lit(0)).alias(f"_o_{v}")
                                                 for v in values])
-        right = F.broadcast(offs) if offs.count() <= BROADCAST_ROWS else offs
-    else:
-        rows = sorted(totals.collect(), key=lambda r: r["_pid"])
-        types = dict(tagged.dtypes)
-        integral = {v: types[v] in ("tinyint", "smallint", "int", "bigint") for v in values}
-        acc = {v: 0 if integral[v] else 0.0 for v in values}
-        data = []
-        for r in rows:
+    else:  # one row per partition: run up on the driver
+        acc, data = {v: 0 if kind[v] == "bigint" else 0.0 for v in values}, []
+        for r in sorted(totals.collect(), key=lambda r: r["_pid"]):
             data.append((r["_pid"], *[acc[v] for v in values]))
-            for v in values:
-                acc[v] = acc[v] + (r[f"_t_{v}"] or 0)
-        schema = ", ".join(["_pid bigint"] + [f"_o_{v} {'bigint' if integral[v] else 'double'}" for v in values])
-        right = F.broadcast(spark.createDataFrame(data, schema))
-    inner = Window.partitionBy("_pid", *groups).orderBy(*_cols(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(right, ["_pid", *groups])
-    for v in values:
-        out = out.withColumn(f"{v}{suffix}", F.sum(v).over(inner) + F.col(f"_o_{v}"))
-    return out.drop("_pid", *[f"_o_{v}" for v in values])
+            acc = {v: acc[v] + (r[f"_t_{v}"] or 0) for v in values}
+        offs = spark.createDataFrame(data, ", ".join(["_pid bigint"] + [f"_o_{v} {kind[v]}" for v in values]))
+        offs = F.broadcast(offs)  # one row per range partition
+    schema = ", ".join([f"`{c}` {t}" for c, t in tagged.dtypes] + [f"`_s_{v}` {kind[v]}" for v in values])
+    run = tagged.mapInPandas(_run_up(groups, {v: kind[v] for v in values}), schema)
+    same = F.lit(True)
+    for g in ["_pid", *groups]:
+        same = same & run[g].eqNullSafe(offs[g])
+    out = run.join(offs, same)
+    return out.select(*[run[c] for c in df.columns],
+                      *[(run[f"_s_{v}"] + offs[f"_o_{v}"]).alias(f"{v}{suffix}") for v in values])
+
+
+def _run_up(groups: list[str], kinds: dict[str, str]):
+    """Running sums per group over the sorted batches of one partition; the last group carries on."""
+    def run(batches):
+        last, carry = None, {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            code = pdf.groupby(groups, sort=False, dropna=False).ngroup() if groups else pdf["_pid"] * 0
+            ends = tuple(None if pd.isna(x) else x for x in pdf[groups].iloc[-1]) if groups else ()
+            first = tuple(None if pd.isna(x) else x for x in pdf[groups].iloc[0]) if groups else ()
+            for v, kind in kinds.items():
+                x = pdf[v].fillna(0).astype("int64" if kind == "bigint" else "float64")
+                s = x.groupby(code).cumsum()
+                if last == first:
+                    s = s.where(code != code.iloc[0], s + carry[v])
+                pdf[f"_s_{v}"] = s
+            last, carry = ends, {v: pdf[f"_s_{v}"].iloc[-1] for v in kinds}
+            yield pdf
+    return run

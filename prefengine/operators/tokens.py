@@ -1,7 +1,7 @@
 """Vocabulary fit, encode/decode, example building, padding, packing.
 
 Tokenisation is a Spark job: whitespace split of the lower-cased text, a frequency-ranked
-vocabulary fitted by groupBy, and encoding by a broadcast equi-join whose reassembly
+vocabulary fitted by groupBy, and encoding by an equi-join whose reassembly
 reuses the input's key partitioning (one shuffle of the raw rows)."""
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from prefengine.functions.text import truncation_mode
 from prefengine.operators.order import TOPN_ROWS, global_index
 from prefengine.session import materialize, require_columns, spread
 
-# A vocabulary is broadcast to the encode join only when its measured size is under this.
-VOCAB_BROADCAST_ROWS = 1_000_000
-
 # Special token ids and names (the vocabulary's first four entries).
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 SPECIALS = ["<pad>", "<bos>", "<eos>", "<unk>"]
@@ -39,31 +36,24 @@ class Vocab:
     eos: int = EOS
     unk: int = UNK
 
-    def for_join(self) -> DataFrame:
-        t = self.table.select("token", "id")
-        return F.broadcast(t) if self.size <= VOCAB_BROADCAST_ROWS else t
-
 
 def fit_vocab(df: DataFrame, col: str, max_size: int | None = None, id_offset: int = len(SPECIALS)) -> Vocab:
     """Frequency-ranked vocabulary (T0): ids after the specials by (count desc, token asc).
 
-    Counting is a partial aggregation; a top ``max_size`` up to TOPN_ROWS is a bounded top-k
-    (no full sort); larger or no caps rank with the distributed global index."""
+    Counting is a partial aggregation; ids come from the distributed global index.  With
+    ``max_size`` only the most frequent tokens stay (a bounded top-k up to TOPN_ROWS)."""
     spark = df.sparkSession
     counts = (spread(df.select(col)).select(F.explode(token_list(col)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt")))
     if max_size is not None and max_size <= TOPN_ROWS:
-        top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_size)
-        ranked = top.withColumn("id", (F.row_number().over(
-            Window.orderBy(F.desc("cnt"), F.asc("token"))) - 1 + id_offset).cast("int"))
-    else:
-        ranked = (global_index(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], name="_r")
-                  .select("token", "cnt", (F.col("_r") + id_offset).cast("int").alias("id")))
-        if max_size is not None:
-            ranked = ranked.filter(F.col("id") < max_size + id_offset)
+        counts = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(max_size)
+    ranked = (global_index(counts.withColumn("_neg", -F.col("cnt")), ["_neg", "token"], name="_r")
+              .select("token", "cnt", (F.col("_r") + id_offset).cast("int").alias("id")))
+    if max_size is not None:
+        ranked = ranked.filter(F.col("id") < max_size + id_offset)
     specials = spark.createDataFrame([(t, i, 0) for i, t in enumerate(SPECIALS)], "token string, id int, cnt bigint")
     table = specials.unionByName(ranked.select("token", "id", "cnt"))
-    kept = materialize(table)
+    kept = materialize(table, "vocabulary")
     return Vocab(kept, kept.count())
 
 
@@ -72,7 +62,7 @@ def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: V
     tokens map to UNK.
 
     Plan: hash-partition the rows on ``key``; explode the tokens of every column at once as
-    (column, position, token), join the vocabulary (broadcast under its size bound) and gather
+    (column, position, token), join the vocabulary (broadcast or split by its real size) and gather
     each column's ids per key in one aggregation.  The gather is partitioned by ``key``, so
     the join back to the rows adds no exchange on that side, and several columns cost one
     shuffle of the text instead of one each."""
@@ -83,7 +73,7 @@ def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: V
         return lambda t, i: F.struct(F.lit(ci).alias("c"), i.alias("pos"), t.alias("token"))
     tagged = F.flatten(F.array(*[F.transform(token_list(c), tag(ci)) for ci, c in enumerate(names)]))
     ex = parted.select(*key, F.explode(tagged).alias("_t")).select(*key, "_t.c", "_t.pos", "_t.token")
-    ids = ex.join(vocab.for_join(), "token", "left").withColumn("id", F.coalesce("id", F.lit(vocab.unk)))
+    ids = ex.join(vocab.table.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(vocab.unk)))
     gathered = ids.groupBy(*key).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("c") == ci, F.struct("pos", "id")))).alias(f"_ids{ci}")
         for ci in range(len(names))])
@@ -105,7 +95,6 @@ def decode(df: DataFrame, key: list[str], ids: str, vocab: Vocab, out: str | Non
     out = out or f"{ids}_text"
     parted = df.repartition(*key)
     inv = vocab.table.select(F.col("id").alias("_id"), "token")
-    inv = F.broadcast(inv) if vocab.size <= VOCAB_BROADCAST_ROWS else inv
     ex = parted.select(*key, F.posexplode(ids).alias("_pos", "_id"))
     if skip_special:
         ex = ex.filter(F.col("_id") >= len(SPECIALS))

@@ -78,7 +78,7 @@ def packed_logp(spark, sf):
     d = _logits(spark, sf)
     per_tok = d.select("vec_id", _token_logps(F.transform("logits", lambda r: F.transform(
         r, lambda v: v.cast("double"))), "labels").alias("lps"))
-    b = O.assign_batches(per_tok, PACK, ["vec_id"]).withColumn("ord", F.col("idx") % PACK)
+    b = O.assign_batches(per_tok, PACK, ["vec_id"], key="vec_id").withColumn("ord", F.col("idx") % PACK)
     packed = (b.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("ord", "lps"))).alias("_d"))
               .select("batch_id",
                       F.flatten(F.transform("_d", lambda x: x["lps"])).alias("lps"),

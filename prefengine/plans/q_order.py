@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from prefengine.functions.arrays import zip_checked
 from prefengine.operators import order as O
 from prefengine.operators.order import shuffle_key
-from prefengine.plans.registry import register, sql_md5_bits, table
+from prefengine.operators.tokens import token_list
+from prefengine.plans.registry import register, sql_md5_bits, sql_tokens, table
 from prefengine.sources import driver_tables as D
 
 SEED = 42
@@ -57,7 +58,7 @@ SELECT doc_id, idx FROM (SELECT doc_id, row_number() OVER (ORDER BY {_SHUF}) - 1
 WHERE idx < floor((SELECT count(*) FROM documents) * {HEAD_PCT} / 100)
 """)
 def head_fraction(spark, sf):
-    return O.head_fraction(_shuffled(spark, sf), HEAD_PCT, ["_k", "doc_id"]).select("doc_id", "idx")
+    return O.head_fraction(_shuffled(spark, sf), HEAD_PCT, ["_k", "doc_id"], key="doc_id").select("doc_id", "idx")
 
 
 # -- B2: fixed-size batches over the shuffled order (last batch partial)
@@ -97,17 +98,15 @@ def repeat(spark, sf):
     return O.repeat_rows(sft, REPEAT).withColumn("rep", F.col("rep").cast("bigint"))
 
 
-# -- B6: length-checked zip of parallel lists (turn numbers with texts)
-@register("zip_checked", """
-SELECT conv_id, string_agg(turn::VARCHAR || '=' || length(text)::VARCHAR, ',' ORDER BY turn) AS zipped
-FROM conversations WHERE role = 'assistant' GROUP BY conv_id
+# -- B6: length-checked zip of parallel lists (the words of a turn with their lengths)
+@register("zip_checked", f"""
+SELECT conv_id, turn, coalesce(array_to_string(list_transform({sql_tokens('text')},
+                                                              lambda w: w || '=' || length(w)::VARCHAR), ','), '') AS zipped
+FROM conversations WHERE role = 'assistant'
 """)
 def zip_checked_q(spark, sf):
-    conv = table(spark, sf, "conversations")
-    a = conv.filter(F.col("role") == "assistant")
-    sets = (a.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_c"))
-            .select("conv_id", F.transform("_c", lambda x: x["turn"]).alias("turns"),
-                    F.transform("_c", lambda x: x["text"]).alias("texts")))
-    z = zip_checked("turns", "texts")
-    return sets.select("conv_id", F.array_join(F.transform(z, lambda x: F.concat(
-        x["turns"].cast("string"), F.lit("="), F.length(x["texts"]).cast("string"))), ",").alias("zipped"))
+    conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    lists = conv.select("conv_id", "turn", token_list("text").alias("words"))
+    lists = lists.withColumn("sizes", F.transform("words", F.length))
+    z = F.transform(zip_checked("words", "sizes"), lambda x: F.concat(x["words"], F.lit("="), x["sizes"].cast("string")))
+    return lists.select("conv_id", "turn", F.array_join(z, ",").alias("zipped"))

@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from prefengine.functions.arrays import has_token, truncate_after
 from prefengine.operators import pairs as P
-from prefengine.operators.tokens import EOS, PAD, encode, fit_vocab
+from prefengine.operators.tokens import EOS, PAD, SPECIALS, token_list
 from prefengine.plans.flagship import scored_candidates
 from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
                                        sql_tokens, table)
 from prefengine.sources import driver_tables as D
 
 BETA = 0.1
-GEN_BUDGET = 48
+GEN_BUDGET = 1024
 
 
 def _conv(spark, sf):
@@ -51,8 +51,11 @@ SELECT p.conv_id, p.prompt, r.r AS cand_idx, r.text AS completion
 FROM prompted p JOIN ranked r USING (conv_id)
 """)
 def flatten_candidates(spark, sf):
-    sets = D.candidate_sets(_conv(spark, sf)).select("conv_id", "prompt", "completion")
-    return P.flatten_candidates(sets)
+    conv = _conv(spark, sf)
+    # candidates come as rows: gathering them into sets only to explode these again would put a
+    # whole conversation into one row (flatten_candidates on real sets: refined_summaries, udf_generate)
+    return D.candidates_long(conv).join(D.candidate_prompts(conv).select("conv_id", "prompt"), "conv_id") \
+        .select("conv_id", "prompt", "cand_idx", "completion")
 
 
 def _pairs(spark, sf, k):
@@ -145,27 +148,33 @@ def label_online(spark, sf):
                       "chosen_score", "rejected_score")
 
 
-# -- R4 + F4 + T12: generations over a token budget lose their EOS and get score -1
+# -- R4 + F4 + T12: generations (turns and whole documents) over the token budget lose their EOS and
+#    get score -1
+_GENERATIONS = """SELECT 'turn' AS source, conv_id, turn, text FROM conversations WHERE role = 'assistant'
+                  UNION ALL SELECT 'document', doc_id, -1, text FROM documents"""
+
+
 @register("eos_penalty", f"""
-SELECT conv_id, turn,
-       CASE WHEN len({sql_tokens('text')}) <= {GEN_BUDGET} THEN {sql_text_score('text')} ELSE -1.0 END AS score,
-       len({sql_tokens('text')}) <= {GEN_BUDGET} AS has_eos,
-       least(len({sql_tokens('text')}), {GEN_BUDGET}) + CASE WHEN len({sql_tokens('text')}) <= {GEN_BUDGET} THEN 1 ELSE 0 END AS kept
-FROM conversations WHERE role = 'assistant'
+WITH g AS ({_GENERATIONS}), n AS (SELECT *, len({sql_tokens('text')}) AS n FROM g)
+SELECT source, conv_id, turn,
+       CASE WHEN n <= {GEN_BUDGET} THEN {sql_text_score('text')} ELSE -1.0 END AS score,
+       n <= {GEN_BUDGET} AS has_eos, least(n, {GEN_BUDGET}) + CASE WHEN n <= {GEN_BUDGET} THEN 1 ELSE 0 END AS kept
+FROM n
 """)
 def eos_penalty(spark, sf):
-    conv = _conv(spark, sf)
-    asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    vocab = fit_vocab(asst, "text", max_size=4096)
-    enc = encode(asst, ["conv_id", "turn"], "text", vocab, out="ids")
-    gen = enc.withColumn("gen", F.when(F.size("ids") <= GEN_BUDGET, F.array_append("ids", F.lit(EOS)))
-                         .otherwise(F.slice("ids", 1, GEN_BUDGET)))
-    cut = gen.withColumn("cut", truncate_after("gen", EOS, PAD))
+    asst = _conv(spark, sf).filter(F.col("role") == "assistant").select(F.lit("turn").alias("source"), "conv_id", "turn", "text")
+    docs = table(spark, sf, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("conv_id"),
+                                                F.lit(-1).cast("bigint").alias("turn"), "text")
+    eos, pad = SPECIALS[EOS], SPECIALS[PAD]
+    gen = asst.unionByName(docs).withColumn("_t", token_list("text"))
+    gen = gen.withColumn("gen", F.when(F.size("_t") <= GEN_BUDGET, F.array_append("_t", F.lit(eos)))
+                         .otherwise(F.slice("_t", 1, GEN_BUDGET)))
+    cut = gen.withColumn("cut", truncate_after("gen", eos, pad))
     return cut.select(
-        "conv_id", "turn",
-        P.penalise_unterminated(D.text_score("text"), has_token("gen", EOS)).alias("score"),
-        has_token("gen", EOS).alias("has_eos"),
-        F.size(F.filter("cut", lambda x: x != F.lit(PAD))).cast("bigint").alias("kept"))
+        "source", "conv_id", "turn",
+        P.penalise_unterminated(D.text_score("text"), has_token("gen", eos)).alias("score"),
+        has_token("gen", eos).alias("has_eos"),
+        F.size(F.filter("cut", lambda x: x != F.lit(pad))).cast("bigint").alias("kept"))
 
 
 # -- R2: implicit reward beta * (policy log-prob - reference log-prob) per candidate

@@ -34,7 +34,7 @@ WHERE idx < floor((SELECT count(*) FROM m) * {SLICE_PCT} / 100)
 def chat_sft_slice(spark, sf):
     msgs = D.chat_messages(table(spark, sf, "conversations"), max_messages=2) \
         .withColumn("_k", O.shuffle_key(SEED, "conv_id"))
-    head = O.head_fraction(msgs, SLICE_PCT, ["_k", "conv_id"])
+    head = O.head_fraction(msgs, SLICE_PCT, ["_k", "conv_id"], key="conv_id")
     return head.select("conv_id", "idx", T.message_content("messages", 0).alias("prompt"),
                        T.message_content("messages", 1).alias("completion"))
 

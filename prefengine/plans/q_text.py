@@ -183,17 +183,15 @@ def last_marker(spark, sf):
                     T.before_last_marker("marked").alias("completion"))
 
 
-# -- P11: right-strip all whitespace of every candidate
+# -- P11: right-strip all whitespace of every candidate (of each turn's own list, no gathering)
 @register("rstrip_all", """
-WITH f AS (SELECT conv_id, min(turn) AS t0 FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-ok AS (SELECT f.conv_id FROM f WHERE EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = f.conv_id
-                                              AND u.role = 'user' AND u.turn < f.t0))
-SELECT conv_id, string_agg(regexp_replace(text, '\\s+$', ''), '|' ORDER BY turn) AS completions
-FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT conv_id FROM ok) GROUP BY conv_id
+SELECT conv_id, turn, regexp_replace(text || chr(10) || ' ', '\\s+$', '') AS completion
+FROM conversations WHERE role = 'assistant'
 """)
 def rstrip_all(spark, sf):
-    s = D.candidate_sets(_conv(spark, sf))
-    return s.select("conv_id", F.array_join(T.rstrip_all("completion"), "|").alias("completions"))
+    a = _conv(spark, sf).filter(F.col("role") == "assistant")
+    lists = a.select("conv_id", "turn", F.array(F.concat("text", F.lit("\n "))).alias("completion"))
+    return lists.select("conv_id", "turn", T.rstrip_all("completion")[0].alias("completion"))
 
 
 # -- P12: chat-template render of the prompt messages with the generation cue

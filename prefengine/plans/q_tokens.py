@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +15,14 @@ from prefengine.plans.q_text import _DIALOGUE_SQL, _dialogue
 from prefengine.plans.registry import register, sql_tokens, table
 from prefengine.sources import driver_tables as D
 
-VOCAB = 500
-VOCAB_B = 300
-MAX_LEN = 64
-MAX_PROMPT = 24
+VOCAB_CAP = 500     # vocab_capped only: every other query uses all tokens
+MAX_LEN = 640
+MAX_PROMPT = 512
+PACK_LEN = MAX_LEN
+GEN_BUDGET = 1024
 BATCH = 8
 PAIR_BATCH = 4
 SEED = 42
-GEN_BUDGET = 48
 
 
 def _s(c) -> F.Column:
@@ -29,22 +31,34 @@ def _s(c) -> F.Column:
 
 
 # ------------------------------------------------------------------ Spark side
-def _vocab(spark, sf, size=VOCAB, source="conversations"):
-    return K.fit_vocab(table(spark, sf, source), "text", max_size=size)
+def _vocab(spark, sf, *sources, size=None):
+    texts = [table(spark, sf, t).select("text") for t in sources or ("conversations", "documents")]
+    return K.fit_vocab(reduce(DataFrame.unionByName, texts), "text", max_size=size)
 
 
-def _examples(spark, sf) -> DataFrame:
-    """SFT rows (keep_start prompts) and rendered dialogues (keep_end prompts), encoded,
-    with an EOS on some prompts and BOS/EOS around some completions so clipping has work."""
+KEY = ["source", "conv_id", "turn"]
+
+
+def _rows(spark, sf) -> DataFrame:
+    """SFT rows (keep_start prompts), rendered dialogues (keep_end prompts) and whole documents cut in
+    the middle (prompt and completion far over their budgets for the long ones)."""
     conv = table(spark, sf, "conversations")
     sft = D.sft_examples(conv).select(F.lit("sft").alias("source"), "conv_id", "turn", "prompt", "completion")
     dlg = _dialogue(spark, sf).select(F.lit("dialogue").alias("source"), "conv_id",
                                       F.lit(-1).cast("bigint").alias("turn"), "prompt",
                                       F.col("chosen").alias("completion"))
-    rows = sft.unionByName(dlg)
-    vocab = _vocab(spark, sf)
-    key = ["source", "conv_id", "turn"]
-    enc = K.encode_columns(rows, key, {"prompt": "p_ids", "completion": "c_ids"}, vocab)
+    half = F.floor(F.length("text") / 2).cast("int")
+    docs = table(spark, sf, "documents").select(
+        F.lit("document").alias("source"), F.col("doc_id").alias("conv_id"), F.lit(-1).cast("bigint").alias("turn"),
+        F.substring("text", F.lit(1), half).alias("prompt"),
+        F.substring("text", half + 1, F.length("text")).alias("completion"))
+    return sft.unionByName(dlg).unionByName(docs)
+
+
+def _examples(spark, sf) -> DataFrame:
+    """``_rows`` encoded, with an EOS on some prompts and BOS/EOS around some completions so clipping
+    has work."""
+    enc = K.encode_columns(_rows(spark, sf), KEY, {"prompt": "p_ids", "completion": "c_ids"}, _vocab(spark, sf))
     eos, bos = K.EOS, K.BOS
     enc = enc.withColumn("p_raw", F.when(F.col("conv_id") % 2 == 0, F.array_append("p_ids", F.lit(eos)))
                          .otherwise(F.col("p_ids")))
@@ -55,14 +69,18 @@ def _examples(spark, sf) -> DataFrame:
 
 
 # ------------------------------------------------------------------ SQL side
-_VOCAB_SQL = f"""
-vocab AS (SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT '<bos>', 1 UNION ALL SELECT '<eos>', 2
+def _sql_vocab(name: str, texts: str, cap: int | None = None) -> str:
+    return f"""
+{name} AS (SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT '<bos>', 1 UNION ALL SELECT '<eos>', 2
           UNION ALL SELECT '<unk>', 3 UNION ALL
           SELECT token, id FROM (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) + 3 AS id
                                  FROM (SELECT tok AS token, count(*) AS cnt
-                                       FROM (SELECT unnest({sql_tokens('text')}) AS tok FROM conversations)
+                                       FROM (SELECT unnest({sql_tokens('text')}) AS tok FROM ({texts}))
                                        GROUP BY tok))
-          WHERE id <= {VOCAB + 3})"""
+          WHERE {f'id <= {cap + 3}' if cap else 'true'})"""
+
+
+_VOCAB_SQL = _sql_vocab("vocab", "SELECT text FROM conversations UNION ALL SELECT text FROM documents")
 
 
 def _sql_encode(name: str, rows: str, key: list[str], text: str, vocab: str = "vocab") -> str:
@@ -80,7 +98,9 @@ _ROWS_SQL = f"""
 rows AS (SELECT 'sft' AS source, u.conv_id, u.turn, u.text AS prompt, a.text AS completion
          FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
          WHERE u.role = 'user' AND a.role = 'assistant'
-         UNION ALL SELECT 'dialogue', conv_id, -1, prompt, chosen FROM dlg),
+         UNION ALL SELECT 'dialogue', conv_id, -1, prompt, chosen FROM dlg
+         UNION ALL SELECT 'document', doc_id, -1, left(text, length(text) // 2),
+                          substr(text, length(text) // 2 + 1) FROM documents),
 {_VOCAB_SQL},
 {_sql_encode('pe', 'rows', ['source', 'conv_id', 'turn'], 'prompt')},
 {_sql_encode('ce', 'rows', ['source', 'conv_id', 'turn'], 'completion')},
@@ -107,41 +127,50 @@ ex AS (SELECT source, conv_id, turn, p2 AS prompt_ids, list_append(c2, 2) AS gen
        FROM tr2)"""
 
 
-# -- T0: frequency-ranked vocabulary, specials first
+# -- T0: frequency-ranked vocabulary, specials first; all tokens, and the most frequent ones
 @register("vocab", f"WITH {_VOCAB_SQL} SELECT token, id::INT AS id FROM vocab")
 def vocab(spark, sf):
     return _vocab(spark, sf).table.select("token", "id")
 
 
-# -- T1: encode (unknown -> UNK) and decode (specials skipped)
+@register("vocab_capped", f"""
+WITH {_sql_vocab('vocab', 'SELECT text FROM conversations', VOCAB_CAP)} SELECT token, id::INT AS id FROM vocab
+""")
+def vocab_capped(spark, sf):
+    return _vocab(spark, sf, "conversations", size=VOCAB_CAP).table.select("token", "id")
+
+
+# -- T1: encode whole documents and turns, and decode them (specials skipped): with all tokens in the
+#    vocabulary decode(encode(x)) is the lower-cased text with single blanks
+_TEXTS_SQL = """
+texts AS (SELECT 'turn' AS source, conv_id, turn, text FROM conversations
+          UNION ALL SELECT 'document', doc_id, -1, text FROM documents)"""
+
+
+def _texts(spark, sf) -> DataFrame:
+    conv = table(spark, sf, "conversations").select(F.lit("turn").alias("source"), "conv_id", "turn", "text")
+    docs = table(spark, sf, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("conv_id"),
+                                                F.lit(-1).cast("bigint").alias("turn"), "text")
+    return conv.unionByName(docs)
+
+
 @register("encode", f"""
-WITH {_VOCAB_SQL},
-sft AS (SELECT u.conv_id, u.turn, u.text FROM conversations u JOIN conversations a
-        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
-{_sql_encode('e', 'sft', ['conv_id', 'turn'], 'text')}
-SELECT conv_id, turn, array_to_string(ids, ' ') AS ids FROM e
+WITH {_VOCAB_SQL}, {_TEXTS_SQL},
+{_sql_encode('e', 'texts', ['source', 'conv_id', 'turn'], 'text')}
+SELECT source, conv_id, turn, array_to_string(ids, ' ') AS ids FROM e
 """)
 def encode(spark, sf):
-    sft = D.sft_examples(table(spark, sf, "conversations")).select("conv_id", "turn", F.col("prompt").alias("text"))
-    return K.encode(sft, ["conv_id", "turn"], "text", _vocab(spark, sf), out="ids") \
-        .select("conv_id", "turn", _s("ids").alias("ids"))
+    return K.encode(_texts(spark, sf), KEY, "text", _vocab(spark, sf), out="ids").select(*KEY, _s("ids").alias("ids"))
 
 
 @register("decode", f"""
-WITH {_VOCAB_SQL},
-sft AS (SELECT u.conv_id, u.turn, u.text FROM conversations u JOIN conversations a
-        ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
-{_sql_encode('e', 'sft', ['conv_id', 'turn'], 'text')},
-d AS (SELECT conv_id, turn, unnest(ids) AS id, unnest(range(1, len(ids) + 1)) AS pos FROM e)
-SELECT e.conv_id, e.turn, coalesce(string_agg(v.token, ' ' ORDER BY d.pos) FILTER (WHERE d.id >= 4), '') AS text
-FROM e LEFT JOIN d USING (conv_id, turn) LEFT JOIN vocab v ON v.id = d.id GROUP BY e.conv_id, e.turn
+WITH {_TEXTS_SQL}
+SELECT source, conv_id, turn, array_to_string({sql_tokens('text')}, ' ') AS text FROM texts
 """)
 def decode(spark, sf):
     v = _vocab(spark, sf)
-    sft = D.sft_examples(table(spark, sf, "conversations")).select("conv_id", "turn", F.col("prompt").alias("text"))
-    enc = K.encode(sft, ["conv_id", "turn"], "text", v, out="ids")
-    return K.decode(enc, ["conv_id", "turn"], "ids", v, out="decoded").select(
-        "conv_id", "turn", F.col("decoded").alias("text"))
+    enc = K.encode(_texts(spark, sf), KEY, "text", v, out="ids").drop("text")
+    return K.decode(enc, KEY, "ids", v, out="text").select(*KEY, "text")
 
 
 # -- T2 T3 T4 T14: clip specials, truncate (prompt first, per-row mode), append EOS
@@ -174,8 +203,10 @@ def combine_mask(spark, sf):
 
 
 def _batched(spark, sf, size=BATCH):
-    e = _examples(spark, sf).withColumn("_k", O.shuffle_key(SEED, "source", "conv_id", "turn"))
-    return O.assign_batches(e, size, ["_k", "source", "conv_id", "turn"]).drop("_k")
+    """Examples with their batch: only the keys are shuffled and checkpointed."""
+    keys = _rows(spark, sf).select(*KEY).withColumn("_k", O.shuffle_key(SEED, *KEY))
+    batches = O.assign_batches(keys, size, ["_k", *KEY]).drop("_k")
+    return _examples(spark, sf).join(batches, KEY)
 
 
 _BATCH_SQL = f"""
@@ -211,9 +242,6 @@ def pad_batch(spark, sf):
 
 
 # -- T8: pack a batch into one row (documents cut, mask = 1-based doc index, positions restart)
-PACK_LEN = 40
-
-
 @register("pack_batch", f"""
 WITH {_ROWS_SQL}, {_BATCH_SQL},
 cut AS (SELECT batch_id, ord, list_slice(combined, 1, {PACK_LEN}) AS ids, list_slice(labels, 1, {PACK_LEN}) AS lab FROM bb)
@@ -242,8 +270,9 @@ def _pair_examples(spark, sf) -> DataFrame:
     e = K.build_example(e, "p_ids", "c_ids", "chosen", MAX_LEN, MAX_PROMPT, mode) \
         .withColumnRenamed("prompt_input_ids", "chosen_prompt_ids")
     e = K.build_example(e, "p_ids", "r_ids", "rejected", MAX_LEN, MAX_PROMPT, mode)
-    e = e.withColumn("_k", O.shuffle_key(SEED, "conv_id"))
-    return O.assign_batches(e, PAIR_BATCH, ["_k", "conv_id"]).withColumn("ord", F.col("idx") % PAIR_BATCH)
+    keys = d.select("conv_id").withColumn("_k", O.shuffle_key(SEED, "conv_id"))
+    batches = O.assign_batches(keys, PAIR_BATCH, ["_k", "conv_id"]).withColumn("ord", F.col("idx") % PAIR_BATCH)
+    return e.join(batches.drop("_k"), "conv_id")
 
 
 _PAIR_ROWS_SQL = f"""
@@ -310,18 +339,12 @@ def stack_sides(spark, sf):
 
 
 # -- T11: two vocabularies in one row (target / weak_target), per-vocabulary ids
-_VOCAB_B_SQL = f"""
-vocab_b AS (SELECT '<pad>' AS token, 0 AS id UNION ALL SELECT '<bos>', 1 UNION ALL SELECT '<eos>', 2
-            UNION ALL SELECT '<unk>', 3 UNION ALL
-            SELECT token, id FROM (SELECT token, row_number() OVER (ORDER BY cnt DESC, token) + 3 AS id
-                                   FROM (SELECT tok AS token, count(*) AS cnt
-                                         FROM (SELECT unnest({sql_tokens('text')}) AS tok FROM documents)
-                                         GROUP BY tok))
-            WHERE id <= {VOCAB_B + 3})"""
+_VOCAB_A_SQL = _sql_vocab("vocab", "SELECT text FROM conversations")
+_VOCAB_B_SQL = _sql_vocab("vocab_b", "SELECT text FROM documents")
 
 
 @register("dual_encode", f"""
-WITH {_VOCAB_SQL}, {_VOCAB_B_SQL},
+WITH {_VOCAB_A_SQL}, {_VOCAB_B_SQL},
 sft AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS completion FROM conversations u JOIN conversations a
         ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
 {_sql_encode('pa', 'sft', ['conv_id', 'turn'], 'prompt')},
@@ -342,7 +365,7 @@ FROM t2
 """)
 def dual_encode(spark, sf):
     sft = D.sft_examples(table(spark, sf, "conversations"))
-    va, vb = _vocab(spark, sf), _vocab(spark, sf, VOCAB_B, "documents")
+    va, vb = _vocab(spark, sf, "conversations"), _vocab(spark, sf, "documents")
     key = ["conv_id", "turn"]
     e = sft
     for name, v in (("a", va), ("b", vb)):
@@ -355,27 +378,26 @@ def dual_encode(spark, sf):
                       _s("weak_target_combined_input_ids").alias("weak_target_combined"))
 
 
-# -- T12: cut after the first EOS (pads after), completion mask, index of the last real token
+# -- T12: cut after the first EOS (pads after), completion mask, index of the last real token; whole
+#    documents as generations, those over the budget end without EOS
 @register("eos_cut", f"""
-WITH {_VOCAB_SQL},
-asst AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
-{_sql_encode('e', 'asst', ['conv_id', 'turn'], 'text')},
-g AS (SELECT conv_id, turn, list_resize(CASE WHEN len(ids) <= {GEN_BUDGET} THEN list_append(ids, 2)
-                                             ELSE list_slice(ids, 1, {GEN_BUDGET}) END, {GEN_BUDGET} + 1, 0) AS gen FROM e),
+WITH {_VOCAB_B_SQL},
+{_sql_encode('e', 'documents', ['doc_id'], 'text', 'vocab_b')},
+g AS (SELECT doc_id, list_resize(CASE WHEN len(ids) <= {GEN_BUDGET} THEN list_append(ids, 2)
+                                      ELSE list_slice(ids, 1, {GEN_BUDGET}) END, {GEN_BUDGET} + 1, 0) AS gen FROM e),
 f AS (SELECT *, coalesce(list_position(gen, 2) - 1, len(gen)) AS t, coalesce(list_position(gen, 0), 0) AS p FROM g)
-SELECT conv_id, turn,
+SELECT doc_id,
        array_to_string(list_transform(gen, lambda x, i: CASE WHEN i - 1 > t THEN 0 ELSE x END), ' ') AS cut,
        array_to_string(list_transform(gen, lambda x, i: CASE WHEN i - 1 > t THEN 0 ELSE 1 END), ' ') AS mask,
        ((CASE WHEN p > 0 THEN p - 1 ELSE 0 END) - 1 + len(gen)) % len(gen) AS last_idx
 FROM f
 """)
 def eos_cut(spark, sf):
-    asst = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    enc = K.encode(asst, ["conv_id", "turn"], "text", _vocab(spark, sf), out="ids")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    enc = K.encode(docs, ["doc_id"], "text", _vocab(spark, sf, "documents"), out="ids")
     gen = F.when(F.size("ids") <= GEN_BUDGET, F.array_append("ids", F.lit(K.EOS))).otherwise(
         F.slice("ids", 1, GEN_BUDGET))
     g = enc.withColumn("gen", A.pad_right(gen, GEN_BUDGET + 1, K.PAD))
-    return g.select("conv_id", "turn", _s(A.truncate_after("gen", K.EOS, K.PAD)).alias("cut"),
+    return g.select("doc_id", _s(A.truncate_after("gen", K.EOS, K.PAD)).alias("cut"),
                     _s(A.completion_mask("gen", K.EOS)).alias("mask"),
                     A.last_real_index("gen", K.PAD).cast("bigint").alias("last_idx"))
-

@@ -6,7 +6,6 @@ import os
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -32,6 +31,7 @@ def get_session(master: str | None = None, app: str = "prefengine",
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
@@ -43,24 +43,44 @@ def get_session(master: str | None = None, app: str = "prefengine",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (local runs, tests) is a private folder created
-    and registered; on a cluster the setting always comes from the cluster.
-    """
+    Only a local session (tests, laptop runs) may name none: it gets a private folder.  On a
+    cluster a folder of one machine would be read by the others, so that is an error."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if base:
         return base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="prefengine-ckpt-")
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir() or base
 
 
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder (for stream outputs / state)."""
+    """A fresh sub-folder of the shared checkpoint folder (stream outputs, state, written tables);
+    ``release`` deletes it."""
     root = checkpoint_root(spark)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    _folders.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}")
+    return _folders[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete every folder that ``shared_dir`` gave out and drop cached tables.  For callers that are
+    done with all results of the queries so far (bench, notebooks): results read from these folders
+    can't be computed again afterwards.  Returns the number of folders."""
+    spark.catalog.clearCache()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for folder in _folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    n = len(_folders)
+    _folders.clear()
+    return n
 
 
 def require_columns(df: DataFrame, *cols: str) -> None:
@@ -71,31 +91,31 @@ def require_columns(df: DataFrame, *cols: str) -> None:
         raise ValueError(f"missing column(s) {missing}; have {sorted(have)}")
 
 
-# Inputs estimated below this size get spread before heavy per-row work: a small file with one
-# row group is otherwise read and processed by one task.  Large inputs are already split by the
-# file source and are left as they are.
-SPREAD_BELOW_BYTES = 1 << 30
-SPREAD_PARTITION_BYTES = 4 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a small ``df`` (estimated from the optimized plan's statistics: no job runs)
-    over about one partition per 4 MiB, at least 8 and at most the default parallelism."""
+    """Deal ``df`` (a scan) over all cores if its files make fewer partitions than there are cores:
+    a small file with one row group would otherwise be processed by one task.  The number of
+    partitions comes from the plan's size estimate and the scan's split size; no job runs."""
+    spark = df.sparkSession
+    size = plan_bytes(df)
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    cores = spark.sparkContext.defaultParallelism
+    return df if size is None or size >= cores * split else df.repartition(cores)
+
+
+def plan_bytes(df: DataFrame) -> int | None:
+    """Size estimate of the optimized plan (no job runs); None if there is none."""
     try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - statistics unavailable: leave the plan alone
-        return df
-    if size >= SPREAD_BELOW_BYTES:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, max(8, -(-size // SPREAD_PARTITION_BYTES))))
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - statistics unavailable
+        return None
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Keep ``df`` (a table read several times: fitted models, vocabularies, per-candidate
-    scores) in executor memory, spilling to local disk (MEMORY_AND_DISK).
-
-    Measured against writing a parquet copy to the shared folder and reading it back (or a
-    reliable checkpoint, which computes the plan twice), this is about 1.6x faster on the
-    n-gram queries at sf0.1; a lost block is recomputed from its deterministic lineage."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Write ``df`` (a table read several times: fitted models, vocabularies, per-candidate scores)
+    once to the shared folder and read it back.
+
+    Lost executors cost nothing, joins see a plain scan with its real size (so adaptive execution
+    can broadcast or split it), and ``release`` deletes it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
