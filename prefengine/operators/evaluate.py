@@ -6,16 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sweep_grid(spark, axes: dict[str, list[str]], steps: Column | None = None) -> DataFrame:
-    """Cartesian grid of sweep axes (string values) and, optionally, steps 0..max_step.
+def sweep_grid(spark, axes: dict[str, list[str]], steps: int | None = None) -> DataFrame:
+    """Cartesian grid of sweep axes (string values) and, optionally, steps 0..``steps``.
 
-    Built in-row by nested explodes of literal arrays from one row: no join."""
-    df = spark.range(1).select()
+    The steps are a distributed range; the axes are literal lists (a sweep has a few values each)
+    exploded on every row of it: no join, and no task makes more than its part of the grid."""
+    df = spark.range((steps if steps is not None else 0) + 1).select(F.col("id").alias("step"))
     for name, values in axes.items():
         df = df.withColumn(name, F.explode(F.array(*[F.lit(str(v)) for v in values])))
-    if steps is not None:
-        df = df.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), steps)))
-    return df
+    return df.select(*axes, "step") if steps is not None else df.select(*axes)
 
 
 def run_key(template: str, *cols: str) -> Column:

@@ -1,14 +1,15 @@
 """Sequence log-probabilities.
 
 L1-L3 are column functions over logits arrays (functions.math.seq_logp).  L7 is an
-n-gram language model fitted by Spark; scoring pre-aggregates (sequence, context, token)
-counts before the shuffle join to the model, so frequent n-grams shrink before they move."""
+n-gram language model fitted by Spark: all models of a query are one count table (one column
+per model), scored rows are pre-aggregated to (sequence, context, token) counts and meet it once
+per key set, and the few keys that a natural text repeats most are joined apart."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
@@ -37,64 +38,100 @@ def _grams(df: DataFrame, col: str, n: int, keep: list[str] | None = None) -> Da
 
 
 @dataclass(frozen=True)
-class NgramModel:
-    ngrams: DataFrame     # ctx, tok, c_ngram
-    contexts: DataFrame   # ctx, c_ctx
-    vocab_size: int
+class NgramModels:
+    """Counts of several models of one order, side by side."""
+
+    names: tuple[str, ...]
+    ngrams: DataFrame           # ctx, tok, c_<name>..., c_all
+    contexts: DataFrame         # ctx, c_<name>..., c_all
+    vocab_sizes: dict[str, int]
     n: int
     k: float
 
+    @property
+    def vocab_size(self) -> int:
+        return self.vocab_sizes[self.names[0]]
+
+
+def fit_ngrams(parts: list[tuple[DataFrame, dict[str, Column]]], col: str, n: int = 2, k: float = 1.0) -> NgramModels:
+    """Add-k smoothed n-gram counts of several models.
+
+    ``parts`` are corpora, each with the models it belongs to and the condition on its rows
+    (``F.lit(True)`` for all), so nested subsets of one corpus cost one pass.  One groupBy(context,
+    token) counts all models (partial aggregation map-side); context totals and vocabulary
+    sizes derive from that table."""
+    names = tuple(dict.fromkeys(name for _, models in parts for name in models))
+    tagged = None
+    for df, models in parts:
+        flags = [models.get(name, F.lit(False)).cast("bigint").alias(f"_in_{name}") for name in names]
+        one = _grams(df.select(col, *flags), col, n, keep=[f"_in_{name}" for name in names])
+        tagged = one if tagged is None else tagged.unionByName(one)
+    counts = [F.sum(f"_in_{name}").alias(f"c_{name}") for name in names]
+    ngrams = tagged.groupBy("ctx", "tok").agg(*counts, F.count(F.lit(1)).alias("c_all"))
+    ngrams = materialize(ngrams, "ngrams")
+    columns = [f"c_{name}" for name in names]
+    contexts = materialize(ngrams.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in [*columns, "c_all"]]), "contexts")
+    seen = ngrams.groupBy("tok").agg(*[F.max((F.col(c) > 0).cast("bigint")).alias(c) for c in columns])
+    v = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
+    return NgramModels(names, ngrams, contexts, {name: int(v[f"c_{name}"]) for name in names}, n, float(k))
+
+
+def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModels:
+    """A single model (named "logp"); see ``fit_ngrams``."""
+    return fit_ngrams([(df, {"logp": F.lit(True)})], col, n, k)
+
+
+#: A key that makes up at least this share of a count table is joined apart (so there are at most
+#: as many such keys as the reciprocal).
+HOT_SHARE = 1e-3
+
+
+def join_counts(left: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of ``left`` with a count table (``on`` unique, total in c_all).
 
-def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModel:
-    """Add-k smoothed n-gram counts (L7): one tokenising pass and one groupBy(context, token)
-    (partial aggregation map-side); context totals and the vocabulary size derive from that
-    count table (persisted, see session.materialize), not from a second pass over the corpus."""
-    ngrams = materialize(_grams(df, col, n).groupBy("ctx", "tok").agg(F.count(F.lit(1)).alias("c_ngram")))
-    contexts = materialize(ngrams.groupBy("ctx").agg(F.sum("c_ngram").alias("c_ctx")))
-    v = ngrams.select("tok").distinct().count()
-    return NgramModel(ngrams, contexts, int(v), n, float(k))
+    Keys with a share of HOT_SHARE or more ("the", the start of a text) would put that share of all
+    rows into one task.  There are at most 1 / HOT_SHARE of them by construction, so they are
+    broadcast; only the other rows are shuffled to the table."""
+    total = counts.agg(F.sum("c_all")).first()[0] or 0
+    hot = counts.filter(F.col("c_all") >= max(1, total * HOT_SHARE)).drop("c_all")
+    found = [c for c in hot.columns if c not in on]
+    tagged = left.join(F.broadcast(hot.select(*on, F.struct(*found).alias("_hot"))), on, "left")
+    apart = tagged.filter(F.col("_hot").isNotNull()).select(*left.columns, "_hot.*")
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(counts.drop("c_all"), on, "left")
+    return apart.unionByName(rest.select(*left.columns, *found))
 
 
-def ngram_logps(df: DataFrame, key: list[str], col: str, models: dict[str, NgramModel],
+def ngram_logps(df: DataFrame, key: list[str], col: str, models: NgramModels,
                 with_length: str | None = None) -> DataFrame:
-    """Log-probs of every row of ``df`` under several n-gram models of the same order (L7):
-    sum over tokens of ln((c(ctx, tok) + k) / (c(ctx) + k V)), one column per model.
-
-    The scored rows are tokenised once and pre-aggregated to (key, ctx, tok, m) before they
-    meet the models, so repeated n-grams shrink map-side; each model's counts join on
-    (ctx, tok) and ctx, where AQE picks the strategy from measured sizes and splits skewed
-    keys.  Rows without tokens score 0."""
-    orders = {m.n for m in models.values()}
-    if len(orders) != 1:
-        raise ValueError("models must share one order n")
-    grams = _grams(df, col, orders.pop(), keep=key).groupBy(*key, "ctx", "tok").agg(F.count(F.lit(1)).alias("_m"))
-    # all (ctx, tok) joins first, then all ctx joins: the scored rows are shuffled once per key
-    # set and every model's join reuses that partitioning
-    scored = grams
-    for name, m in models.items():
-        scored = scored.join(m.ngrams.select("ctx", "tok", F.col("c_ngram").alias(f"_c2_{name}")),
-                             ["ctx", "tok"], "left")
-    for name, m in models.items():
-        scored = scored.join(m.contexts.select("ctx", F.col("c_ctx").alias(f"_c1_{name}")), "ctx", "left")
-    for name, m in models.items():
-        scored = scored.withColumn(f"_lp_{name}", F.col("_m") * F.log(
-            (F.coalesce(F.col(f"_c2_{name}"), F.lit(0)) + F.lit(m.k))
-            / (F.coalesce(F.col(f"_c1_{name}"), F.lit(0)) + F.lit(m.k * m.vocab_size))))
-    agg = [F.sum(f"_lp_{name}").alias(name) for name in models]
+    """Log-probs of every row of ``df`` under all models (L7): sum over tokens of
+    ln((c(ctx, tok) + k) / (c(ctx) + k V)), one column per model.
+
+    The scored rows are tokenised once and pre-aggregated to (key, ctx, tok, m) before they meet
+    the counts: one join on (ctx, tok) and one on ctx, however many models there are.  Rows without
+    tokens score 0."""
+    scored = _grams(df, col, models.n, keep=key).groupBy(*key, "ctx", "tok").agg(F.count(F.lit(1)).alias("_m"))
+    named = lambda t, p: t.select(*[F.col(c).alias(p + c if c.startswith("c_") and c != "c_all" else c) for c in t.columns])
+    scored = join_counts(scored, named(models.ngrams, "_2"), ["ctx", "tok"])
+    scored = join_counts(scored, named(models.contexts, "_1"), ["ctx"])
+
+    def logp(name: str) -> Column:
+        return F.col("_m") * F.log((F.coalesce(F.col(f"_2c_{name}"), F.lit(0)) + F.lit(models.k))
+                                   / (F.coalesce(F.col(f"_1c_{name}"), F.lit(0)) + F.lit(models.k * models.vocab_sizes[name])))
+
+    agg = [F.sum(logp(name)).alias(name) for name in models.names]
     if with_length:
         agg.append(F.sum("_m").alias(with_length))
-    per = scored.groupBy(*key).agg(*agg)
-    base = df.select(*key).join(per, key, "left")
-    base = base.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in models})
+    base = df.select(*key).join(scored.groupBy(*key).agg(*agg), key, "left")
+    base = base.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in models.names})
     if with_length:
         base = base.withColumn(with_length, F.coalesce(F.col(with_length), F.lit(0)).cast("bigint"))
     return base
 
 
-def ngram_logp(df: DataFrame, key: list[str], col: str, model: NgramModel, out: str = "logp",
+def ngram_logp(df: DataFrame, key: list[str], col: str, model: NgramModels, out: str = "logp",
                with_length: str | None = None) -> DataFrame:
     """Single-model form of ``ngram_logps``: returns ``key`` + ``out`` (+ token count)."""
-    return ngram_logps(df, key, col, {out: model}, with_length)
+    return ngram_logps(df, key, col, model, with_length).withColumnRenamed(model.names[0], out)
 
 
 def packed_logp(tokens: DataFrame, by: list[str], doc: str, value: str, out: str = "logp") -> DataFrame:
@@ -110,22 +147,25 @@ def pivot_sides(df: DataFrame, key: list[str], side: str, value: str,
                                   for s in sides])
 
 
-def attach_logps(pairs: DataFrame, key: list[str], policy: DataFrame | None = None,
-                 ref: DataFrame | None = None, data: DataFrame | None = None) -> DataFrame:
+def attach_logps(pairs: DataFrame, key: list[str], policy=None, ref=None, data=None) -> DataFrame:
     """Bring policy / reference / data log-probs onto the pairs.
 
-    Each table carries ``key`` + chosen_logps, rejected_logps.  Precomputed columns already
-    on ``pairs`` win (coalesce); the data log-prob falls back to the reference's."""
+    Each is a table with ``key`` + chosen_logps, rejected_logps, or the names of two columns that
+    the pairs already carry (no join then).  Precomputed columns already on ``pairs`` win
+    (coalesce); the data log-prob falls back to the reference's."""
     out = pairs
     for name, t in (("", policy), ("ref_", ref), ("data_", data)):
         if t is None:
             continue
-        cols = [F.col(f"chosen_logps").alias(f"_{name}c"), F.col("rejected_logps").alias(f"_{name}r")]
-        out = out.join(t.select(*key, *cols), key, "left")
-        for side, tmp in (("chosen", f"_{name}c"), ("rejected", f"_{name}r")):
+        found = {"chosen": f"_{name}c", "rejected": f"_{name}r"}
+        if isinstance(t, DataFrame):
+            out = out.join(t.select(*key, *[F.col(f"{side}_logps").alias(c) for side, c in found.items()]), key, "left")
+        else:
+            out = out.withColumns({c: F.col(own) for c, own in zip(found.values(), t)})
+        for side, tmp in found.items():
             tgt = f"{name}{side}_logps"
             out = out.withColumn(tgt, F.coalesce(F.col(tgt), F.col(tmp)) if tgt in pairs.columns else F.col(tmp))
-        out = out.drop(f"_{name}c", f"_{name}r")
+        out = out.drop(*found.values())
     for side in ("chosen", "rejected"):
         d, r = f"data_{side}_logps", f"ref_{side}_logps"
         if r in out.columns:

@@ -29,11 +29,12 @@ def pair_metrics(df: DataFrame, beta: float) -> DataFrame:
     return out
 
 
-def kl_estimate(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Mean sequence KL estimate over both sides (M2)."""
+def kl_estimate(df: DataFrame, by: list[str] | None = None, **more: Column) -> DataFrame:
+    """Mean sequence KL estimate over both sides (M2), with further aggregates of the same groups."""
     kl = ((F.col("chosen_logps") - F.col("ref_chosen_logps"))
           + (F.col("rejected_logps") - F.col("ref_rejected_logps"))) / F.lit(2.0)
-    return df.groupBy(*(by or [])).agg(F.avg(kl).alias("kl"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*(by or [])).agg(F.avg(kl).alias("kl"), F.count(F.lit(1)).alias("n"),
+                                        *[c.alias(name) for name, c in more.items()])
 
 
 def interval_means(df: DataFrame, metrics: list[str], batch_size: int, accumulation: int, order_by,

@@ -6,53 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefengine.operators.logprob import fit_ngram, ngram_logps
 from prefengine.operators.metrics import pair_metrics
 from prefengine.operators.objectives import objective
-from prefengine.operators.pairs import candidate_pairs, label_pairs
-from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_softplus,
-                                       sql_text_score, table)
-from prefengine.session import materialize
-from prefengine.sources.driver_tables import candidate_sets, text_score
+from prefengine.plans.q_logprob import train_pairs
+from prefengine.plans.registry import register, sql_ngram_model, sql_ngram_score, sql_r, sql_softplus, sql_text_score
 
 K_PAIRS = 4
 BETA = 0.1
 
 
-def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every assistant turn with its judge score and policy / reference n-gram log-probs.
-
-    Policy model: bigrams of assistant turns; reference model: bigrams of documents."""
-    conv = table(spark, sf_dir, "conversations")
-    docs = table(spark, sf_dir, "documents")
-    asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    models = {"pi": fit_ngram(asst, "text", n=2, k=1.0), "rho": fit_ngram(docs, "text", n=2, k=1.0)}
-    key = ["conv_id", "turn"]
-    lp = ngram_logps(asst, key, "text", models)
-    # one row per candidate, read by both sides of every pair: computed once
-    return materialize(asst.select(*key, text_score("text").alias("score")).join(lp, key))
-
-
-def labelled_pairs(spark: SparkSession, sf_dir: str, k: int = K_PAIRS) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations")
-    sets = candidate_sets(conv, max_candidates=k + 1)
-    pairs = candidate_pairs(sets.select("conv_id", "n_candidates", "turns"), k, col="turns",
-                            first="first_turn", second="second_turn")
-    cand = scored_candidates(spark, sf_dir)
-    a = cand.select("conv_id", F.col("turn").alias("first_turn"), F.col("score").alias("chosen_score"),
-                    F.col("pi").alias("pi_a"), F.col("rho").alias("rho_a"))
-    b = cand.select("conv_id", F.col("turn").alias("second_turn"), F.col("score").alias("rejected_score"),
-                    F.col("pi").alias("pi_b"), F.col("rho").alias("rho_b"))
-    joined = pairs.join(a, ["conv_id", "first_turn"]).join(b, ["conv_id", "second_turn"])
-    lab = label_pairs(joined, tie="second", first="first_turn", second="second_turn",
-                      carry={"logps": ("pi_a", "pi_b"), "ref_logps": ("rho_a", "rho_b")})
-    return (lab.withColumnRenamed("chosen", "chosen_turn").withColumnRenamed("rejected", "rejected_turn")
-            .withColumnRenamed("chosen_ref_logps", "ref_chosen_logps")
-            .withColumnRenamed("rejected_ref_logps", "ref_rejected_logps"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = objective(labelled_pairs(spark, sf_dir), "dpo", beta=BETA)
+    pairs = objective(train_pairs(spark, sf_dir, K_PAIRS, models=("pi", "rho")), "dpo", beta=BETA)
     m = pair_metrics(pairs, BETA)
     return (m.groupBy("n_candidates")
             .agg(F.count(F.lit(1)).alias("pairs"),

@@ -39,7 +39,7 @@ sk AS (SELECT *, 'beta' || beta || '_seed' || seed AS run_key FROM sw)"""
 # -- V1: sweep coverage: grid of beta x seed x step, left-joined to result rows
 @register("sweep_coverage", f"""
 WITH {_SWEEP_SQL},
-res AS (SELECT run_key, step, count(*) AS n FROM sk WHERE event_type = 'purchase' AND value > 48 GROUP BY ALL),
+res AS (SELECT run_key, step, count(*) AS n FROM sk GROUP BY ALL),
 grid AS (SELECT 'beta' || b || '_seed' || s AS run_key, st AS step
          FROM unnest(['{"', '".join(BETAS)}']) t1(b), unnest(['{"', '".join(SEEDS)}']) t2(s),
               range(0, (SELECT max(event_id) // {STEP_EVENTS} FROM events) + 1) t3(st))
@@ -49,11 +49,10 @@ FROM grid g LEFT JOIN res r USING (run_key, step)
 """)
 def sweep_coverage(spark, sf):
     rows = _sweep_rows(spark, sf)
-    results = rows.filter((F.col("event_type") == "purchase") & (F.col("value") > 48))
-    max_step = table(spark, sf, "events").agg((F.max("event_id") / STEP_EVENTS).cast("bigint")).scalar()
+    max_step = table(spark, sf, "events").agg((F.max("event_id") / STEP_EVENTS).cast("bigint")).first()[0]
     grid = V.sweep_grid(spark, {"beta": BETAS, "seed": SEEDS}, steps=max_step)
     grid = grid.select(V.run_key("beta%s_seed%s", "beta", "seed").alias("run_key"), "step")
-    return V.sweep_coverage(results, grid, ["run_key", "step"]).select("run_key", "step", "n_results", "status")
+    return V.sweep_coverage(rows, grid, ["run_key", "step"]).select("run_key", "step", "n_results", "status")
 
 
 _WIN_SQL = f"""
@@ -112,9 +111,8 @@ def _checkpoint_scores(spark, sf) -> DataFrame:
     conv = table(spark, sf, "conversations")
     asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
     key = ["conv_id", "turn"]
-    models = {"rho": L.fit_ngram(table(spark, sf, "documents"), "text")}
-    for s in CHECKPOINTS:
-        models[f"pi{s}"] = L.fit_ngram(asst.filter(F.col("conv_id") % 3 < s), "text")
+    nested = {f"pi{s}": F.col("conv_id") % 3 < s for s in CHECKPOINTS}  # one pass counts all checkpoints
+    models = L.fit_ngrams([(table(spark, sf, "documents").select("text"), {"rho": F.lit(True)}), (asst, nested)], "text")
     lp = L.ngram_logps(asst, key, "text", models, with_length="n_tokens")
     steps = F.explode(F.array(*[F.struct(F.lit(s).cast("bigint").alias("step"), F.col(f"pi{s}").alias("pi"))
                                 for s in CHECKPOINTS])).alias("_s")

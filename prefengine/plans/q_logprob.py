@@ -10,9 +10,9 @@ from prefengine.functions.math import _token_logps, seq_logp
 from prefengine.operators import logprob as L
 from prefengine.operators import order as O
 from prefengine.operators.pairs import candidate_pairs, label_pairs
+from prefengine.operators.tokens import token_list
 from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
                                        table)
-from prefengine.session import materialize
 from prefengine.sources import driver_tables as D
 
 POS, VOC = 8, 8
@@ -95,38 +95,52 @@ _ASST = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
 _USER = "SELECT text FROM conversations WHERE role = 'user'"
 
 
-def candidate_logps(spark, sf) -> DataFrame:
-    """Every assistant turn: judge score, token count, and log-probs under the policy
-    (assistant bigrams), reference (document bigrams) and data (user bigrams) models."""
-    conv = table(spark, sf, "conversations")
-    docs = table(spark, sf, "documents")
-    asst = conv.filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
-    user = conv.filter(F.col("role") == "user").select("text")
+MODELS = ("pi", "rho", "dat")
+
+
+def fit_models(spark, sf, names=MODELS) -> L.NgramModels:
+    """Only the models asked for: policy (assistant bigrams), reference (document bigrams) and data
+    (user bigrams), counted in one pass over the tables they need."""
+    conv = table(spark, sf, "conversations").select("text", "role")
+    turns = {n: F.col("role") == r for n, r in (("pi", "assistant"), ("dat", "user")) if n in names}
+    parts = [(conv.filter(F.col("role").isin("assistant", "user")), turns)] if turns else []
+    if "rho" in names:
+        parts.append((table(spark, sf, "documents").select("text"), {"rho": F.lit(True)}))
+    return L.fit_ngrams(parts, "text")
+
+
+def candidates(spark, sf, k: int, models=MODELS, length: bool = False) -> DataFrame:
+    """The first K + 1 assistant turns of each conversation (E2 with K pairs reads no others) with judge
+    score and, as asked for, log-probs and token count."""
+    c = D.first_candidates(table(spark, sf, "conversations"), k + 1)
     key = ["conv_id", "turn"]
-    models = {"pi": L.fit_ngram(asst, "text"), "rho": L.fit_ngram(docs, "text"), "dat": L.fit_ngram(user, "text")}
-    lp = L.ngram_logps(asst, key, "text", models, with_length="n_tokens")
-    # one row per candidate, read by both sides of every pair: computed once
-    return materialize(asst.select(*key, D.text_score("text").alias("score")).join(lp, key))
+    out = c.select(*key, D.text_score("completion").alias("score"), F.size(token_list("completion")).cast("bigint").alias("n_tokens"))
+    if models:
+        out = out.join(L.ngram_logps(c.select(*key, "completion"), key, "completion", fit_models(spark, sf, models)), key)
+    return out if length else out.drop("n_tokens")
+
 
+def train_pairs(spark, sf, k: int = K_PAIRS, models=MODELS, length: bool = False) -> DataFrame:
+    """Labelled candidate pairs with the columns asked for: log-probs of ``models`` and, with
+    ``length``, token counts and prompt.
 
-def train_pairs(spark, sf, k: int = K_PAIRS, cand: DataFrame | None = None) -> DataFrame:
-    """Labelled candidate pairs with every column the objectives read (``cand``: the
-    per-candidate log-prob table when the caller already built it)."""
+    Candidates are gathered as structs that carry all their values (at most K + 1 per conversation),
+    so pairs are made and labelled in the row and nothing is joined back."""
     conv = table(spark, sf, "conversations")
-    sets = D.candidate_sets(conv, max_candidates=k + 1).select("conv_id", "n_candidates", "turns")
-    pairs = candidate_pairs(sets, k, col="turns", first="first_turn", second="second_turn")
-    c = cand if cand is not None else candidate_logps(spark, sf)
-    cols = ["score", "pi", "rho", "dat", "n_tokens"]
-    a = c.select("conv_id", F.col("turn").alias("first_turn"), *[F.col(x).alias(f"{x}_a") for x in cols])
-    b = c.select("conv_id", F.col("turn").alias("second_turn"), *[F.col(x).alias(f"{x}_b") for x in cols])
-    j = pairs.join(a, ["conv_id", "first_turn"]).join(b, ["conv_id", "second_turn"])
-    lab = label_pairs(j, tie="second", first="first_turn", second="second_turn",
-                      first_score="score_a", second_score="score_b",
-                      carry={"logps": ("pi_a", "pi_b"), "rl": ("rho_a", "rho_b"), "dl": ("dat_a", "dat_b"),
-                             "length": ("n_tokens_a", "n_tokens_b")})
-    return (lab.withColumnRenamed("chosen", "chosen_turn").withColumnRenamed("rejected", "rejected_turn")
-            .withColumnRenamed("chosen_rl", "ref_chosen_logps").withColumnRenamed("rejected_rl", "ref_rejected_logps")
-            .withColumnRenamed("chosen_dl", "data_chosen_logps").withColumnRenamed("rejected_dl", "data_rejected_logps"))
+    c = candidates(spark, sf, k, models, length)
+    values = [x for x in c.columns if x != "conv_id"]
+    sets = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*values))).alias("cands"))
+    prompts = D.candidate_prompts(conv).select("conv_id", "n_candidates", *["prompt"] * length)
+    pairs = candidate_pairs(sets.join(prompts, "conv_id"), k, col="cands", first="a", second="b")
+    pairs = pairs.select("conv_id", "n_candidates", "pair_idx", *["prompt"] * length,
+                         *[F.col(f"{s}.{x}").alias(f"{x}_{s}") for s in ("a", "b") for x in values])
+    names = {"pi": "logps", "rho": "rl", "dat": "dl", "n_tokens": "length"}
+    lab = label_pairs(pairs, tie="second", first="turn_a", second="turn_b", first_score="score_a", second_score="score_b",
+                      carry={names[x]: (f"{x}_a", f"{x}_b") for x in values if x in names})
+    for old, new in (("chosen", "chosen_turn"), ("rejected", "rejected_turn"), ("chosen_rl", "ref_chosen_logps"),
+                     ("rejected_rl", "ref_rejected_logps"), ("chosen_dl", "data_chosen_logps"), ("rejected_dl", "data_rejected_logps")):
+        lab = lab.withColumnRenamed(old, new)
+    return lab
 
 
 TRAIN_PAIRS_SQL = f"""
@@ -198,7 +212,7 @@ WITH {TRAIN_PAIRS_SQL}
 SELECT conv_id, pair_idx, {sql_r('chosen_logps')} AS chosen_logps, {sql_r('rejected_logps')} AS rejected_logps FROM tp
 """)
 def pivot_sides(spark, sf):
-    tp = train_pairs(spark, sf)
+    tp = train_pairs(spark, sf, models=("pi",))
     long = tp.select("conv_id", "pair_idx", F.explode(F.array(
         F.struct(F.lit("chosen").alias("side"), F.col("chosen_logps").alias("v")),
         F.struct(F.lit("rejected").alias("side"), F.col("rejected_logps").alias("v")))).alias("_s")) \
@@ -227,22 +241,12 @@ LEFT JOIN (SELECT conv_id, turn, dat FROM cand WHERE conv_id % 3 = 0) dc ON dc.c
 LEFT JOIN (SELECT conv_id, turn, dat FROM cand WHERE conv_id % 3 = 0) dr ON dr.conv_id = p.conv_id AND dr.turn = p.rejected_turn
 """)
 def attach_logps(spark, sf):
-    c = candidate_logps(spark, sf)
-    tp = train_pairs(spark, sf, cand=c)
-    pre = tp.select("conv_id", "pair_idx", "chosen_turn", "rejected_turn",
-                    F.when(F.col("conv_id") % 2 == 0, F.round("ref_chosen_logps", 2)).alias("ref_chosen_logps"),
-                    F.when(F.col("conv_id") % 2 == 0, F.round("ref_rejected_logps", 2)).alias("ref_rejected_logps"))
-    key = ["conv_id", "chosen_turn", "rejected_turn"]
-
-    def side_table(col, where=None):
-        src = c if where is None else c.filter(where)
-        a = src.select("conv_id", F.col("turn").alias("chosen_turn"), F.col(col).alias("chosen_logps"))
-        b = src.select("conv_id", F.col("turn").alias("rejected_turn"), F.col(col).alias("rejected_logps"))
-        return (pre.select(*key).join(a, ["conv_id", "chosen_turn"], "left")
-                .join(b, ["conv_id", "rejected_turn"], "left"))
-    ref = side_table("rho")
-    data = side_table("dat", F.col("conv_id") % 3 == 0).filter(F.col("chosen_logps").isNotNull())
-    out = L.attach_logps(pre, key, ref=ref, data=data)
+    tp = train_pairs(spark, sf, models=("rho", "dat"))
+    even, third = F.col("conv_id") % 2 == 0, F.col("conv_id") % 3 == 0
+    pre = tp.select("conv_id", "pair_idx", F.col("ref_chosen_logps").alias("rc"), F.col("ref_rejected_logps").alias("rr"),
+                    F.when(third, F.col("data_chosen_logps")).alias("dc"), F.when(third, F.col("data_rejected_logps")).alias("dr"))
+    pre = pre.withColumns({"ref_chosen_logps": F.when(even, F.round("rc", 2)), "ref_rejected_logps": F.when(even, F.round("rr", 2))})
+    out = L.attach_logps(pre, ["conv_id", "pair_idx"], ref=("rc", "rr"), data=("dc", "dr"))
     return out.select("conv_id", "pair_idx", *[F.round(c_, 6).alias(c_) for c_ in
                                                ("ref_chosen_logps", "ref_rejected_logps",
                                                 "data_chosen_logps", "data_rejected_logps")])

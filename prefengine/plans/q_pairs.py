@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from prefengine.functions.arrays import has_token, truncate_after
 from prefengine.operators import pairs as P
 from prefengine.operators.tokens import EOS, PAD, SPECIALS, token_list
-from prefengine.plans.flagship import scored_candidates
+from prefengine.operators import logprob as L
+from prefengine.plans.q_logprob import fit_models
 from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
                                        sql_tokens, table)
 from prefengine.sources import driver_tables as D
@@ -189,6 +190,7 @@ WITH {sql_ngram_model('pol', _ASST)},
 SELECT conv_id, turn, {sql_r(f'{BETA} * (pi - rho)')} AS reward FROM pi JOIN rho USING (conv_id, turn)
 """)
 def implicit_reward(spark, sf):
-    c = scored_candidates(spark, sf)
+    asst = _conv(spark, sf).filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
+    c = L.ngram_logps(asst, ["conv_id", "turn"], "text", fit_models(spark, sf, ("pi", "rho")))
     return c.select("conv_id", "turn", F.round(P.implicit_reward("pi", "rho", BETA), 6).alias("reward"))
 

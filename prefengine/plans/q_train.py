@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from prefengine.functions import arrays as A
+from prefengine.functions.text import truncation_mode
 from prefengine.operators import metrics as MT
 from prefengine.operators import order as O
 from prefengine.operators.objectives import objective
-from prefengine.plans.q_logprob import TRAIN_PAIRS_SQL, train_pairs
-from prefengine.plans.registry import register, sql_fixed_mean, sql_r, sql_softplus, table
+from prefengine.operators.tokens import EOS, token_list
+from prefengine.plans.q_logprob import MODELS, TRAIN_PAIRS_SQL, train_pairs
+from prefengine.plans.q_tokens import MAX_LEN, MAX_PROMPT
+from prefengine.plans.registry import register, sql_fixed_mean, sql_r, sql_softplus, sql_tokens, table
 from prefengine.sources import driver_tables as D
 
 BETA, EPS, ETA, ALPHA = 0.1, 0.25, 0.005, 0.01
@@ -18,9 +22,9 @@ DPO = sql_softplus(f"(-{BETA} * {H})")
 W = f"exp(least(chosen_logps - data_chosen_logps + rejected_logps - data_rejected_logps, {2 * EPS}))"
 
 
-def _loss_query(kind: str, **kw):
+def _loss_query(kind: str, models=("pi", "rho"), **kw):
     def q(spark, sf):
-        out = objective(train_pairs(spark, sf), kind, beta=BETA, eps=EPS, eta=ETA, alpha=ALPHA, **kw)
+        out = objective(train_pairs(spark, sf, models=models), kind, beta=BETA, eps=EPS, eta=ETA, alpha=ALPHA, **kw)
         return out.select("conv_id", "pair_idx", F.round("h", 6).alias("h"), F.round("weight", 6).alias("weight"),
                           F.round("loss", 6).alias("loss"))
     return q
@@ -37,14 +41,45 @@ SELECT conv_id, pair_idx, {sql_r(h) if h != 'NULL' else 'NULL::DOUBLE'} AS h, {s
 # -- J1 DPO, J2 IPO, J3 IS-weighted (IPO and sigmoid bases), J4 RPO, J5 length, J6 reward, J7 SFT
 register("loss_dpo", _loss_sql(H, "1.0", DPO))(_loss_query("dpo"))
 register("loss_ipo", _loss_sql(H, "1.0", IPO))(_loss_query("ipo"))
-register("loss_is", _loss_sql(H, W, f"{W} * {IPO}"))(_loss_query("is"))
-register("loss_is_sigmoid", _loss_sql(H, W, f"{W} * {DPO}"))(_loss_query("is", base="sigmoid"))
+register("loss_is", _loss_sql(H, W, f"{W} * {IPO}"))(_loss_query("is", models=MODELS))
+register("loss_is_sigmoid", _loss_sql(H, W, f"{W} * {DPO}"))(_loss_query("is", models=MODELS, base="sigmoid"))
 register("loss_rpo", _loss_sql(H, "1.0", f"{DPO} - {BETA} * {ETA} * chosen_logps"))(_loss_query("rpo"))
-register("loss_length", _loss_sql(
-    H, "1.0", sql_softplus(f"(-({BETA} * {H} + {ALPHA} * (chosen_length - rejected_length)))")))(
-    _loss_query("length"))
 register("loss_reward", _loss_sql("(chosen_score - rejected_score)", "1.0",
-                                  sql_softplus("(-(chosen_score - rejected_score))")))(_loss_query("reward"))
+                                  sql_softplus("(-(chosen_score - rejected_score))")))(_loss_query("reward", models=()))
+
+
+# -- J5: lengths are scored tokens (T13) of the truncated example: the prompt is cut to 512 tokens if
+#    the pair is over 640, then the completion to what is left; EOS counts
+def _scored_length(prompt: str, n: str):
+    ids = lambda c: F.array_repeat(F.lit(EOS + 2), c)
+    p, c = ids(F.size(token_list(prompt))), ids(F.col(n).cast("int"))
+    p2 = A.truncate_prompt(p, c, MAX_LEN, MAX_PROMPT, truncation_mode(prompt))
+    full = A.append_token(A.truncate_completion(p2, c, MAX_LEN), EOS)
+    return A.target_length(A.prompt_masked_labels(p2, full)).cast("bigint")
+
+
+def _scored_sql(n: str) -> str:
+    cut = f"(CASE WHEN np + {n} > {MAX_LEN} AND np > {MAX_PROMPT} THEN {MAX_PROMPT} ELSE np END)"
+    return (f"(CASE WHEN {cut} + {n} > {MAX_LEN} THEN greatest({MAX_LEN} - {cut}, 0) ELSE {n} END + 1"
+            f" - CASE WHEN {cut} = 0 THEN 1 ELSE 0 END)")
+
+
+_LENGTHS = f"({_scored_sql('chosen_length')} - {_scored_sql('rejected_length')})"
+
+
+@register("loss_length", f"""
+WITH {TRAIN_PAIRS_SQL},
+pr AS (SELECT f.conv_id, (SELECT arg_max(u.text, u.turn) FROM conversations u WHERE u.conv_id = f.conv_id
+                          AND u.role = 'user' AND u.turn < f.first_turn) AS prompt FROM firsts f),
+tl AS (SELECT tp.*, len({sql_tokens('pr.prompt')}) AS np FROM tp JOIN pr USING (conv_id))
+SELECT conv_id, pair_idx, {sql_r(H)} AS h, {sql_r('1.0')} AS weight,
+       {sql_r(sql_softplus(f"(-({BETA} * {H} + {ALPHA} * {_LENGTHS}))"))} AS loss FROM tl
+""")
+def loss_length(spark, sf):
+    tp = train_pairs(spark, sf, models=("pi", "rho"), length=True)
+    tp = tp.withColumns({c: _scored_length("prompt", c) for c in ("chosen_length", "rejected_length")})
+    out = objective(tp, "length", beta=BETA, eps=EPS, eta=ETA, alpha=ALPHA)
+    return out.select("conv_id", "pair_idx", *[F.round(c, 6).alias(c) for c in ("h", "weight", "loss")])
 
 
 @register("loss_sft", f"""
@@ -53,7 +88,7 @@ SELECT conv_id, pair_idx, {sql_r('-chosen_logps')} AS loss_sum, {sql_r('-chosen_
 FROM tp
 """)
 def loss_sft(spark, sf):
-    tp = train_pairs(spark, sf).withColumn("logp_mean", F.try_divide(F.col("chosen_logps"),
+    tp = train_pairs(spark, sf, models=("pi",), length=True).withColumn("logp_mean", F.try_divide(F.col("chosen_logps"),
                                                                      F.col("chosen_length").cast("double")))
     s = objective(tp, "sft", logp="chosen_logps").select("conv_id", "pair_idx", "logp_mean",
                                                           F.round("loss", 6).alias("loss_sum"))
@@ -72,7 +107,7 @@ SELECT conv_id, pair_idx, {sql_r(f'{BETA} * (chosen_logps - ref_chosen_logps)')}
 FROM tp
 """)
 def pair_metrics(spark, sf):
-    m = MT.pair_metrics(train_pairs(spark, sf), BETA)
+    m = MT.pair_metrics(train_pairs(spark, sf, models=("pi", "rho")), BETA)
     return m.select("conv_id", "pair_idx", *[F.round(c, 6).alias(c) for c in
                                              ("chosen_rewards", "rejected_rewards", "margins")],
                     "accuracy", F.round("score_margin", 6).alias("score_margin"))
@@ -86,12 +121,10 @@ SELECT n_candidates, {sql_r('avg(((chosen_logps - ref_chosen_logps) + (rejected_
 FROM tp GROUP BY n_candidates
 """)
 def kl_estimate(spark, sf):
-    tp = train_pairs(spark, sf)
-    kl = MT.kl_estimate(tp, by=["n_candidates"])
-    ln = tp.groupBy("n_candidates").agg(F.avg((F.col("chosen_length") + F.col("rejected_length")) / 2.0)
-                                        .alias("mean_length"))
-    return kl.join(ln, "n_candidates").select("n_candidates", F.round("kl", 6).alias("kl"), "n",
-                                              F.round("mean_length", 6).alias("mean_length"))
+    tp = train_pairs(spark, sf, models=("pi", "rho"), length=True)
+    mean = F.avg((F.col("chosen_length") + F.col("rejected_length")) / 2.0)
+    kl = MT.kl_estimate(tp, by=["n_candidates"], mean_length=mean)
+    return kl.select("n_candidates", F.round("kl", 6).alias("kl"), "n", F.round("mean_length", 6).alias("mean_length"))
 
 
 # ------------------------------------------------------------------ metric log (events)

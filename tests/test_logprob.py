@@ -64,3 +64,26 @@ def test_pivot_and_packed(spark):
 def test_softplus_stable(spark):
     r = spark.range(1).select(softplus(F.lit(1000.0)), softplus(F.lit(-1000.0)), softplus(F.lit(0.0))).first()
     assert r[0] == pytest.approx(1000.0) and r[1] == pytest.approx(0.0) and r[2] == pytest.approx(math.log(2))
+
+
+def test_many_models_one_table_and_hot_contexts_apart(spark):
+    """Counts of all models come from one table; frequent keys are joined by broadcast, so the
+    shuffled side never holds them, and scores equal those of models fitted one by one."""
+    rows = [(i, f"the w{i} the v{i % 7} of the x{i % 3}") for i in range(300)] + [(900, "")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    both = L.fit_ngrams([(df, {"a": F.lit(True), "b": F.col("k") % 2 == 0})], "text")
+    single = {"a": L.fit_ngram(df, "text"), "b": L.fit_ngram(df.filter("k % 2 = 0"), "text")}
+    assert both.vocab_sizes == {n: m.vocab_size for n, m in single.items()}
+    got = {r["k"]: r for r in L.ngram_logps(df, ["k"], "text", both).collect()}
+    for name, m in single.items():
+        for r in L.ngram_logp(df, ["k"], "text", m).collect():
+            assert got[r["k"]][name] == pytest.approx(r["logp"])
+
+    grams = L._grams(df, "text", 2, keep=["k"])
+    joined = L.join_counts(grams, both.contexts, ["ctx"])
+    assert joined.count() == grams.count() and joined.filter("c_a is null").count() == 0
+    total = both.contexts.agg(F.sum("c_all")).first()[0]
+    hot = both.contexts.filter(F.col("c_all") >= total * L.HOT_SHARE)
+    assert 1 <= hot.count() <= 1 / L.HOT_SHARE and hot.filter("ctx = 'the'").count() == 1
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and plan.count("Join LeftOuter") == 3  # hot keys (both branches), then the table

@@ -27,7 +27,7 @@ def test_attach_policy_and_reference(spark):
 
 
 def test_sweep_grid_and_coverage(spark):
-    grid = V.sweep_grid(spark, {"beta": ["0.1", "0.5"], "seed": ["0", "1", "2"]}, steps=F.lit(1).cast("bigint"))
+    grid = V.sweep_grid(spark, {"beta": ["0.1", "0.5"], "seed": ["0", "1", "2"]}, steps=1)
     assert grid.count() == 12
     res = spark.createDataFrame([("0.1", "0", 0), ("0.1", "0", 0), ("0.5", "2", 1)], "beta string, seed string, step bigint")
     cov = {(r["beta"], r["seed"], r["step"]): r["status"] for r in
