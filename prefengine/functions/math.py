@@ -18,11 +18,6 @@ def softplus(z) -> Column:
     return F.log(F.lit(1.0) + F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))
 
 
-def neg_log_sigmoid(x) -> Column:
-    """-log sigmoid(x) = softplus(-x)."""
-    return softplus(-_c(x))
-
-
 def log_sum_exp(row) -> Column:
     """Stable log-sum-exp of an array<double> (the max is evaluated once per row)."""
     r = _c(row)

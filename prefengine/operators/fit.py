@@ -1,11 +1,14 @@
 """Model fitting at scale (G1, G2): the reference's training loops re-aimed as Spark jobs.
 
 G2 is one full-batch gradient of a pairwise objective for a log-linear policy
-(log pi(y) = theta . phi(y)); the per-dimension sum is a groupBy over posexploded
-contributions.  Only the theta vector (dimension-sized) reaches the driver."""
+(log pi(y) = theta . phi(y)); the mean over all pairs is a vector summary (partial aggregation, one
+vector per task).  Only the theta vector (dimension-sized) reaches the driver."""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,32 +47,27 @@ def preference_gradient(df: DataFrame, theta: list[float], kind: str = "dpo", be
         raise ValueError("kind must be dpo, ipo or is")
     # the coefficient is bound once per pair, not re-evaluated per dimension
     per_dim = let(coef, lambda c: F.transform(d, lambda x: x * c))
-    contrib = df.select(F.posexplode(per_dim).alias("dim", "g"))
-    # every pair contributes one row per dimension, so the per-dimension mean is over all pairs
-    return contrib.groupBy("dim").agg(F.avg("g").alias("grad"))
+    mean = df.agg(Summarizer.mean(array_to_vector(per_dim)).alias("m"))
+    return mean.filter("m is not null").select(F.posexplode(vector_to_array("m")).alias("dim", "grad"))
 
 
 def fit_preference(df: DataFrame, dim: int, steps: int = 10, lr: float = 0.1, kind: str = "dpo",
                    beta: float = 0.1, **kw) -> list[float]:
     """A fixed number of full-batch gradient steps; theta travels as a literal array."""
     theta = [0.0] * dim
-    pairs = materialize(df)
+    pairs = materialize(df, "pairs")
     for _ in range(steps):
         g = {r["dim"]: r["grad"] for r in preference_gradient(pairs, theta, kind, beta, **kw).collect()}
         theta = [t - lr * g.get(i, 0.0) for i, t in enumerate(theta)]
-    pairs.unpersist()
     return theta
 
 
 def fit_reward(df: DataFrame, chosen: str = "chosen_phi", rejected: str = "rejected_phi", reg: float = 0.0,
-               max_iter: int = 50):
+               max_iter: int = 50, tol: float = 1e-6):
     """Pairwise (Bradley-Terry) reward fit (G1): logistic regression without intercept on
     mirrored feature differences (phi_c - phi_r -> 1, phi_r - phi_c -> 0)."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
     d = F.zip_with(F.col(chosen), F.col(rejected), lambda a, b: a.cast("double") - b.cast("double"))
     pos = df.select(array_to_vector(d).alias("features"), F.lit(1.0).alias("label"))
     neg = df.select(array_to_vector(F.transform(d, lambda x: -x)).alias("features"), F.lit(0.0).alias("label"))
-    lr = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter, standardization=False)
+    lr = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter, tol=tol, standardization=False)
     return lr.fit(pos.unionByName(neg))

@@ -68,17 +68,21 @@ def implicit_reward(aligned_logp, base_logp, beta: float) -> Column:
 
 def label_pairs(df: DataFrame, tie: str = "second", first: str = "chosen", second: str = "rejected",
                 first_score: str = "chosen_score", second_score: str = "rejected_score",
-                carry: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+                carry: dict[str, tuple[str, str]] | None = None, unscored: str = "drop") -> DataFrame:
     """Order each pair by score (R3 offline, R5 online).
 
     tie="second": strict >, a tie makes the second response chosen (offline labelling);
-    tie="first": >=, the first wins (online).  Scores follow their texts (Q2).  Rows with a
-    NULL or NaN score cannot be ordered and are left out.  ``carry`` maps an output name
+    tie="first": >=, the first wins (online).  Scores follow their texts (Q2).  A pair with a
+    NULL or NaN score cannot be ordered: it is left out, or with unscored="raise" (what the queries
+    use) it is an error.  ``carry`` maps an output name
     to a (first, second) column pair that follows the choice the same way (e.g. ids)."""
     if tie not in ("first", "second"):
         raise ValueError("tie must be 'first' or 'second'")
     a, b = F.col(first_score), F.col(second_score)
     ok = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
+    if unscored == "raise":
+        bad = F.raise_error(F.lit("label_pairs: a pair has no score on one side")).cast("boolean")
+        ok = F.when(ok, F.lit(True)).otherwise(bad)
     keep_first = (a >= b) if tie == "first" else (a > b)
     others = [c for c in df.columns if c not in (first, second, first_score, second_score)
               and not any(c in pair for pair in (carry or {}).values())]
@@ -102,9 +106,9 @@ def penalise_unterminated(score, terminated, value: float = -1.0) -> Column:
 
 def agreement(df: DataFrame, first_score: str = "chosen_score", second_score: str = "rejected_score",
               by: list[str] | None = None) -> DataFrame:
-    """Share of pairs where the first response outscored the second."""
+    """Share of pairs where the first response outscored the second (R6), of the pairs with both scores."""
     hit = (F.col(first_score) > F.col(second_score)).cast("double")
-    aggs = [F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_pairs")]
+    aggs = [F.avg(hit).alias("accuracy"), F.count(hit).alias("n_pairs")]
     return df.groupBy(*(by or [])).agg(*aggs)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,7 +13,8 @@ from prefengine.operators import fit as G
 from prefengine.operators import order as O
 from prefengine.operators import udf as U
 from prefengine.operators.pairs import flatten_candidates
-from prefengine.plans.registry import register, sql_text_score, table
+from prefengine.operators.tokens import token_list
+from prefengine.plans.registry import register, sql_tokens, table
 from prefengine.session import materialize
 from prefengine.sources import driver_tables as D
 
@@ -25,11 +26,13 @@ SAMPLES = 4
 
 
 def embedding_pairs(spark, sf) -> DataFrame:
-    """Vectors with label >= 5 (chosen) against label < 5 (rejected), matched by md5 rank."""
+    """Every vector with label >= 5 (chosen) against one with label < 5 (rejected): the n-th good one
+    meets the bad one of rank n modulo their number, ranks by md5."""
     e = table(spark, sf, "embeddings")
     narrow = e.select("vec_id", (F.col("label") >= GOOD_LABEL).alias("good"), F.md5(F.col("vec_id").cast("string")).alias("_k"))
     r = O.global_index(narrow, ["_k", "vec_id"], partition_by=["good"], name="rank")
-    g = r.filter("good").select("rank", F.col("vec_id").alias("chosen_id"))
+    n_bad = e.filter(F.col("label") < GOOD_LABEL).count()
+    g = r.filter("good").select((F.col("rank") % max(1, n_bad)).alias("rank"), F.col("vec_id").alias("chosen_id"))
     b = r.filter(~F.col("good")).select("rank", F.col("vec_id").alias("rejected_id"))
     ph = e.select("vec_id", "embedding")
     return (g.join(b, "rank")
@@ -42,7 +45,8 @@ _PAIRS_SQL = f"""
 rk AS (SELECT vec_id, label >= {GOOD_LABEL} AS good,
               row_number() OVER (PARTITION BY label >= {GOOD_LABEL} ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS rank
        FROM embeddings),
-pr AS (SELECT g.vec_id AS chosen_id, b.vec_id AS rejected_id FROM rk g JOIN rk b ON g.rank = b.rank AND g.good AND NOT b.good),
+pr AS (SELECT g.vec_id AS chosen_id, b.vec_id AS rejected_id FROM rk g JOIN rk b
+       ON g.rank % (SELECT count(*) FROM rk WHERE NOT good) = b.rank AND g.good AND NOT b.good),
 pv AS (SELECT p.*, c.embedding AS ce, r.embedding AS re FROM pr p JOIN embeddings c ON c.vec_id = p.chosen_id
        JOIN embeddings r ON r.vec_id = p.rejected_id),
 hh AS (SELECT *, list_reduce(list_transform(ce, lambda x, i: x::DOUBLE * {_THETA_SQL}[i]), lambda a, b: a + b)
@@ -61,38 +65,47 @@ SELECT d.dim::INT AS dim,
 FROM cf, range(0, {DIM}) d(dim) GROUP BY d.dim
 """)
 def gradient_pass(spark, sf):
-    pairs = materialize(embedding_pairs(spark, sf))
+    pairs = materialize(embedding_pairs(spark, sf), "pairs")
     dpo = G.preference_gradient(pairs, THETA, "dpo", BETA).withColumnRenamed("grad", "grad_dpo")
     ipo = G.preference_gradient(pairs, THETA, "ipo", BETA).withColumnRenamed("grad", "grad_ipo")
     return dpo.join(ipo, "dim").select("dim", F.round("grad_dpo", 8).alias("grad_dpo"),
                                        F.round("grad_ipo", 8).alias("grad_ipo"))
 
 
-# -- G1: pairwise reward fit (logistic regression on mirrored differences); rows-only check
-@register("reward_fit")
+# -- G1: pairwise reward fit (logistic regression on mirrored differences).  At the optimum the
+#    gradient of the regularised loss, computed here from the pairs and the fitted weights, is zero
+#    in every dimension; the SQL side states that, and the number of pairs
+REG = 0.01
+
+
+@register("reward_fit", f"""
+WITH {_PAIRS_SQL}
+SELECT d.dim::INT AS dim, (SELECT count(*) FROM pr) AS n_pairs, 0.0::DOUBLE AS gradient FROM range(0, {DIM}) d(dim)
+""")
 def reward_fit(spark, sf):
-    pairs = embedding_pairs(spark, sf)
-    model = G.fit_reward(pairs, reg=0.01, max_iter=30)
-    w = [float(x) for x in model.coefficients.toArray()]
-    d = F.zip_with("chosen_phi", "rejected_phi", lambda a, b: a.cast("double") - b.cast("double"))
-    margin = F.aggregate(F.zip_with(d, F.array(*[F.lit(x) for x in w]), lambda a, b: a * b), F.lit(0.0),
-                         lambda s, x: s + x)
-    return pairs.select("chosen_id", "rejected_id", F.round(margin, 6).alias("margin"),
-                        (margin > 0).cast("double").alias("correct"))
+    pairs = materialize(embedding_pairs(spark, sf), "pairs")
+    w = [float(x) for x in G.fit_reward(pairs, reg=REG, max_iter=500, tol=1e-12).coefficients.toArray()]
+    # the DPO gradient with beta = 1 is that of the mean logistic loss
+    g = G.preference_gradient(pairs, w, "dpo", 1.0).withColumn("n_pairs", F.lit(pairs.count()))
+    total = F.col("grad") + REG * F.get(F.array(*[F.lit(x) for x in w]), F.col("dim"))
+    return g.select("dim", "n_pairs", (F.round(total, 4) + 0.0).alias("gradient"))
 
 
 # -- U1: batch scorer plug-in (a deterministic stand-in judge, built once per task)
 def make_text_scorer():
-    def md5_bits(t: str) -> int:
-        return int(hashlib.md5(t.encode("utf-8")).hexdigest()[:8], 16)
-
+    """Share of the most frequent character of a text, in thousandths: no built-in expression has it."""
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (len(t) % 13) / 4.0 + (md5_bits(t) % 4) / 2.0)
+        chars = texts.fillna("").map(list).explode().dropna()
+        counts = chars.groupby([chars.index, chars]).size().groupby(level=0).max().reindex(texts.index, fill_value=0)
+        return (counts * 1000 // texts.str.len().clip(lower=1)).astype("float64")
     return score
 
 
-@register("udf_score", f"""
-SELECT conv_id, turn, {sql_text_score('text')} AS score FROM conversations WHERE role = 'assistant'
+@register("udf_score", """
+WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+c AS (SELECT conv_id, turn, ch, count(*) AS n FROM (SELECT conv_id, turn, unnest(string_split(text, '')) AS ch FROM t) WHERE ch <> '' GROUP BY ALL),
+m AS (SELECT conv_id, turn, max(n) AS n FROM c GROUP BY ALL)
+SELECT t.conv_id, t.turn, (coalesce(m.n, 0) * 1000 // greatest(length(t.text), 1))::DOUBLE AS score FROM t LEFT JOIN m USING (conv_id, turn)
 """)
 def udf_score(spark, sf):
     asst = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select("conv_id", "turn", "text")
@@ -121,3 +134,24 @@ def udf_generate(spark, sf):
     gen = U.generate_with(sft, make_rotation_sampler, "prompt", SAMPLES)
     gen = gen.withColumn("completion", rstrip_all("completion")).drop("prompt")
     return flatten_candidates(gen).select("conv_id", "turn", "cand_idx", "completion")
+
+
+# -- U3: tokenizer plug-in: hashed word ids per batch (crc32 modulo 2^20)
+def hash_words(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [zlib.crc32(w.encode()) % HASHED_IDS for w in t.split()])
+
+
+HASHED_IDS = 1 << 20
+
+
+@register("udf_encode", f"""
+WITH w AS (SELECT conv_id, turn, {sql_tokens('text')} AS w FROM conversations)
+SELECT conv_id, turn, array_to_string(w, ' ') AS words, len(w)::BIGINT AS n_ids FROM w
+""")
+def udf_encode(spark, sf):
+    """The plug-in's ids, looked up again: ids of one turn must stand for its words one to one."""
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(token_list("text"), " ").alias("words"))
+    enc = U.encode_with(conv, hash_words, "words", "ids")
+    built_in = F.transform(F.split("words", " "), lambda w: F.pmod(F.crc32(w), F.lit(HASHED_IDS)).cast("int"))
+    same = F.when(F.col("words") == "", F.size("ids") == 0).otherwise(F.col("ids") == built_in)
+    return enc.select("conv_id", "turn", F.when(same, F.col("words")).alias("words"), F.size("ids").cast("bigint").alias("n_ids"))

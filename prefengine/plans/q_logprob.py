@@ -135,7 +135,7 @@ def train_pairs(spark, sf, k: int = K_PAIRS, models=MODELS, length: bool = False
     pairs = pairs.select("conv_id", "n_candidates", "pair_idx", *["prompt"] * length,
                          *[F.col(f"{s}.{x}").alias(f"{x}_{s}") for s in ("a", "b") for x in values])
     names = {"pi": "logps", "rho": "rl", "dat": "dl", "n_tokens": "length"}
-    lab = label_pairs(pairs, tie="second", first="turn_a", second="turn_b", first_score="score_a", second_score="score_b",
+    lab = label_pairs(pairs, tie="second", unscored="raise", first="turn_a", second="turn_b", first_score="score_a", second_score="score_b",
                       carry={names[x]: (f"{x}_a", f"{x}_b") for x in values if x in names})
     for old, new in (("chosen", "chosen_turn"), ("rejected", "rejected_turn"), ("chosen_rl", "ref_chosen_logps"),
                      ("rejected_rl", "ref_rejected_logps"), ("chosen_dl", "data_chosen_logps"), ("rejected_dl", "data_rejected_logps")):

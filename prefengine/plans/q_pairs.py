@@ -111,7 +111,7 @@ SELECT conv_id, pair_idx,
 FROM scored
 """)
 def label_offline(spark, sf):
-    lab = P.label_pairs(_turn_pairs(spark, sf), tie="second", first="first_turn", second="second_turn")
+    lab = P.label_pairs(_turn_pairs(spark, sf), tie="second", unscored="raise", first="first_turn", second="second_turn")
     return lab.select("conv_id", "pair_idx", F.col("chosen").alias("chosen_turn"),
                       F.col("rejected").alias("rejected_turn"), "chosen_score", "rejected_score")
 
@@ -143,7 +143,7 @@ def label_online(spark, sf):
     conv = _conv(spark, sf)
     cands = D.first_candidates(conv, 2).withColumn("score", D.text_score("completion"))
     two = P.pair_samples(cands, ["conv_id"], "cand_idx", ["turn", "score"])
-    lab = P.label_pairs(two, tie="first", first="turn_0", second="turn_1",
+    lab = P.label_pairs(two, tie="first", unscored="raise", first="turn_0", second="turn_1",
                         first_score="score_0", second_score="score_1")
     return lab.select("conv_id", F.col("chosen").alias("chosen_turn"), F.col("rejected").alias("rejected_turn"),
                       "chosen_score", "rejected_score")

@@ -148,7 +148,8 @@ ranked AS (SELECT d.doc_id, d.lang, l.quality,
                   row_number() OVER (PARTITION BY d.lang, l.quality ORDER BY md5(d.doc_id::VARCHAR), d.doc_id) - 1 AS rk
            FROM documents d JOIN labels l USING (doc_id)),
 u AS (SELECT 'docs' AS source, g.doc_id::VARCHAR || ':' || b.doc_id::VARCHAR AS key
-      FROM ranked g JOIN ranked b ON g.lang = b.lang AND g.rk = b.rk AND g.quality = 1 AND b.quality = 0
+      FROM ranked g JOIN (SELECT lang, count(*) AS n FROM ranked WHERE quality = 0 GROUP BY lang) nb ON nb.lang = g.lang
+          JOIN ranked b ON g.lang = b.lang AND g.rk % nb.n = b.rk AND g.quality = 1 AND b.quality = 0
       UNION ALL
       SELECT 'dialogue' AS source, conv_id::VARCHAR AS key FROM dlg WHERE chosen <> rejected)
 SELECT source, key, row_number() OVER (ORDER BY md5('{SEED}:' || source || ':' || key), source, key) - 1 AS pos FROM u

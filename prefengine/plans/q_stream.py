@@ -10,7 +10,9 @@ from prefengine.sources.sinks import write_jsonl
 from prefengine.streaming import jobs as S
 from prefengine.functions.math import fixed_point_mean
 from prefengine.functions.time import utc_instant, utc_wall
-from prefengine.plans.registry import register, sql_fixed_mean, table
+from prefengine.plans import q_pairs  # noqa: F401 - registers label_offline, whose SQL the stream jobs share
+from prefengine.plans.registry import ORACLE, register, sql_fixed_mean, sql_r, table
+
 
 def _state_partitions(spark) -> int:
     """State-store partitions: the cluster's parallelism, not a fixed 200."""
@@ -43,49 +45,58 @@ LABEL_SCHEMA = ("conv_id bigint, pair_idx bigint, chosen_turn bigint, rejected_t
 
 
 # -- ST1 K1 K2: candidate-set files -> stream of labelled pairs (JSON Lines, append, checkpointed)
-@register("stream_label")
+@register("stream_label", ORACLE["label_offline"])  # the same labels as the batch job
 def stream_label(spark, sf):
     return spark.read.schema(LABEL_SCHEMA).json(_labelled_stream_output(spark, sf))
 
 
 # -- ST2: running accuracy / counts per run over the labelled-pair stream (run = conv_id % 5)
-@register("stream_accuracy")
+@register("stream_accuracy", f"""
+WITH lab AS ({ORACLE["label_offline"]})
+SELECT conv_id % 5 AS run, {sql_r('avg(CASE WHEN chosen_score > rejected_score THEN 1.0 ELSE 0.0 END)')} AS accuracy, count(*) AS n_pairs
+FROM lab GROUP BY conv_id % 5
+""")
 def stream_accuracy(spark, sf):
     labelled = _labelled_stream_output(spark, sf)
     pairs = S.file_stream(spark, labelled, "json", LABEL_SCHEMA).withColumn("run", F.col("conv_id") % 5)
     out, ck = shared_dir(spark, "accuracy"), shared_dir(spark, "accuracy-ckpt")
     S.run_complete(S.accuracy_stream(pairs), out, ck, state_partitions=_state_partitions(spark))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).withColumn("accuracy", F.round("accuracy", 6))
+
+
+_WINDOWS_SQL = f"""
+WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, value FROM events),
+lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
+SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(window_start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       event_type, {sql_fixed_mean('value')} AS mean_value, count(*) AS n
+FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT wm FROM lim)
+GROUP BY window_start, event_type
+"""
+_TIME = "yyyy-MM-dd HH:mm:ss"
 
 
 # -- ST3: metric means per 1-day window, 1-hour watermark, id dedup (closed windows are emitted)
-@register("stream_metrics")
+@register("stream_metrics", _WINDOWS_SQL)
 def stream_metrics(spark, sf):
     path = f"{sf.rstrip('/')}/events.parquet"
     schema = spark.read.parquet(path).schema
     events = S.file_stream(spark, sf, "parquet", schema, glob="events.parquet")
     out, ck = shared_dir(spark, "metrics"), shared_dir(spark, "metrics-ckpt")
     S.run_append(S.metric_stream(events, WINDOW, DELAY), out, ck, state_partitions=_state_partitions(spark))
-    return spark.read.parquet(out).select("window_start", "window_end", "event_type", "mean_value", "n")
+    return spark.read.parquet(out).select(F.date_format("window_start", _TIME).alias("window_start"),
+                                          F.date_format("window_end", _TIME).alias("window_end"),
+                                          "event_type", "mean_value", "n")
 
 
 # -- ST3 batch twin: the same windows in batch, closed ones only (end <= max ts - delay)
-@register("metric_windows", f"""
-WITH w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, value FROM events),
-lim AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-SELECT strftime(window_start, '%Y-%m-%d %H:%M:%S') AS window_start,
-       strftime(window_start + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
-       event_type, {sql_fixed_mean('value')} AS mean_value, count(*) AS n
-FROM w WHERE window_start + INTERVAL 1 DAY <= (SELECT wm FROM lim)
-GROUP BY window_start, event_type
-""")
+@register("metric_windows", _WINDOWS_SQL)
 def metric_windows(spark, sf):
     ev = table(spark, sf, "events").withColumn("ts", utc_instant("ts"))
     wm = ev.agg(F.max("ts") - F.expr(f"INTERVAL {DELAY}")).scalar()
     g = (ev.groupBy(F.window("ts", WINDOW).alias("w"), "event_type")
          .agg(fixed_point_mean("value").alias("mean_value"), F.count(F.lit(1)).alias("n"))
          .filter(F.col("w.end") <= wm))
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    return g.select(F.date_format(utc_wall("w.start"), fmt).alias("window_start"),
-                    F.date_format(utc_wall("w.end"), fmt).alias("window_end"),
+    return g.select(F.date_format(utc_wall("w.start"), _TIME).alias("window_start"),
+                    F.date_format(utc_wall("w.end"), _TIME).alias("window_end"),
                     "event_type", "mean_value", "n")

@@ -123,7 +123,8 @@ ranked AS (SELECT d.doc_id, d.lang, l.quality,
                   row_number() OVER (PARTITION BY d.lang, l.quality ORDER BY md5(d.doc_id::VARCHAR), d.doc_id) - 1 AS rk
            FROM documents d JOIN labels l USING (doc_id)),
 pairs AS (SELECT g.lang, g.rk, g.doc_id AS chosen_id, b.doc_id AS rejected_id
-          FROM ranked g JOIN ranked b ON g.lang = b.lang AND g.rk = b.rk AND g.quality = 1 AND b.quality = 0),
+          FROM ranked g JOIN (SELECT lang, count(*) AS n FROM ranked WHERE quality = 0 GROUP BY lang) nb ON nb.lang = g.lang
+          JOIN ranked b ON g.lang = b.lang AND g.rk % nb.n = b.rk AND g.quality = 1 AND b.quality = 0),
 ptext AS (SELECT p.*, c.text AS chosen, r.text AS rejected, c.source
           FROM pairs p JOIN documents c ON c.doc_id = p.chosen_id JOIN documents r ON r.doc_id = p.rejected_id)"""
 

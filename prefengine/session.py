@@ -105,7 +105,7 @@ def spread(df: DataFrame) -> DataFrame:
 def plan_bytes(df: DataFrame) -> int | None:
     """Size estimate of the optimized plan (no job runs); None if there is none."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - statistics unavailable
         return None
 

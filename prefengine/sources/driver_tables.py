@@ -111,8 +111,9 @@ def doc_key(doc_id_col="doc_id"):
 
 
 def doc_pairs(docs: DataFrame, labels: DataFrame, by=("lang",)) -> DataFrame:
-    """Preference pairs: quality-1 and quality-0 documents of one ``by`` group with equal
-    md5 rank -> (pair_key..., prompt, chosen_id, rejected_id, chosen, rejected).
+    """Preference pairs: every quality-1 document with a quality-0 document of its ``by`` group (md5
+    rank n meets rank n modulo the number of bad ones) -> (pair_key..., prompt, chosen_id,
+    rejected_id, chosen, rejected).  Groups without a bad document make no pair.
 
     The rank runs on a narrow (id, group, key) frame with the skew-safe global index; the
     texts join back on doc_id afterwards."""
@@ -120,7 +121,9 @@ def doc_pairs(docs: DataFrame, labels: DataFrame, by=("lang",)) -> DataFrame:
     lab = labels.select("doc_id", "quality")
     narrow = docs.select("doc_id", *by).join(lab, "doc_id").withColumn("_k", doc_key())
     ranked = global_index(narrow, ["_k", "doc_id"], partition_by=[*by, "quality"], name="rank")
-    good = ranked.filter(F.col("quality") == 1).select(*by, "rank", F.col("doc_id").alias("chosen_id"))
+    n_bad = narrow.filter(F.col("quality") == 0).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    good = (ranked.filter(F.col("quality") == 1).join(n_bad, by)
+            .select(*by, (F.col("rank") % F.col("_n")).alias("rank"), F.col("doc_id").alias("chosen_id")))
     bad = ranked.filter(F.col("quality") == 0).select(*by, "rank", F.col("doc_id").alias("rejected_id"))
     pairs = good.join(bad, [*by, "rank"])
     texts = docs.select("doc_id", "text")

@@ -21,7 +21,7 @@ def label_stream(candidates: DataFrame, scores: DataFrame, k: int = 4) -> DataFr
     pairs = candidate_pairs(candidates.select("conv_id", "turns"), k, col="turns",
                             first="first_turn", second="second_turn")
     scored = score_pairs(pairs, scores, ["conv_id", "turn"], ["conv_id", "first_turn"], ["conv_id", "second_turn"])
-    lab = label_pairs(scored, tie="second", first="first_turn", second="second_turn")
+    lab = label_pairs(scored, tie="second", unscored="raise", first="first_turn", second="second_turn")
     return lab.select("conv_id", "pair_idx", F.col("chosen").alias("chosen_turn"),
                       F.col("rejected").alias("rejected_turn"), "chosen_score", "rejected_score")
 

@@ -105,3 +105,14 @@ def test_candidate_pairs_all_small_k_and_n(spark):
         for n, _ in rows:
             want = list(itertools.combinations(range(n), 2))[:k]
             assert [(i, j) for _, i, j in sorted(got.get(n, []))] == want, (n, k)
+
+
+def test_label_unscored_can_raise(spark):
+    df = spark.createDataFrame([("a", "b", 1.0, None)], "chosen string, rejected string, chosen_score double, rejected_score double")
+    assert P.label_pairs(df).count() == 0
+    try:
+        P.label_pairs(df, unscored="raise").collect()
+    except Exception as e:
+        assert "no score" in str(e)
+    else:
+        raise AssertionError("a pair without a score must raise")
