@@ -102,12 +102,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df if size is None or size >= cores * split else df.repartition(cores)
 
 
+#: Size estimates from here on stand for "unknown" (frames made of RDDs or checkpoints).
+_UNKNOWN_BYTES = 1 << 60
+
+
 def plan_bytes(df: DataFrame) -> int | None:
-    """Size estimate of the optimized plan (no job runs); None if there is none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics unavailable
-        return None
+    """Size estimate of ``df`` (no job runs); None if there is none.
+
+    The optimized plan's own estimate, or the sum of the tables it reads if that is less: without
+    column statistics Spark takes a join for the product of its sides."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [n for n in sizes if n < _UNKNOWN_BYTES]
+    own = int(str(plan.stats().sizeInBytes()))
+    return min(own, sum(known)) if known else (own if own < _UNKNOWN_BYTES else None)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
