@@ -120,23 +120,29 @@ def candidates(spark, sf, k: int, models=MODELS, length: bool = False) -> DataFr
     return out if length else out.drop("n_tokens")
 
 
-def train_pairs(spark, sf, k: int = K_PAIRS, models=MODELS, length: bool = False) -> DataFrame:
-    """Labelled candidate pairs with the columns asked for: log-probs of ``models`` and, with
-    ``length``, token counts and prompt.
+def pair_rows(spark, sf, k: int = K_PAIRS, models=MODELS, length: bool = False) -> DataFrame:
+    """The first K candidate pairs with every value of both sides (x_a, x_b).
 
     Candidates are gathered as structs that carry all their values (at most K + 1 per conversation),
-    so pairs are made and labelled in the row and nothing is joined back."""
+    so pairs are made in the row and nothing is joined back."""
     conv = table(spark, sf, "conversations")
     c = candidates(spark, sf, k, models, length)
     values = [x for x in c.columns if x != "conv_id"]
     sets = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(*values))).alias("cands"))
     prompts = D.candidate_prompts(conv).select("conv_id", "n_candidates", *["prompt"] * length)
     pairs = candidate_pairs(sets.join(prompts, "conv_id"), k, col="cands", first="a", second="b")
-    pairs = pairs.select("conv_id", "n_candidates", "pair_idx", *["prompt"] * length,
-                         *[F.col(f"{s}.{x}").alias(f"{x}_{s}") for s in ("a", "b") for x in values])
+    return pairs.select("conv_id", "n_candidates", "pair_idx", *["prompt"] * length,
+                        *[F.col(f"{s}.{x}").alias(f"{x}_{s}") for s in ("a", "b") for x in values])
+
+
+def train_pairs(spark, sf, k: int = K_PAIRS, models=MODELS, length: bool = False) -> DataFrame:
+    """Labelled candidate pairs with the columns asked for: log-probs of ``models`` and, with
+    ``length``, token counts and prompt."""
+    pairs = pair_rows(spark, sf, k, models, length)
     names = {"pi": "logps", "rho": "rl", "dat": "dl", "n_tokens": "length"}
-    lab = label_pairs(pairs, tie="second", unscored="raise", first="turn_a", second="turn_b", first_score="score_a", second_score="score_b",
-                      carry={names[x]: (f"{x}_a", f"{x}_b") for x in values if x in names})
+    lab = label_pairs(pairs, tie="second", unscored="raise", first="turn_a", second="turn_b", first_score="score_a",
+                      second_score="score_b",
+                      carry={new: (f"{x}_a", f"{x}_b") for x, new in names.items() if f"{x}_a" in pairs.columns})
     for old, new in (("chosen", "chosen_turn"), ("rejected", "rejected_turn"), ("chosen_rl", "ref_chosen_logps"),
                      ("rejected_rl", "ref_rejected_logps"), ("chosen_dl", "data_chosen_logps"), ("rejected_dl", "data_rejected_logps")):
         lab = lab.withColumnRenamed(old, new)

@@ -4,6 +4,8 @@ Every reader takes a declared schema (no inference pass over the data)."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -12,6 +14,9 @@ from pyspark.sql.types import StructType
 DEFAULT_SPLIT_ALIASES = {
     "test": "validation",
 }
+# Chat sources name their splits by use.
+CHAT_SFT_SPLITS = {"train": "train_sft", "test": "test_sft"}
+CHAT_PREFERENCE_SPLITS = {"train": "train_prefs", "test": "test_prefs"}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -47,5 +52,26 @@ def read_split(spark: SparkSession, root: str, split: str, aliases: dict[str, st
     return read_table(spark, root, schema).filter(F.col("split") == F.lit(name)).drop("split")
 
 
+@dataclass(frozen=True)
+class Source:
+    """A split-partitioned table: its folder, its own split names, and splits that it does not hold
+    but takes from another source ({split: name of the source})."""
+
+    root: str
+    aliases: dict[str, str] = field(default_factory=dict)
+    elsewhere: dict[str, str] = field(default_factory=dict)
+
+
+def read_source(spark: SparkSession, sources: dict[str, Source], name: str, split: str) -> DataFrame:
+    """A split of a named source (S4), following ``elsewhere`` to the source that holds it."""
+    seen = [name]
+    while split in sources[name].elsewhere:
+        name = sources[name].elsewhere[split]
+        if name in seen:
+            raise ValueError(f"split {split!r} is passed round in a circle: {[*seen, name]}")
+        seen.append(name)
+    return read_split(spark, sources[name].root, split, sources[name].aliases)
+
+
 def driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -10,6 +11,14 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, chunk: str) -> None:
+    """One file per value of ``chunk``, each a JSON array of its rows (what ``read_json_array`` reads).
+    The caller keeps chunks small: an array is one document, written and read by one task."""
+    rows = F.struct(*[c for c in df.columns if c != chunk])
+    arrays = df.groupBy(chunk).agg(F.to_json(F.collect_list(rows)).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
+
+
 def write_metrics(df: DataFrame, path: str, partition_by: str = "run") -> None:
     """Append metric rows to a parquet table partitioned by run (K3)."""
     df.write.mode("append").partitionBy(partition_by).parquet(path)

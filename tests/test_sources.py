@@ -57,3 +57,27 @@ def test_sinks_roundtrip(spark):
 def test_head_fraction_order(spark):
     df = spark.range(8).selectExpr("id AS k")
     assert sorted(r["k"] for r in O.head_fraction(df, 50, ["k"]).collect()) == [0, 1, 2, 3]
+
+
+def test_source_switch(spark):
+    d = tempfile.mkdtemp(prefix="prefengine-source-")
+    for name, splits in (("a", ["train_prefs", "test_prefs"]), ("b", ["train"])):
+        rows = [(s, f"{name}:{s}") for s in splits]
+        spark.createDataFrame(rows, "split string, v string").write.partitionBy("split").parquet(f"{d}/{name}")
+    sources = {"a": R.Source(f"{d}/a", R.CHAT_PREFERENCE_SPLITS), "b": R.Source(f"{d}/b", elsewhere={"test": "a"}),
+               "c": R.Source("", elsewhere={"test": "d"}), "d": R.Source("", elsewhere={"test": "c"})}
+    got = {(n, s): [r.v for r in R.read_source(spark, sources, n, s).collect()] for n, s in (("a", "train"), ("b", "train"), ("b", "test"))}
+    assert got == {("a", "train"): ["a:train_prefs"], ("b", "train"): ["b:train"], ("b", "test"): ["a:test_prefs"]}
+    with pytest.raises(ValueError):
+        R.read_source(spark, sources, "c", "test")
+
+
+def test_json_array_files_round_trip(spark):
+    from prefengine.sources.sinks import write_json_arrays
+
+    path = tempfile.mkdtemp(prefix="prefengine-arrays-") + "/t"
+    df = spark.createDataFrame([(i, f"line\n{i}", i % 3) for i in range(20)], "k bigint, text string, part int")
+    write_json_arrays(df, path, "part")
+    assert len([f for f in os.listdir(path) if f.endswith(".txt")]) == 3
+    back = R.read_json_array(spark, path, "k bigint, text string").collect()
+    assert sorted((r.k, r.text) for r in back) == [(i, f"line\n{i}") for i in range(20)]
