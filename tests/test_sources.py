@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from prefengine.operators import order as O
 from prefengine.sources import readers as R
 from prefengine.sources.sinks import write_jsonl, write_metrics
