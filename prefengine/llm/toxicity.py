@@ -41,8 +41,9 @@ def bag(text: str | None) -> Counter:
 
 
 def weight(count: int, words: int) -> float:
-    """Of a word that stands ``count`` times among ``words``: by its share, so length does not matter."""
-    return math.log1p(100 * count / words)
+    """Of a word that stands ``count`` times among ``words``: a part for standing there at all, so a few
+    words count in a long text, and a part for its share."""
+    return 0.25 + math.log1p(100 * count / words)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,13 +67,17 @@ def grades(labels: np.ndarray, bags: list[Counter]) -> np.ndarray:
     return np.where(bad, 1 + np.searchsorted(cuts, share, side="left"), 0)
 
 
-def telling_odds(grade: np.ndarray, rows: list[np.ndarray], errors: float = 5.0) -> np.ndarray:
-    """Log odds of each bucket between graded and clean texts where they differ from zero by
-    ``errors`` standard errors, else 0: the rest would only add noise to long texts."""
-    seen = [np.bincount(np.concatenate([r for g, r in zip(grade > 0, rows) if g == side] or [np.zeros(0, np.int64)]), minlength=BUCKETS) + 0.5 for side in (False, True)]
+def telling_odds(grade: np.ndarray, rows: list[np.ndarray], least: float = 6.0) -> np.ndarray:
+    """Log odds of each bucket between graded and clean texts where a likelihood-ratio test tells them
+    apart (signed root of at least ``least``), else 0: the rest would only add noise to long texts."""
+    seen = [np.bincount(np.concatenate([r for g, r in zip(grade > 0, rows) if g == side] or [np.zeros(0, np.int64)]), minlength=BUCKETS).astype(float) for side in (False, True)]
     n = np.bincount((grade > 0).astype(int), minlength=2) + 1.0
-    odds = np.log(seen[1] / n[1]) - np.log(seen[0] / n[0])
-    return np.where(np.abs(odds) > errors * np.sqrt(1 / seen[0] + 1 / seen[1]), odds, 0.0)
+    both = (seen[0] + seen[1]) / n.sum()
+    odds = np.log((seen[1] + 0.5) / n[1]) - np.log((seen[0] + 0.5) / n[0])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        test = sum(2 * np.nan_to_num(k * np.log(k / (n[i] * both)), nan=0.0, posinf=0.0, neginf=0.0)
+                   + 2 * np.nan_to_num((n[i] - k) * np.log((n[i] - k) / (n[i] * (1 - both))), nan=0.0, posinf=0.0, neginf=0.0) for i, k in enumerate(seen))
+    return np.where(test >= least * least, odds, 0.0)
 
 
 def fit(grade: np.ndarray, bags: list[Counter], epochs: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
