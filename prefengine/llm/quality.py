@@ -85,6 +85,8 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+    if not bags:  # nothing learned: every answer is 0.5
+        return vectors, np.zeros_like(layer), bias
     past, layer_past = np.full(BUCKETS, 1e-8, np.float32), 1.0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):

@@ -85,7 +85,7 @@ class Package:
         self.file = file
         tail_at = max(0, size - (65_535 + 22 + 20))
         tail = self.read(tail_at, size - tail_at)
-        end = tail.rfind(b"PK\x05\x06")
+        end = tail.rfind(b"PK\x05\x06", 0, max(0, len(tail) - 18))
         while end >= 0 and end + 22 + struct.unpack_from("<H", tail, end + 20)[0] != len(tail):
             end = tail.rfind(b"PK\x05\x06", 0, end)  # the mark may also stand in the comment
         if end < 0:
