@@ -14,60 +14,54 @@ from pyspark.sql import functions as F
 from prefengine.llm.common import shared_table
 
 # Units that follow a number.
-UNITS = ["%", "mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
+UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
          "kilogram", "kilograms", "ton", "tons", "oz", "ounce", "ounces", "lb", "lbs", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres",
          "gallon", "gallons", "cup", "cups", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week",
-         "weeks", "month", "months", "year", "years", "mph", "kmh", "km/h", "hz", "w", "kw", "v", "kb", "mb", "gb", "dollar", "dollars", "cent", "cents",
+         "weeks", "month", "months", "year", "years", "mph", "kmh", "hz", "w", "kw", "v", "kb", "mb", "gb", "dollar", "dollars", "cent", "cents",
          "euro", "euros", "usd", "eur", "degree", "degrees", "percent"]
-TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*|[%$€£]|[.!?\n]"
-STOP = r"^[.!?\n]$"
+#: Characters that mark the kind of the token they stand before: name, number, unit.
+NAME, NUMBER, UNIT = "\x02", "\x03", "\x04"
 WINDOW, SHARE = 5, 0.8
-#: Tokens of a document taken into windows at once.
-CHUNK = 4096
 #: Benchmark windows up to this many (about 100 MB) are sent to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
-def with_tokens(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """``keep`` and tokens, an array of (word: the token in lower case; kind: n number, u unit, p name,
-    w other word).
+def tokens(text: Column) -> Column:
+    """The words of a text in lower case; those of a kind start with its mark.
 
-    A number starts with a digit; a unit is one of ``UNITS`` right after a number, or a currency sign;
-    a name is a word of two letters or more with only its first letter in upper case that does not
-    start a sentence or line."""
-    df = df.select(*keep, F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(TOKEN), 0).alias("__raw"))
+    A run of digits is a number; a unit is one of ``UNITS`` right after a number, or a currency sign; a
+    name is a word with only its first letter in upper case, after a blank that does not end a
+    sentence or line.  The kinds are marked in the whole text (three passes), which is then split."""
+    t = F.coalesce(text, F.lit(""))
+    for sign, word in (("%", " percent "), ("$", f" {UNIT}usd "), ("€", f" {UNIT}eur "), ("£", f" {UNIT}gbp ")):
+        t = F.replace(t, F.lit(sign), F.lit(word))
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{M}\p{N},;:'\")] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{N}])", NAME + "$0")
+    t = F.regexp_replace(F.lower(t), r"\p{N}+", NUMBER + "$0")
+    t = F.regexp_replace(t, rf"({NUMBER}\p{{N}}+ *)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", "$1 " + UNIT)
+    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+|(?={NUMBER})"), lambda w: w != "")
 
-    def classed(x: Column, last: Column) -> Column:
-        unit = x.isin("$", "€", "£") | (F.lower(x).isin(UNITS) & last.rlike(r"^\p{N}"))
-        name = x.rlike(r"^\p{Lu}[\p{Ll}\p{M}'’\-]+$") & last.isNotNull() & ~last.rlike(STOP)
-        kind = F.when(x.rlike(STOP), ".").when(x.rlike(r"^\p{N}"), "n").when(unit, "u").when(name, "p").otherwise("w")
-        return F.struct(F.lower(x).alias("word"), F.when(x.isNull(), ".").otherwise(kind).alias("kind"))
 
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("__raw"))  # one longer: its last pair has no token
-    return df.withColumn("tokens", F.filter(F.zip_with("__raw", before, classed), lambda t: t["kind"] != ".")).drop("__raw")
-
-
-def values(pairs: str, side: str) -> Column:
-    return F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
+def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per window of ``WINDOW`` tokens of ``rows`` (keys, tokens): keys, pos, template (hash of
+    its words and kinds) and v0, v1, ...: each token's hash with its kind in the lowest two bits.
 
+    Only the hashing of tokens is a loop over an array; windows are made by exploding places and
+    picking from the array, inside generated code."""
+    kind = lambda w: F.when(w < "\x05", F.ascii(w) - 1).otherwise(0)
+    coded = F.transform("tokens", lambda w: F.xxhash64(w).bitwiseAND(F.lit(-4)).bitwiseOR(kind(w).cast("long")))
+    r = rows.select(*keys, coded.alias("codes")).filter(F.size("codes") >= WINDOW)
+    r = r.select(*keys, "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - WINDOW)).alias("pos"))
+    r = r.select(*keys, "pos", *[F.get("codes", F.col("pos") + k).alias(f"v{k}") for k in range(WINDOW)])
+    own = [F.when(is_value(f"v{k}"), F.col(f"v{k}").bitwiseAND(F.lit(3))).otherwise(F.col(f"v{k}")) for k in range(WINDOW)]
+    return r.withColumn("template", F.xxhash64(*own))
 
-def windows(rows: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
-    """One row per window of ``WINDOW`` tokens of ``rows`` (keys, tokens): keys, pos, template (hash of
-    the words, placeholders for values) and values (per token the hash of the value, 0 for words).
 
-    Long texts are taken in chunks, so no row holds the windows of a whole book."""
-    token = lambda t: F.struct(F.when(t["kind"] == "w", F.xxhash64(t["word"])).otherwise(F.xxhash64(F.lit(0), t["kind"])).alias("t"),
-                               F.when(t["kind"] == "w", F.lit(0).cast("long")).otherwise(F.xxhash64(t["word"])).alias("v"))
-    r = rows.select(*keys, F.transform("tokens", token).alias("tokens")).filter(F.size("tokens") >= WINDOW)
-    r = r.select(*keys, "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - WINDOW, F.lit(chunk))).alias("start"))
-    r = r.select(*keys, "start", F.slice("tokens", F.col("start") + 1, chunk + WINDOW - 1).alias("tokens"))
+def is_value(code: str) -> Column:
+    return F.col(code).bitwiseAND(F.lit(3)) != 0
 
-    def window(i: Column) -> Column:
-        own = [F.get("tokens", i + k) for k in range(WINDOW)]
-        return F.struct(i.alias("i"), F.xxhash64(*[o["t"] for o in own]).alias("template"), F.array(*[o["v"] for o in own]).alias("values"))
 
-    r = r.select(*keys, "start", F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens") - WINDOW), window)).alias("w"))
-    return r.select(*keys, (F.col("start") + F.col("w.i")).alias("pos"), "w.template", "w.values")
+def values(pairs: str, side: str) -> Column:
+    return F.size(F.array_distinct(F.transform(pairs, lambda p: p[side])))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -80,15 +74,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     Defined cases: null, empty and short texts (under ``WINDOW`` tokens), in documents or items, hold
     no window and neither leak nor match; repeated documents are reported once per id and text, repeated
     items (equal id) once; null ids are ids; empty tables give no rows; other columns are ignored."""
-    items = with_tokens(benchmark, item_text_col, F.col(item_col).alias("item_id"))
-    items = windows(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "template", F.col("values").alias("item_values"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("tokens"))
+    items = windows(items, ["item_id"]).withColumnRenamed("pos", "item_pos").withColumnsRenamed({f"v{k}": f"i{k}" for k in range(WINDOW)})
     items = shared_table(items.dropDuplicates(["item_id", "item_pos", "template"]), "benchmark-windows")
     total = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
     small = items.count() <= broadcast_windows
 
-    rows = with_tokens(docs, text_col, F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), tokens(F.col(text_col)).alias("tokens"))
     found = windows(rows, ["doc_id", "text_hash"]).join(F.broadcast(items) if small else items, "template")
-    pairs = F.filter(F.zip_with("item_values", "values", lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] != 0)
+    pairs = F.array_compact(F.array(*[F.when(is_value(f"i{k}"), F.struct(F.col(f"i{k}").alias("a"), F.col(f"v{k}").alias("b"))) for k in range(WINDOW)]))
     found = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     # an alignment has at most as many windows as its item
     keys = ["doc_id", "text_hash", "item_id"]
