@@ -88,7 +88,7 @@ def slot_schedule(targets: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, block_words: int = 2048, min_blocks: int = 1024,
-                bucket_rows: int = 20_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+                bucket_rows: int = 1_000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """The mix and its documents.
 
     Returns ``(mix, members)``.  ``mix`` has a row per slot and document in its block: slot (order of
