@@ -61,7 +61,7 @@ def is_aside(tag: str, attributes: str) -> bool:
         return False
     for n in names:
         words = [w.lower() for w in NAME_WORD.findall(n)]
-        if words and words[0] not in ("no", "has", "with") and not ASIDE_WORDS.isdisjoint([*words, n.lower()]):
+        if any(w in ASIDE_WORDS and before not in ("no", "has", "with", "without") for before, w in zip(["", *words], words)):
             return True
     return False
 
@@ -161,7 +161,7 @@ def main_text(html: str) -> str:
         linked[tree.parent[k]] += linked[k]
         links[tree.parent[k]] += links[k] if tree.tag[k] != "a" else 0
     final = [p * (1 - linked[k] / size[k]) if size[k] else 0.0 for k, p in enumerate(points)]
-    menus = {k for k in range(1, n) if tree.tag[k] in ("ul", "ol", "div", "section", "table", "p") and links[k] >= 3 and linked[k] >= 0.8 * size[k]}
+    menus = {k for k in range(1, n) if tree.tag[k] in ("ul", "ol", "div", "section", "table") and links[k] >= 3 and linked[k] >= 0.8 * size[k]}
 
     def above(k: int) -> Iterator[int]:
         while k >= 0:

@@ -22,6 +22,13 @@ def test_best_container_without_article():
     assert [x.split()[0] for x in main_text(page).split("\n")] == ["Head", "One", "Another", "A"]
 
 
+def test_names():
+    keep = ('class="layout-with-sidebar"', 'class="no-ads wide"', 'id="content" class="has-comments"', 'class="postBody"', 'class="headerless"')
+    drop = ('class="siteHeader"', 'id="disqus_thread"', 'class="comment-list"', 'class="share buttons"', 'role="navigation"', "hidden", 'style="display: none"', 'class="newsletter-signup"')
+    page = "<article><p>Some text, of the article.</p><div {}><p>More of it, in a box.</p></div></article>"
+    assert [a for a in keep if "More" not in main_text(page.format(a))] == [] and [a for a in drop if "More" in main_text(page.format(a))] == []
+
+
 def test_broken_and_odd():
     assert main_text("") == "" and main_text("plain  text") == "plain text"
     assert main_text("<article><p>hi <b>bo") == "hi bo"
