@@ -94,7 +94,20 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 from prefengine.llm import warc  # noqa: E402
 
 
-@query("op4_warc")
+#: base32 of the SHA-1 by groups of 5 hex digits, each 4 letters.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS x FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY page_id) AS k, min(page_id) OVER (PARTITION BY x) AS first FROM d)
+SELECT page_id, url, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(x, ((i // 4) * 5 + 1)::BIGINT, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to
+FROM r
+"""
+
+
+@query("op4_warc", WARC_SQL)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to web-archive packages and read back by range."""
     read = warc.archive_and_read(table(spark, sf_dir, "pages"))
