@@ -23,17 +23,26 @@ def sft_examples(conv: DataFrame) -> DataFrame:
     return u.join(a, ["conv_id", "turn"])
 
 
+#: Parts that the turns of one conversation are dealt into where they meet a per-conversation value.
+SALTS = 16
+
+
 def candidate_prompts(conv: DataFrame) -> DataFrame:
     """Per conversation: the last user turn before the first assistant turn, and the number of
-    assistant turns (conv_id, prompt, prompt_turn, n_candidates).  Aggregations are partial
-    (map-side), so a long conversation costs no single-task collect."""
+    assistant turns (conv_id, prompt, prompt_turn, n_candidates).
+
+    Aggregations are partial (map-side).  Turn numbers, not texts, meet the first assistant turn, in
+    ``SALTS`` parts per conversation, so a long conversation is not one task's; the text of the one
+    turn found comes by its key."""
     first = (conv.filter(F.col("role") == "assistant").groupBy("conv_id")
              .agg(F.min("turn").alias("first_turn"), F.count(F.lit(1)).alias("n_candidates")))
+    salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     users = conv.filter(F.col("role") == "user").select("conv_id", "turn", "text")
-    prompts = (users.join(first, "conv_id").filter(F.col("turn") < F.col("first_turn"))
-               .groupBy("conv_id")
-               .agg(F.max_by("text", "turn").alias("prompt"), F.max("turn").alias("prompt_turn")))
-    return prompts.join(first.select("conv_id", "n_candidates"), "conv_id")
+    turns = users.select("conv_id", "turn", F.pmod("turn", F.lit(SALTS)).cast("int").alias("_salt"))
+    last = (turns.join(salted, ["conv_id", "_salt"]).filter(F.col("turn") < F.col("first_turn"))
+            .groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max("n_candidates").alias("n_candidates")))
+    return (users.join(last, ["conv_id", "turn"])
+            .select("conv_id", F.col("text").alias("prompt"), F.col("turn").alias("prompt_turn"), "n_candidates"))
 
 
 def candidates_long(conv: DataFrame) -> DataFrame:
