@@ -71,11 +71,18 @@ def stretches(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray
         yield lo + first, size, h[first], times > 1
 
 
+def rows_of(batch: pa.RecordBatch, *columns: str, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, a few at a time as Python values: texts are not all copied at once."""
+    for lo in range(0, batch.num_rows, step):
+        part = batch.slice(lo, step)
+        yield from zip(*(part.column(c).to_pylist() for c in columns))
+
+
 def find_stretches(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_ = xxhash.xxh64_intdigest
         for batch in batches:
-            for a, b, text in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text"))):
+            for a, b, text in rows_of(batch, "t1", "t2", "text"):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for first, size, key, twice in stretches(data, length):
                     context = np.fromiter((hash_(data[lo:hi]) for lo, hi in zip(first.tolist(), (first + size + length - 1).tolist())), np.uint64, len(first))
@@ -104,7 +111,7 @@ def grouped(function, rows: int = 65_536):
 def cut_contexts(length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "wanted"))):
+            for a, b, text, wanted in rows_of(batch, "t1", "t2", "text", "wanted"):
                 data = text.encode("utf-8", "surrogatepass")
                 rows = [(w["key"], w["hot"], w["single"], a, b, w["first"], w["n"], data[w["first"]:w["first"] + w["n"] + length - 1]) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["key", "hot", "single", "t1", "t2", "first", "n", "bytes"])
@@ -142,7 +149,7 @@ def sort_shards(length: int):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["t1", "t2", "first", "n"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "t1", "t2", "first", "n", "bytes"))):
+            for row in rows_of(batch, "key", "single", "t1", "t2", "first", "n", "bytes"):
                 if size >= SHARD and row[0] != last:  # a shard holds whole keys
                     yield from done()
                     shard, size = [], 0
@@ -160,7 +167,7 @@ def hash_starts(length: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(key, xxhash.xxh64_intdigest(data[k:k + length]) - (1 << 63), xxhash.xxh32_intdigest(data[k:k + length]), single, a, b, first + k)
-                    for key, single, a, b, first, n, data in zip(*(batch.column(c).to_pylist() for c in ("key", "single", "t1", "t2", "first", "n", "bytes"))) for k in range(n)]
+                    for key, single, a, b, first, n, data in rows_of(batch, "key", "single", "t1", "t2", "first", "n", "bytes") for k in range(n)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["key", "h1", "h2", "single", "t1", "t2", "first"])
 
@@ -211,7 +218,7 @@ def digest_texts(length: int):
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "wanted"))):
+            for a, b, text, wanted in rows_of(batch, "t1", "t2", "text", "wanted"):
                 data = text.encode("utf-8", "surrogatepass")
                 runs = merge(wanted, len(data), length)
                 ends = [0, *(x for run in runs for x in run), len(data)]
@@ -228,7 +235,7 @@ def clean_texts(length: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for a, b, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("t1", "t2", "text", "wanted"))):
+            for a, b, text, wanted in rows_of(batch, "t1", "t2", "text", "wanted"):
                 data, runs = text.encode("utf-8", "surrogatepass"), []
                 for lo, hi in merge(wanted, len(data), length):
                     while lo > 0 and data[lo] & 0xC0 == 0x80:
