@@ -129,9 +129,13 @@ def train(sample: DataFrame, epochs: int = 6, rate: float = 0.1, decay: float =
     counted = sample.select("label", "ord", "text").mapInArrow(count_words, "label int, ord long, words array<string>, counts array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("ord", "label", "words", "counts")))]
+        rows, same = [], {}  # each word is kept once, however many texts hold it
+        for batch in batches:
+            for k in range(batch.num_rows):
+                order, label, words, counts = (batch.column(c)[k].as_py() for c in ("ord", "label", "words", "counts"))
+                rows.append((order, label, Counter({same.setdefault(w, w): n for w, n in sorted(zip(words, counts))})))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-        labels, bags = np.array([r[1] for r in rows], np.int64), [Counter(dict(zip(sorted(r[2]), [c for _, c in sorted(zip(r[2], r[3]))]))) for r in rows]
+        labels, bags = np.array([r[1] for r in rows], np.int64), [r[2] for r in rows]
         made = fit(grades(labels, bags), bags, epochs, rate, decay, seed) if rows else (np.zeros(BUCKETS), np.arange(1.0, GRADES))
         yield pa.RecordBatch.from_pydict({k: [v.tobytes()] for k, v in zip(("weights", "thresholds"), made)})
 
