@@ -25,7 +25,7 @@ HELD_OUT_FOLD = 2
 #: Bucket of a word that stands after itself.
 REPEAT = 0
 #: Characters of a text that are hashed at once, and the powers (and their inverses modulo 2^64) for their bytes.
-PIECE = 1 << 18
+PIECE = 1 << 16
 BASE = 0x100000001B3
 POWERS, INVERSES = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(4 * PIECE + 64, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
 
@@ -107,40 +107,40 @@ def fit(bags: list[tuple[int, np.ndarray, np.ndarray]], epochs: int, rate: float
     return vectors, layer, bias
 
 
-def train(sample: DataFrame, epochs: int = 5, rate: float = 0.3, seed: int = 0) -> dict:
+def train(sample: DataFrame, epochs: int = 5, rate: float = 0.3, seed: int = 0, keep_vectors: bool = False) -> dict:
     """A model from ``sample`` (text, label 0/1, ord), which the caller has bounded.
 
-    Features are counted where the rows are; the bags then meet in one task, which trains and
-    returns the weights.  Without rows the model answers 0.5."""
+    Features are counted where the rows are; the bags then meet in one task, which trains.  Layer and
+    average are linear, so it takes each bucket's vector through the layer and returns what scoring
+    needs: per bucket the difference of the two logits (weights), and the bias.  ``keep_vectors`` adds
+    the vectors and the layer themselves.  Without rows the model answers 0.5."""
     bags = sample.select("label", "ord", "text").mapInArrow(count_features, "label int, ord long, buckets array<int>, counts array<float>")
+    columns = ["weights", "bias", *["vectors", "layer"] * keep_vectors]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() if c in ("label", "ord") else [x.values.to_numpy() for x in b.column(c)]
                                                   for c in ("ord", "label", "buckets", "counts")))]
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
-        made = fit([r[1:] for r in rows], epochs, rate, seed)
-        yield pa.RecordBatch.from_pydict({k: [v.astype(np.float32).tobytes()] for k, v in zip(("vectors", "layer", "bias"), made)})
+        vectors, layer, bias = fit([r[1:] for r in rows], epochs, rate, seed)
+        made = {"weights": vectors @ (layer[:, 1] - layer[:, 0]), "bias": bias[1:] - bias[:1], "vectors": vectors, "layer": layer}
+        yield pa.RecordBatch.from_pydict({c: [made[c].astype(np.float32).tobytes()] for c in columns})
 
-    found = bags.repartition(1).mapInArrow(run, "vectors binary, layer binary, bias binary").collect()
+    found = bags.repartition(1).mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).collect()
     if not found:  # a plan without any partition
-        return {"vectors": np.zeros((BUCKETS, DIM), np.float32), "layer": np.zeros((DIM, 2), np.float32), "bias": np.zeros(2, np.float32)}
-    row = found[0]
-    return {"vectors": np.frombuffer(row["vectors"], np.float32).reshape(BUCKETS, DIM),
-            "layer": np.frombuffer(row["layer"], np.float32).reshape(DIM, 2), "bias": np.frombuffer(row["bias"], np.float32)}
+        return {"weights": np.zeros(BUCKETS, np.float32), "bias": np.zeros(1, np.float32)}
+    model = {c: np.frombuffer(found[0][c], np.float32) for c in columns}
+    return model | {c: model[c].reshape(-1, n) for c, n in (("vectors", DIM), ("layer", 2)) if c in model}
 
 
 def score(docs: DataFrame, model: dict, text_col: str, out: str) -> DataFrame:
-    """``docs`` with ``out``: the softmax probability of class 1 for the whole text.
-
-    Layer and average are linear, so each bucket's vector is first taken through the layer; with two
-    classes the softmax is the logistic function of the difference of the two logits."""
-    weights = (model["vectors"] @ (model["layer"][:, 1] - model["layer"][:, 0])).astype(np.float64)
-    bias = float(model["bias"][1] - model["bias"][0])
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    """``docs`` with ``out``: the softmax probability of class 1 for the whole text, which with two
+    classes is the logistic function of the difference of their logits."""
+    bias = float(model["bias"][0])
+    shared = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     @F.pandas_udf("double")
     def probability(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        w = shared.value
+        w = shared.value.astype(np.float64)
         for texts in parts:
             out = np.empty(len(texts))
             for i, text in enumerate(texts):
