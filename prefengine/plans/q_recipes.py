@@ -103,7 +103,7 @@ FROM iv GROUP BY run, interval
 def metrics_table(spark, sf):
     m = interval_means(spark, sf).select("run", "interval", "examples", "value")
     path = shared_dir(spark, "metrics-table")
-    write_metrics(m, path, partition_by="run")
+    write_metrics(m, path, partition_by="run", batch="intervals")
     return spark.read.parquet(path).select(F.col("run").cast("bigint").alias("run"), "interval", "examples", "value")
 
 

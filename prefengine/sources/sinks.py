@@ -19,6 +19,13 @@ def write_json_arrays(df: DataFrame, path: str, chunk: str) -> None:
     arrays.write.option("maxRecordsPerFile", 1).text(path)
 
 
-def write_metrics(df: DataFrame, path: str, partition_by: str = "run") -> None:
-    """Append metric rows to a parquet table partitioned by run (K3)."""
-    df.write.mode("append").partitionBy(partition_by).parquet(path)
+def write_metrics(df: DataFrame, path: str, partition_by: str = "run", batch: str | None = None) -> None:
+    """Add metric rows to a parquet table partitioned by run (K3).
+
+    With ``batch`` (a name for this set of rows, e.g. the step of the job) the rows go to a partition
+    of their own, and writing the same batch again replaces it; without, every call appends."""
+    if batch is None:
+        df.write.mode("append").partitionBy(partition_by).parquet(path)
+    else:
+        (df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(partition_by, "batch").parquet(path))

@@ -83,3 +83,11 @@ def test_json_array_files_round_trip(spark):
     assert len([f for f in os.listdir(path) if f.endswith(".txt")]) == 3
     back = R.read_json_array(spark, path, "k bigint, text string").collect()
     assert sorted((r.k, r.text) for r in back) == [(i, f"line\n{i}") for i in range(20)]
+
+
+def test_metric_batches_are_idempotent(spark):
+    path = tempfile.mkdtemp(prefix="prefengine-metrics-") + "/t"
+    df = spark.createDataFrame([(1, 0, 0.5), (2, 0, 0.7)], "run bigint, interval bigint, value double")
+    for batch in ("a", "b", "a"):
+        write_metrics(df, path, batch=batch)
+    assert spark.read.parquet(path).count() == 4
