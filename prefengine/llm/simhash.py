@@ -150,7 +150,8 @@ def joined(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """A row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that
-    links reach, itself included), text_hash (to tell rows of equal id apart).
+    links reach, itself included), text_hash (to tell rows of equal id apart), root (a fingerprint
+    that stands for the component: unlike component_id, which can be null or repeat, it is its own).
 
     ``shingle`` words make a shingle, fingerprints link at ``bits`` or fewer differing bits.  Defined
     cases: null, empty and blank texts have the fingerprint zero and link like others; a text shorter
@@ -163,8 +164,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(near_pairs(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
     member = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = member.join(least, "root").select("fp", "component_id")
-    return prints.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash")
+    final = member.join(least, "root").select("fp", "component_id", "root")
+    shown = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(name) for c, name in (("fp", "fingerprint"), ("root", "root"))]
+    return prints.join(final, "fp").select("doc_id", shown[0], "component_id", "text_hash", shown[1])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
@@ -172,8 +174,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     that id the smallest text hash); all columns stay as they are."""
     groups = near_duplicates(docs, id_col, text_col, shingle, bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("first")
-    # ids can repeat, so two components may share their smallest id: the fingerprint's component tells them apart by text
-    keep = groups.groupBy("component_id").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
+    # ids can be null or repeat, so components may share their smallest id, never their root
+    keep = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
     mark = fresh(docs, "__text_hash")
     marked = docs.withColumn(mark, F.xxhash64(text_col))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash"))

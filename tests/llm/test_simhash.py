@@ -56,6 +56,14 @@ def test_documents(spark, docs):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
+def test_components_that_share_their_smallest_id(spark, docs):
+    """Null ids and an id that repeats with another text: one document of each component stays."""
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue", "grey", "pink")]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[3]), (8, texts[4])]
+    kept = simhash.keep_one(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])], key=str)
+
+
 def test_dense_blocks_split(spark, monkeypatch):
     """Many fingerprints in one block: parts of blocks are compared pairwise, no link is lost."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
