@@ -14,50 +14,97 @@ from pyspark.sql import functions as F
 from prefengine.llm.common import shared_table
 
 # Units that follow a number.
-UNITS = ["mm", "cm", "m", "km", "in", "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mile", "miles", "mg", "g", "kg", "gram", "grams",
-         "kilogram", "kilograms", "ton", "tons", "oz", "ounce", "ounces", "lb", "lbs", "pound", "pounds", "ml", "l", "liter", "liters", "litre", "litres",
-         "gallon", "gallons", "cup", "cups", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hr", "hour", "hours", "day", "days", "week",
-         "weeks", "month", "months", "year", "years", "mph", "kmh", "hz", "w", "kw", "v", "kb", "mb", "gb", "dollar", "dollars", "cent", "cents",
-         "euro", "euros", "usd", "eur", "degree", "degrees", "percent"]
-#: Characters that mark the kind of the token they stand before: name, number, unit.
-NAME, NUMBER, UNIT = "\x02", "\x03", "\x04"
+UNITS = ["mm", "millimeter", "millimeters", "millimetre", "millimetres", "cm", "centimeter", "centimeters", "centimetre", "centimetres", "dm", "decimeter",
+         "decimeters", "decimetre", "decimetres", "m", "meter", "meters", "metre", "metres", "km", "kilometer", "kilometers", "kilometre", "kilometres", "in",
+         "inch", "inches", "ft", "foot", "feet", "yd", "yard", "yards", "mi", "mile", "miles", "acre", "acres", "ha", "hectare", "hectares",
+         "mg", "milligram", "milligrams", "g", "kg", "kilo", "kilos", "gram", "grams", "kilogram", "kilograms", "ton", "tons", "tonne", "tonnes", "oz", "ounce",
+         "ounces", "lb", "lbs", "pound", "pounds", "ml", "milliliter", "milliliters", "millilitre", "millilitres", "cl", "centiliter", "centiliters",
+         "centilitre", "centilitres", "dl", "deciliter", "deciliters", "decilitre", "decilitres", "l", "liter", "liters", "litre", "litres", "gallon",
+         "gallons", "quart", "quarts", "pint", "pints", "cup", "cups", "tsp", "teaspoon", "teaspoons", "tbsp", "tablespoon", "tablespoons",
+         "ms", "millisecond", "milliseconds", "s", "sec", "secs", "second", "seconds", "min", "mins", "minute", "minutes", "h", "hr", "hrs", "hour", "hours",
+         "day", "days", "week", "weeks", "month", "months", "year", "years", "decade", "decades", "century", "centuries", "mph", "kph", "kmh",
+         "hz", "khz", "mhz", "ghz", "hertz", "kilohertz", "megahertz", "gigahertz", "w", "watt", "watts", "kw", "kilowatt", "kilowatts", "mw", "megawatt",
+         "megawatts", "v", "volt", "volts", "amp", "amps", "ampere", "amperes", "joule", "joules", "kj", "kilojoule", "kilojoules", "kcal", "calorie",
+         "calories", "bit", "bits", "byte", "bytes", "kb", "kilobyte", "kilobytes", "mb", "megabyte", "megabytes", "gb", "gigabyte", "gigabytes", "tb",
+         "terabyte", "terabytes", "dollar", "dollars", "cent", "cents", "euro", "euros", "penny", "pennies", "pence", "yen", "rupee", "rupees", "usd", "eur",
+         "gbp", "jpy", "degree", "degrees", "percent"]
+#: Characters that mark the kind of the token they stand before (name, number, unit, word or name), and a point inside a number.
+NAME, NUMBER, UNIT, EITHER, POINT = "\x02", "\x03", "\x04", "\x05", "\x06"
+#: Readings of a text: numbers cut at their separators, numbers whole, and both where no number has one.
+CUT, WHOLE, BOTH = 0, 1, 2
 WINDOW, SHARE = 5, 0.8
 #: Benchmark windows up to this many (about 100 MB) are sent to every task; more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
 
+def marked(text: Column, starts: bool) -> Column:
+    """The text in lower case with currency signs as words and names marked; with ``starts`` the other
+    capitalised words, which open a sentence, line or quote, are marked as a word or a name."""
+    t = F.coalesce(text, F.lit(""))
+    for sign, word in (("%", " percent "), ("$", f" {UNIT}usd "), ("€", f" {UNIT}eur "), ("£", f" {UNIT}gbp ")):
+        t = F.replace(t, F.lit(sign), F.lit(word))
+    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{M}\p{N},;:'\")] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{N}])", NAME + "$0")
+    if starts:
+        t = F.regexp_replace(t, rf"(?=\p{{Lu}}\p{{Ll}})(?<![\p{{L}}\p{{M}}\p{{N}}{NAME}])\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{N}}])", EITHER + "$0")
+    return F.lower(t)
+
+
+def cut(t: Column) -> Column:
+    """The tokens of a marked text, numbers and units marked as well."""
+    t = F.regexp_replace(t, rf"\p{{N}}[\p{{N}}{POINT}]*", NUMBER + "$0")
+    t = F.regexp_replace(t, rf"({NUMBER}[\p{{N}}{POINT}]+ *)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", "$1 " + UNIT)
+    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{POINT}]+|(?={NUMBER})"), lambda w: w != "")
+
+
 def tokens(text: Column) -> Column:
     """The words of a text in lower case; those of a kind start with its mark.
 
     A run of digits is a number; a unit is one of ``UNITS`` right after a number, or a currency sign; a
     name is a word with only its first letter in upper case, after a blank that does not end a
-    sentence or line.  The kinds are marked in the whole text (three passes), which is then split."""
-    t = F.coalesce(text, F.lit(""))
-    for sign, word in (("%", " percent "), ("$", f" {UNIT}usd "), ("€", f" {UNIT}eur "), ("£", f" {UNIT}gbp ")):
-        t = F.replace(t, F.lit(sign), F.lit(word))
-    t = F.regexp_replace(t, r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{M}\p{N},;:'\")] )\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{N}])", NAME + "$0")
-    t = F.regexp_replace(F.lower(t), r"\p{N}+", NUMBER + "$0")
-    t = F.regexp_replace(t, rf"({NUMBER}\p{{N}}+ *)(?=(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))", "$1 " + UNIT)
-    return F.filter(F.split(t, rf"[^\p{{L}}\p{{M}}\p{{N}}{NAME}-{UNIT}]+|(?={NUMBER})"), lambda w: w != "")
+    sentence or line.  The kinds are marked in the whole text, which is then split."""
+    return cut(marked(text, starts=False))
+
+
+def readings(rows: DataFrame, text: Column, keys: dict[str, Column]) -> DataFrame:
+    """``keys``, reading and tokens of each reading of ``text``.  Capitalised words that open a sentence
+    may be names.  A text where separators stand inside numbers (1,200 or 2.5) is read twice: with
+    numbers cut at them and with numbers whole (without the commas that group thousands)."""
+    whole = F.regexp_replace(F.col("__t"), r"(?<=\p{N}),(?=\p{N}{3}(?!\p{N}))", "")
+    whole = F.regexp_replace(whole, r"(?<=\p{N})[.,](?=\p{N})", POINT)
+    read = lambda reading, t: F.struct(F.lit(reading).alias("reading"), t.alias("t"))
+    each = F.when(F.col("__t").rlike(r"\p{N}[.,]\p{N}"), F.array(read(CUT, F.col("__t")), read(WHOLE, whole))).otherwise(F.array(read(BOTH, F.col("__t"))))
+    rows = rows.select(*[c.alias(k) for k, c in keys.items()], marked(text, starts=True).alias("__t"))
+    return rows.select(*keys, F.explode(each).alias("__r")).select(*keys, F.col("__r.reading").alias("reading"), cut(F.col("__r.t")).alias("tokens"))
 
 
 def windows(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per window of ``WINDOW`` tokens of ``rows`` (keys, tokens): keys, pos, template (hash of
-    its words and kinds) and v0, v1, ...: each token's hash with its kind in the lowest two bits.
+    """Windows of ``WINDOW`` tokens of ``rows`` (keys, tokens): keys, pos, template (hash of its words and
+    kinds), named (whether a word that may be a name is taken as one) and v0, v1, ...: each token's
+    hash with its kind in the lowest three bits.  A window is a row for every choice of what its
+    tokens that may be names are; most have none.
 
     Only the hashing of tokens is a loop over an array; windows are made by exploding places and
     picking from the array, inside generated code."""
-    kind = lambda w: F.when(w < "\x05", F.ascii(w) - 1).otherwise(0)
-    coded = F.transform("tokens", lambda w: F.xxhash64(w).bitwiseAND(F.lit(-4)).bitwiseOR(kind(w).cast("long")))
+    has = lambda w: w < POINT
+    bare = lambda w: F.when(has(w), F.substring(w, 2, 1 << 30)).otherwise(w)
+    kind = lambda w: F.when(has(w), F.ascii(w) - 1).otherwise(0)
+    coded = F.transform("tokens", lambda w: F.xxhash64(bare(w)).bitwiseAND(F.lit(-8)).bitwiseOR(kind(w).cast("long")))
     r = rows.select(*keys, coded.alias("codes")).filter(F.size("codes") >= WINDOW)
     r = r.select(*keys, "codes", F.explode(F.sequence(F.lit(0), F.size("codes") - WINDOW)).alias("pos"))
     r = r.select(*keys, "pos", *[F.get("codes", F.col("pos") + k).alias(f"v{k}") for k in range(WINDOW)])
-    own = [F.when(is_value(f"v{k}"), F.col(f"v{k}").bitwiseAND(F.lit(3))).otherwise(F.col(f"v{k}")) for k in range(WINDOW)]
+    # a set bit 2 of a code says word or name; the choices are the subsets of such places
+    open_ = sum((F.shiftleft(F.shiftright(F.col(f"v{k}").bitwiseAND(F.lit(4)), 2), k) for k in range(WINDOW)), F.lit(0)).cast("int")
+    r = r.withColumn("open", open_)
+    choices = F.filter(F.sequence(F.lit(0), F.col("open")), lambda s: s.bitwiseAND(F.col("open")) == s)
+    r = r.withColumn("choice", F.explode(F.when(F.col("open") == 0, F.array(F.lit(0))).otherwise(choices)))
+    taken = [F.col(f"v{k}").bitwiseAND(F.lit(-5)).bitwiseOR(F.shiftright("choice", k).bitwiseAND(F.lit(1)).cast("long")).alias(f"v{k}") for k in range(WINDOW)]
+    r = r.select(*keys, "pos", (F.col("choice") != 0).alias("named"), *taken)
+    own = [F.when(is_value(f"v{k}"), F.col(f"v{k}").bitwiseAND(F.lit(7))).otherwise(F.col(f"v{k}")) for k in range(WINDOW)]
     return r.withColumn("template", F.xxhash64(*own))
 
 
 def is_value(code: str) -> Column:
-    return F.col(code).bitwiseAND(F.lit(3)) != 0
+    return F.col(code).bitwiseAND(F.lit(7)) != 0
 
 
 def values(pairs: str, side: str) -> Column:
@@ -69,30 +116,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(doc_id, text_hash, item_id, matched, windows, coverage, exchanged): a row per document and item it leaks.
 
     Windows that match at the same distance between document and item are one alignment; if its values
-    do not stand for each other one to one it is discarded.  An item is leaked if the remaining
+    do not stand for each other one to one it is discarded, but for the windows without sentence
+    openers taken as names if those agree.  An item is leaked if in one of its readings the remaining
     alignments cover at least ``SHARE`` of its windows.  ``exchanged`` counts values that differ.
     Defined cases: null, empty and short texts (under ``WINDOW`` tokens), in documents or items, hold
     no window and neither leak nor match; repeated documents are reported once per id and text, repeated
     items (equal id) once; null ids are ids; empty tables give no rows; other columns are ignored."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text_col)).alias("tokens"))
-    items = windows(items, ["item_id"]).withColumnRenamed("pos", "item_pos").withColumnsRenamed({f"v{k}": f"i{k}" for k in range(WINDOW)})
-    items = shared_table(items.dropDuplicates(["item_id", "item_pos", "template"]), "benchmark-windows")
-    total = items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
+    item = ["item_id"]
+    items = readings(benchmark, F.col(item_text_col), {"item_id": F.col(item_col)})
+    items = windows(items, [*item, "reading"]).withColumnsRenamed({"pos": "item_pos", "reading": "item_reading", "named": "item_named", **{f"v{k}": f"i{k}" for k in range(WINDOW)}})
+    items = shared_table(items.dropDuplicates([*item, "item_reading", "item_pos", "template"]), "benchmark-windows")
+    total = items.groupBy(*item, "item_reading").agg(F.countDistinct("item_pos").alias("windows"))
     small = items.count() <= broadcast_windows
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), tokens(F.col(text_col)).alias("tokens"))
-    found = windows(rows, ["doc_id", "text_hash"]).join(F.broadcast(items) if small else items, "template")
+    rows = readings(docs, F.col(text_col), {"doc_id": F.col(id_col), "text_hash": F.xxhash64(text_col)})
+    found = windows(rows, ["doc_id", "text_hash", "reading"]).join(F.broadcast(items) if small else items, "template")
+    found = found.filter((F.col("reading") == F.col("item_reading")) | (F.col("reading") == BOTH) | (F.col("item_reading") == BOTH))
     pairs = F.array_compact(F.array(*[F.when(is_value(f"i{k}"), F.struct(F.col(f"i{k}").alias("a"), F.col(f"v{k}").alias("b"))) for k in range(WINDOW)]))
-    found = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+    keys = ["doc_id", "text_hash", *item]
+    found = found.select(*keys, "item_reading", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"),
+                         (~F.col("named") & ~F.col("item_named")).alias("plain"))
     # an alignment has at most as many windows as its item
-    keys = ["doc_id", "text_hash", "item_id"]
-    runs = found.groupBy(*keys, "shift").agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    way = lambda chosen: F.struct(F.collect_set(F.when(chosen, F.col("item_pos"))).alias("places"),
+                                  F.array_distinct(F.flatten(F.collect_set(F.when(chosen, F.col("pairs"))))).alias("pairs"))
+    runs = found.groupBy(*keys, "item_reading", "reading", "shift").agg(F.array(way(F.lit(True)), way(F.col("plain"))).alias("ways"))
+    runs = runs.select(*keys, "item_reading", F.explode("ways").alias("way")).select(*keys, "item_reading", "way.places", "way.pairs")
     runs = runs.filter((F.size("pairs") == values("pairs", "a")) & (F.size("pairs") == values("pairs", "b")))
     runs = runs.withColumn("exchanged", F.size(F.filter("pairs", lambda p: p["a"] != p["b"])))
-    leaks = runs.groupBy(*keys).agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"), F.max_by("exchanged", F.size("places")).alias("exchanged"))
-    same = leaks["item_id"].eqNullSafe(total["item_id"])
-    leaks = leaks.join(total, same).select(*[leaks[c] for c in leaks.columns], "windows")
-    return leaks.withColumn("coverage", F.col("matched") / F.col("windows")).filter(F.col("coverage") >= SHARE).select(*keys, "matched", "windows", "coverage", "exchanged")
+    leaks = runs.groupBy(*keys, "item_reading").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"),
+                                                    F.max_by("exchanged", F.struct(F.size("places"), F.size("pairs"))).alias("exchanged"))
+    same = [leaks[c].eqNullSafe(total[c]) for c in (*item, "item_reading")]
+    leaks = leaks.join(total, same).select(*[leaks[c] for c in leaks.columns], "windows").withColumn("coverage", F.col("matched") / F.col("windows"))
+    best = F.max(F.struct("coverage", "matched", "windows", "exchanged")).alias("best")
+    leaks = leaks.filter(F.col("coverage") >= SHARE).groupBy(*keys).agg(best)
+    return leaks.select("doc_id", "text_hash", "item_id", "best.matched", "best.windows", "best.coverage", "best.exchanged")
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

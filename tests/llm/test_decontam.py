@@ -52,3 +52,18 @@ def test_empty_and_native(spark, docs):
     assert decontam.drop_leaked(docs(DOCS), none).count() == len(DOCS)
     plan = decontam.find_leaks(docs(DOCS), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_openers_units_and_whole_numbers(spark, docs):
+    """Names that open a sentence, spelled units and numbers with separators can be exchanged; conflicting openers take nothing away."""
+    story = "Anna has 3 apples. Tom has 5 apples. Tom gives Anna 2 apples. How many apples does Anna have now?"
+    road = "A car that burns 2.5 liters goes 5 kilometers in the morning and costs 1,200 dollars when it is sold next year."
+    plain = ("The first of all the houses by the old harbour was painted in a bright yellow colour that nobody liked at all. "
+             "The second one stood further up the hill among tall trees and had been left without any roof since the great storm of the winter. The end came.")
+    list_ = "write down the numbers 1,2,3 and then the numbers 4,5,6 in the order in which they were given"
+    bench = spark.createDataFrame([(1, story), (2, road), (3, plain), (4, list_)], "item_id long, text string")
+    rows = [(1, story.replace("Anna", "Eva").replace("Tom", "Jim")), (2, "Read this.\n" + road.replace("2.5 liters", "7 milliliters").replace("5 kilometers", "8 miles").replace("1,200", "95")),
+            (3, plain.replace("The second", "My second").replace("The end", "Our end")), (4, story.replace("Anna", "Eva", 1).replace("Tom", "Eva")),
+            (5, list_.replace(",", ", ")), (6, road.replace("1,200", "1200").replace("2.5", "2,5"))]
+    got = {(r.doc_id, r.item_id): r.coverage for r in decontam.find_leaks(docs(rows), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 2)} and got[1, 1] == got[2, 2] == got[6, 2] == 1
