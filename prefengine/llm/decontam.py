@@ -120,10 +120,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     openers taken as names if those agree.  An item is leaked if in one of its readings the remaining
     alignments cover at least ``SHARE`` of its windows.  ``exchanged`` counts values that differ.
     Defined cases: null, empty and short texts (under ``WINDOW`` tokens), in documents or items, hold
-    no window and neither leak nor match; repeated documents are reported once per id and text, repeated
-    items (equal id) once; null ids are ids; empty tables give no rows; other columns are ignored."""
-    item = ["item_id"]
-    items = readings(benchmark, F.col(item_text_col), {"item_id": F.col(item_col)})
+    no window and neither leak nor match; repeated documents and repeated items are reported once per id
+    and text, so different texts under one id are items of their own; null ids are ids; empty tables give no rows; other columns are ignored."""
+    item = ["item_id", "item_hash"]
+    items = readings(benchmark, F.col(item_text_col), {"item_id": F.col(item_col), "item_hash": F.xxhash64(item_text_col)})
     items = windows(items, [*item, "reading"]).withColumnsRenamed({"pos": "item_pos", "reading": "item_reading", "named": "item_named", **{f"v{k}": f"i{k}" for k in range(WINDOW)}})
     items = shared_table(items.dropDuplicates([*item, "item_reading", "item_pos", "template"]), "benchmark-windows")
     total = items.groupBy(*item, "item_reading").agg(F.countDistinct("item_pos").alias("windows"))

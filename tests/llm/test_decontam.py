@@ -67,3 +67,12 @@ def test_openers_units_and_whole_numbers(spark, docs):
             (5, list_.replace(",", ", ")), (6, road.replace("1,200", "1200").replace("2.5", "2,5"))]
     got = {(r.doc_id, r.item_id): r.coverage for r in decontam.find_leaks(docs(rows), bench).collect()}
     assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4), (6, 2)} and got[1, 1] == got[2, 2] == got[6, 2] == 1
+
+
+def test_items_that_share_an_id(spark, docs):
+    """Texts under one id (merged benchmarks, null ids) are items of their own."""
+    long, short = ITEMS[1][1], "Nine old boats lie on the grey beach and wait for the tide"
+    for i in (5, None):
+        bench = spark.createDataFrame([(i, long), (i, short), (i, short)], "item_id long, text string")
+        out = decontam.find_leaks(docs([(1, f"{NOISE(20)} {short} {NOISE(20)}"), (2, f"{long} {short}"), (3, long)]), bench).collect()
+        assert sorted((r.doc_id, r.item_id, r.coverage) for r in out) == [(1, i, 1.0), (2, i, 1.0), (2, i, 1.0), (3, i, 1.0)]
