@@ -32,6 +32,12 @@ ASIDE_WORDS = {"ad", "ads", "adbox", "adslot", "advert", "adverts", "advertiseme
                "discussion", "feedback", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "disclaimer", "popup",
                "modal", "overlay", "paywall", "newsletter", "subscribe", "subscription", "signup", "login", "register", "share", "sharing", "social",
                "toolbar", "pagination", "pager", "search", "searchbox", "form", "hidden", "toc", "skip"}
+#: Of these words, those for what others wrote or sell: no text makes such an element the article, unless it is all the page has.
+FOREIGN = {"ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "outbrain", "taboola",
+           "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "cookie", "cookies", "consent", "gdpr"}
+#: And those that stay out inside an article, however long; the other words may name a section of it.
+BOXES = FOREIGN | {"newsletter", "subscribe", "subscription", "signup", "login", "paywall", "popup", "modal", "sidebar", "sidebars", "widget", "widgets",
+                   "navbar", "breadcrumb", "breadcrumbs", "submenu", "share", "sharing", "social", "pagination", "pager", "hidden", "form"}
 MAIN_NAMES = {"article", "content", "main", "post", "entry", "story", "page", "wrapper", "container", "body", "text"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -43,34 +49,39 @@ COMMAS = re.compile("[,،、，]")
 LEAST = 25  # code points of a paragraph that gives points
 
 
-def is_aside(tag: str, attributes: str) -> bool:
-    """Whether an element is page furniture by its tag, role, state or names."""
-    if tag in NEVER:
-        return True
+def aside_words(tag: str, attributes: str) -> set[str] | None:
+    """None if an element is page furniture by its tag, role or state; else the words that say so by its
+    names or as a form, which its text can overrule (none: no furniture)."""
+    if tag in NEVER and tag not in ("form", "fieldset"):
+        return None
+    words_of = {"form"} if tag in ("form", "fieldset") else set()
     if not attributes or tag in ("html", "body"):
-        return False
+        return words_of
     values = {}
     for name, a, b, c, bare in ATTRIBUTE.findall(attributes):
         values.setdefault((name or bare).lower(), unescape(a or b or c))
-    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or values.get("role", "").lower() in ROLES or HIDDEN.search(values.get("style", "")):
-        return True
+    role = values.get("role", "").lower()
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true" or role in ROLES and role != "form" or HIDDEN.search(values.get("style", "")):
+        return None
+    if role == "form":
+        words_of.add("form")
     names = [*values.get("class", "").split(), *values.get("id", "").split()]
     if tag in ("article", "main") and not any(w.lower() in ("comment", "reply") for n in names for w in NAME_WORD.findall(n)):
-        return False
+        return words_of
     if any(n.lower() in MAIN_NAMES for n in names):
-        return False
+        return words_of
     for n in names:
         words = [w.lower() for w in NAME_WORD.findall(n)]
-        if any(w in ASIDE_WORDS and before not in ("no", "has", "with", "without") for before, w in zip(["", *words], words)):
-            return True
-    return False
+        words_of.update(w for before, w in zip(["", *words], words) if w in ASIDE_WORDS and before not in ("no", "has", "with", "without"))
+    return words_of
 
 
 class Tree:
-    """Elements in page order (parent numbers, tags, furniture flags) and the text blocks in them."""
+    """Elements in page order (parent numbers, tags, flags of certain furniture) and the text blocks in them."""
 
     def __init__(self, html: str) -> None:
         self.parent, self.tag, self.out = [-1], ["#root"], [False]
+        self.words: dict[int, set[str]] = {}  # elements that their names or a form tag make furniture
         self.blocks: list[tuple[int, str, int]] = []  # innermost block element, text, code points inside links
         open_, links, pieces, linked = [0], 0, [], []
         at, end = 0, len(html)
@@ -126,7 +137,10 @@ class Tree:
             n = len(self.tag)
             self.parent.append(open_[-1])
             self.tag.append(tag)
-            self.out.append(self.out[open_[-1]] or tag in RAW or is_aside(tag, attributes))
+            words = set() if self.out[open_[-1]] or tag in RAW else aside_words(tag, attributes)
+            self.out.append(self.out[open_[-1]] or tag in RAW or words is None or bool(words) and tag not in BLOCK)
+            if words and tag in BLOCK:
+                self.words[n] = words
             if tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
                 at = stop.start() if stop else end
@@ -139,14 +153,56 @@ class Tree:
         flush()
 
 
+def furniture(tree: Tree) -> tuple[list[bool], list[int], list[int]]:
+    """Which elements lie in furniture, and for each element the code points outside links and inside
+    them of its paragraphs, without what foreign elements in it hold.
+
+    An element that only its names or a form tag make furniture is none if it holds an article or main
+    element with at least half the text of the longest, or, where none stands outside it, most of the
+    page's paragraphs."""
+    n = len(tree.tag)
+    foreign = [False] * n
+    for k in range(1, n):
+        foreign[k] = foreign[tree.parent[k]] or bool(FOREIGN & tree.words.get(k, set()))
+    text, inner, every = [0] * n, [0] * n, [0] * n
+    for holder, block, inside in tree.blocks:
+        every[holder] += len(block)
+        if len(block) >= LEAST and not foreign[holder]:
+            text[holder] += len(block) - inside
+            inner[holder] += inside
+    for k in range(n - 1, 0, -1):
+        for sums in (text, inner, every):
+            sums[tree.parent[k]] += sums[k]
+    marked = [k for k in range(n) if tree.tag[k] in ("article", "main") and every[k] and k not in tree.words and not foreign[k]]
+    longest = max((every[k] for k in marked), default=0)
+    heavy: dict[int, int] = {}  # longest marked element inside
+    for k in marked:
+        up = tree.parent[k]
+        while up > 0:
+            heavy[up] = max(heavy.get(up, 0), every[k])
+            up = tree.parent[up]
+    out = [False] * n
+    for k in range(1, n):
+        words = tree.words.get(k)
+        out[k] = out[tree.parent[k]]
+        if words and not out[k]:
+            holds = 2 * heavy.get(k, 0) >= longest > 0
+            most = not longest and (every[k] == every[0] if words & FOREIGN else 2 * text[k] > text[0] and text[k] > 3 * inner[k])
+            out[k] = not (holds or most)
+    return out, text, inner
+
+
 def main_text(html: str) -> str:
     """The article of a page: its blocks in page order, white space inside a block made one space."""
     tree = Tree(html)
     n = len(tree.tag)
+    out, paragraphs, inner = furniture(tree)
     points, size, linked, links = [0.0] * n, [0] * n, [0] * n, [0] * n
     for k in range(1, n):
-        links[tree.parent[k]] += tree.tag[k] == "a"
+        links[tree.parent[k]] += tree.tag[k] == "a" and not out[k]
     for holder, text, inside in tree.blocks:
+        if out[holder]:
+            continue
         worth = 1 + len(COMMAS.findall(text)) + min(len(text) // 100, 3) if len(text) >= LEAST else 0
         worth *= 1 - inside / len(text)
         # what holds the text directly is the paragraph; if it is a container itself it counts as one
@@ -173,17 +229,25 @@ def main_text(html: str) -> str:
         marked = [k for k in range(n) if tree.tag[k] in ("article", "main") and size[k]]
         best = max(marked, key=lambda k: (size[k], -k), default=0)
     best = next((k for k in above(best) if tree.tag[k] == "article"), None) or next((k for k in above(best) if tree.tag[k] == "main"), best)
+    if tree.tag[best] not in ("body", "html", "#root"):  # a section of the article may have a name like furniture
+        back = [False] * n
+        for k in range(best + 1, n):
+            up = tree.parent[k]
+            inside = up == best or back[up]
+            words = tree.words.get(k)
+            back[k] = inside and (not words or not out[k] or not words & BOXES and paragraphs[k] > 80 and paragraphs[k] > 3 * inner[k])
+            out[k] = out[k] and not back[k]
     keep = {best}
     if tree.tag[best] not in ("article", "main", "body", "html", "#root"):
         for k in range(1, n):
-            if tree.parent[k] == tree.parent[best] and k != best and size[k]:
+            if tree.parent[k] == tree.parent[best] and k != best and size[k] and not out[k]:
                 density = linked[k] / size[k]
                 heading = tree.tag[k] in ("h1", "h2") and k < best
                 if heading or final[k] >= max(2, 0.2 * final[best]) or tree.tag[k] in ("p", "blockquote", "pre") and (size[k] > 80 and density < 0.25):
                     keep.add(k)
     kept = [False] * n
     for k in range(n):
-        kept[k] = (k in keep or k > 0 and kept[tree.parent[k]]) and k not in menus
+        kept[k] = (k in keep or k > 0 and kept[tree.parent[k]]) and k not in menus and not out[k]
     return "\n".join(text for holder, text, _ in tree.blocks if kept[holder])
 
 

@@ -46,3 +46,21 @@ def test_table(spark):
     out = sorted((str(r.page_id), r.text, r.n_chars) for r in extract_text(df).collect())
     assert out == sorted([("1", main_text(PAGE), len(main_text(PAGE))), ("2", "", 0), ("2", "", 0), ("None", "x", 1)])
     assert extract_text(df.limit(0)).count() == 0
+
+
+LINE = "This sentence of the article goes on for a while, says one thing, and then it says another thing as well. "
+
+
+def test_wrappers_and_sections_named_like_furniture():
+    """Names and form tags remove no element that holds the article, nor a section of it."""
+    body = f"<h1>Head</h1><p>{LINE * 3}</p><p>{LINE * 2}</p>"
+    for wrap in ("<div class='header-fixed'>{}</div>", "<div class='layout sidebar-left'>{}</div>", "<form id='aspnetForm'>{}</form>", "<fieldset><div>{}</div></fieldset>"):
+        for inside in (body, f"<article>{body}</article>"):
+            page = "<body><div class='sidebar'><p>Other stories, of the day, that one could read.</p></div>" + wrap.format(inside) + "<div id='comments'><p>I say no.</p></div></body>"
+            assert main_text(page).split("\n") == ["Head", (LINE * 3).strip(), (LINE * 2).strip()], page
+    for section in ("section id='discussion'", "section class='related-work'", "div class='notice-period'"):
+        assert main_text(f"<article>{body}<{section}><h2>More</h2><p>{LINE}</p></{section.split()[0]}></article>").endswith("More\n" + LINE.strip())
+    assert main_text(f"<article><p>{LINE}<span class='share'>Share it</span></p></article>") == LINE.strip()
+    for box in ("div class='comment-list'", "div class='related'"):
+        text = LINE if "comment" in box else f"<a href=x>{LINE}</a>"
+        assert "More" not in main_text(f"<article>{body}<{box}><h2>More</h2><p>{text}</p></div></article>")
