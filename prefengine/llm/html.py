@@ -3,7 +3,8 @@
 A page becomes a small element tree.  Elements that are never article text (menus, forms, adverts,
 comments, ...) go with all they hold.  Every remaining paragraph gives points for its length and
 its commas to its ancestors, less with each level; an element's points are discounted by its link
-density.  The best container is kept, with the siblings that look like its text.
+density.  The best container is kept, and what stands beside it or the elements around it if paragraphs
+with few links do.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COMMAS = re.compile("[,،、，]")
+#: Elements that are text of the article beside its paragraphs.
+TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"}
 LEAST = 25  # code points of a paragraph that gives points
 
 
@@ -237,18 +240,29 @@ def main_text(html: str) -> str:
             words = tree.words.get(k)
             back[k] = inside and (not words or not out[k] or not words & BOXES and paragraphs[k] > 80 and paragraphs[k] > 3 * inner[k])
             out[k] = out[k] and not back[k]
-    keep = {best}
-    if tree.tag[best] not in ("article", "main", "body", "html", "#root"):
-        for k in range(1, n):
-            if tree.parent[k] == tree.parent[best] and k != best and size[k] and not out[k]:
-                density = linked[k] / size[k]
-                heading = tree.tag[k] in ("h1", "h2") and k < best
-                if heading or final[k] >= max(2, 0.2 * final[best]) or tree.tag[k] in ("p", "blockquote", "pre") and (size[k] > 80 and density < 0.25):
-                    keep.add(k)
+    keep, climbed = {best}, set()
+    children: dict[int, list[int]] = {}
+    for k in range(1, n):
+        if size[k] and not out[k]:
+            children.setdefault(tree.parent[k], []).append(k)
+    low = lambda k: linked[k] < 0.25 * size[k]
+    at = best
+    while at > 0 and tree.tag[at] not in ("article", "main", "body", "html"):
+        up = tree.parent[at]
+        beside = [k for k in children.get(up, ()) if k != at and k not in menus]
+        # the article goes on beside its best part if paragraphs stand there
+        on = any(low(k) and paragraphs[k] >= LEAST for k in beside)
+        for k in beside:
+            heading = at == best and tree.tag[k] in ("h1", "h2") and k < best
+            if heading or at == best and final[k] >= max(2, 0.2 * final[best]) or on and low(k) and (tree.tag[k] in TEXT or paragraphs[k] >= LEAST):
+                keep.add(k)
+        if on:
+            climbed.add(up)
+        at = up
     kept = [False] * n
     for k in range(n):
         kept[k] = (k in keep or k > 0 and kept[tree.parent[k]]) and k not in menus and not out[k]
-    return "\n".join(text for holder, text, _ in tree.blocks if kept[holder])
+    return "\n".join(text for holder, text, inside in tree.blocks if kept[holder] or holder in climbed and len(text) >= LEAST and 4 * inside < len(text))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

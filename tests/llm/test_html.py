@@ -64,3 +64,14 @@ def test_wrappers_and_sections_named_like_furniture():
     for box in ("div class='comment-list'", "div class='related'"):
         text = LINE if "comment" in box else f"<a href=x>{LINE}</a>"
         assert "More" not in main_text(f"<article>{body}<{box}><h2>More</h2><p>{text}</p></div></article>")
+
+
+def test_article_in_several_sections():
+    """Without article or main, every section with paragraphs is kept, with headings, lists and short paragraphs beside them."""
+    long = f"<div>{f'<p>{LINE * 3}</p>' * 5}</div>"
+    page = f"""<body><div id=top><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></div><div><h1>Head</h1>{long}<h2>Second</h2><div><p>{LINE}</p></div>
+    <h3>Third</h3><ul><li>first point<li>second point</ul><p>A short end of the story.</p><div><a href=a>{LINE}</a></div></div></body>"""
+    got = main_text(page).split("\n")
+    assert got == ["Head", *[(LINE * 3).strip()] * 5, "Second", LINE.strip(), "Third", "first point", "second point", "A short end of the story."]
+    deeper = f"<body><div><section>{long}</section><section><div><p>{LINE}</p></div></section></div></body>"
+    assert main_text(deeper).split("\n") == [*[(LINE * 3).strip()] * 5, LINE.strip()]
