@@ -69,7 +69,9 @@ def grades(labels: np.ndarray, bags: list[Counter]) -> np.ndarray:
 
 def telling_odds(grade: np.ndarray, rows: list[np.ndarray], least: float = 6.0) -> np.ndarray:
     """Log odds of each bucket between graded and clean texts where a likelihood-ratio test tells them
-    apart (signed root of at least ``least``), else 0: the rest would only add noise to long texts."""
+    apart, else 0: the rest would only add noise to long texts.  The signed root is at least ``least``,
+    or the test a quarter of what a word of all graded texts and no clean one reaches if that is less
+    (few labelled texts); with one side only there is nothing to tell."""
     seen = [np.bincount(np.concatenate([r for g, r in zip(grade > 0, rows) if g == side] or [np.zeros(0, np.int64)]), minlength=BUCKETS).astype(float) for side in (False, True)]
     n = np.bincount((grade > 0).astype(int), minlength=2) + 1.0
     both = (seen[0] + seen[1]) / n.sum()
@@ -77,7 +79,9 @@ def telling_odds(grade: np.ndarray, rows: list[np.ndarray], least: float = 6.0)
     with np.errstate(divide="ignore", invalid="ignore"):
         test = sum(2 * np.nan_to_num(k * np.log(k / (n[i] * both)), nan=0.0, posinf=0.0, neginf=0.0)
                    + 2 * np.nan_to_num((n[i] - k) * np.log((n[i] - k) / (n[i] * (1 - both))), nan=0.0, posinf=0.0, neginf=0.0) for i, k in enumerate(seen))
-    return np.where(test >= least * least, odds, 0.0)
+    share = np.bincount((grade > 0).astype(int), minlength=2) / max(1, len(grade))
+    most = -2 * len(grade) * sum(p * math.log(p) for p in share if p)
+    return np.where(test >= min(least * least, most / 4), odds, 0.0) if share.all() else np.zeros(BUCKETS)
 
 
 def fit(grade: np.ndarray, bags: list[Counter], epochs: int, rate: float, decay: float, seed: int) -> tuple[np.ndarray, np.ndarray]:

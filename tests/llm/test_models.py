@@ -106,3 +106,18 @@ def test_ordinal_fit_orders_grades():
     score = lambda b: sum(toxicity.weight(c, sum(b.values())) * sum(w[f] for f in toxicity.features(x)) for x, c in b.items())
     expected = [np.mean([(1 / (1 + np.exp(limits - score(b)))).sum() for b, y in zip(bags, grade) if y == g]) for g in range(4)]
     assert expected == sorted(expected) and expected[0] < 0.5 < 2 < expected[3]
+
+
+def test_few_labels_still_grade_words():
+    """Too few labelled texts for the full test: words are told apart all the same."""
+    from collections import Counter
+
+    rng = random.Random(1)
+    some = lambda: Counter([f"w{rng.randrange(100)}" for _ in range(30)])
+    grade = np.array([1] * 8 + [0] * 16)
+    bags = [some() + Counter({"qqzz": 2 * int(g)}) for g in grade]
+    w, limits = toxicity.fit(grade, bags, 6, 0.1, 1e-2, 0)
+    score = lambda b: sum(toxicity.weight(c, sum(b.values())) * sum(w[f] for f in toxicity.features(x)) for x, c in b.items())
+    new = [some() for _ in range(50)]
+    assert np.mean([score(b) < limits[0] for b in new]) > 0.95 and np.mean([score(b + Counter({"qqzz": 2})) >= limits[0] for b in new]) > 0.95
+    assert not toxicity.fit(np.zeros(24, int), bags, 1, 0.1, 1e-2, 0)[0].any()
