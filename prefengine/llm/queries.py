@@ -193,3 +193,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they leak."""
     leaks = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "matched", "windows", "coverage", "exchanged")
+
+
+# ------------------------------------------------------------------ 12: licences
+from prefengine.llm import licenses  # noqa: E402
+
+
+@query("op12_licenses", licenses.license_sql())
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every whole document."""
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
