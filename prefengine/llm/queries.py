@@ -203,3 +203,13 @@ from prefengine.llm import licenses  # noqa: E402
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices of every whole document."""
     return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 13: whitening
+from prefengine.llm import whitening  # noqa: E402
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first 16 whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
