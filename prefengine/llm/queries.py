@@ -213,3 +213,32 @@ from prefengine.llm import whitening  # noqa: E402
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the first 16 whitened components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------ 11: hard negatives
+from prefengine.llm import negatives  # noqa: E402
+
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+scored AS (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM r a JOIN r b ON a.uid <> b.uid WHERE a.vec_id % 100 = 0),
+positive AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS k FROM scored WHERE same) WHERE k <= 5),
+fit AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank
+  FROM positive p JOIN scored n ON p.anchor = n.anchor AND NOT n.same
+  WHERE 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM fit WHERE rank <= 10
+"""
+
+
+@query("op11_hard_negatives", NEGATIVES_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 100th vector, for each of its five positives."""
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
