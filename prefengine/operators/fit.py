@@ -1,63 +1,100 @@
 """Model fitting at scale (G1, G2): the reference's training loops re-aimed as Spark jobs.
 
 G2 is one full-batch gradient of a pairwise objective for a log-linear policy
-(log pi(y) = theta . phi(y)); the mean over all pairs is a vector summary (partial aggregation, one
-vector per task).  Only the theta vector (dimension-sized) reaches the driver."""
+(log pi(y) = theta . phi(y) - log Z); the mean over all pairs is a vector summary (partial
+aggregation, one vector per task).  Only the theta vector (dimension-sized) reaches the driver."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefengine.functions.arrays import let
-from prefengine.session import materialize
+from prefengine.operators.objectives import KINDS
+from prefengine.operators.policy import dot, pair_logps
+from prefengine.session import materialize, require_columns
 
+#: Objectives whose gradient needs the expected features of the prompt's candidate set.
+NEEDS_MEAN = ("rpo", "sft")
 
-def _dot(a, theta: list[float]):
-    lit = F.array(*[F.lit(float(t)) for t in theta])
-    return F.aggregate(F.zip_with(a, lit, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
+def pair_gradient(df: DataFrame, theta: list[float], kind: str = "dpo", beta: float = 0.1, eps: float = 0.25,
+                  eta: float = 0.005, alpha: float = 0.01, base: str = "ipo", chosen: str = "chosen_phi",
+                  rejected: str = "rejected_phi", ref_chosen: str | None = None, ref_rejected: str | None = None,
+                  data_chosen: str | None = None, data_rejected: str | None = None, mean: str = "mean_phi",
+                  chosen_length: str = "chosen_length", rejected_length: str = "rejected_length",
+                  logps: tuple[str, str] | None = None) -> Column:
+    """Gradient of one pair's loss (``objectives.objective``) in theta, an array<double>.
 
-def preference_gradient(df: DataFrame, theta: list[float], kind: str = "dpo", beta: float = 0.1,
-                        eps: float = 0.25, chosen: str = "chosen_phi", rejected: str = "rejected_phi",
-                        ref_chosen: str | None = None, ref_rejected: str | None = None,
-                        data_chosen: str | None = None, data_rejected: str | None = None) -> DataFrame:
-    """Mean gradient d loss / d theta over all pairs, one row per dimension (dim, grad).
+    d log pi(y) / d theta = phi(y) - mean, with ``mean`` the expected features of the prompt's
+    candidates; it cancels in h = (pi_c - pi_r) - (rho_c - rho_r), so only rpo and sft read it:
 
-    h = theta.(phi_c - phi_r) - (rho_c - rho_r);
-    dpo: -beta sigmoid(-beta h) (phi_c - phi_r); ipo: 2 (h - 1/(2 beta)) (phi_c - phi_r);
-    is:  w * ipo with w = exp(min(pi_c - d_c + pi_r - d_r, 2 eps)) held constant."""
-    d = F.zip_with(F.col(chosen), F.col(rejected), lambda a, b: a.cast("double") - b.cast("double"))
-    ref = (F.col(ref_chosen) - F.col(ref_rejected)) if ref_chosen else F.lit(0.0)
-    pc, pr = _dot(F.col(chosen), theta), _dot(F.col(rejected), theta)
-    h = (pc - pr) - ref
-    b = F.lit(float(beta))
-    if kind == "dpo":
-        coef = -b / (F.lit(1.0) + F.exp(b * h))
-    elif kind in ("ipo", "is"):
-        coef = F.lit(2.0) * (h - F.lit(1.0) / (F.lit(2.0) * b))
-        if kind == "is":
-            dc = F.col(data_chosen) if data_chosen else F.lit(0.0)
-            dr = F.col(data_rejected) if data_rejected else F.lit(0.0)
-            coef = coef * F.exp(F.least(pc - dc + pr - dr, F.lit(2.0 * eps)))
+    dpo     g (phi_c - phi_r) with g = -beta sigmoid(-beta h)
+    ipo     g = 2 (h - 1/(2 beta))
+    is      w times ipo's (base="ipo") or dpo's g (base="sigmoid"),
+            w = exp(min(pi_c - d_c + pi_r - d_r, 2 eps)) held constant
+    length  g = -beta sigmoid(-(beta h + alpha (len_c - len_r)))
+    reward  g = -sigmoid(-h), h = theta . (phi_c - phi_r)
+    rpo     dpo's, and -beta eta (phi_c - mean)
+    sft     -(phi_c - mean)
+
+    ``logps`` names the policy's log-probs of both sides if the pairs carry them; without, theta . phi
+    stands for them, which differs by log Z: h does not see that, the weight of ``is`` does."""
+    if kind not in KINDS:
+        raise ValueError(f"kind must be one of {KINDS}")
+    if base not in ("ipo", "sigmoid"):
+        raise ValueError("base must be 'ipo' or 'sigmoid'")
+    pc, pr = (F.col(logps[0]), F.col(logps[1])) if logps else (dot(F.col(chosen), theta), dot(F.col(rejected), theta))
+    ref = (F.col(ref_chosen) - F.col(ref_rejected)) if ref_chosen and kind != "reward" else F.lit(0.0)
+    h, b, one = (pc - pr) - ref, F.lit(float(beta)), F.lit(1.0)
+    dpo, ipo = -b / (one + F.exp(b * h)), F.lit(2.0) * (h - one / (F.lit(2.0) * b))
+    if kind == "is":
+        dc = F.col(data_chosen) if data_chosen else F.lit(0.0)
+        dr = F.col(data_rejected) if data_rejected else F.lit(0.0)
+        g = (ipo if base == "ipo" else dpo) * F.exp(F.least(pc - dc + pr - dr, F.lit(2.0 * eps)))
+    elif kind == "length":
+        require_columns(df, chosen_length, rejected_length)
+        longer = (F.col(chosen_length) - F.col(rejected_length)).cast("double")
+        g = -b / (one + F.exp(b * h + F.lit(float(alpha)) * longer))
     else:
-        raise ValueError("kind must be dpo, ipo or is")
-    # the coefficient is bound once per pair, not re-evaluated per dimension
-    per_dim = let(coef, lambda c: F.transform(d, lambda x: x * c))
-    mean = df.agg(Summarizer.mean(array_to_vector(per_dim)).alias("m"))
-    return mean.filter("m is not null").select(F.posexplode(vector_to_array("m")).alias("dim", "grad"))
+        g = {"dpo": dpo, "rpo": dpo, "ipo": ipo, "reward": -one / (one + F.exp(h)), "sft": F.lit(0.0)}[kind]
+    c, r = F.col(chosen), F.col(rejected)
+    # coefficients are bound once per pair, not re-evaluated per dimension
+    if kind not in NEEDS_MEAN:
+        return let(g, lambda v: F.zip_with(c, r, lambda x, y: (x.cast("double") - y.cast("double")) * v))
+    require_columns(df, mean)
+    pull = F.lit(float(beta) * float(eta)) if kind == "rpo" else one
+    toward = F.zip_with(c, F.col(mean), lambda x, m: (m - x.cast("double")) * pull)
+    if kind == "sft":
+        return toward
+    return let(g, lambda v: F.zip_with(toward, F.zip_with(c, r, lambda x, y: (x.cast("double") - y.cast("double")) * v), lambda t, d: t + d))
+
+
+def preference_gradient(df: DataFrame, theta: list[float], kind: str = "dpo", beta: float = 0.1, **options) -> DataFrame:
+    """Mean gradient d loss / d theta over all pairs, one row per dimension (dim, grad); ``options`` as
+    in ``pair_gradient``."""
+    per_dim = pair_gradient(df, theta, kind, beta, **options)
+    total = df.agg(Summarizer.mean(array_to_vector(per_dim)).alias("m"))
+    return total.filter("m is not null").select(F.posexplode(vector_to_array("m")).alias("dim", "grad"))
 
 
 def fit_preference(df: DataFrame, dim: int, steps: int = 10, lr: float = 0.1, kind: str = "dpo",
-                   beta: float = 0.1, **kw) -> list[float]:
-    """A fixed number of full-batch gradient steps; theta travels as a literal array."""
+                   beta: float = 0.1, cands: DataFrame | None = None, key: list[str] | None = None, **kw) -> list[float]:
+    """A fixed number of full-batch gradient steps; theta travels as a literal array.
+
+    With ``cands`` (the candidate sets, ``key`` their prompt's columns) the policy is normalised over
+    them in every step; rpo and sft need that, and so does the weight of ``is`` to be the real ratio."""
     theta = [0.0] * dim
     pairs = materialize(df, "pairs")
+    sets = materialize(cands.select(*key, "phi"), "candidates") if cands is not None else None
     for _ in range(steps):
-        g = {r["dim"]: r["grad"] for r in preference_gradient(pairs, theta, kind, beta, **kw).collect()}
+        rows = pairs
+        if sets is not None:
+            rows, kw["logps"] = pair_logps(pairs, sets, key, theta, mean=kind in NEEDS_MEAN), ("chosen_logps", "rejected_logps")
+        g = {r["dim"]: r["grad"] for r in preference_gradient(rows, theta, kind, beta, **kw).collect()}
         theta = [t - lr * g.get(i, 0.0) for i, t in enumerate(theta)]
     return theta
 

@@ -188,3 +188,17 @@ def metric_log(events: DataFrame, runs: int = 5) -> DataFrame:
     return events.select(
         (F.col("user_id") % runs).alias("run"), F.col("event_type").alias("metric"),
         F.col("event_id").alias("idx"), "value", "ts", "event_id")
+
+
+#: Vectors that make one candidate set.
+SET_SIZE = 8
+
+
+def policy_candidates(embeddings: DataFrame) -> DataFrame:
+    """Candidate sets with features (prompt_id, cand_idx, phi, score, length, has_eos): ``SET_SIZE`` vectors with
+    neighbouring ids answer one prompt; the label is the judge's score, the positive components are the
+    scored tokens, and a first component of -0.2 or more ends with EOS."""
+    phi = F.transform("embedding", lambda x: x.cast("double"))
+    rows = embeddings.select(F.floor(F.col("vec_id") / SET_SIZE).alias("prompt_id"), F.pmod("vec_id", F.lit(SET_SIZE)).alias("cand_idx"),
+                             phi.alias("phi"), F.col("label").cast("double").alias("score"))
+    return rows.withColumn("length", F.size(F.filter("phi", lambda x: x > 0))).withColumn("has_eos", F.get("phi", F.lit(0)) >= -0.2)
