@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from prefengine.session import shared_dir
 from prefengine.sources import driver_tables as D
 from prefengine.sources.sinks import write_jsonl
+from prefengine.sources.versions import VersionedTable
 from prefengine.streaming import jobs as S
 from prefengine.functions.math import fixed_point_mean
 from prefengine.functions.time import utc_instant, utc_wall
 from prefengine.plans import q_pairs  # noqa: F401 - registers label_offline, whose SQL the stream jobs share
+from prefengine.plans import q_train  # registers interval_means, whose SQL the stream job shares
 from prefengine.plans.registry import ORACLE, register, sql_fixed_mean, sql_r, table
 
 
@@ -59,9 +61,9 @@ FROM lab GROUP BY conv_id % 5
 def stream_accuracy(spark, sf):
     labelled = _labelled_stream_output(spark, sf)
     pairs = S.file_stream(spark, labelled, "json", LABEL_SCHEMA).withColumn("run", F.col("conv_id") % 5)
-    out, ck = shared_dir(spark, "accuracy"), shared_dir(spark, "accuracy-ckpt")
-    S.run_complete(S.accuracy_stream(pairs), out, ck, state_partitions=_state_partitions(spark))
-    return spark.read.parquet(out).withColumn("accuracy", F.round("accuracy", 6))
+    result = VersionedTable(spark, shared_dir(spark, "accuracy"), "run bigint, accuracy double, n_pairs bigint")
+    S.run_update(S.accuracy_stream(pairs), result, ["run"], shared_dir(spark, "accuracy-ckpt"), state_partitions=_state_partitions(spark))
+    return result.read().withColumn("accuracy", F.round("accuracy", 6))
 
 
 _WINDOWS_SQL = f"""
@@ -100,3 +102,40 @@ def metric_windows(spark, sf):
     return g.select(F.date_format(utc_wall("w.start"), _TIME).alias("window_start"),
                     F.date_format(utc_wall("w.end"), _TIME).alias("window_end"),
                     "event_type", "mean_value", "n")
+
+
+# -- N2 R5 as a stream: the samples of a prompt arrive one after the other; the state pairs them
+SAMPLE_SCHEMA = "conv_id bigint, cand_idx bigint, turn bigint, score double, ts timestamp"
+
+
+@register("stream_online_pairs", ORACLE["label_online"])  # the same pairs as the batch job
+def stream_online_pairs(spark, sf):
+    """First all first samples arrive, then all second ones; both rounds are one stream with one checkpoint."""
+    cands = D.first_candidates(table(spark, sf, "conversations"), 2).withColumn("score", D.text_score("completion"))
+    cands = cands.withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("cand_idx") * 60)).select("conv_id", "cand_idx", "turn", "score", "ts")
+    src, out, ck = (shared_dir(spark, f"online-{x}") for x in ("samples", "pairs", "ckpt"))
+    for k in (0, 1):
+        cands.filter(F.col("cand_idx") == k).write.mode("append").parquet(src)
+        stream = S.file_stream(spark, src, "parquet", SAMPLE_SCHEMA)
+        S.run_append(S.online_label_stream(stream, ["conv_id"]), out, ck, state_partitions=_state_partitions(spark))
+    pairs = spark.read.schema("conv_id bigint, chosen bigint, rejected bigint, chosen_score double, rejected_score double").parquet(out)
+    return pairs.withColumnsRenamed({"chosen": "chosen_turn", "rejected": "rejected_turn"})
+
+
+# -- M4 as a stream: the metric log arrives in three parts that cut through the intervals
+ARRIVALS = 3
+LOG_SCHEMA = "run bigint, idx bigint, value double, click double, purchase double"
+
+
+@register("stream_interval_means", ORACLE["interval_means"])  # the same records as the batch job, the open intervals included
+def stream_interval_means(spark, sf):
+    log = D.metric_log(table(spark, sf, "events")).withColumns({c: F.when(F.col("metric") == c, F.col("value")) for c in ("click", "purchase")})
+    log = log.select("run", "idx", "value", "click", "purchase")
+    low, high = log.agg(F.min("idx"), F.max("idx")).first()
+    src, ck = shared_dir(spark, "log"), shared_dir(spark, "log-ckpt")
+    means = S.IntervalMeans(spark, shared_dir(spark, "intervals"), "run", ["idx"], ["value", "click", "purchase"], q_train.BATCH, q_train.ACCUM)
+    for k in range(ARRIVALS if low is not None else 0):
+        edges = [low + (high + 1 - low) * j // ARRIVALS for j in (k, k + 1)]
+        log.filter((F.col("idx") >= edges[0]) & (F.col("idx") < edges[1])).write.mode("append").parquet(src)
+        means.run_stream(S.file_stream(spark, src, "parquet", LOG_SCHEMA), ck)
+    return means.records(open_intervals=True)

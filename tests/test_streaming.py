@@ -9,6 +9,7 @@ from prefengine.operators.pairs import candidate_pairs, label_pairs, score_pairs
 from prefengine.session import shared_dir
 from prefengine.sources import driver_tables as D
 from prefengine.sources.sinks import write_jsonl
+from prefengine.sources.versions import VersionedTable
 from prefengine.streaming import jobs as S
 from tests.conftest import SF_SMOKE
 
@@ -64,9 +65,9 @@ def test_accuracy_stream(spark):
     spark.createDataFrame([(0, 2.0, 1.0), (0, 1.0, 2.0), (1, 3.0, 0.0)],
                           "run int, chosen_score double, rejected_score double").write.parquet(d + "/p")
     schema = "run int, chosen_score double, rejected_score double"
-    out, ck = shared_dir(spark, "t-acc"), shared_dir(spark, "t-acc-ckpt")
-    S.run_complete(S.accuracy_stream(S.file_stream(spark, d + "/p", "parquet", schema)), out, ck)
-    got = {r["run"]: (r["accuracy"], r["n_pairs"]) for r in spark.read.parquet(out).collect()}
+    out = VersionedTable(spark, shared_dir(spark, "t-acc"), "run int, accuracy double, n_pairs bigint")
+    S.run_update(S.accuracy_stream(S.file_stream(spark, d + "/p", "parquet", schema)), out, ["run"], shared_dir(spark, "t-acc-ckpt"))
+    got = {r["run"]: (r["accuracy"], r["n_pairs"]) for r in out.read().collect()}
     assert got == {0: (0.5, 2), 1: (1.0, 1)}
 
 
