@@ -63,3 +63,37 @@ def best_checkpoint(df: DataFrame, run: str, step: str, metric: str) -> DataFram
     row per (run, checkpoint), so the per-run window is small."""
     w = Window.partitionBy(run).orderBy(F.desc(metric), F.asc(step))
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+
+
+def overoptimisation_onset(df: DataFrame, run: str, step: str, kl: str, reward: str) -> DataFrame:
+    """Where the gold reward of a run turns down while the KL to the reference still grows (V5).
+
+    The checkpoints of a run are ordered by KL; the split into two least-squares lines with the least squared
+    error comes from prefix sums (at least two checkpoints a side, the earliest on ties).  If the first line
+    rises and the second falls, the last checkpoint of the first is the onset; else (monotone, flat, fewer than four)
+    it is null.  The peak is the highest reward, at the smallest KL on ties.  One row per run; the input is one row
+    per (run, checkpoint), so a run's window is small."""
+    whole = Window.partitionBy(run)
+    ordered = whole.orderBy(kl, step)
+    # centred, so that the sums of squares lose no digits
+    x, y = F.col(kl) - F.avg(kl).over(whole), F.col(reward) - F.avg(reward).over(whole)
+    c = df.select(run, step, kl, reward, x.alias("_x"), y.alias("_y")).withColumns({"_xx": F.col("_x") * F.col("_x"), "_xy": F.col("_x") * F.col("_y"), "_yy": F.col("_y") * F.col("_y")})
+    terms = ("_x", "_y", "_xx", "_xy", "_yy")
+    c = c.withColumns({"_k": F.row_number().over(ordered), "_n": F.count(F.lit(1)).over(whole),
+                       **{f"{t}_l": F.sum(t).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) for t in terms}, **{f"{t}_t": F.sum(t).over(whole) for t in terms}})
+
+    def line(n: Column, s: dict[str, Column]) -> tuple[Column, Column]:
+        xx, xy, yy = s["_xx"] - s["_x"] * s["_x"] / n, s["_xy"] - s["_x"] * s["_y"] / n, s["_yy"] - s["_y"] * s["_y"] / n
+        wide = xx > 1e-12
+        return F.round(F.when(wide, xy / xx).otherwise(0.0), 9), F.when(wide, yy - xy * xy / xx).otherwise(yy)
+
+    before, error_l = line(F.col("_k"), {t: F.col(f"{t}_l") for t in terms})
+    after, error_r = line(F.col("_n") - F.col("_k"), {t: F.col(f"{t}_t") - F.col(f"{t}_l") for t in terms})
+    inside = (F.col("_k") >= 2) & (F.col("_k") <= F.col("_n") - 2)
+    c = c.withColumns({"_b": F.when(inside, before), "_a": F.when(inside, after), "_e": F.when(inside, F.round(error_l + error_r, 9))})
+    found = (F.col("_s._b") > 0) & (F.col("_s._a") < 0)
+    split = F.min_by(F.struct(F.col(step).alias("step"), F.col(kl).alias("kl"), "_b", "_a"), F.struct(F.coalesce("_e", F.lit(float("inf"))), "_k"))
+    peak = F.max_by(F.struct(F.col(step).alias("step"), F.col(kl).alias("kl"), F.col(reward).alias("reward")), F.struct(reward, -F.col("_k")))
+    out = c.groupBy(run).agg(F.count(F.lit(1)).alias("checkpoints"), peak.alias("_p"), split.alias("_s"))
+    return out.select(run, "checkpoints", F.col("_p.step").alias("peak_step"), F.col("_p.kl").alias("peak_kl"), F.col("_p.reward").alias("peak_reward"),
+                      *[F.when(found, F.col(f"_s.{c}")).alias(name) for c, name in (("step", "onset_step"), ("kl", "onset_kl"), ("_b", "slope_before"), ("_a", "slope_after"))])

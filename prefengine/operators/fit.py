@@ -6,6 +6,7 @@ aggregation, one vector per task).  Only the theta vector (dimension-sized) reac
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -77,8 +78,8 @@ def preference_gradient(df: DataFrame, theta: list[float], kind: str = "dpo", be
     """Mean gradient d loss / d theta over all pairs, one row per dimension (dim, grad); ``options`` as
     in ``pair_gradient``."""
     per_dim = pair_gradient(df, theta, kind, beta, **options)
-    total = df.agg(Summarizer.mean(array_to_vector(per_dim)).alias("m"))
-    return total.filter("m is not null").select(F.posexplode(vector_to_array("m")).alias("dim", "grad"))
+    total = df.groupBy(F.lit("all")).agg(Summarizer.mean(array_to_vector(per_dim)).alias("m"))  # no pairs, no rows
+    return total.select(F.posexplode(vector_to_array("m")).alias("dim", "grad"))
 
 
 def fit_preference(df: DataFrame, dim: int, steps: int = 10, lr: float = 0.1, kind: str = "dpo",
@@ -108,3 +109,30 @@ def fit_reward(df: DataFrame, chosen: str = "chosen_phi", rejected: str = "rejec
     neg = df.select(array_to_vector(F.transform(d, lambda x: -x)).alias("features"), F.lit(0.0).alias("label"))
     lr = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter, tol=tol, standardization=False)
     return lr.fit(pos.unionByName(neg))
+
+
+def fit_reward_newton(df: DataFrame, dim: int, reg: float = 0.01, steps: int = 8, chosen: str = "chosen_phi",
+                      rejected: str = "rejected_phi") -> list[float]:
+    """The same fit by a fixed number of Newton steps from zero (G1): deterministic weights.
+
+    Minimises the mean of -log sigmoid(w . (phi_c - phi_r)) + reg / 2 |w|^2.  A step is one aggregate: the mean
+    over pairs of the gradient and of the upper triangle of the Hessian's outer products, summed map-side into one vector
+    per task; the driver solves a system of ``dim`` equations."""
+    d = F.zip_with(F.col(chosen), F.col(rejected), lambda a, b: a.cast("double") - b.cast("double"))
+    pairs = materialize(df.select(d.alias("_d")), "differences")
+    upper, w = np.triu_indices(dim), np.zeros(dim)
+    for _ in range(steps):
+        miss = let(dot(F.col("_d"), w.tolist()), lambda h: F.lit(1.0) / (F.lit(1.0) + F.exp(h)))
+        rows = pairs.select("_d", miss.alias("_q"))
+        outer = F.flatten(F.transform("_d", lambda x, i: let(x * F.col("_q") * (F.lit(1.0) - F.col("_q")), lambda v: F.transform(
+            F.slice("_d", i + 1, F.lit(dim)), lambda y: y * v))))
+        both = F.concat(F.transform("_d", lambda x: -x * F.col("_q")), outer)
+        mean = rows.groupBy(F.lit("all")).agg(Summarizer.mean(array_to_vector(both)).alias("m")).first()
+        if mean is None:  # no pairs
+            break
+        values = mean["m"].toArray()
+        hessian = np.zeros((dim, dim))
+        hessian[upper] = values[dim:]
+        hessian = hessian + np.triu(hessian, 1).T + reg * np.eye(dim)
+        w = w - np.linalg.solve(hessian, values[:dim] + reg * w)
+    return w.tolist()

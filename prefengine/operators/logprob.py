@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefengine.functions.arrays import IGNORE_INDEX, let
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
 from prefengine.operators.tokens import token_list
 from prefengine.session import materialize, spread
@@ -171,3 +172,35 @@ def attach_logps(pairs: DataFrame, key: list[str], policy=None, ref=None, data=N
         if r in out.columns:
             out = out.withColumn(d, F.coalesce(F.col(d), F.col(r)) if d in out.columns else F.col(r))
     return out
+
+
+def chunked_logps(chunks: DataFrame, key: list[str], average: bool = False, temperature: float = 1.0, pos: str = "pos",
+                  first: str = "first_id", values: str = "values", label: str = "label", out: str = "logp") -> DataFrame:
+    """``seq_logp`` for vocabularies too wide for one cell (L1-L3): (key, out).
+
+    A row is a piece of one position's logits: ``values`` of the ids from ``first`` on, with the target
+    ``label`` of the position (IGNORE_INDEX: not scored).  Each row leaves its maximum, its scaled sum and the
+    label's logit if it holds it; the logits themselves are never moved.  The few partials of a position
+    meet, then the positions of a sequence are summed.
+
+    A sequence without scored positions has 0, or null as a mean; -inf logits weigh nothing, a label of
+    -inf gives -inf, positions that are all -inf or hold +inf or NaN give NaN as in ``seq_logp``; a label that no row
+    holds raises."""
+    t = float(temperature)
+    scored = F.col(label) != F.lit(IGNORE_INDEX)
+    v = F.transform(values, lambda x: x.cast("double") if t == 1.0 else x.cast("double") / F.lit(t))
+    low = F.lit(float("-inf"))
+
+    def partial(x: Column) -> Column:
+        return let(F.array_max(x), lambda m: F.struct(m.alias("m"), F.when(m == low, F.lit(0.0)).otherwise(
+            F.aggregate(x, F.lit(0.0), lambda s, e: s + F.exp(e - m))).alias("z"), F.get(x, F.col(label) - F.col(first)).alias("g")))
+
+    rows = chunks.select(*key, pos, F.when(scored, let(v, partial)).alias("_p"), scored.alias("_scored"))
+    places = rows.groupBy(*key, pos).agg(F.max("_scored").alias("_scored"), F.collect_list(F.struct("_p.m", "_p.z")).alias("_parts"), F.max("_p.g").alias("_g"))
+    top = F.array_max(F.transform("_parts", lambda p: p["m"]))
+    lse = let(top, lambda m: F.when(m == low, F.lit(float("nan"))).otherwise(m + F.log(F.aggregate(
+        "_parts", F.lit(0.0), lambda s, p: s + F.when(p["m"] == low, F.lit(0.0)).otherwise(p["z"] * F.exp(p["m"] - m))))))
+    lp = F.when(F.col("_g").isNull(), F.raise_error(F.lit("chunked_logps: a label lies outside the vocabulary")).cast("double")).otherwise(F.col("_g") - lse)
+    per = places.select(*key, F.when(F.col("_scored"), lp).alias("_lp"))
+    total, n = F.coalesce(F.sum("_lp"), F.lit(0.0)), F.count("_lp")
+    return per.groupBy(*key).agg((F.try_divide(total, n.cast("double")) if average else total).alias(out))

@@ -100,6 +100,49 @@ def best_checkpoint(spark, sf):
     return best.select("run_key", "step", F.round("win_rate", 6).alias("win_rate"))
 
 
+# -- V5: onset of over-optimisation: win rate (V2) against the KL of the checkpoint (mean value of the views of the run at the
+#    step, a tenth) per run; two lines by prefix sums
+_LINE = "CASE WHEN {xx} > 1e-12 THEN {a} ELSE {b} END"
+
+
+def _segment(n: str, s: str) -> tuple[str, str]:
+    t = {k: s.format(k) for k in ("x", "y", "xx", "xy", "yy")}
+    xx, xy, yy = (f"({t[a]} - {t[b]} * {t[c]} / {n})" for a, b, c in (("xx", "x", "x"), ("xy", "x", "y"), ("yy", "y", "y")))
+    return _LINE.format(xx=xx, a=f"{xy} / {xx}", b="0.0"), _LINE.format(xx=xx, a=f"{yy} - {xy} * {xy} / {xx}", b=yy)
+
+
+_BEFORE, _ERR_L = _segment("k", "l_{}")
+_AFTER, _ERR_R = _segment("(n - k)", "(t_{0} - l_{0})")
+_POINTS_SQL = f"""
+{_WIN_SQL},
+klr AS (SELECT run_key, step, {sql_fixed_mean('value')} / 10.0 AS kl FROM sk WHERE event_type = 'view' GROUP BY ALL),
+pt AS (SELECT run_key, step, kl, (wins + ties / 2.0) / n AS reward FROM wr JOIN klr USING (run_key, step))"""
+
+
+@register("overoptimisation_onset", f"""
+WITH {_POINTS_SQL},
+c AS (SELECT *, kl - avg(kl) OVER w AS x, reward - avg(reward) OVER w AS y FROM pt WINDOW w AS (PARTITION BY run_key)),
+s AS (SELECT *, row_number() OVER o AS k, count(*) OVER w AS n,
+      {', '.join(f'sum({e}) OVER (PARTITION BY run_key ORDER BY kl, step ROWS UNBOUNDED PRECEDING) AS l_{a}, sum({e}) OVER w AS t_{a}' for a, e in (('x', 'x'), ('y', 'y'), ('xx', 'x * x'), ('xy', 'x * y'), ('yy', 'y * y')))}
+      FROM c WINDOW w AS (PARTITION BY run_key), o AS (PARTITION BY run_key ORDER BY kl, step)),
+e AS (SELECT *, CASE WHEN k >= 2 AND k <= n - 2 THEN round({_ERR_L} + {_ERR_R}, 9) END AS err, CASE WHEN k >= 2 AND k <= n - 2 THEN round({_BEFORE}, 9) END AS b,
+      CASE WHEN k >= 2 AND k <= n - 2 THEN round({_AFTER}, 9) END AS a FROM s),
+best AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY err NULLS LAST, k) = 1),
+peak AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY run_key ORDER BY reward DESC, k) = 1)
+SELECT run_key, n AS checkpoints, p.step AS peak_step, {sql_r('p.kl')} AS peak_kl, {sql_r('p.reward')} AS peak_reward,
+       CASE WHEN b.b > 0 AND b.a < 0 THEN b.step END AS onset_step, CASE WHEN b.b > 0 AND b.a < 0 THEN {sql_r('b.kl')} END AS onset_kl,
+       CASE WHEN b.b > 0 AND b.a < 0 THEN {sql_r('b.b')} END AS slope_before, CASE WHEN b.b > 0 AND b.a < 0 THEN {sql_r('b.a')} END AS slope_after
+FROM (SELECT run_key, step, kl, reward FROM peak) p JOIN best b USING (run_key)
+""")
+def overoptimisation_onset(spark, sf):
+    kl = (_sweep_rows(spark, sf).filter(F.col("event_type") == "view").groupBy("run_key", "step")
+          .agg((fixed_point_mean("value") / 10.0).alias("kl")))
+    points = _win_rates(spark, sf, rollup=False).select("run_key", "step", "win_rate").join(kl, ["run_key", "step"])
+    out = V.overoptimisation_onset(points, "run_key", "step", "kl", "win_rate")
+    r = lambda c: (F.round(c, 6) + 0.0).alias(c)
+    return out.select("run_key", "checkpoints", "peak_step", r("peak_kl"), r("peak_reward"), "onset_step", r("onset_kl"), r("slope_before"), r("slope_after"))
+
+
 # ------------------------------------------------------------------ checkpoints = policies fitted on growing data
 _ASST = "SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'"
 

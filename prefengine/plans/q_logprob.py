@@ -11,7 +11,7 @@ from prefengine.operators import logprob as L
 from prefengine.operators import order as O
 from prefengine.operators.pairs import candidate_pairs, label_pairs
 from prefengine.operators.tokens import token_list
-from prefengine.plans.registry import (register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
+from prefengine.plans.registry import (ORACLE, register, sql_ngram_model, sql_ngram_score, sql_r, sql_text_score,
                                        table)
 from prefengine.sources import driver_tables as D
 
@@ -66,6 +66,26 @@ def logits_logp(spark, sf):
                     F.round(seq_logp("logits", "labels", temperature=TEMP), 6).alias("logp_temp"))
 
 
+# -- L1 L2 L3 over a vocabulary in chunks: no cell holds a position's whole logits
+CHUNK = 3
+
+
+def logit_chunks(logits: DataFrame, width: int) -> DataFrame:
+    """One row per (vec_id, position, ``width`` ids) with the position's target, the label that follows it."""
+    rows = logits.select("vec_id", "labels", F.posexplode("logits").alias("pos", "row")).filter(F.col("pos") < F.size("labels") - 1)
+    rows = rows.select("vec_id", "pos", F.get("labels", F.col("pos") + 1).alias("label"), "row", F.explode(F.sequence(F.lit(0), F.size("row") - 1, F.lit(width))).alias("first_id"))
+    return rows.select("vec_id", "pos", "label", "first_id", F.slice("row", F.col("first_id") + 1, F.lit(width)).alias("values"))
+
+
+@register("logits_logp_chunked", ORACLE["logits_logp"])  # the same log-probs as from whole logits
+def logits_logp_chunked(spark, sf):
+    chunks = logit_chunks(_logits(spark, sf), CHUNK)
+    out = L.chunked_logps(chunks, ["vec_id"], out="logp_sum")
+    for name, options in (("logp_mean", {"average": True}), ("logp_temp", {"temperature": TEMP})):
+        out = out.join(L.chunked_logps(chunks, ["vec_id"], out=name, **options), "vec_id")
+    return out.select("vec_id", *[F.round(c, 6).alias(c) for c in ("logp_sum", "logp_mean", "logp_temp")])
+
+
 # -- L4: per-document log-prob recovered from a packed batch (doc index carried in the mask)
 @register("packed_logp", f"""
 WITH {_CELLS_SQL}, {_lse_sql('1.0')},

@@ -20,7 +20,7 @@ from prefengine.plans.q_pairs import GEN_BUDGET, _PROMPTED
 from prefengine.plans.q_text import _DIALOGUE_SQL, _dialogue
 from prefengine.plans.registry import (register, sql_md5_bits, sql_ngram_model, sql_ngram_score, sql_r, sql_softplus,
                                        sql_text_score, table)
-from prefengine.session import shared_dir
+from prefengine.session import plan_bytes, shared_dir
 from prefengine.sources import driver_tables as D
 from prefengine.sources import readers as R
 from prefengine.sources.sinks import write_json_arrays, write_jsonl
@@ -77,17 +77,40 @@ def feedback_pairs(spark, sf):
     return R.read_jsonl(spark, path, FEEDBACK_SCHEMA)
 
 
-# -- S2: JSON-array files, written from the turns and scanned with a declared schema
-ARRAY_ROWS = 100
+# -- S2: JSON-array files of a size that a task can write, written from the turns and scanned in pieces
+ARRAY_BYTES = 256 << 20
+TURN_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 
 @register("json_array_scan", "SELECT conv_id, turn, role, text FROM conversations")
 def json_array_scan(spark, sf):
     conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    files = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(max(1, conv.count() // ARRAY_ROWS)))
+    files = max(1, (plan_bytes(conv) or 0) // ARRAY_BYTES)
     path = shared_dir(spark, "arrays")
-    write_json_arrays(conv.withColumn("_file", files), path, "_file")
-    return R.read_json_array(spark, path, "conv_id bigint, turn bigint, role string, text string")
+    write_json_arrays(conv.withColumn("_file", F.pmod(F.xxhash64("conv_id", "turn"), F.lit(files))), path, "_file", files)
+    return R.read_json_array(spark, path, TURN_SCHEMA)
+
+
+# -- S1 with bad lines: turns written as JSON Lines, a quarter of them broken in four ways; the good ones come back typed, the
+#    others are counted by what is wrong
+@register("jsonl_quarantine", f"""
+WITH b AS (SELECT *, {sql_md5_bits("conv_id::VARCHAR || ':' || turn::VARCHAR")} % 16 AS k FROM conversations)
+SELECT 'ok' AS reason, conv_id, turn, role, text, 1::BIGINT AS lines FROM b WHERE k > 3
+UNION ALL SELECT CASE k WHEN 0 THEN 'truncated' WHEN 1 THEN 'wrong type: conv_id, turn' WHEN 2 THEN 'not an object' ELSE 'syntax' END,
+                 NULL, NULL, NULL, NULL, count(*) FROM b WHERE k <= 3 GROUP BY k
+""")
+def jsonl_quarantine(spark, sf):
+    conv = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    k = T.md5_bits("conv_id", "turn") % 16
+    whole = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    typed = F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("conv_id"), F.array("turn").alias("turn"), "role", "text"))
+    line = (F.when(k == 0, F.substring(whole, 1, 24)).when(k == 1, typed).when(k == 2, F.to_json(F.array("conv_id", "turn")))
+            .when(k == 3, F.concat(F.lit("conv_id: "), F.col("conv_id").cast("string"))).otherwise(whole))
+    path = shared_dir(spark, "lines")
+    conv.select(line.alias("value")).write.text(path)
+    good, bad = R.read_jsonl_quarantine(spark, path, TURN_SCHEMA, max_bad=0.5)
+    counts = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+    return good.select(F.lit("ok").alias("reason"), "conv_id", "turn", "role", "text", F.lit(1).cast("bigint").alias("lines")).unionByName(counts, allowMissingColumns=True)
 
 
 # -- S4: sources that name their splits by use, and a source whose test split is another source's

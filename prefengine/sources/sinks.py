@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +14,29 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, chunk: str) -> None:
-    """One file per value of ``chunk``, each a JSON array of its rows (what ``read_json_array`` reads).
-    The caller keeps chunks small: an array is one document, written and read by one task."""
-    rows = F.struct(*[c for c in df.columns if c != chunk])
-    arrays = df.groupBy(chunk).agg(F.to_json(F.collect_list(rows)).alias("value")).select("value")
-    arrays.write.option("maxRecordsPerFile", 1).text(path)
+def write_json_arrays(df: DataFrame, path: str, chunk: str, files: int) -> None:
+    """Files that each hold one JSON array of the rows with the same ``chunk`` (an int from 0 to ``files`` - 1), indented as the
+    reference's writer does it (what ``read_json_array`` cuts).  A task writes a file object by object: it never
+    holds an array."""
+    rows = df.select(F.col(chunk).cast("int").alias("_chunk"), F.to_json(F.struct(*[c for c in df.columns if c != chunk]), {"pretty": "true"}).alias("value"))
+
+    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            if texts:
+                # each object is held back until it is known whether another follows
+                yield _lines(["["] if last is None else [last + ","], [t + "," for t in texts[:-1]])
+                last = texts[-1]
+        if last is not None:
+            yield _lines([last, "]"])
+
+    dealt = rows.repartitionById(files, "_chunk").select("value")
+    dealt.mapInArrow(frame, "value string").write.text(path)
+
+
+def _lines(*parts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"value": pa.array([x for part in parts for x in part], pa.string())})
 
 
 def write_metrics(df: DataFrame, path: str, partition_by: str = "run", batch: str | None = None) -> None:

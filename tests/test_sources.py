@@ -79,7 +79,7 @@ def test_json_array_files_round_trip(spark):
 
     path = tempfile.mkdtemp(prefix="prefengine-arrays-") + "/t"
     df = spark.createDataFrame([(i, f"line\n{i}", i % 3) for i in range(20)], "k bigint, text string, part int")
-    write_json_arrays(df, path, "part")
+    write_json_arrays(df, path, "part", 3)
     assert len([f for f in os.listdir(path) if f.endswith(".txt")]) == 3
     back = R.read_json_array(spark, path, "k bigint, text string").collect()
     assert sorted((r.k, r.text) for r in back) == [(i, f"line\n{i}") for i in range(20)]
