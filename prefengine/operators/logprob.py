@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from prefengine.functions.arrays import IGNORE_INDEX, let
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
+from prefengine.operators.joins import HOT_SHARE, join_counts  # noqa: F401
 from prefengine.operators.tokens import token_list
 from prefengine.session import materialize, spread
 
@@ -82,26 +83,6 @@ def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModel
     return fit_ngrams([(df, {"logp": F.lit(True)})], col, n, k)
 
 
-#: A key that makes up at least this share of a count table is joined apart (so there are at most
-#: as many such keys as the reciprocal).
-HOT_SHARE = 1e-3
-
-
-def join_counts(left: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
-    """Left join of ``left`` with a count table (``on`` unique, total in c_all).
-
-    Keys with a share of HOT_SHARE or more ("the", the start of a text) would put that share of all
-    rows into one task.  There are at most 1 / HOT_SHARE of them by construction, so they are
-    broadcast; only the other rows are shuffled to the table."""
-    total = counts.agg(F.sum("c_all")).first()[0] or 0
-    hot = counts.filter(F.col("c_all") >= max(1, total * HOT_SHARE)).drop("c_all")
-    found = [c for c in hot.columns if c not in on]
-    tagged = left.join(F.broadcast(hot.select(*on, F.struct(*found).alias("_hot"))), on, "left")
-    apart = tagged.filter(F.col("_hot").isNotNull()).select(*left.columns, "_hot.*")
-    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(counts.drop("c_all"), on, "left")
-    return apart.unionByName(rest.select(*left.columns, *found))
-
-
 def ngram_logps(df: DataFrame, key: list[str], col: str, models: NgramModels,
                 with_length: str | None = None) -> DataFrame:
     """Log-probs of every row of ``df`` under all models (L7): sum over tokens of

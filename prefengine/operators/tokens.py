@@ -6,14 +6,18 @@ reuses the input's key partitioning (one shuffle of the raw rows)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefengine.functions import arrays as A
 from prefengine.functions.text import truncation_mode
+from prefengine.operators.joins import join_lookup
 from prefengine.operators.order import TOPN_ROWS, global_index
+from prefengine.operators.udf import encode_with
 from prefengine.session import materialize, require_columns, spread
 
 # Special token ids and names (the vocabulary's first four entries).
@@ -63,9 +67,10 @@ def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: V
 
     Plan: hash-partition the rows on ``key``; explode the tokens of every column at once as
     (column, position, token), join the vocabulary (broadcast or split by its real size) and gather
-    each column's ids per key in one aggregation.  The gather is partitioned by ``key``, so
-    the join back to the rows adds no exchange on that side, and several columns cost one
-    shuffle of the text instead of one each."""
+    each column's ids per key in one aggregation.  With a broadcast vocabulary the gather is
+    partitioned by ``key``, so the join back to the rows adds no exchange on that side; a larger one
+    is shuffled, its frequent tokens apart (``joins.join_lookup``).  Several columns cost one shuffle of
+    the text instead of one each."""
     require_columns(df, *key, *cols)
     parted = df.repartition(*key)
     names = list(cols)
@@ -73,7 +78,7 @@ def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: V
         return lambda t, i: F.struct(F.lit(ci).alias("c"), i.alias("pos"), t.alias("token"))
     tagged = F.flatten(F.array(*[F.transform(token_list(c), tag(ci)) for ci, c in enumerate(names)]))
     ex = parted.select(*key, F.explode(tagged).alias("_t")).select(*key, "_t.c", "_t.pos", "_t.token")
-    ids = ex.join(vocab.table.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(vocab.unk)))
+    ids = join_lookup(ex, vocab.table.select("token", "id", "cnt"), "token", "cnt").withColumn("id", F.coalesce("id", F.lit(vocab.unk)))
     gathered = ids.groupBy(*key).agg(*[
         F.array_sort(F.collect_list(F.when(F.col("c") == ci, F.struct("pos", "id")))).alias(f"_ids{ci}")
         for ci in range(len(names))])
@@ -84,9 +89,14 @@ def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: V
     return out.drop(*[f"_ids{ci}" for ci in range(len(names))])
 
 
-def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab, out: str | None = None) -> DataFrame:
-    """Text -> token ids for one column (T1); see ``encode_columns``."""
-    return encode_columns(df, key, {col: out or f"{col}_ids"}, vocab)
+def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab | None = None, out: str | None = None,
+           tokenizer: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
+    """Text -> token ids for one column (T1): with a fitted vocabulary (``encode_columns``), or with a
+    ``tokenizer`` (U3), a function from a batch of texts to lists of ids."""
+    if (vocab is None) == (tokenizer is None):
+        raise ValueError("encode takes a vocabulary or a tokenizer")
+    out = out or f"{col}_ids"
+    return encode_with(df, tokenizer, col, out) if tokenizer else encode_columns(df, key, {col: out}, vocab)
 
 
 def decode(df: DataFrame, key: list[str], ids: str, vocab: Vocab, out: str | None = None,
@@ -94,11 +104,11 @@ def decode(df: DataFrame, key: list[str], ids: str, vocab: Vocab, out: str | Non
     """Token ids -> text joined by single spaces (T1); specials skipped."""
     out = out or f"{ids}_text"
     parted = df.repartition(*key)
-    inv = vocab.table.select(F.col("id").alias("_id"), "token")
+    inv = vocab.table.select(F.col("id").alias("_id"), "token", "cnt")
     ex = parted.select(*key, F.posexplode(ids).alias("_pos", "_id"))
     if skip_special:
         ex = ex.filter(F.col("_id") >= len(SPECIALS))
-    txt = (ex.join(inv, "_id", "left")
+    txt = (join_lookup(ex, inv, "_id", "cnt")
            .groupBy(*key)
            .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit(SPECIALS[UNK])).alias("t"))))
                 .alias("_t")))

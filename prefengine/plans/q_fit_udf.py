@@ -14,7 +14,7 @@ from prefengine.operators import order as O
 from prefengine.operators import udf as U
 from prefengine.operators.pairs import flatten_candidates
 from prefengine.operators.policy import dot
-from prefengine.operators.tokens import token_list
+from prefengine.operators.tokens import encode, token_list
 from prefengine.plans.registry import register, sql_md5_bits, sql_r, sql_tokens, table
 from prefengine.session import materialize
 from prefengine.sources import driver_tables as D
@@ -165,7 +165,7 @@ SELECT conv_id, turn, array_to_string(w, ' ') AS words, len(w)::BIGINT AS n_ids
 def udf_encode(spark, sf):
     """The plug-in's ids, looked up again: ids of one turn must stand for its words one to one."""
     conv = table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(token_list("text"), " ").alias("words"))
-    enc = U.encode_with(conv, hash_words, "words", "ids")
+    enc = encode(conv, ["conv_id", "turn"], "words", out="ids", tokenizer=hash_words)
     built_in = F.transform(F.split("words", " "), lambda w: F.pmod(F.crc32(w), F.lit(HASHED_IDS)).cast("int"))
     same = F.when(F.col("words") == "", F.size("ids") == 0).otherwise(F.col("ids") == built_in)
     return enc.select("conv_id", "turn", F.when(same, F.col("words")).alias("words"), F.size("ids").cast("bigint").alias("n_ids"))

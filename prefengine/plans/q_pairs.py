@@ -55,8 +55,7 @@ def flatten_candidates(spark, sf):
     conv = _conv(spark, sf)
     # candidates come as rows: gathering them into sets only to explode these again would put a
     # whole conversation into one row (flatten_candidates on real sets: refined_summaries, udf_generate)
-    return D.candidates_long(conv).join(D.candidate_prompts(conv).select("conv_id", "prompt"), "conv_id") \
-        .select("conv_id", "prompt", "cand_idx", "completion")
+    return D.prompted_candidates(conv)
 
 
 def _pairs(spark, sf, k):

@@ -65,6 +65,18 @@ def first_candidates(conv: DataFrame, k: int) -> DataFrame:
             .withColumn("cand_idx", (F.col("_r") - 1).cast("bigint")).drop("_r"))
 
 
+#: Candidates of one prompt that meet it in one part.
+PART = 1024
+
+
+def prompted_candidates(conv: DataFrame) -> DataFrame:
+    """One row per (prompt, candidate): (conv_id, prompt, cand_idx, completion).  A prompt is there once per
+    ``PART`` of its candidates, so a conversation with most of the rows meets it in many parts and all others in one."""
+    prompts = candidate_prompts(conv).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("n_candidates") / PART))))
+    cands = candidates_long(conv).withColumn("_part", F.floor(F.col("cand_idx") / PART))
+    return cands.join(prompts, ["conv_id", "_part"]).select("conv_id", "prompt", "cand_idx", "completion")
+
+
 def candidate_sets(conv: DataFrame, max_candidates: int | None = None) -> DataFrame:
     """Candidate-set rows (conv_id, prompt, n_candidates, completion array<string>, turns array<bigint>).
 
@@ -102,13 +114,17 @@ def chat_messages(conv: DataFrame, max_messages: int | None = None) -> DataFrame
 
 def dialogue_turns(conv: DataFrame) -> DataFrame:
     """(conv_id, context array<string>, chosen_response, rejected_response): the non-system
-    turns before the last assistant turn; chosen = last assistant text, rejected = first."""
+    turns before the last assistant turn; chosen = last assistant text, rejected = first.
+
+    Turns meet the last assistant turn in ``SALTS`` parts of their conversation; what is one row per conversation by
+    its shape, the context, is gathered after that."""
     asst = (conv.filter(F.col("role") == "assistant").groupBy("conv_id")
             .agg(F.max("turn").alias("last_turn"),
                  F.max_by("text", "turn").alias("chosen_response"),
                  F.min_by("text", "turn").alias("rejected_response")))
-    ctx = (conv.filter(F.col("role") != "system").join(asst.select("conv_id", "last_turn"), "conv_id")
-           .filter(F.col("turn") < F.col("last_turn"))
+    last = asst.select("conv_id", "last_turn", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    turns = conv.filter(F.col("role") != "system").withColumn("_salt", F.pmod("turn", F.lit(SALTS)).cast("int"))
+    ctx = (turns.join(last, ["conv_id", "_salt"]).filter(F.col("turn") < F.col("last_turn"))
            .groupBy("conv_id")
            .agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_c")))
     return (ctx.select("conv_id", F.transform("_c", lambda x: x["text"]).alias("context"))
