@@ -62,6 +62,10 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = (1, 2, 3), max_r
     return s.select("source", "source_idx", "n_docs", "source_size", "weight", "target", "block", "n_blocks", "slots", "first_slot")
 
 
+#: Tasks that make slots: each makes one row's chunk until there are so many.
+MOST_TASKS = 20_000
+
+
 def slot_schedule(targets: DataFrame) -> DataFrame:
     """(source_idx, slot, rank, block_no): the schedule.
 
@@ -76,8 +80,10 @@ def slot_schedule(targets: DataFrame) -> DataFrame:
     chunk = 1 << CHUNK_BITS
     places = t.select("source_idx", "bits", "n_blocks", (F.col("first_slot") + F.col("slots")).alias("end"),
                       F.explode(F.sequence(F.col("first_slot"), F.col("first_slot") + F.col("slots") - 1, F.lit(chunk).cast("long"))).alias("start"))
-    # each row makes up to 2^16 slots: deal the rows out before they are expanded
-    places = places.repartition("source_idx", "start")
+    # each row makes up to 2^16 slots: the rows are dealt out before they are expanded, to a number of tasks that adaptive
+    # execution keeps, since it judges by the few bytes that the rows have now
+    n = t.agg(F.coalesce(F.sum(F.ceil(F.col("slots") / chunk)), F.lit(0))).first()[0]
+    places = places.repartition(max(1, min(int(n), MOST_TASKS)), "source_idx", "start")
     p = places.select("source_idx", "bits", "n_blocks", F.explode(F.sequence("start", F.least(F.col("start") + (chunk - 1), F.col("end") - 1))).alias("place"))
     reversed_bits = F.conv(F.reverse(F.lpad(F.bin("place"), F.col("bits"), F.lit("0"))), 2, 10).cast("long")
     p = p.select("source_idx", "n_blocks", reversed_bits.alias("slot"))

@@ -67,3 +67,13 @@ def test_schedule_spreads_sources(spark, docs):
 def test_empty(docs):
     assert digest(docs([])) == []
     assert [r["taken"] for r in digest(docs([(1, None), (2, "")]))] == [0, 0]
+
+
+def test_slots_are_made_by_many_tasks(spark):
+    targets = spark.createDataFrame([(0, 900_000, 0, 700, 7), (1, 100_000, 900_000, 300, 3)], "source_idx int, slots long, first_slot long, n_blocks long, source string")
+    made = mixing.slot_schedule(targets)
+    assert made.count() == 1_000_000 and made.groupBy("source_idx").count().orderBy("source_idx").collect()[0]["count"] == 900_000
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # 16 chunks of 2^16 slots: a given number of tasks, which is not coalesced
+
+
