@@ -34,6 +34,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: A package is closed when its payloads pass this; one range read takes in neighbours up to that.
 PACKAGE_BYTES, RANGE_BYTES = 256 << 20, 4 << 20
+#: Archive bytes that a task reads back, and the most tasks.
+TASK_BYTES, MOST_TASKS = 128 << 20, 20_000
 
 
 def file_system(folder: str) -> tuple[fs.FileSystem, str]:
@@ -219,8 +221,9 @@ def locate_records(packages: DataFrame, folder: str) -> DataFrame:
                 part = places[k:k + 10_000]
                 yield pa.RecordBatch.from_pydict({"package": [name] * len(part), "start": [start + p["offset"] for p in part], "length": [p["length"] for p in part]})
 
-    # one package to a task: each is a file of its own
-    return packages.select("package").repartition("package").mapInArrow(locate, "package string, start long, length long")
+    # about a package to a task: the number is given, since adaptive execution would judge by the bytes of the names
+    packages = packages.select("package")
+    return packages.repartition(max(1, min(packages.count(), MOST_TASKS)), "package").mapInArrow(locate, "package string, start long, length long")
 
 
 def read_records(places: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
@@ -262,8 +265,13 @@ def read_records(places: DataFrame, folder: str, payloads: bool = True) -> DataF
             yield pa.RecordBatch.from_pydict(out, SCHEMA) if payloads else pa.RecordBatch.from_pydict(out, SCHEMA).drop_columns(["payload"])
 
     columns = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
+    # tasks of about TASK_BYTES of archive, or as many as there are cores: given, as in locate_records
+    places = shared_table(places, "warc-places")
+    total = places.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    cores = places.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(max(total // TASK_BYTES, min(cores, total // RANGE_BYTES)), MOST_TASKS))
     stretch = F.floor(F.col("start") / RANGE_BYTES)
-    return places.repartition("package", stretch).sortWithinPartitions("package", "start").mapInArrow(read, columns)
+    return places.repartition(int(tasks), "package", stretch).sortWithinPartitions("package", "start").mapInArrow(read, columns)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
