@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Features of a text are its words, its pairs of neighbouring words and the 3- to 5-grams of the
+Features of a text are its words, its pairs of neighbouring words and their shapes, and the 3- to 5-grams of the
 UTF-8 characters' bytes of each word (with word boundaries), hashed into one table.  Every hash bucket has a learned vector,
 a document is the average of its features' vectors, and a softmax layer gives the class
 probabilities.  Vectors and layer are trained together by stochastic gradient descent in numpy over
@@ -22,14 +22,19 @@ from prefengine.llm.common import fresh
 DIM, BITS = 8, 18
 BUCKETS = 1 << BITS
 HELD_OUT_FOLD = 2
-#: Bucket of a word that stands after itself.
-REPEAT = 0
 #: Characters of a text that are hashed at once, and the powers (and their inverses modulo 2^64) for their bytes.
 PIECE = 1 << 16
 BASE = 0x100000001B3
 POWERS, INVERSES = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(4 * PIECE + 64, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of BASE and of its inverse; more than the kept ones only for a word of megabytes."""
+    if n <= len(POWERS):
+        return POWERS[:n], INVERSES[:n]
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, x, np.uint64), dtype=np.uint64)]) for x in (BASE, pow(BASE, -1, 1 << 64)))
+
+
 def spread_bits(h: np.ndarray) -> np.ndarray:
     return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - BITS)).astype(np.int64)
 
@@ -39,36 +44,38 @@ def buckets(text: str | None) -> Iterator[np.ndarray]:
 
     All hashes are rolled over the bytes of the text at once: the n-grams of a word are the byte
     n-grams that hold a space at most at their ends; a word's hash is the sum of its bytes times
-    powers that start anew with the word.  Pairs of words do not cross pieces (of about a megabyte)."""
+    powers that start anew with the word.  Neighbours give the hash of the pair and its shape: both lengths and
+    whether first and last bytes agree.  A piece starts with the last word of the one before, whose own
+    features are not counted again, so where pieces end makes no difference."""
     words = text.split() if text else []
     lo = 0
     while lo < len(words):
-        size, hi = 0, lo
+        size, hi, again = 0, lo, int(lo > 0)
         while hi < len(words) and size < PIECE:
             size, hi = size + len(words[hi]) + 1, hi + 1
-        data = np.frombuffer(f" {' '.join(words[lo:hi])} ".encode("utf-8", "replace"), np.uint8)
+        data = np.frombuffer(f" {' '.join(words[lo - again:hi])} ".encode("utf-8", "replace"), np.uint8)
         lo = hi
         space, b = data == 32, data.astype(np.uint64)
-        if len(b) > 5:
-            grams = b[:-2] | b[1:-1] << np.uint64(8) | b[2:] << np.uint64(16)
-            inner = ~space[1:-1]
-            yield spread_bits(grams[inner])
-            for n in (4, 5):
-                grams = grams[:-1] | b[n - 1:] << np.uint64(8 * (n - 1))
-                inner = inner[:-1] & ~space[n - 2:-1]
-                yield spread_bits(grams[inner])
         edges = np.flatnonzero(space)
-        if len(b) > len(POWERS):  # one word longer than a piece
-            step = np.arange(len(b), dtype=np.uint64)
-            hashes = np.add.reduceat(b * (step * step + np.uint64(1)), edges[:-1] + 1)
-        else:
-            hashes = np.add.reduceat(b * POWERS[:len(b)], edges[:-1] + 1) * INVERSES[edges[:-1] + 1]
-        yield spread_bits(hashes ^ hashes >> np.uint64(29))
+        kept = data[edges[again]:] if again else data
+        own, full = kept == 32, kept.astype(np.uint64)
+        grams = full[:-2] | full[1:-1] << np.uint64(8) | full[2:] << np.uint64(16)
+        inner = ~own[1:-1]
+        yield spread_bits(grams[inner])
+        for n in (4, 5):
+            if len(full) < n:
+                break
+            grams = grams[:-1] | full[n - 1:] << np.uint64(8 * (n - 1))
+            inner = inner[:-1] & ~own[n - 2:-1]
+            yield spread_bits(grams[inner])
+        up, down = powers(len(b))
+        hashes = np.add.reduceat(b * up, edges[:-1] + 1) * down[edges[:-1] + 1]
+        yield spread_bits(hashes[again:] ^ hashes[again:] >> np.uint64(29))
         pairs = (hashes[:-1] ^ hashes[:-1] >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[1:]
         yield spread_bits(pairs ^ pairs >> np.uint64(29))
-        # a word after itself is one feature whatever the word, with the weight of the word's n-grams
-        again = np.flatnonzero(hashes[:-1] == hashes[1:]) + 1
-        yield np.full(3 * int((edges[again + 1] - edges[again]).sum()), REPEAT)
+        lengths, first, last = np.minimum(np.diff(edges) - 1, 31).astype(np.uint64), data[edges[:-1] + 1], data[edges[1:] - 1]
+        shapes = lengths[:-1] | lengths[1:] << np.uint64(5) | (first[:-1] == first[1:]).astype(np.uint64) << np.uint64(10) | (last[:-1] == last[1:]).astype(np.uint64) << np.uint64(11)
+        yield spread_bits((shapes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +201,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs`` with a score of at least ``threshold``; columns stay as they are."""
-    model = train(training_sample(docs, labels, options.get("label_col", "quality"), options.get("train_rows", 4000), options.get("id_col", "doc_id"), text_col))
+    """The rows of ``docs`` with a score of at least ``threshold``; columns stay as they are.  ``options`` are those of
+    ``classify``.
+
+    Ties and repeated rows go or stay together, since equal texts have equal scores; null, empty and blank texts have the
+    score of the bias; texts of any length are scored whole; a table without rows gives none."""
+    id_col, label_col, rows = options.pop("id_col", "doc_id"), options.pop("label_col", "quality"), options.pop("train_rows", 4000)
+    model = train(training_sample(docs, labels, label_col, rows, id_col, text_col), **options)
     name = fresh(docs, "__score")
     return score(docs, model, text_col, name).filter(F.col(name) >= threshold).drop(name)
