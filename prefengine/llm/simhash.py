@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefengine.operators.joins import join_counts
 from prefengine.llm.common import fresh, shared_table
 from prefengine.llm.graph import components
 
@@ -160,23 +161,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component; an empty table gives no rows; other columns are ignored."""
     prints = shared_table(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
                                       fingerprints(F.col(text_col), shingle).alias("fp")), "simhash")
-    nodes = shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = shared_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c_all")), "simhash-nodes")
     roots = components(near_pairs(nodes.select("fp"), bits)).withColumnRenamed("node", "fp")
-    member = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = member.join(least, "root").select("fp", "component_id", "root")
+    member = shared_table(nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-members")
+    # a component or a fingerprint with a large share of the rows meets its id apart from the others
+    least = shared_table(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("c_all")), "simhash-least")
+    final = shared_table(join_counts(member.select("fp", "root", F.col("c_all").alias("rows")), least, ["root"]).withColumnRenamed("rows", "c_all"), "simhash-final")
     shown = [F.lower(F.lpad(F.hex(c), 16, "0")).alias(name) for c, name in (("fp", "fingerprint"), ("root", "root"))]
-    return prints.join(final, "fp").select("doc_id", shown[0], "component_id", "text_hash", shown[1])
+    return join_counts(prints, final, ["fp"]).select("doc_id", shown[0], "component_id", "text_hash", shown[1])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, bits: int = 4) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest id (and among rows of
-    that id the smallest text hash); all columns stay as they are."""
+    that id the smallest text hash, then the smallest of the other columns); all columns stay as they are.
+
+    Null, empty and blank texts are one group, null ids come last, repeated rows leave one, texts of any length are
+    read whole, a table without rows gives none."""
     groups = near_duplicates(docs, id_col, text_col, shingle, bits)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "text_hash")).alias("first")
+    mark, own_id, own_hash, row = (fresh(docs, name) for name in ("row_text_hash", "kept_id", "kept_hash", "kept_row"))
     # ids can be null or repeat, so components may share their smallest id, never their root
-    keep = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    mark = fresh(docs, "__text_hash")
+    keep = groups.groupBy("root").agg(first).select(F.col("first.doc_id").alias(own_id), F.col("first.text_hash").alias(own_hash))
     marked = docs.withColumn(mark, F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__hash"))
-    return marked.join(keep, same, "left_semi").dropDuplicates([id_col, mark]).drop(mark)
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_hash))
+    kept = marked.join(keep, same, "left_semi").groupBy(id_col, mark).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return kept.select(*[F.col(row)[c].alias(c) for c in docs.columns])

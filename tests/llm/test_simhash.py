@@ -88,3 +88,15 @@ def test_chain_and_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert set(got.values()) == {0, 1000} and len(got) == 251
+
+
+def test_one_row_of_rows_that_share_id_and_text(spark, docs):
+    from pyspark.sql import functions as F
+
+    df = docs([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "quite another text of six"), (3, None), (4, "")])
+    df = df.withColumns({"__id": F.lit(1), "kept_id": F.lit("x"), "kept_hash": F.lit(0), "root": F.monotonically_increasing_id()}).cache()
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert set(rows) == {1, 3, None} and kept.count() == 3
+    assert rows[1].root == min(r.root for r in df.collect() if r.doc_id == 1)  # the smallest of the others
