@@ -83,7 +83,8 @@ def near_pairs(prints: DataFrame, bits: int) -> DataFrame:
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("value")) for i, m in enumerate(masks)]))
     rows = prints.select("fp", keys.alias("k")).select("fp", F.xxhash64("k.no", "k.value").alias("block"))
     sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    rows = rows.join(sizes, "block")
+    # Spark takes the rows for as few as the fingerprints that they were exploded from: no broadcast of them
+    rows = rows.hint("merge").join(sizes, "block")
     parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
