@@ -60,9 +60,28 @@ def test_blocks_and_empty(spark, monkeypatch):
     rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(200)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     one = found(ann.nearest(df, every=2, k=5))
-    monkeypatch.setattr(ann, "BLOCK_QUERIES", 30)
-    assert found(ann.nearest(df, every=2, k=5)) == one
+    # neither blocks, stripes, chunks nor how the rows are dealt change what comes
+    for name, value in (("BLOCK_QUERIES", 30), ("STRIPE_ROWS", 17), ("CHUNK_ROWS", 9)):
+        monkeypatch.setattr(ann, name, value)
+        assert found(ann.nearest(df.repartition(3), every=2, k=5)) == one
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.filter("vec_id = 1")).count() == 0
     assert ann.nearest(df.filter("vec_id = 0")).count() == 0
     twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in ann.nearest(twice).collect()] == [(1, pytest.approx(1.0))]
+
+
+def test_queries_with_too_few_rows_in_the_radius(spark, monkeypatch):
+    """They are asked again with all rows: the k best come, exactly; queries with enough rows stay as they are."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 16))
+    x[60:85] = x[60]  # 25 rows of one code
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = exact(np.arange(120), x, 20, 20)
+    monkeypatch.setattr(ann.Codes, "choose", lambda self, sample, k, recall: 0)
+    got = found(ann.nearest(df))
+    assert got.keys() == want.keys()
+    for q in want:
+        if q not in (60, 80):
+            assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+    assert [i for i, _ in got[60]] == list(range(61, 81)) and all(abs(s - x[60] @ x[60]) < 1e-9 for _, s in got[60])
