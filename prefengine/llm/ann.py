@@ -140,13 +140,14 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     def search(queries: DataFrame, number: int, radius: int) -> DataFrame:
         """(query_id, vec_id, score): the best ``k`` of every query in every stripe."""
         blocks = -(-number // BLOCK_QUERIES)
-        stripes = max(-(-n // STRIPE_ROWS), min(-(-4 * spark.sparkContext.defaultParallelism // blocks), -(-n // 2048)))
+        # a cell for every core at least; more stripes than that only return more rows
+        stripes = max(-(-n // STRIPE_ROWS), min(-(-spark.sparkContext.defaultParallelism // blocks), -(-n // 4096)))
         each = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
         dealt = queries.repartition(blocks).withColumn("block", F.spark_partition_id())
         dealt = dealt.select("block", each(stripes).alias("stripe"), F.lit(0).alias("kind"), "vec_id", "v", "code")
         data = rows.select(each(blocks).alias("block"), F.pmod(F.xxhash64("vec_id", "code"), F.lit(stripes)).cast("int").alias("stripe"),
                            F.lit(1).alias("kind"), "vec_id", "v", "code")
-        cells = data.unionByName(dealt).repartition(blocks * stripes, "block", "stripe").sortWithinPartitions("block", "stripe", "kind")
+        cells = data.unionByName(dealt).repartition(4 * blocks * stripes, "block", "stripe").sortWithinPartitions("block", "stripe", "kind")
         return cells.mapInArrow(searcher(radius, k), "query_id long, vec_id long, score double")
 
     number = asked.count()
