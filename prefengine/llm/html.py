@@ -1,7 +1,7 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page becomes a small element tree.  Elements that are never article text (menus, forms, adverts,
-comments, ...) go with all they hold.  Every remaining paragraph gives points for its length and
+comments, ...) go with all they hold; readers' comments are also known by their structure.  Every remaining paragraph gives points for its length and
 its commas to its ancestors, less with each level; an element's points are discounted by its link
 density.  The best container is kept, and what stands beside it or the elements around it if paragraphs
 with few links do.
@@ -32,10 +32,13 @@ ASIDE_WORDS = {"ad", "ads", "adbox", "adslot", "advert", "adverts", "advertiseme
                "recommended", "recommendations", "outbrain", "taboola", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus",
                "discussion", "feedback", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "disclaimer", "popup",
                "modal", "overlay", "paywall", "newsletter", "subscribe", "subscription", "signup", "login", "register", "share", "sharing", "social",
-               "toolbar", "pagination", "pager", "search", "searchbox", "form", "hidden", "toc", "skip"}
+               "toolbar", "pagination", "pager", "search", "searchbox", "form", "hidden", "toc", "skip",
+               "kommentar", "kommentare", "werbung", "anzeige", "anzeigen", "commentaire", "commentaires", "publicite", "comentario", "comentarios",
+               "publicidad", "navegacion"}
 #: Of these words, those for what others wrote or sell: no text makes such an element the article, unless it is all the page has.
 FOREIGN = {"ad", "ads", "adbox", "adslot", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "outbrain", "taboola",
-           "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "cookie", "cookies", "consent", "gdpr"}
+           "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "cookie", "cookies", "consent", "gdpr",
+           "kommentar", "kommentare", "werbung", "anzeige", "anzeigen", "commentaire", "commentaires", "publicite", "comentario", "comentarios", "publicidad"}
 #: And those that stay out inside an article, however long; the other words may name a section of it.
 BOXES = FOREIGN | {"newsletter", "subscribe", "subscription", "signup", "login", "paywall", "popup", "modal", "sidebar", "sidebars", "widget", "widgets",
                    "navbar", "breadcrumb", "breadcrumbs", "submenu", "share", "sharing", "social", "pagination", "pager", "hidden", "form"}
@@ -47,6 +50,9 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COMMAS = re.compile("[,،、，]")
+#: Headings of comment sections.
+COMMENTS = re.compile(r"(?:\d+ |leave a |reader |leser|user )?(?:comments?|replies|reply|kommentare?|commentaires?|comentarios?)(?: ?\(\d+\))?:?", re.I)
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 #: Elements that are text of the article beside its paragraphs.
 TEXT = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p", "blockquote", "pre", "ul", "ol", "dl", "table", "figure"}
 LEAST = 25  # code points of a paragraph that gives points
@@ -140,7 +146,12 @@ class Tree:
             n = len(self.tag)
             self.parent.append(open_[-1])
             self.tag.append(tag)
-            words = set() if self.out[open_[-1]] or tag in RAW else aside_words(tag, attributes)
+            known_as = tag
+            if tag in ("header", "label", "button"):  # an article's own header is text, so are labels and buttons that a sentence speaks of
+                around = {self.tag[k] for k in open_}
+                if "article" in around if tag == "header" else "p" in around and not around & {"form", "fieldset"}:
+                    known_as = "div" if tag == "header" else "span"
+            words = set() if self.out[open_[-1]] or tag in RAW else aside_words(known_as, attributes)
             self.out.append(self.out[open_[-1]] or tag in RAW or words is None or bool(words) and tag not in BLOCK)
             if words and tag in BLOCK:
                 self.words[n] = words
@@ -156,6 +167,57 @@ class Tree:
         flush()
 
 
+def mark_comments(tree: Tree) -> None:
+    """Name the elements that hold readers' comments by structure: article elements inside an article that says
+    at least as much itself; what a heading like "3 comments" opens; and lists whose entries each hold
+    a time and an author (a link, cite or address) if more text stands outside."""
+    n, mark = len(tree.tag), lambda k: tree.words.setdefault(k, set()).add("comments")
+    own = [0] * n  # text of paragraphs, by innermost block
+    for holder, text, _ in tree.blocks:
+        own[holder] += len(text) if len(text) >= LEAST else 0
+    articles = [k for k in range(n) if tree.tag[k] == "article" and not tree.out[k]]
+    if len(articles) > 1:
+        outer = [-1] * n  # innermost article around or at the element
+        for k in range(1, n):
+            outer[k] = k if tree.tag[k] == "article" else outer[tree.parent[k]]
+        said: dict[int, int] = {}
+        for k in range(n):
+            said[outer[k]] = said.get(outer[k], 0) + own[k]
+        inner: dict[int, list[int]] = {}
+        for k in articles:
+            if outer[tree.parent[k]] >= 0:
+                inner.setdefault(outer[tree.parent[k]], []).append(k)
+        for k, nested in inner.items():
+            if 0 < max(said[i] for i in nested) <= said[k]:
+                for i in nested:
+                    mark(i)
+    children: dict[int, list[int]] = {}
+    for k in range(1, n):
+        children.setdefault(tree.parent[k], []).append(k)
+    before = 0  # text of paragraphs in page order
+    for holder, text, _ in tree.blocks:
+        if tree.tag[holder] in HEADINGS and before and COMMENTS.fullmatch(text):
+            up = tree.parent[holder]
+            if children[up][0] == holder and tree.tag[up] not in ("article", "main", "body", "html", "#root"):
+                mark(up)
+                continue
+            mark(holder)
+            for k in children[up][children[up].index(holder) + 1:]:
+                if HEADINGS.get(tree.tag[k], 9) <= HEADINGS[tree.tag[holder]]:
+                    break
+                mark(k)
+        before += len(text) if len(text) >= LEAST else 0
+    if "time" in tree.tag:
+        dated, by, text = [t == "time" for t in tree.tag], [t in ("a", "cite", "address") for t in tree.tag], own[:]
+        for k in range(n - 1, 0, -1):
+            up = tree.parent[k]
+            dated[up], by[up], text[up] = dated[up] or dated[k], by[up] or by[k], text[up] + text[k]
+        for k, inside in children.items():
+            entries = [i for i in inside if tree.tag[i] in BLOCK and dated[i] and by[i] and text[i]]
+            if len(entries) > 1 and tree.tag[k] not in ("article", "main", "body", "html", "#root") and 2 * text[k] < text[0] and sum(text[i] for i in entries) >= 0.8 * text[k]:
+                mark(k)
+
+
 def furniture(tree: Tree) -> tuple[list[bool], list[int], list[int]]:
     """Which elements lie in furniture, and for each element the code points outside links and inside
     them of its paragraphs, without what foreign elements in it hold.
@@ -163,6 +225,7 @@ def furniture(tree: Tree) -> tuple[list[bool], list[int], list[int]]:
     An element that only its names or a form tag make furniture is none if it holds an article or main
     element with at least half the text of the longest, or, where none stands outside it, most of the
     page's paragraphs."""
+    mark_comments(tree)
     n = len(tree.tag)
     foreign = [False] * n
     for k in range(1, n):
@@ -240,6 +303,12 @@ def main_text(html: str) -> str:
             words = tree.words.get(k)
             back[k] = inside and (not words or not out[k] or not words & BOXES and paragraphs[k] > 80 and paragraphs[k] > 3 * inner[k])
             out[k] = out[k] and not back[k]
+    inside = [False] * n
+    for k in range(n):
+        inside[k] = k == best or k > 0 and inside[tree.parent[k]]
+    # a list of links that follows the article's text is a part of it (sources, papers), one before is a menu
+    start = next((holder for holder, text, linked_ in tree.blocks if inside[holder] and not out[holder] and len(text) >= LEAST and 4 * linked_ < len(text)), n)
+    menus -= {k for k in menus if tree.tag[k] in ("ul", "ol") and inside[k] and k > start}
     keep, climbed = {best}, set()
     children: dict[int, list[int]] = {}
     for k in range(1, n):

@@ -75,3 +75,32 @@ def test_article_in_several_sections():
     assert got == ["Head", *[(LINE * 3).strip()] * 5, "Second", LINE.strip(), "Third", "first point", "second point", "A short end of the story."]
     deeper = f"<body><div><section>{long}</section><section><div><p>{LINE}</p></div></section></div></body>"
     assert main_text(deeper).split("\n") == [*[(LINE * 3).strip()] * 5, LINE.strip()]
+
+
+def test_parts_of_an_article_are_kept():
+    lead = "<header><h1>Title</h1><p>A lead that says what it is about.</p></header>"
+    assert main_text(f"<header>Site, name, and more of it here</header><article>{lead}<p>{LINE}</p></article>") == f"Title\nA lead that says what it is about.\n{LINE.strip()}"
+    links = "<ul><li><a href=1>Source one</a><li><a href=2>Source two</a><li><a href=3>Source three</a></ul>"
+    assert main_text(f"<article><h1>T</h1>{links}<p>{LINE}</p></article>") == f"T\n{LINE.strip()}"
+    assert main_text(f"<article><h1>T</h1><p>{LINE}</p>{links}</article>") == f"T\n{LINE.strip()}\nSource one\nSource two\nSource three"
+    box = f"<div><h3>More</h3>{links}</div>"
+    assert main_text(f"<article><h1>T</h1><p>{LINE}</p>{box}</article>") == f"T\n{LINE.strip()}"
+    assert main_text("<article><p>Press <button>Save</button> and then, for the <label>name</label> of it, go on.</p></article>") == "Press Save and then, for the name of it, go on."
+    assert main_text(f"<article><p>{LINE}</p><form><p>Your <label>name</label> <button>Send</button></p></form><button>Share</button></article>") == LINE.strip()
+
+
+def test_comments_by_structure():
+    note = "<p>I say, with many words, that all of this is wrong, and I go on.</p>"
+    article = f"<h1>T</h1><p>{LINE * 3}</p>"
+    want = f"T\n{(LINE * 3).strip()}"
+    nested = f"<article>{note}</article><article>{note}</article>"
+    for more in (f"<section><h2>Comments</h2>{nested}</section>", nested, f"<h2>3 comments</h2>{note}<div>{note}</div>", f"<section><h3>Kommentare (2)</h3>{note}</section>",
+                 f"<div class=kommentare>{note}</div>", f"<div class=werbung>{note}</div>", f"<ol>{f'<li><a href=u>Ann</a> <time>May 1</time>{note}' * 2}</ol>"):
+        assert main_text(f"<body><article>{article}{more}</article></body>") == want, more
+        assert main_text(f"<body><article>{article}</article>{more}</body>") == want or "<article>" in more, more
+    # entries that are the article, articles in a wrapper and headings that speak of comments stay
+    live = "".join(f"<li><a href=u>Ann</a> <time>May {i}</time><p>{LINE}</p>" for i in range(3))
+    assert main_text(f"<article><h1>Live</h1><p>Short opening of it all, yes.</p><ol>{live}</ol></article>").count(LINE.strip()) == 3
+    assert main_text(f"<article><p>A line of the wrapper, not long.</p><article><p>{LINE}</p></article></article>").endswith(LINE.strip())
+    assert main_text(f"<article>{article}<h2>Comments on the law</h2><p>{LINE}</p></article>") == f"{want}\nComments on the law\n{LINE.strip()}"
+    assert main_text(f"<article>{article}<h2>Comments</h2>{note}<h2>Method</h2><p>{LINE}</p></article>") == f"{want}\nMethod\n{LINE.strip()}"
