@@ -110,15 +110,25 @@ def plan_bytes(df: DataFrame) -> int | None:
     """Size estimate of ``df`` (no job runs); None if there is none.
 
     The optimized plan's own estimate, or the sum of the tables it reads if that is less: without
-    column statistics Spark takes a join for the product of its sides."""
+    column statistics Spark takes a join for the product of its sides.  A checkpoint keeps the estimate
+    of the plan it was made from, that product; its files count instead."""
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    sizes = [_leaf_bytes(df.sparkSession, leaves.apply(i)) for i in range(leaves.size())]
     known = [n for n in sizes if n < _UNKNOWN_BYTES]
     own = int(str(plan.stats().sizeInBytes()))
     return min(own, sum(known)) if known else (own if own < _UNKNOWN_BYTES else None)
 
 
+def _leaf_bytes(spark: SparkSession, leaf) -> int:
+    if leaf.getClass().getSimpleName() == "LogicalRDD":
+        file = leaf.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+            return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return int(str(leaf.stats().sizeInBytes()))
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` (a table read several times: fitted models, vocabularies, per-candidate scores)
     once to the shared folder and read it back.

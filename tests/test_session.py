@@ -55,6 +55,15 @@ def test_partitions_follow_bytes(spark, monkeypatch):
     assert O.range_partitions(df) > int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_a_checkpoint_counts_by_its_files(spark):
+    S.checkpoint_root(spark)
+    left, right = (spark.range(20_000).select((F.col("id") % 10_000).alias("k"), F.md5(F.col("id").cast("string")).alias(c)) for c in "xy")
+    joined = left.join(right, "k").checkpoint()
+    files = S.plan_bytes(joined)
+    assert 0 < files < 20_000_000
+    assert O.range_partitions(joined.select("k")) <= spark.sparkContext.defaultParallelism
+
+
 def test_shards_have_a_partition_each(spark):
     df = spark.range(1000).select(F.col("id").alias("k"))
     out = O.assign_shards(df, 7, "k").select("shard", F.spark_partition_id().alias("p")).distinct().collect()
