@@ -1,8 +1,8 @@
 """Vocabulary fit, encode/decode, example building, padding, packing.
 
 Tokenisation is a Spark job: whitespace split of the lower-cased text, a frequency-ranked
-vocabulary fitted by groupBy, and encoding by an equi-join whose reassembly
-reuses the input's key partitioning (one shuffle of the raw rows)."""
+vocabulary fitted by groupBy, and encoding in the row by its frequent tokens, with an equi-join
+for the rare ones only."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from prefengine.functions import arrays as A
 from prefengine.functions.text import truncation_mode
-from prefengine.operators.joins import join_lookup
+from prefengine.operators.joins import lookup_lists
 from prefengine.operators.order import TOPN_ROWS, global_index
 from prefengine.operators.udf import encode_with
 from prefengine.session import materialize, require_columns, spread
@@ -65,28 +65,14 @@ def encode_columns(df: DataFrame, key: list[str], cols: dict[str, str], vocab: V
     """Text columns -> token-id columns (T1), ``cols`` mapping input -> output name; unknown
     tokens map to UNK.
 
-    Plan: hash-partition the rows on ``key``; explode the tokens of every column at once as
-    (column, position, token), join the vocabulary (broadcast or split by its real size) and gather
-    each column's ids per key in one aggregation.  With a broadcast vocabulary the gather is
-    partitioned by ``key``, so the join back to the rows adds no exchange on that side; a larger one
-    is shuffled, its frequent tokens apart (``joins.join_lookup``).  Several columns cost one shuffle of
-    the text instead of one each."""
+    The frequent tokens are found in the row, without a shuffle; only the rare ones of a vocabulary larger than
+    a broadcast are exploded, meet it by a join and are gathered per ``key``, for all columns at once
+    (``joins.lookup_lists``).  ``key`` is unique."""
     require_columns(df, *key, *cols)
-    parted = df.repartition(*key)
-    names = list(cols)
-    def tag(ci: int):
-        return lambda t, i: F.struct(F.lit(ci).alias("c"), i.alias("pos"), t.alias("token"))
-    tagged = F.flatten(F.array(*[F.transform(token_list(c), tag(ci)) for ci, c in enumerate(names)]))
-    ex = parted.select(*key, F.explode(tagged).alias("_t")).select(*key, "_t.c", "_t.pos", "_t.token")
-    ids = join_lookup(ex, vocab.table.select("token", "id", "cnt"), "token", "cnt").withColumn("id", F.coalesce("id", F.lit(vocab.unk)))
-    gathered = ids.groupBy(*key).agg(*[
-        F.array_sort(F.collect_list(F.when(F.col("c") == ci, F.struct("pos", "id")))).alias(f"_ids{ci}")
-        for ci in range(len(names))])
-    out = parted.join(gathered, key, "left")
-    for ci, c in enumerate(names):
-        out = out.withColumn(cols[c], F.coalesce(F.transform(f"_ids{ci}", lambda x: x["id"]),
-                                                 F.array().cast("array<int>")))
-    return out.drop(*[f"_ids{ci}" for ci in range(len(names))])
+    words = {c: f"_w_{c}" for c in cols}
+    tokens = df.withColumns({w: token_list(c) for c, w in words.items()})
+    return lookup_lists(tokens, key, {words[c]: out for c, out in cols.items()}, vocab.table, "token", "id", "cnt",
+                        "id", vocab.unk).drop(*words.values())
 
 
 def encode(df: DataFrame, key: list[str], col: str, vocab: Vocab | None = None, out: str | None = None,
@@ -103,18 +89,9 @@ def decode(df: DataFrame, key: list[str], ids: str, vocab: Vocab, out: str | Non
            skip_special: bool = True) -> DataFrame:
     """Token ids -> text joined by single spaces (T1); specials skipped."""
     out = out or f"{ids}_text"
-    parted = df.repartition(*key)
-    inv = vocab.table.select(F.col("id").alias("_id"), "token", "cnt")
-    ex = parted.select(*key, F.posexplode(ids).alias("_pos", "_id"))
-    if skip_special:
-        ex = ex.filter(F.col("_id") >= len(SPECIALS))
-    txt = (join_lookup(ex, inv, "_id", "cnt")
-           .groupBy(*key)
-           .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("token", F.lit(SPECIALS[UNK])).alias("t"))))
-                .alias("_t")))
-    return (parted.join(txt, key, "left")
-            .withColumn(out, F.coalesce(F.array_join(F.transform("_t", lambda x: x["t"]), " "), F.lit("")))
-            .drop("_t"))
+    kept = df.withColumn("_ids", F.filter(ids, lambda x: x >= len(SPECIALS)) if skip_special else F.col(ids))
+    text = lookup_lists(kept, key, {"_ids": "_t"}, vocab.table, "id", "token", "cnt", "id", SPECIALS[UNK])
+    return text.withColumn(out, F.array_join("_t", " ")).drop("_ids", "_t")
 
 
 def build_example(df: DataFrame, prompt_ids: str, completion_ids: str, prefix: str = "target",

@@ -85,3 +85,33 @@ def test_encode_takes_a_tokenizer(spark):
     assert got.first()["t_ids"] == [1, 2]
     with pytest.raises(ValueError):
         TK.encode(df, ["k"], "t")
+
+
+def test_frequent_tokens_are_found_in_the_row_and_rare_ones_fill_the_gaps(spark, monkeypatch):
+    rows = [(i, "the of " * 20 + f"r{i} the x{i}", f"r{i} r{i}") for i in range(60)] + [(60, None, "of nowhere"), (None, "the", "of")]
+    df = spark.createDataFrame(rows, "k long, a string, b string")
+    vocab = TK.fit_vocab(df.filter("k < 60"), "a")
+    ids = {r["token"]: r["id"] for r in vocab.table.collect()}
+    exploded = []
+    real = J.join_lookup
+    monkeypatch.setattr(J, "join_lookup", lambda left, *a: exploded.append(left) or real(left, *a))
+    for held in (0, 6, 20, 1000):  # none, the frequent ones, some rare ones, all
+        monkeypatch.setattr(J, "held_rows", lambda spark: held)
+        exploded.clear()
+        both = TK.encode_columns(df, ["k"], {"a": "ia", "b": "ib"}, vocab)
+        got = {r["k"]: (r["ia"], r["ib"]) for r in both.collect()}
+        assert got[None] == ([], []) and got[60] == ([], [ids["of"], TK.UNK])
+        for k, a, b in rows[:60]:
+            assert got[k] == ([ids[t] for t in a.split()], [ids[t] for t in b.split()])
+        if held == 6:  # the and of, then 20 occurrences of each per row, stay where they are
+            assert exploded[0].count() == 60 * 4 + 1
+        text = {r["k"]: r["t"] for r in TK.decode(both.filter("k < 60"), ["k"], "ia", vocab, out="t").collect()}
+        assert all(text[k] == a for k, a, _ in rows[:60])
+    assert not exploded  # a vocabulary that is held whole needs no join
+
+
+def test_lookup_refuses_a_key_that_is_not_unique(spark, monkeypatch):
+    monkeypatch.setattr(J, "held_rows", lambda spark: 4)
+    df = spark.createDataFrame([(1, "a"), (1, "b")], "k long, a string")
+    with pytest.raises(Exception, match="not unique"):
+        TK.encode(df, ["k"], "a", TK.fit_vocab(df, "a")).collect()
