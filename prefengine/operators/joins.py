@@ -10,7 +10,7 @@ from pyspark.sql.types import ArrayType, StructField, StructType
 
 from prefengine.session import plan_bytes
 
-#: A key that makes up at least this share of a count table is joined apart (so there are at most
+#: A key that makes up at least this share of a count table is always joined apart (there are at most
 #: as many such keys as the reciprocal).
 HOT_SHARE = 1e-3
 
@@ -19,17 +19,31 @@ def join_counts(left: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
     """Left join of ``left`` with a count table (``on`` unique, total in c_all).
 
     Keys with a share of HOT_SHARE or more ("the", the start of a text) would put that share of all
-    rows into one task.  There are at most 1 / HOT_SHARE of them by construction, so they are
-    broadcast; only the other rows are shuffled to the table."""
-    total = counts.agg(F.sum("c_all")).first()[0] or 0
-    hot = counts.filter(F.col("c_all") >= max(1, total * HOT_SHARE)).drop("c_all")
+    rows into one task.  They are broadcast, with as many of the next frequent ones as a broadcast may hold
+    (``held_rows``), which in natural text are most rows; only the other rows are shuffled to the table."""
+    least = _hot_from(counts, held_rows(left.sparkSession) // len(on))
+    hot = counts.filter(F.col("c_all") >= least).drop("c_all")
     found = [c for c in hot.columns if c not in on]
     tagged = left.join(F.broadcast(hot.select(*on, F.struct(*found).alias("_hot"))), on, "left")
     apart = tagged.filter(F.col("_hot").isNotNull()).select(*left.columns, "_hot.*")
-    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(counts.drop("c_all"), on, "left")
+    cold = counts.filter(F.col("c_all") < least).drop("c_all")
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(cold, on, "left")
     return apart.unionByName(rest.select(*left.columns, *found))
 
 
+def _hot_from(counts: DataFrame, rows: int) -> float:
+    """The total from which a key is hot: those with HOT_SHARE of all, and more while they are at most ``rows``
+    keys.  One row per distinct total is read, about the root of their sum at most."""
+    sizes = counts.groupBy("c_all").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c_all")).collect()
+    least = max(1, sum((r["c_all"] or 0) * r["n"] for r in sizes) * HOT_SHARE)
+    for r in sizes:
+        rows -= r["n"]
+        if rows < 0 or not r["c_all"]:
+            break
+        least = min(least, r["c_all"])
+    return least
+
+
 def join_lookup(left: DataFrame, table: DataFrame, on: str, count: str) -> DataFrame:
     """Left join with a lookup table (``on`` unique, ``count`` its frequency): a table under Spark's broadcast
     threshold is broadcast, which keeps the partitioning of ``left``; a larger one is joined with its

@@ -2,8 +2,8 @@
 
 L1-L3 are column functions over logits arrays (functions.math.seq_logp).  L7 is an
 n-gram language model fitted by Spark: all models of a query are one count table (one column
-per model), scored rows are pre-aggregated to (sequence, context, token) counts and meet it once
-per key set, and the few keys that a natural text repeats most are joined apart."""
+per model), scored n-grams and their contexts meet the counts in one join each, and the keys that a
+natural text repeats most are joined apart."""
 
 from __future__ import annotations
 
@@ -62,6 +62,8 @@ def fit_ngrams(parts: list[tuple[DataFrame, dict[str, Column]]], col: str, n: in
     (``F.lit(True)`` for all), so nested subsets of one corpus cost one pass.  One groupBy(context,
     token) counts all models (partial aggregation map-side); context totals and vocabulary
     sizes derive from that table."""
+    if k <= 0:
+        raise ValueError("k must be positive: an n-gram that was not counted has no log-prob without it")
     names = tuple(dict.fromkeys(name for _, models in parts for name in models))
     tagged = None
     for df, models in parts:
@@ -88,19 +90,20 @@ def ngram_logps(df: DataFrame, key: list[str], col: str, models: NgramModels,
     """Log-probs of every row of ``df`` under all models (L7): sum over tokens of
     ln((c(ctx, tok) + k) / (c(ctx) + k V)), one column per model.
 
-    The scored rows are tokenised once and pre-aggregated to (key, ctx, tok, m) before they meet
-    the counts: one join on (ctx, tok) and one on ctx, however many models there are.  Rows without
-    tokens score 0."""
-    scored = _grams(df, col, models.n, keep=key).groupBy(*key, "ctx", "tok").agg(F.count(F.lit(1)).alias("_m"))
-    named = lambda t, p: t.select(*[F.col(c).alias(p + c if c.startswith("c_") and c != "c_all" else c) for c in t.columns])
-    scored = join_counts(scored, named(models.ngrams, "_2"), ["ctx", "tok"])
-    scored = join_counts(scored, named(models.contexts, "_1"), ["ctx"])
-
-    def logp(name: str) -> Column:
-        return F.col("_m") * F.log((F.coalesce(F.col(f"_2c_{name}"), F.lit(0)) + F.lit(models.k))
-                                   / (F.coalesce(F.col(f"_1c_{name}"), F.lit(0)) + F.lit(models.k * models.vocab_sizes[name])))
-
-    agg = [F.sum(logp(name)).alias(name) for name in models.names]
+    The logarithm of the ratio is a difference, so the n-grams and their contexts meet their own table
+    each, whatever the number of models, and only their sums per key are brought together: no row is shuffled
+    from one table to the next, and frequent n-grams and contexts are not shuffled at all (``join_counts``).
+    Rows without tokens score 0."""
+    grams = _grams(df, col, models.n, keep=key)
+
+    def term(name: str, add: float) -> Column:
+        return F.log(F.coalesce(F.col(f"c_{name}"), F.lit(0)) + F.lit(add))
+    above = join_counts(grams, models.ngrams, ["ctx", "tok"]).select(
+        *key, F.lit(1).alias("_m"), *[term(name, models.k).alias(name) for name in models.names])
+    below = join_counts(grams.select(*key, "ctx"), models.contexts, ["ctx"]).select(
+        *key, F.lit(0).alias("_m"), *[(-term(name, models.k * models.vocab_sizes[name])).alias(name) for name in models.names])
+    scored = above.unionByName(below)
+    agg = [F.sum(name).alias(name) for name in models.names]
     if with_length:
         agg.append(F.sum("_m").alias(with_length))
     base = df.select(*key).join(scored.groupBy(*key).agg(*agg), key, "left")

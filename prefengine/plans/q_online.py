@@ -20,7 +20,7 @@ from prefengine.plans.q_pairs import GEN_BUDGET, _PROMPTED
 from prefengine.plans.q_text import _DIALOGUE_SQL, _dialogue
 from prefengine.plans.registry import (register, sql_md5_bits, sql_ngram_model, sql_ngram_score, sql_r, sql_softplus,
                                        sql_text_score, table)
-from prefengine.session import plan_bytes, shared_dir
+from prefengine.session import materialize, plan_bytes, shared_dir
 from prefengine.sources import driver_tables as D
 from prefengine.sources import readers as R
 from prefengine.sources.sinks import write_json_arrays, write_jsonl
@@ -206,6 +206,7 @@ def online_loop(spark, sf):
     words = F.filter(truncate_after("gen", eos, pad), lambda x: ~x.isin(eos, pad))
     t = t.select("doc_id", "cand_idx", F.array_join(words, " ").alias("text"), has_token("gen", eos).alias("has_eos"))
     t = t.withColumn("score", P.penalise_unterminated(D.text_score("text"), "has_eos"))
+    t = materialize(t.select("doc_id", "cand_idx", "text", "score"), "samples")  # sampled once, read by every join below
     key = ["doc_id", "cand_idx"]
     lp = ngram_logps(t.select(*key, "text"), key, "text", fit_models(spark, sf, ("pi", "rho")))
     two = P.pair_samples(t.select(*key, "score").join(lp, key), ["doc_id"], "cand_idx", ["cand_idx", "score", "pi", "rho"])

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prefengine.functions.math import seq_logp, softplus
+from prefengine.operators import joins as J
 from prefengine.operators import logprob as L
 
 
@@ -87,3 +88,22 @@ def test_many_models_one_table_and_hot_contexts_apart(spark):
     assert 1 <= hot.count() <= 1 / L.HOT_SHARE and hot.filter("ctx = 'the'").count() == 1
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" in plan and plan.count("Join LeftOuter") == 2  # cold rows: no hot key found, then the table
+
+
+def test_ngrams_and_contexts_meet_their_own_table(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a b c"), (2, "b z"), (3, "")], "k long, t string")
+    model = L.fit_ngram(df.filter("k = 1"), "t", k=0.5)
+    lefts, real = [], J.join_counts
+    monkeypatch.setattr(L, "join_counts", lambda left, *a: lefts.append(left.columns) or real(left, *a))
+    got = {r["k"]: (r["logp"], r["n"]) for r in L.ngram_logps(df, ["k"], "t", model, with_length="n").collect()}
+    assert lefts == [["k", "ctx", "tok"], ["k", "ctx"]]  # the second join does not carry the first one's rows
+    grams = {("<s>", "a"): 1, ("a", "b"): 2, ("b", "a"): 1, ("b", "c"): 1}
+    ctx = {"<s>": 1, "a": 2, "b": 2}
+    def want(words):
+        return sum(math.log((grams.get(g, 0) + 0.5) / (ctx.get(g[0], 0) + 1.5)) for g in zip(["<s>", *words], words))
+    assert got[1] == (pytest.approx(want("a b a b c".split())), 5) and got[2] == (pytest.approx(want(["b", "z"])), 2) and got[3] == (0.0, 0)
+    assert J._hot_from(model.ngrams, 2) == 1 and J._hot_from(model.ngrams, 1) == 1  # shares of a tiny table are all hot
+    counts = spark.createDataFrame([(5000,), (3,), (2,), (2,), (1,)], "c_all long")
+    assert [J._hot_from(counts, n) for n in (0, 1, 2, 3, 4, 9)] == [pytest.approx(5.008), pytest.approx(5.008), 3, 3, 2, 1]
+    with pytest.raises(ValueError):
+        L.fit_ngram(df, "t", k=0)
