@@ -15,19 +15,21 @@ from prefengine.session import plan_bytes
 HOT_SHARE = 1e-3
 
 
-def join_counts(left: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+def join_counts(left: DataFrame, counts: DataFrame, on: list[str], few: bool = False) -> DataFrame:
     """Left join of ``left`` with a count table (``on`` unique, total in c_all).
 
     Keys with a share of HOT_SHARE or more ("the", the start of a text) would put that share of all
     rows into one task.  They are broadcast, with as many of the next frequent ones as a broadcast may hold
-    (``held_rows``), which in natural text are most rows; only the other rows are shuffled to the table."""
+    (``held_rows``), which in natural text are most rows; only the other rows are shuffled to the table.  With ``few`` a task holds
+    its share of them, and the table's rows pass by unsorted."""
     least = _hot_from(counts, held_rows(left.sparkSession) // len(on))
     hot = counts.filter(F.col("c_all") >= least).drop("c_all")
     found = [c for c in hot.columns if c not in on]
     tagged = left.join(F.broadcast(hot.select(*on, F.struct(*found).alias("_hot"))), on, "left")
     apart = tagged.filter(F.col("_hot").isNotNull()).select(*left.columns, "_hot.*")
     cold = counts.filter(F.col("c_all") < least).drop("c_all")
-    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(cold, on, "left")
+    rest = tagged.filter(F.col("_hot").isNull()).drop("_hot")
+    rest = (rest.hint("shuffle_hash") if few else rest).join(cold, on, "left")
     return apart.unionByName(rest.select(*left.columns, *found))
 
 

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from prefengine.functions.arrays import IGNORE_INDEX, let
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
 from prefengine.operators.joins import HOT_SHARE, join_counts  # noqa: F401
+from prefengine.operators.ngram_counts import CONTEXT, NGRAM, TOKEN, count_ngrams, count_parts
 from prefengine.operators.tokens import token_list
-from prefengine.session import materialize, spread
+from prefengine.session import materialize_buckets, plan_bytes, spread
 
 # Fixed value: the start-of-sequence context filler.
 START = "<s>"
 
+#: Bytes of scored text (as its files hold it) per bucket of counts up to which a task can hold its n-grams.
+HELD_BYTES = 4 << 20
+
 
 def _grams(df: DataFrame, col: str, n: int, keep: list[str] | None = None) -> DataFrame:
     """One row per token position: (keep..., ctx, tok); ctx = previous n-1 tokens (START-padded).
@@ -44,11 +48,12 @@ class NgramModels:
     """Counts of several models of one order, side by side."""
 
     names: tuple[str, ...]
-    ngrams: DataFrame           # ctx, tok, c_<name>..., c_all
+    ngrams: DataFrame           # ctx, tok (their xxhash64), c_<name>..., c_all
     contexts: DataFrame         # ctx, c_<name>..., c_all
     vocab_sizes: dict[str, int]
     n: int
     k: float
+    parts: int                  # buckets of the counts
 
     @property
     def vocab_size(self) -> int:
@@ -59,25 +64,30 @@ def fit_ngrams(parts: list[tuple[DataFrame, dict[str, Column]]], col: str, n: in
     """Add-k smoothed n-gram counts of several models.
 
     ``parts`` are corpora, each with the models it belongs to and the condition on its rows
-    (``F.lit(True)`` for all), so nested subsets of one corpus cost one pass.  One groupBy(context,
-    token) counts all models (partial aggregation map-side); context totals and vocabulary
-    sizes derive from that table."""
+    (``F.lit(True)`` for all), so nested subsets of one corpus cost one pass.  The n-grams, contexts and tokens of
+    all models are counted together (``count_ngrams``: partial counts map-side, one shuffle) and written bucketed by
+    n-gram, so a join on it doesn't shuffle the counts again."""
     if k <= 0:
         raise ValueError("k must be positive: an n-gram that was not counted has no log-prob without it")
+    if n < 1:
+        raise ValueError("n must be >= 1")
     names = tuple(dict.fromkeys(name for _, models in parts for name in models))
     tagged = None
     for df, models in parts:
-        flags = [models.get(name, F.lit(False)).cast("bigint").alias(f"_in_{name}") for name in names]
-        one = _grams(df.select(col, *flags), col, n, keep=[f"_in_{name}" for name in names])
+        bits = F.lit(0).cast("bigint")
+        for i, name in enumerate(names):
+            bits = bits + F.when(models.get(name, F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+        one = spread(df.select(F.col(col).alias("text"), bits.alias("models")))
+        one = one.select(F.lower("text").alias("text"), "models")
         tagged = one if tagged is None else tagged.unionByName(one)
-    counts = [F.sum(f"_in_{name}").alias(f"c_{name}") for name in names]
-    ngrams = tagged.groupBy("ctx", "tok").agg(*counts, F.count(F.lit(1)).alias("c_all"))
-    ngrams = materialize(ngrams, "ngrams")
+    size = count_parts([df.select(col) for df, _ in parts])
+    table = materialize_buckets(count_ngrams(tagged, names, n, START, size), "ngrams", "kind", ["ctx", "tok"], size)
     columns = [f"c_{name}" for name in names]
-    contexts = materialize(ngrams.groupBy("ctx").agg(*[F.sum(c).alias(c) for c in [*columns, "c_all"]]), "contexts")
-    seen = ngrams.groupBy("tok").agg(*[F.max((F.col(c) > 0).cast("bigint")).alias(c) for c in columns])
-    v = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]).first()
-    return NgramModels(names, ngrams, contexts, {name: int(v[f"c_{name}"]) for name in names}, n, float(k))
+    ngrams = table.filter(F.col("kind") == NGRAM).select("ctx", "tok", *columns, "c_all")
+    contexts = table.filter(F.col("kind") == CONTEXT).select(F.col("word").alias("ctx"), *columns, "c_all")
+    v = (table.filter(F.col("kind") == TOKEN)
+         .agg(*[F.coalesce(F.sum((F.col(c) > 0).cast("bigint")), F.lit(0)).alias(c) for c in columns]).first())
+    return NgramModels(names, ngrams, contexts, {name: int(v[f"c_{name}"]) for name in names}, n, float(k), size)
 
 
 def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModels:
@@ -95,12 +105,15 @@ def ngram_logps(df: DataFrame, key: list[str], col: str, models: NgramModels,
     from one table to the next, and frequent n-grams and contexts are not shuffled at all (``join_counts``).
     Rows without tokens score 0."""
     grams = _grams(df, col, models.n, keep=key)
+    size = plan_bytes(df)
+    few = size is not None and size <= models.parts * HELD_BYTES
 
     def term(name: str, add: float) -> Column:
         return F.log(F.coalesce(F.col(f"c_{name}"), F.lit(0)) + F.lit(add))
-    above = join_counts(grams, models.ngrams, ["ctx", "tok"]).select(
+    hashed = grams.select(*key, *[F.xxhash64(c).alias(c) for c in ("ctx", "tok")])
+    above = join_counts(hashed, models.ngrams, ["ctx", "tok"], few).select(
         *key, F.lit(1).alias("_m"), *[term(name, models.k).alias(name) for name in models.names])
-    below = join_counts(grams.select(*key, "ctx"), models.contexts, ["ctx"]).select(
+    below = join_counts(grams.select(*key, "ctx"), models.contexts, ["ctx"], few).select(
         *key, F.lit(0).alias("_m"), *[(-term(name, models.k * models.vocab_sizes[name])).alias(name) for name in models.names])
     scored = above.unionByName(below)
     agg = [F.sum(name).alias(name) for name in models.names]

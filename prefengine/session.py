@@ -59,6 +59,7 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 _folders: list[str] = []
+_tables: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -70,10 +71,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete every folder that ``shared_dir`` gave out and drop cached tables.  For callers that are
+    """Delete every folder that ``shared_dir`` gave out, with the tables on them, and drop cached tables.  For callers that are
     done with all results of the queries so far (bench, notebooks): results read from these folders
     can't be computed again afterwards.  Returns the number of folders."""
     spark.catalog.clearCache()
+    for table in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _tables.clear()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in _folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
@@ -138,3 +142,23 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Files that a task of ``materialize_buckets`` keeps open before it sorts its rows.
+FOLDERS = 16
+
+
+def materialize_buckets(df: DataFrame, name: str, folders: str, by: list[str], buckets: int) -> DataFrame:
+    """``materialize`` for a table that is joined on ``by``: written in as many ``buckets`` (``df`` is hash-partitioned
+    that way), so the join doesn't shuffle it again, with a folder per value of ``folders``."""
+    path = shared_dir(df.sparkSession, name)
+    _tables.append(path.rsplit("/", 1)[1].replace("-", "_"))
+    spark, setting = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(FOLDERS))  # a task writes one bucket in few folders: nothing to sort
+    try:
+        plain = {f"parquet.enable.dictionary#{c}": "false" for c in by}  # keys hardly repeat in a bucket
+        df.write.options(path=path, **plain).partitionBy(folders).bucketBy(buckets, *by).saveAsTable(_tables[-1], format="parquet")
+    finally:
+        spark.conf.set(setting, before)
+    return spark.table(_tables[-1])
