@@ -19,13 +19,13 @@ from pyspark.sql import functions as F
 from prefengine.session import plan_bytes
 
 #: Bytes of text that a task counts at once, and rows that it adds up at once.
-CHUNK_BYTES = 16 << 20
-CHUNK_ROWS = 1 << 20
+CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 1 << 19
 #: Bytes of blocks, and rows, of a batch that goes back to Spark.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1 << 16
 #: Bytes of input files behind one part of the counts.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: What a row counts.
 CONTEXT, TOKEN, NGRAM = 0, 1, 2
 #: The seed of Spark's ``xxhash64``.
@@ -52,11 +52,14 @@ def _counter(models: int, n: int, start: str, columns: list[str], parts: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= CHUNK_BYTES:
-                yield from _blocks(_counts(pa.Table.from_batches(held), models, n, start, columns), parts)
-                held, size = [], 0
+            step = max(1, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                held.append(batch.slice(at, step))
+                size += held[-1].nbytes
+                if size >= CHUNK_BYTES:
+                    yield from _blocks(_counts(pa.Table.from_batches(held), models, n, start, columns), parts)
+                    held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _blocks(_counts(pa.Table.from_batches(held), models, n, start, columns), parts)
     return count

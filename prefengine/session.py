@@ -157,8 +157,7 @@ def materialize_buckets(df: DataFrame, name: str, folders: str, by: list[str], b
     before = spark.conf.get(setting)
     spark.conf.set(setting, str(FOLDERS))  # a task writes one bucket in few folders: nothing to sort
     try:
-        plain = {f"parquet.enable.dictionary#{c}": "false" for c in by}  # keys hardly repeat in a bucket
-        df.write.options(path=path, **plain).partitionBy(folders).bucketBy(buckets, *by).saveAsTable(_tables[-1], format="parquet")
+        df.write.option("path", path).partitionBy(folders).bucketBy(buckets, *by).saveAsTable(_tables[-1], format="parquet")
     finally:
         spark.conf.set(setting, before)
     return spark.table(_tables[-1])
