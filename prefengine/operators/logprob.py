@@ -3,7 +3,7 @@
 L1-L3 are column functions over logits arrays (functions.math.seq_logp).  L7 is an
 n-gram language model fitted by Spark: all models of a query are one count table (one column
 per model), scored n-grams and their contexts meet the counts in one join each, and the keys that a
-natural text repeats most are joined apart."""
+natural text repeats most are joined apart.  Large texts meet the counts by chunks (``ngram_scores``)."""
 
 from __future__ import annotations
 
@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from prefengine.functions.arrays import IGNORE_INDEX, let
 from prefengine.functions.math import seq_logp  # noqa: F401  (re-exported: L1-L3)
-from prefengine.operators.joins import HOT_SHARE, join_counts  # noqa: F401
+from prefengine.operators.joins import HOT_SHARE, _hot_from, held_rows, join_counts  # noqa: F401
 from prefengine.operators.ngram_counts import CONTEXT, NGRAM, TOKEN, count_ngrams, count_parts
+from prefengine.operators.ngram_scores import chunk_sums
 from prefengine.operators.tokens import token_list
 from prefengine.session import materialize_buckets, plan_bytes, spread
 
@@ -24,6 +25,8 @@ START = "<s>"
 
 #: Bytes of scored text (as its files hold it) per bucket of counts up to which a task can hold its n-grams.
 HELD_BYTES = 4 << 20
+#: Bytes of scored text (as its files hold it) up to which its n-grams are joined as rows.
+ROW_BYTES = 8 << 20
 
 
 def _grams(df: DataFrame, col: str, n: int, keep: list[str] | None = None) -> DataFrame:
@@ -54,6 +57,7 @@ class NgramModels:
     n: int
     k: float
     parts: int                  # buckets of the counts
+    hashed: DataFrame           # contexts by the xxhash64 of ctx
 
     @property
     def vocab_size(self) -> int:
@@ -87,7 +91,8 @@ def fit_ngrams(parts: list[tuple[DataFrame, dict[str, Column]]], col: str, n: in
     contexts = table.filter(F.col("kind") == CONTEXT).select(F.col("word").alias("ctx"), *columns, "c_all")
     v = (table.filter(F.col("kind") == TOKEN)
          .agg(*[F.coalesce(F.sum((F.col(c) > 0).cast("bigint")), F.lit(0)).alias(c) for c in columns]).first())
-    return NgramModels(names, ngrams, contexts, {name: int(v[f"c_{name}"]) for name in names}, n, float(k), size)
+    hashed = table.filter(F.col("kind") == CONTEXT).select("ctx", *columns, "c_all")
+    return NgramModels(names, ngrams, contexts, {name: int(v[f"c_{name}"]) for name in names}, n, float(k), size, hashed)
 
 
 def fit_ngram(df: DataFrame, col: str, n: int = 2, k: float = 1.0) -> NgramModels:
@@ -102,20 +107,13 @@ def ngram_logps(df: DataFrame, key: list[str], col: str, models: NgramModels,
 
     The logarithm of the ratio is a difference, so the n-grams and their contexts meet their own table
     each, whatever the number of models, and only their sums per key are brought together: no row is shuffled
-    from one table to the next, and frequent n-grams and contexts are not shuffled at all (``join_counts``).
+    from one table to the next, and frequent n-grams and contexts are not shuffled at all (``join_counts``).  Of more than ROW_BYTES of
+    text an n-gram is shuffled once a chunk instead of once a place (``ngram_scores``).
     Rows without tokens score 0."""
-    grams = _grams(df, col, models.n, keep=key)
     size = plan_bytes(df)
     few = size is not None and size <= models.parts * HELD_BYTES
-
-    def term(name: str, add: float) -> Column:
-        return F.log(F.coalesce(F.col(f"c_{name}"), F.lit(0)) + F.lit(add))
-    hashed = grams.select(*key, *[F.xxhash64(c).alias(c) for c in ("ctx", "tok")])
-    above = join_counts(hashed, models.ngrams, ["ctx", "tok"], few).select(
-        *key, F.lit(1).alias("_m"), *[term(name, models.k).alias(name) for name in models.names])
-    below = join_counts(grams.select(*key, "ctx"), models.contexts, ["ctx"], few).select(
-        *key, F.lit(0).alias("_m"), *[(-term(name, models.k * models.vocab_sizes[name])).alias(name) for name in models.names])
-    scored = above.unionByName(below)
+    above, below = (_by_chunks if size is not None and size > ROW_BYTES else _joined)(df, key, col, models, few)
+    scored = above.unionByName(below.withColumns({"_m": F.lit(0).cast("bigint")} | {name: -F.col(name) for name in models.names}))
     agg = [F.sum(name).alias(name) for name in models.names]
     if with_length:
         agg.append(F.sum("_m").alias(with_length))
@@ -126,6 +124,33 @@ def ngram_logps(df: DataFrame, key: list[str], col: str, models: NgramModels,
     return base
 
 
+def _joined(df: DataFrame, key: list[str], col: str, models: NgramModels, few: bool) -> tuple[DataFrame, DataFrame]:
+    """(key..., _m, ln(c + add) of each model) per n-gram (_m: one place), and the same of its context."""
+    grams = _grams(df, col, models.n, keep=key)
+    one = F.lit(1).cast("bigint").alias("_m")
+
+    def terms(adds: list[float]) -> list[Column]:
+        return [F.log(F.coalesce(F.col(f"c_{name}"), F.lit(0)) + F.lit(add)).alias(name) for name, add in zip(models.names, adds)]
+    hashed = grams.select(*key, *[F.xxhash64(c).alias(c) for c in ("ctx", "tok")])
+    above = join_counts(hashed, models.ngrams, ["ctx", "tok"], few).select(*key, one, *terms(_adds(models)[0]))
+    below = join_counts(grams.select(*key, "ctx"), models.contexts, ["ctx"], few).select(*key, one, *terms(_adds(models)[1]))
+    return above, below
+
+
+def _by_chunks(df: DataFrame, key: list[str], col: str, models: NgramModels, few: bool) -> tuple[DataFrame, DataFrame]:
+    """``_joined``, summed per row."""
+    sums = []
+    for counts, on, adds in zip((models.ngrams, models.hashed), (["ctx", "tok"], ["ctx"]), _adds(models)):
+        hot = counts.filter(F.col("c_all") >= _hot_from(counts, held_rows(df.sparkSession) // len(on)))
+        sums.append(chunk_sums(df, key, col, counts, on, hot, models.names, adds, models.n, START, few))
+    return sums[0], sums[1]
+
+
+def _adds(models: NgramModels) -> tuple[list[float], list[float]]:
+    """What is added to the counts of n-grams and of contexts, by model."""
+    return [models.k] * len(models.names), [models.k * models.vocab_sizes[name] for name in models.names]
+
+
 def ngram_logp(df: DataFrame, key: list[str], col: str, model: NgramModels, out: str = "logp",
                with_length: str | None = None) -> DataFrame:
     """Single-model form of ``ngram_logps``: returns ``key`` + ``out`` (+ token count)."""

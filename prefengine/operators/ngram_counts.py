@@ -50,37 +50,35 @@ def count_ngrams(texts: DataFrame, names: tuple[str, ...], n: int, start: str, p
 
 def _counter(models: int, n: int, start: str, columns: list[str], parts: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            step = max(1, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes))
-            for at in range(0, batch.num_rows, step):
-                held.append(batch.slice(at, step))
-                size += held[-1].nbytes
-                if size >= CHUNK_BYTES:
-                    yield from _blocks(_counts(pa.Table.from_batches(held), models, n, start, columns), parts)
-                    held, size = [], 0
-                    pa.default_memory_pool().release_unused()
-        if held:
-            yield from _blocks(_counts(pa.Table.from_batches(held), models, n, start, columns), parts)
+        for texts in chunks(batches):
+            yield from _blocks(_counts(texts, models, n, start, columns), parts)
     return count
 
 
+def chunks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
+    """The rows in order, CHUNK_BYTES at a time, and ``most`` rows at most."""
+    held, size, rows = [], 0, 0
+    for batch in batches:
+        step = max(1, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes))
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, min(step, most - rows) if most else step))
+            at += held[-1].num_rows
+            size += held[-1].nbytes
+            rows += held[-1].num_rows
+            if size >= CHUNK_BYTES or rows == most:
+                yield pa.Table.from_batches(held)
+                held, size, rows = [], 0, 0
+                pa.default_memory_pool().release_unused()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _counts(texts: pa.Table, models: int, n: int, start: str, columns: list[str]) -> Iterator[tuple[int, pa.Table]]:
     """The counts of one chunk, a table per kind: one sort of its n-grams, as numbers of its own words."""
-    words, ids, row, place = _tokens(texts.column("text"), start)
+    words, ids, row, ctx_words, ctx = places(texts.column("text"), n, start)
     if not len(ids):
         return
-    ctx_words, ctx = words, np.zeros(len(ids), np.int64)  # words[0] is ``start``
-    if n == 1:
-        ctx_words = pa.array([""])
-    for back in range(n - 1, 0, -1):
-        shifted = np.concatenate([np.zeros(back, np.int64), ids[:-back]])
-        shifted[place < back] = 0
-        if back == n - 1:
-            ctx = shifted
-            continue
-        found, ctx = np.unique(ctx * len(words) + shifted, return_inverse=True)
-        ctx_words = pc.binary_join_element_wise(ctx_words.take(pa.array(found // len(words))), words.take(pa.array(found % len(words))), " ")
     bits = texts.column("models").to_numpy()
     masks, member = np.unique(bits, return_inverse=True)
     found, times = np.unique((ctx * len(words) + ids) * len(masks) + member[row], return_counts=True)
@@ -89,8 +87,8 @@ def _counts(texts: pa.Table, models: int, n: int, start: str, columns: list[str]
     first = np.flatnonzero(np.diff(grams, prepend=-1))
     sums = [np.add.reduceat(times * (mask >> i & 1), first) for i in range(models)] + [np.add.reduceat(times, first)]
     ctx, tok = np.divmod(grams[first], len(words))
-    tok_hash = _hashes(words)
-    ctx_hash = tok_hash if ctx_words is words else _hashes(ctx_words)
+    tok_hash = hashes(words)
+    ctx_hash = tok_hash if ctx_words is words else hashes(ctx_words)
     begin = np.flatnonzero(np.diff(ctx, prepend=-1))
     one = ctx[begin]
     yield CONTEXT, _table(columns, [np.add.reduceat(s, begin) for s in sums], ctx=ctx_hash[one], word=ctx_words.take(pa.array(one)))
@@ -143,11 +141,28 @@ def _part(keys: list[np.ndarray], parts: int) -> np.ndarray:
     return h.view(np.int32).astype(np.int64) % parts
 
 
-def _hashes(words: pa.Array) -> np.ndarray:
+def hashes(words: pa.Array) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     return np.fromiter((digest(w, SEED) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words)).view(np.int64)
 
 
+def places(texts: pa.ChunkedArray, n: int, start: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """The distinct words and contexts (their strings) and of every token its word, its row and its context."""
+    words, ids, row, place = _tokens(texts, start)
+    ctx_words, ctx = words, np.zeros(len(ids), np.int64)  # words[0] is ``start``
+    if n == 1:
+        ctx_words = pa.array([""])
+    for back in range(n - 1, 0, -1):
+        shifted = np.concatenate([np.zeros(back, np.int64), ids])[:len(ids)]
+        shifted[place < back] = 0
+        if back == n - 1:
+            ctx = shifted
+            continue
+        found, ctx = np.unique(ctx * len(words) + shifted, return_inverse=True)
+        ctx_words = pc.binary_join_element_wise(ctx_words.take(pa.array(found // len(words))), words.take(pa.array(found % len(words))), " ")
+    return words, ids, row, ctx_words, ctx
+
+
 def _tokens(texts: pa.ChunkedArray, start: str) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words (``start`` first) and of every token its word, its row and its place in the row: white space
     as in ``token_list``, blanks removed."""

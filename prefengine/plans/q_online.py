@@ -197,6 +197,7 @@ SELECT interval::BIGINT AS interval, count(*) AS examples, {sql_r(f"avg({sql_sof
 FROM iv GROUP BY interval
 """)
 def online_loop(spark, sf):
+    models = fit_models(spark, sf, ("pi", "rho"))  # its shuffle files are gone before the samples are written
     prompts = table(spark, sf, "documents").select("doc_id", F.array_join(token_list("text"), " ").alias("prompt"))
     gen = U.generate_with(prompts, make_rotation_sampler, "prompt", 2)
     samples = P.flatten_candidates(gen.select("doc_id", T.rstrip_all("completion").alias("completion")))
@@ -206,9 +207,10 @@ def online_loop(spark, sf):
     words = F.filter(truncate_after("gen", eos, pad), lambda x: ~x.isin(eos, pad))
     t = t.select("doc_id", "cand_idx", F.array_join(words, " ").alias("text"), has_token("gen", eos).alias("has_eos"))
     t = t.withColumn("score", P.penalise_unterminated(D.text_score("text"), "has_eos"))
-    t = materialize(t.select("doc_id", "cand_idx", "text", "score"), "samples")  # sampled once, read by every join below
+    # sampled once, read by every join below; two samples of a document are alike, which only a codec with a long window sees
+    t = materialize(t.select("doc_id", "cand_idx", "text", "score"), "samples", codec="zstd")
     key = ["doc_id", "cand_idx"]
-    lp = ngram_logps(t.select(*key, "text"), key, "text", fit_models(spark, sf, ("pi", "rho")))
+    lp = ngram_logps(t.select(*key, "text"), key, "text", models)
     two = P.pair_samples(t.select(*key, "score").join(lp, key), ["doc_id"], "cand_idx", ["cand_idx", "score", "pi", "rho"])
     lab = P.label_pairs(two, tie="first", unscored="raise", first="cand_idx_0", second="cand_idx_1", first_score="score_0",
                         second_score="score_1", carry={"logps": ("pi_0", "pi_1"), "ref": ("rho_0", "rho_1")})

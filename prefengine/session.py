@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -133,14 +135,33 @@ def _leaf_bytes(spark: SparkSession, leaf) -> int:
     return int(str(leaf.stats().sizeInBytes()))
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+@contextmanager
+def _set(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Session settings (their dots as double underscores) for the time of one write."""
+    keys = {k.replace("__", "."): v for k, v in settings.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: A written table needs no shuffle file of the write any more; Spark would keep them until the driver collects its garbage.
+_FREED = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
+def materialize(df: DataFrame, name: str = "table", codec: str | None = None) -> DataFrame:
     """Write ``df`` (a table read several times: fitted models, vocabularies, per-candidate scores)
     once to the shared folder and read it back.
 
     Lost executors cost nothing, joins see a plain scan with its real size (so adaptive execution
     can broadcast or split it), and ``release`` deletes it."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with _set(df.sparkSession, **_FREED):
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -153,11 +174,7 @@ def materialize_buckets(df: DataFrame, name: str, folders: str, by: list[str], b
     that way), so the join doesn't shuffle it again, with a folder per value of ``folders``."""
     path = shared_dir(df.sparkSession, name)
     _tables.append(path.rsplit("/", 1)[1].replace("-", "_"))
-    spark, setting = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(FOLDERS))  # a task writes one bucket in few folders: nothing to sort
-    try:
+    spark = df.sparkSession
+    with _set(spark, spark__sql__maxConcurrentOutputFileWriters=str(FOLDERS), **_FREED):  # a task writes one bucket in few folders: nothing to sort
         df.write.option("path", path).partitionBy(folders).bucketBy(buckets, *by).saveAsTable(_tables[-1], format="parquet")
-    finally:
-        spark.conf.set(setting, before)
     return spark.table(_tables[-1])
