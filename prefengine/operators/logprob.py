@@ -18,7 +18,7 @@ from prefengine.operators.joins import HOT_SHARE, _hot_from, held_rows, join_cou
 from prefengine.operators.ngram_counts import CONTEXT, NGRAM, TOKEN, count_ngrams, count_parts
 from prefengine.operators.ngram_scores import chunk_sums
 from prefengine.operators.tokens import token_list
-from prefengine.session import materialize_buckets, plan_bytes, spread
+from prefengine.session import materialize, materialize_buckets, plan_bytes, spread
 
 # Fixed value: the start-of-sequence context filler.
 START = "<s>"
@@ -138,11 +138,11 @@ def _joined(df: DataFrame, key: list[str], col: str, models: NgramModels, few: b
 
 
 def _by_chunks(df: DataFrame, key: list[str], col: str, models: NgramModels, few: bool) -> tuple[DataFrame, DataFrame]:
-    """``_joined``, summed per row."""
+    """``_joined``, summed per row.  Written one after the other: the n-grams' shuffle is gone before the contexts' begins."""
     sums = []
     for counts, on, adds in zip((models.ngrams, models.hashed), (["ctx", "tok"], ["ctx"]), _adds(models)):
         hot = counts.filter(F.col("c_all") >= _hot_from(counts, held_rows(df.sparkSession) // len(on)))
-        sums.append(chunk_sums(df, key, col, counts, on, hot, models.names, adds, models.n, START, few))
+        sums.append(materialize(chunk_sums(df, key, col, counts, on, hot, models.names, adds, models.n, START, few), "sums"))
     return sums[0], sums[1]
 
 

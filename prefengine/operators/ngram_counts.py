@@ -26,8 +26,8 @@ BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1 << 16
 #: Bytes of input files behind one part of the counts.
 PART_BYTES = 8 << 20
-#: What a row counts.
-CONTEXT, TOKEN, NGRAM = 0, 1, 2
+#: What a row counts; a block of words has their counts as contexts and as tokens.
+CONTEXT, TOKEN, NGRAM, WORD = 0, 1, 2, 3
 #: The seed of Spark's ``xxhash64``.
 SEED = 42
 
@@ -90,30 +90,45 @@ def _counts(texts: pa.Table, models: int, n: int, start: str, columns: list[str]
     tok_hash = hashes(words)
     ctx_hash = tok_hash if ctx_words is words else hashes(ctx_words)
     begin = np.flatnonzero(np.diff(ctx, prepend=-1))
-    one = ctx[begin]
-    yield CONTEXT, _table(columns, [np.add.reduceat(s, begin) for s in sums], ctx=ctx_hash[one], word=ctx_words.take(pa.array(one)))
+    one, ctx_sums = ctx[begin], [np.add.reduceat(s, begin) for s in sums]
     order = np.argsort(tok, kind="stable")
     begin = np.flatnonzero(np.diff(tok[order], prepend=-1))
-    one = tok[order][begin]
-    yield TOKEN, _table(columns, [np.add.reduceat(s[order], begin) for s in sums], tok=tok_hash[one], word=words.take(pa.array(one)))
+    two, tok_sums = tok[order][begin], [np.add.reduceat(s[order], begin) for s in sums]
+    if ctx_words is words:
+        yield WORD, _table([*columns, *_as_token(columns)], [*[_spread(s, one, words) for s in ctx_sums], *[_spread(s, two, words) for s in tok_sums]],
+                           ctx=tok_hash, word=words)
+    else:
+        yield CONTEXT, _table(columns, ctx_sums, ctx=ctx_hash[one], word=ctx_words.take(pa.array(one)))
+        yield TOKEN, _table(columns, tok_sums, tok=tok_hash[two], word=words.take(pa.array(two)))
     yield NGRAM, _table(columns, sums, ctx=ctx_hash[ctx], tok=tok_hash[tok])
 
 
+def _as_token(columns: list[str]) -> list[str]:
+    return [f"t{c}" for c in columns]
+
+
+def _spread(sums: np.ndarray, at: np.ndarray, words: pa.Array) -> np.ndarray:
+    out = np.zeros(len(words), np.int64)
+    out[at] = sums
+    return out
+
+
 def _table(columns: list[str], sums: list[np.ndarray], **keys) -> pa.Table:
     return pa.table(keys | {c: pa.array(s, pa.int64()) for c, s in zip(columns, sums)})
 
 
 def _blocks(tables: Iterator[tuple[int, pa.Table]], parts: int) -> Iterator[pa.RecordBatch]:
-    """The rows of each part as one block of Arrow bytes: Spark moves blocks, not rows."""
+    """The rows of each part as one block of compressed Arrow bytes: Spark moves blocks, not rows."""
+    packed = pa.ipc.IpcWriteOptions(compression="zstd")
     for kind, table in tables:
         part = _part([table.column(c).to_numpy() for c in ("ctx", "tok") if c in table.column_names], parts)
         order = np.argsort(part, kind="stable")
-        table = table.take(pa.array(order)).combine_chunks()
+        table = (table.drop_columns("ctx") if kind == WORD else table).take(pa.array(order)).combine_chunks()  # a word's hash is found again
         ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
         held, size, begin = [], 0, 0
         for end in ends.tolist():
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=packed) as out:
                 out.write_table(table.slice(begin, end - begin))
             held.append((int(part[order[begin]]), kind, sink.getvalue().to_pybytes()))
             size += len(held[-1][2])
@@ -182,12 +197,19 @@ def _tokens(texts: pa.ChunkedArray, start: str) -> tuple[pa.Array, np.ndarray, n
 
 def _adder(columns: list[str]) -> Callable:
     def add(rows: pa.Table, keys: list[str]) -> pa.Table:
-        sums = rows.group_by(keys, use_threads=False).aggregate([(c, "sum") for c in columns])
-        return sums.select([*keys, *[f"{c}_sum" for c in columns]]).rename_columns([*keys, *columns])
+        counts = [c for c in rows.column_names if c not in keys]
+        sums = rows.group_by(keys, use_threads=False).aggregate([(c, "sum") for c in counts])
+        return sums.select([*keys, *[f"{c}_sum" for c in counts]]).rename_columns([*keys, *counts])
+
+    def given(kind: int, sums: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = sums.num_rows
+        own = {c: sums.column(c) for c in sums.column_names}
+        empty = {"ctx": pa.nulls(n, pa.int64()), "tok": pa.nulls(n, pa.int64()), "word": pa.nulls(n, pa.string())}
+        yield from pa.table(empty | own | {"kind": pa.array(np.full(n, kind, np.int32))}).to_batches(BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {CONTEXT: [], TOKEN: [], NGRAM: []}
-        keys = {CONTEXT: ["ctx", "word"], TOKEN: ["tok", "word"], NGRAM: ["ctx", "tok"]}
+        keys = {CONTEXT: ["ctx", "word"], TOKEN: ["tok", "word"], NGRAM: ["ctx", "tok"], WORD: ["word"]}
+        held: dict[int, list] = {kind: [] for kind in keys}
         fresh = dict.fromkeys(held, 0)
         done = dict.fromkeys(held, 0)
         for batch in batches:
@@ -202,10 +224,16 @@ def _adder(columns: list[str]) -> Callable:
                 continue
             sums = add(pa.concat_tables(parts), keys[kind])
             parts.clear()
-            if kind != NGRAM and pc.count_distinct(sums.column(keys[kind][0])).as_py() < sums.num_rows:
+            if kind == NGRAM:  # side by side, the n-grams of a context take less in a file
+                yield from given(kind, sums.take(pa.array(np.argsort(sums.column("ctx").to_numpy()))))
+                continue
+            word_hash = pa.array(hashes(sums.column("word").combine_chunks())) if kind == WORD else sums.column(keys[kind][0])
+            if pc.count_distinct(word_hash).as_py() < sums.num_rows:
                 raise ValueError("count_ngrams: two words have one hash")
-            n = sums.num_rows
-            own = {c: sums.column(c) for c in sums.column_names}
-            empty = {"ctx": pa.nulls(n, pa.int64()), "tok": pa.nulls(n, pa.int64()), "word": pa.nulls(n, pa.string())}
-            yield from pa.table(empty | own | {"kind": pa.array(np.full(n, kind, np.int32))}).to_batches(BATCH_ROWS)
+            if kind != WORD:
+                yield from given(kind, sums)
+                continue
+            for one, key, counts in ((CONTEXT, "ctx", columns), (TOKEN, "tok", _as_token(columns))):
+                some = pa.table({key: word_hash, "word": sums.column("word")} | {c: sums.column(x) for c, x in zip(columns, counts)})
+                yield from given(one, some.filter(pc.greater(some.column(columns[-1]), 0)))
     return run

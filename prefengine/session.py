@@ -176,5 +176,5 @@ def materialize_buckets(df: DataFrame, name: str, folders: str, by: list[str], b
     _tables.append(path.rsplit("/", 1)[1].replace("-", "_"))
     spark = df.sparkSession
     with _set(spark, spark__sql__maxConcurrentOutputFileWriters=str(FOLDERS), **_FREED):  # a task writes one bucket in few folders: nothing to sort
-        df.write.option("path", path).partitionBy(folders).bucketBy(buckets, *by).saveAsTable(_tables[-1], format="parquet")
+        df.write.option("path", path).option("compression", "zstd").partitionBy(folders).bucketBy(buckets, *by).saveAsTable(_tables[-1], format="parquet")
     return spark.table(_tables[-1])
