@@ -8,6 +8,7 @@ natural text repeats most are joined apart.  Large texts meet the counts by chun
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ START = "<s>"
 HELD_BYTES = 4 << 20
 #: Bytes of scored text (as its files hold it) up to which its n-grams are joined as rows.
 ROW_BYTES = 8 << 20
+#: Parts of the n-grams of such a text that are shuffled one after the other: each is one more reading of the text.
+TURNS = 2
 
 
 def _grams(df: DataFrame, col: str, n: int, keep: list[str] | None = None) -> DataFrame:
@@ -138,11 +141,12 @@ def _joined(df: DataFrame, key: list[str], col: str, models: NgramModels, few: b
 
 
 def _by_chunks(df: DataFrame, key: list[str], col: str, models: NgramModels, few: bool) -> tuple[DataFrame, DataFrame]:
-    """``_joined``, summed per row.  Written one after the other: the n-grams' shuffle is gone before the contexts' begins."""
+    """``_joined``, summed per row and turn.  Each turn is written before the next begins: its shuffle is gone by then."""
     sums = []
-    for counts, on, adds in zip((models.ngrams, models.hashed), (["ctx", "tok"], ["ctx"]), _adds(models)):
+    for counts, on, adds, turns in zip((models.ngrams, models.hashed), (["ctx", "tok"], ["ctx"]), _adds(models), (TURNS, 1)):
         hot = counts.filter(F.col("c_all") >= _hot_from(counts, held_rows(df.sparkSession) // len(on)))
-        sums.append(materialize(chunk_sums(df, key, col, counts, on, hot, models.names, adds, models.n, START, few), "sums"))
+        made = [materialize(chunk_sums(df, key, col, counts, on, hot, models.names, adds, models.n, START, few, (i, turns)), "sums") for i in range(turns)]
+        sums.append(reduce(DataFrame.unionByName, made))
     return sums[0], sums[1]
 
 

@@ -29,17 +29,17 @@ OWN, PLACES, SUMS = 0, 1, 2
 
 
 def chunk_sums(df: DataFrame, key: list[str], col: str, counts: DataFrame, on: list[str], hot: DataFrame, names: tuple[str, ...],
-               adds: list[float], n: int, start: str, few: bool) -> DataFrame:
+               adds: list[float], n: int, start: str, few: bool, turn: tuple[int, int] = (0, 1)) -> DataFrame:
     """(key..., _m, names...): per row of ``df`` its number of tokens and the sums of ln(count + add) of its n-grams (``on`` ctx and
     tok) or of their contexts (``on`` ctx).
 
     ``counts`` has c_<name>... by the xxhash64 of ``on`` (unique), ``hot`` some of its rows that each task may hold.  With ``few`` a
-    task can hold its share of the questions."""
+    task can hold its share of the questions.  ``turn`` (i, of): only what falls to it, a share of the keys; all turns add up."""
     columns = [f"c_{name}" for name in names]
     texts = df.select(*key, F.lower(col).alias("_text"))
     held = df.sparkSession.sparkContext.broadcast(_Hot(hot.select(*on, *columns).toArrow(), on, columns, adds))
     whole = [*on, "chunk", "data"]
-    asks = texts.mapInArrow(_asker(key, names, n, start, on, held), ", ".join(f"{c} {'binary' if c == 'data' else 'long'}" for c in whole))
+    asks = texts.mapInArrow(_asker(key, names, n, start, on, held, turn), ", ".join(f"{c} {'binary' if c == 'data' else 'long'}" for c in whole))
     met = (asks.hint("shuffle_hash") if few else asks).join(counts.select(*on, *columns), on, "left").select("chunk", "data", *columns)
     blocks = met.mapInArrow(_packer(columns, adds), "chunk long, kind int, n int, data binary")
     out = StructType([*df.select(*key).schema.fields, StructField("_m", LongType()), *[StructField(name, DoubleType()) for name in names]])
@@ -80,16 +80,17 @@ def _search(held: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, held[at] == keys
 
 
-def _asker(key: list[str], names: tuple[str, ...], n: int, start: str, on: list[str], held) -> Callable:
+def _asker(key: list[str], names: tuple[str, ...], n: int, start: str, on: list[str], held,
+           turn: tuple[int, int]) -> Callable:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()  # a task that is run anew may get its rows in another order
         for i, texts in enumerate(chunks(batches, ROWS)):
-            yield from _asks(texts, key, names, n, start, on, held.value, attempt << 24 | i)
+            yield from _asks(texts, key, names, n, start, on, held.value, attempt << 24 | i, turn)
     return ask
 
 
 def _asks(texts: pa.Table, key: list[str], names: tuple[str, ...], n: int, start: str, on: list[str], hot: _Hot,
-          chunk: int) -> Iterator[pa.RecordBatch]:
+          chunk: int, turn: tuple[int, int] = (0, 1)) -> Iterator[pa.RecordBatch]:
     """The questions of a chunk, and its own rows: keys, tokens, those not asked for, and the sums of these."""
     words, ids, row, ctx_words, ctx = places(texts.column("_text"), n, start)
     size = len(texts)
@@ -103,12 +104,16 @@ def _asks(texts: pa.Table, key: list[str], names: tuple[str, ...], n: int, start
     if len(on) == 2:
         sides.append((tok_hash, gram % len(words)))
     at = hot.find(sides)
-    cold = at < 0
-    rare = np.repeat(cold, times)
-    tokens = np.bincount(row, minlength=size)
-    own = {c: texts.column(c).combine_chunks() for c in key} | {"_m": tokens, "_cold": np.bincount(row[rare], minlength=size)}
-    known = np.repeat(at[~cold], times[~cold])
-    own |= {f"_s{i}": np.bincount(row[~rare], hot.logs[known, i], size) for i in range(len(names))}
+    mine = np.zeros(len(gram), np.uint64)
+    for words_hash, word in sides:
+        mine = mine * np.uint64(31) + words_hash[word].view(np.uint64)
+    cold = (at < 0) & ((mine >> np.uint64(7)) % np.uint64(turn[1]) == turn[0])
+    known = (at >= 0) & (turn[0] == 0)
+    rare, often = np.repeat(cold, times), np.repeat(known, times)
+    own = {c: texts.column(c).combine_chunks() for c in key} | {
+        "_m": np.bincount(row, minlength=size) * (turn[0] == 0), "_cold": np.bincount(row[rare], minlength=size)}
+    log = np.repeat(at[known], times[known])
+    own |= {f"_s{i}": np.bincount(row[often], hot.logs[log, i], size) for i in range(len(names))}
     yield _asked(on, [np.array([chunk * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64).view(np.int64)] * len(on), ~chunk, pa.array([_stream(pa.table(own))], pa.binary()))
     asked = [words_hash[word[cold]] for words_hash, word in sides]
     rows = pa.py_buffer(row[rare].astype("<u2").tobytes())

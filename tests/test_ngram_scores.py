@@ -24,7 +24,8 @@ def test_chunks_score_as_joined_rows_do(spark, monkeypatch, n):
     want = scored()
     assert want[900, 0] == (0, 0.0, 0.0) and want[903, 1][0] == 2 and len(want) == 304
     monkeypatch.setattr(L, "ROW_BYTES", -1)
-    for held, place_bytes, most in ((0, 0, 1000), (0, 1e9, 1000), (200, 1.5, 5), (10**6, 1.5, 1000)):
+    for held, place_bytes, most, turns in ((0, 0, 1000, 1), (0, 1e9, 1000, 3), (200, 1.5, 5, 2), (10**6, 1.5, 1000, 2)):
+        monkeypatch.setattr(L, "TURNS", turns)
         monkeypatch.setattr(L, "held_rows", lambda spark: held)
         monkeypatch.setattr(S, "PLACE_BYTES", place_bytes)
         monkeypatch.setattr(S, "chunks", lambda batches, rows: C.chunks(batches, most))
@@ -56,6 +57,8 @@ def test_an_ngram_is_asked_for_once_a_chunk(monkeypatch):
         for data, log in zip(asks.column("data").to_pylist(), np.log(np.arange(52) % 3 + 2.0)):
             np.add.at(want, np.frombuffer(data, "<u2"), log)
         assert [r["a"] for r in rows] == pytest.approx(want.tolist())
+    halves = [pa.Table.from_batches(list(S._asks(table, ["k"], ("a",), 2, "<s>", ["ctx", "tok"], hot, 5, (i, 2)))[1:]) for i in (0, 1)]
+    assert 0 < len(halves[0]) < 52 and sorted(pa.concat_tables(halves).to_pylist(), key=str) == sorted(asks.to_pylist(), key=str)
     part = list(S._packer(["c_a"], [1.0])(iter([*met.slice(0, 40).to_batches(), own])))
     with pytest.raises(ValueError, match="missing"):
         list(S._summer(["k"], ("a",), [1.0])(iter(part)))
