@@ -52,6 +52,7 @@ def _counter(models: int, n: int, start: str, columns: list[str], parts: int) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in chunks(batches):
             yield from _blocks(_counts(texts, models, n, start, columns), parts)
+            del texts  # with the batches that it is cut from
     return count
 
 
@@ -81,12 +82,24 @@ def _counts(texts: pa.Table, models: int, n: int, start: str, columns: list[str]
         return
     bits = texts.column("models").to_numpy()
     masks, member = np.unique(bits, return_inverse=True)
-    found, times = np.unique((ctx * len(words) + ids) * len(masks) + member[row], return_counts=True)
-    grams, mask = found // len(masks), masks[found % len(masks)]
+    ctx *= len(words)
+    ctx += ids
+    ctx *= len(masks)
+    ctx += member[row]
+    del ids, row  # a chunk's arrays are large: each goes when it has been used
+    ctx.sort()
+    begin = np.flatnonzero(np.diff(ctx, prepend=-1))
+    times, found = np.diff(begin, append=len(ctx)), ctx[begin]
+    del ctx, begin
+    grams, mask = np.divmod(found, len(masks))
+    mask = masks[mask]
     # the masks of an n-gram stand side by side
     first = np.flatnonzero(np.diff(grams, prepend=-1))
     sums = [np.add.reduceat(times * (mask >> i & 1), first) for i in range(models)] + [np.add.reduceat(times, first)]
-    ctx, tok = np.divmod(grams[first], len(words))
+    grams = grams[first]
+    del found, times, mask, first
+    ctx, tok = np.divmod(grams, len(words))
+    del grams
     tok_hash = hashes(words)
     ctx_hash = tok_hash if ctx_words is words else hashes(ctx_words)
     begin = np.flatnonzero(np.diff(ctx, prepend=-1))
@@ -100,7 +113,10 @@ def _counts(texts: pa.Table, models: int, n: int, start: str, columns: list[str]
     else:
         yield CONTEXT, _table(columns, ctx_sums, ctx=ctx_hash[one], word=ctx_words.take(pa.array(one)))
         yield TOKEN, _table(columns, tok_sums, tok=tok_hash[two], word=words.take(pa.array(two)))
-    yield NGRAM, _table(columns, sums, ctx=ctx_hash[ctx], tok=tok_hash[tok])
+    del order, begin, one, two, ctx_sums, tok_sums
+    keys = {"ctx": ctx_hash[ctx], "tok": tok_hash[tok]}
+    del ctx, tok, words, ctx_words
+    yield NGRAM, _table(columns, sums, **keys)
 
 
 def _as_token(columns: list[str]) -> list[str]:
@@ -121,16 +137,18 @@ def _blocks(tables: Iterator[tuple[int, pa.Table]], parts: int) -> Iterator[pa.R
     """The rows of each part as one block of compressed Arrow bytes: Spark moves blocks, not rows."""
     packed = pa.ipc.IpcWriteOptions(compression="zstd")
     for kind, table in tables:
-        part = _part([table.column(c).to_numpy() for c in ("ctx", "tok") if c in table.column_names], parts)
+        part = _part([table.column(c).to_numpy() for c in ("ctx", "tok") if c in table.column_names], parts).astype(np.int32)
         order = np.argsort(part, kind="stable")
         table = (table.drop_columns("ctx") if kind == WORD else table).take(pa.array(order)).combine_chunks()  # a word's hash is found again
-        ends = np.flatnonzero(np.diff(part[order], append=-1)) + 1
+        part = part[order]
+        del order
+        ends = np.flatnonzero(np.diff(part, append=np.int32(-1))) + 1
         held, size, begin = [], 0, 0
         for end in ends.tolist():
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=packed) as out:
                 out.write_table(table.slice(begin, end - begin))
-            held.append((int(part[order[begin]]), kind, sink.getvalue().to_pybytes()))
+            held.append((int(part[begin]), kind, sink.getvalue().to_pybytes()))
             size += len(held[-1][2])
             begin = end
             if size >= BATCH_BYTES or end == ends[-1]:
@@ -164,6 +182,7 @@ def hashes(words: pa.Array) -> np.ndarray:
 def places(texts: pa.ChunkedArray, n: int, start: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """The distinct words and contexts (their strings) and of every token its word, its row and its context."""
     words, ids, row, place = _tokens(texts, start)
+    pa.default_memory_pool().release_unused()
     ctx_words, ctx = words, np.zeros(len(ids), np.int64)  # words[0] is ``start``
     if n == 1:
         ctx_words = pa.array([""])
@@ -185,14 +204,16 @@ def _tokens(texts: pa.ChunkedArray, start: str) -> tuple[pa.Array, np.ndarray, n
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     flat = lists.flatten()
+    del lists
     full = pc.not_equal(flat, "")
     row = np.repeat(np.arange(len(lengths)), lengths)[full.to_numpy(zero_copy_only=False)]
     flat = flat.filter(full)
-    coded = pa.concat_arrays([pa.array([start], flat.type), flat]).dictionary_encode()
-    ids = coded.indices.to_numpy()[1:].astype(np.int64)
+    coded = pa.chunked_array([pa.array([start], flat.type), flat]).dictionary_encode().unify_dictionaries()
+    del flat, full
+    ids = coded.chunk(1).indices.to_numpy().astype(np.int64)
     begin = np.flatnonzero(np.diff(row, prepend=-1))
     place = np.arange(len(row)) - np.repeat(begin, np.diff(begin, append=len(row)))
-    return coded.dictionary, ids, row, place
+    return coded.chunk(1).dictionary, ids, row, place
 
 
 def _adder(columns: list[str]) -> Callable:
@@ -225,7 +246,9 @@ def _adder(columns: list[str]) -> Callable:
             sums = add(pa.concat_tables(parts), keys[kind])
             parts.clear()
             if kind == NGRAM:  # side by side, the n-grams of a context take less in a file
-                yield from given(kind, sums.take(pa.array(np.argsort(sums.column("ctx").to_numpy()))))
+                sums = sums.take(pa.array(np.argsort(sums.column("ctx").to_numpy())))
+                pa.default_memory_pool().release_unused()
+                yield from given(kind, sums)
                 continue
             word_hash = pa.array(hashes(sums.column("word").combine_chunks())) if kind == WORD else sums.column(keys[kind][0])
             if pc.count_distinct(word_hash).as_py() < sums.num_rows:

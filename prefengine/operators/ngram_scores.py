@@ -86,6 +86,7 @@ def _asker(key: list[str], names: tuple[str, ...], n: int, start: str, on: list[
         attempt = TaskContext.get().taskAttemptId()  # a task that is run anew may get its rows in another order
         for i, texts in enumerate(chunks(batches, ROWS)):
             yield from _asks(texts, key, names, n, start, on, held.value, attempt << 24 | i, turn)
+            del texts
     return ask
 
 
@@ -95,19 +96,25 @@ def _asks(texts: pa.Table, key: list[str], names: tuple[str, ...], n: int, start
     words, ids, row, ctx_words, ctx = places(texts.column("_text"), n, start)
     size = len(texts)
     gram = ctx if len(on) == 1 else ctx * len(words) + ids
+    del ctx, ids
     order = np.argsort(gram, kind="stable")
-    gram, row = gram[order], row[order]
+    gram, row = gram[order], row[order].astype(np.int32)
+    del order
     begin = np.flatnonzero(np.diff(gram, prepend=-1))
     times, gram = np.diff(begin, append=len(gram)), gram[begin]
+    del begin
     tok_hash = hashes(words) if len(on) == 2 or ctx_words is words else None
     sides = [(tok_hash if ctx_words is words else hashes(ctx_words), gram if len(on) == 1 else gram // len(words))]
     if len(on) == 2:
         sides.append((tok_hash, gram % len(words)))
     at = hot.find(sides)
-    mine = np.zeros(len(gram), np.uint64)
-    for words_hash, word in sides:
-        mine = mine * np.uint64(31) + words_hash[word].view(np.uint64)
-    cold = (at < 0) & ((mine >> np.uint64(7)) % np.uint64(turn[1]) == turn[0])
+    cold = at < 0
+    if turn[1] > 1:
+        mine = np.zeros(len(gram), np.uint64)
+        for words_hash, word in sides:
+            mine = mine * np.uint64(31) + words_hash[word].view(np.uint64)
+        cold &= (mine >> np.uint64(7)) % np.uint64(turn[1]) == turn[0]
+        del mine
     known = (at >= 0) & (turn[0] == 0)
     rare, often = np.repeat(cold, times), np.repeat(known, times)
     own = {c: texts.column(c).combine_chunks() for c in key} | {
@@ -116,6 +123,7 @@ def _asks(texts: pa.Table, key: list[str], names: tuple[str, ...], n: int, start
     own |= {f"_s{i}": np.bincount(row[often], hot.logs[log, i], size) for i in range(len(names))}
     yield _asked(on, [np.array([chunk * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64).view(np.int64)] * len(on), ~chunk, pa.array([_stream(pa.table(own))], pa.binary()))
     asked = [words_hash[word[cold]] for words_hash, word in sides]
+    del sides, gram, at, known, often, log
     rows = pa.py_buffer(row[rare].astype("<u2").tobytes())
     ends = np.concatenate([[0], np.cumsum(times[cold]) * 2]).astype(np.int32)
     data = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), rows])
