@@ -7,6 +7,7 @@ rare ones move as numbers, in blocks of a part each.  Contexts and tokens keep t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,6 +33,16 @@ CONTEXT, TOKEN, NGRAM, WORD = 0, 1, 2, 3
 SEED = 42
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+
+
+def release() -> None:
+    """Give freed memory back to the machine: a Python worker keeps it for its next task, beside what Arrow's pool keeps."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def count_parts(parts: list[DataFrame]) -> int:
     """Parts for the counts of these texts: by their size, at least the session's shuffle partitions."""
     size = sum(plan_bytes(df) or 0 for df in parts)
@@ -58,6 +69,7 @@ def _counter(models: int, n: int, start: str, columns: list[str], parts: int) ->
 
 def chunks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.Table]:
     """The rows in order, CHUNK_BYTES at a time, and ``most`` rows at most."""
+    release()  # what earlier tasks of this worker left
     held, size, rows = [], 0, 0
     for batch in batches:
         step = max(1, batch.num_rows * CHUNK_BYTES // max(1, batch.nbytes))
@@ -70,9 +82,11 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterat
             if size >= CHUNK_BYTES or rows == most:
                 yield pa.Table.from_batches(held)
                 held, size, rows = [], 0, 0
-                pa.default_memory_pool().release_unused()
+                release()
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def _counts(texts: pa.Table, models: int, n: int, start: str, columns: list[str]) -> Iterator[tuple[int, pa.Table]]:
@@ -182,7 +196,7 @@ def hashes(words: pa.Array) -> np.ndarray:
 def places(texts: pa.ChunkedArray, n: int, start: str) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """The distinct words and contexts (their strings) and of every token its word, its row and its context."""
     words, ids, row, place = _tokens(texts, start)
-    pa.default_memory_pool().release_unused()
+    release()
     ctx_words, ctx = words, np.zeros(len(ids), np.int64)  # words[0] is ``start``
     if n == 1:
         ctx_words = pa.array([""])
@@ -229,6 +243,7 @@ def _adder(columns: list[str]) -> Callable:
         yield from pa.table(empty | own | {"kind": pa.array(np.full(n, kind, np.int32))}).to_batches(BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         keys = {CONTEXT: ["ctx", "word"], TOKEN: ["tok", "word"], NGRAM: ["ctx", "tok"], WORD: ["word"]}
         held: dict[int, list] = {kind: [] for kind in keys}
         fresh = dict.fromkeys(held, 0)
@@ -247,7 +262,7 @@ def _adder(columns: list[str]) -> Callable:
             parts.clear()
             if kind == NGRAM:  # side by side, the n-grams of a context take less in a file
                 sums = sums.take(pa.array(np.argsort(sums.column("ctx").to_numpy())))
-                pa.default_memory_pool().release_unused()
+                release()
                 yield from given(kind, sums)
                 continue
             word_hash = pa.array(hashes(sums.column("word").combine_chunks())) if kind == WORD else sums.column(keys[kind][0])
@@ -259,4 +274,6 @@ def _adder(columns: list[str]) -> Callable:
             for one, key, counts in ((CONTEXT, "ctx", columns), (TOKEN, "tok", _as_token(columns))):
                 some = pa.table({key: word_hash, "word": sums.column("word")} | {c: sums.column(x) for c, x in zip(columns, counts)})
                 yield from given(one, some.filter(pc.greater(some.column(columns[-1]), 0)))
+        sums = word_hash = some = None
+        release()
     return run

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from prefengine.operators.ngram_counts import BATCH_ROWS, chunks, hashes, places
+from prefengine.operators.ngram_counts import BATCH_ROWS, chunks, hashes, places, release
 
 #: Rows of a chunk: their numbers take two bytes.
 ROWS = 1 << 16
@@ -144,6 +144,7 @@ def _stream(table: pa.Table) -> bytes:
 
 def _packer(columns: list[str], adds: list[float]) -> Callable:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, size = [], 0
         for batch in batches:
             chunk = batch.column("chunk").to_numpy()
@@ -155,8 +156,11 @@ def _packer(columns: list[str], adds: list[float]) -> Callable:
             if size >= PACK_BYTES:
                 yield _blocks(_packed(pa.Table.from_batches(held), columns, adds))
                 held, size = [], 0
+                release()
         if held:
             yield _blocks(_packed(pa.Table.from_batches(held), columns, adds))
+        del held
+        release()
     return pack
 
 
